@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tokenloom.llm import bpe, decontaminate, language_model, simhash
+from tokenloom.llm import bpe, decontaminate, language_model, simhash, toxicity
 from tokenloom.llm.common import table
 
 
@@ -31,5 +31,9 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(table(spark, sf_dir, "documents"), vocabulary_path())
 
 
-QUERIES = {f.__name__: f for f in (op2_decontamination, op5_language_model, op7_simhash, op9_bpe)}
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op2_decontamination, op5_language_model, op7_simhash, op9_bpe, op10_toxicity)}
 ORACLES: dict[str, str] = {}
