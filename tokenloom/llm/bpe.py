@@ -143,7 +143,7 @@ class Codec:
             if held >= GROUP_CHUNKS or n == len(texts):
                 if len(self.cache) > CACHE_CHUNKS:
                     self.cache.clear()
-                new = set().union(*group) - self.cache.keys()
+                new = {c for chunks in group for c in chunks if c not in self.cache}
                 if new:
                     self.learn(new)
                 yield from [b"".join(map(self.cache.__getitem__, chunks)) for chunks in group]

@@ -1,4 +1,4 @@
-"""The registered queries opN_<name> and the pipeline: whole tables, production parameters."""
+"""The registered queries opN_<name>: whole tables, production parameters."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tokenloom.llm import bpe, decontaminate, language_model, simhash, toxicity
+from tokenloom.llm import bpe, chat, cover_tree, decontaminate, language_model, quality, shard, simhash, toxicity, url_filter
 from tokenloom.llm.common import table
 
 
@@ -15,18 +15,38 @@ def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
     return os.path.join(os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers"), name)
 
 
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard.sharding_report(table(spark, sf_dir, "documents"))
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.chat_report(table(spark, sf_dir, "conversations"))
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.url_report(table(spark, sf_dir, "pages"))
+
+
 def op5_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.language_model_report(table(spark, sf_dir, "documents"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicate_report(table(spark, sf_dir, "documents"))
 
 
+def op8_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cover_tree.embedding_report(table(spark, sf_dir, "embeddings"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(table(spark, sf_dir, "documents"), vocabulary_path())
 
@@ -35,5 +55,9 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op2_decontamination, op5_language_model, op7_simhash, op9_bpe, op10_toxicity)}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_sharding, op2_decontamination, op3_chat, op4_url_filter, op5_language_model, op6_quality, op7_simhash, op8_embeddings, op9_bpe, op10_toxicity)
+}
+#: SQL can express none of them: drawn numbers, fitted models, digests of structures that only their own tests can rebuild.
 ORACLES: dict[str, str] = {}

@@ -191,14 +191,26 @@ def link_edges(fps: DataFrame) -> DataFrame:
     return first.where("choice < 0").union(second.where("choice < 0")).select("a", "b")
 
 
-def near_duplicate_groups(docs: DataFrame, key: str = "doc_id", shingle: int = 3) -> DataFrame:
-    """key, fp and component_id (the least key of the component) of every document."""
-    marked = materialise(fingerprints(docs.select(key, "text"), shingle))
+def _grouped(marked: DataFrame, key: str) -> DataFrame:
+    """marked (key, fp and more) with component (a fingerprint of the group) and component_id (its least key)."""
     folded = materialise(marked.groupBy("fp").agg(F.min(key).alias("least")))
     joined = components(link_edges(folded)).select(F.col("id").alias("fp"), "component")
     placed = folded.join(joined, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     least = placed.groupBy("component").agg(F.min("least").alias("component_id"))
-    return marked.join(placed.join(least, "component").select("fp", "component_id"), "fp").select(key, "fp", "component_id")
+    return marked.join(placed.join(least, "component").select("fp", "component", "component_id"), "fp")
+
+
+def near_duplicate_groups(docs: DataFrame, key: str = "doc_id", shingle: int = 3) -> DataFrame:
+    """key, fp and component_id (the least key of the component) of every document."""
+    return _grouped(materialise(fingerprints(docs.select(key, "text"), shingle)), key).select(key, "fp", "component_id")
+
+
+def keep_one(docs: DataFrame, key: str = "doc_id", shingle: int = 3) -> DataFrame:
+    """docs with one row of each group: that of the least key (a null key comes last, then the text's hash decides); of rows that repeat key and text, one stays."""
+    mark = {"_key": F.coalesce(F.col(key).cast("string"), F.lit("")), "_null": F.col(key).isNull(), "_text": F.xxhash64("text")}
+    marked = materialise(fingerprints(docs.select(key, "text", *[c.alias(n) for n, c in mark.items()]), shingle))
+    leaders = _grouped(marked, key).groupBy("component").agg(F.min(F.struct("_null", key, "_text", "_key")).alias("s")).select("s._key", "s._null", "s._text")
+    return docs.withColumns(mark).join(leaders, [*mark], "left_semi").dropDuplicates([*mark]).select(*docs.columns)
 
 
 def near_duplicate_report(docs: DataFrame) -> DataFrame:

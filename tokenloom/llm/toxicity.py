@@ -9,13 +9,14 @@ can reach the k best. Votes of the neighbours are weighted by their cosine and b
 of its class stands for, and shrunk towards the labelled share among examples that no term touches.
 
 Edge cases: null and empty texts, and texts without any chosen term, get that share as score; labels that are null
-do not count, a row labelled twice counts as toxic if it is so once; ties are settled by the example's number; without
+do not count, a row labelled twice counts as toxic if it is so once; equal cosines are taken in the order of the index; without
 labelled rows or chosen terms every score is the share of toxic labels (one half without labels); repeated rows
 score alike; extra columns are kept unless their names are those of the results.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -56,6 +57,22 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, training: Co
     return parts[0].union(parts[1])
 
 
+def sketch(text: object) -> bytes:
+    """The six least hashes of a text's words: near copies nearly always share it."""
+    return b"".join(h.to_bytes(4, "big") for h in sorted({zlib.crc32(w) for w in alnum_words(text)})[:6])
+
+
+def distinct_examples(texts: DataFrame) -> DataFrame:
+    """doc_id, y and weight of one example for each sketch and label, so that copies neither choose terms nor vote many times. texts: doc_id, text, y, weight."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pdf[["doc_id", "y", "weight"]].assign(sketch=[sketch(t) for t in pdf["text"].tolist()])
+
+    marked = texts.mapInPandas(run, "doc_id long, y int, weight double, sketch binary")
+    return marked.groupBy("sketch", "y").agg(F.min("doc_id").alias("doc_id"), F.max("weight").alias("weight")).select("doc_id", "y", "weight")
+
+
 def choose_terms(examples: DataFrame) -> list[str]:
     """Terms that go with y = 1 in the examples (text, y), by log-likelihood ratio; at most MAX_TERMS."""
 
@@ -65,12 +82,13 @@ def choose_terms(examples: DataFrame) -> list[str]:
             for text, y in zip(pdf["text"].tolist(), pdf["y"].tolist(), strict=True):
                 found[y].update({t for w in set(alnum_words(text)) for t in terms_of(w)})
         keys = list(found[0].keys() | found[1].keys())
-        yield pd.DataFrame({"term": keys, "a": [found[1][k] for k in keys], "b": [found[0][k] for k in keys]})
+        if keys:
+            yield pd.DataFrame({"term": keys, "a": [found[1][k] for k in keys], "b": [found[0][k] for k in keys]})
 
     n1, n0 = (examples.where(f"y = {y}").count() for y in (1, 0))
     if not n1 or not n0:
         return []
-    sums = examples.repartition(8).mapInPandas(count, "term string, a long, b long").groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    sums = examples.select("text", "y").mapInPandas(count, "term string, a long, b long").groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
 
     def part(seen, expected):
         return F.when(seen > 0, seen * F.log(seen / expected)).otherwise(0.0)
@@ -83,138 +101,174 @@ def choose_terms(examples: DataFrame) -> list[str]:
     return [r["term"] for r in chosen.orderBy(F.desc("g2"), "term").limit(MAX_TERMS).collect()]
 
 
+class TermCounter:
+    """Finds the chosen terms of texts; words already met are remembered."""
+
+    def __init__(self, terms: list[str]):
+        self.known = {t: i for i, t in enumerate(terms)}
+        self.seen: dict[bytes, tuple[int, ...]] = {}
+
+    def __call__(self, text: object) -> tuple[list[int], list[int]]:
+        """Numbers of the chosen terms, sorted, and how often each occurs in the whole text."""
+        words = alnum_words(text)
+        if len(self.seen) > 500_000:
+            self.seen.clear()
+        seen = self.seen
+        for w in {w for w in words if w not in seen}:  # not set - keys(), which walks all keys
+            seen[w] = tuple(self.known[t] for t in terms_of(w) if t in self.known)
+        found: Counter = Counter()
+        for at in filter(None, map(self.seen.__getitem__, words)):
+            found.update(at)
+        keys = sorted(found)
+        return keys, [found[k] for k in keys]
+
+
 def vectors(docs: DataFrame, terms: list[str]) -> DataFrame:
     """docs without text, with at and tf: numbers of the chosen terms and how often each occurs in the whole text."""
-    shared = docs.sparkSession.sparkContext.broadcast({t: i for i, t in enumerate(terms)})
+    shared = docs.sparkSession.sparkContext.broadcast(terms)
     kept = docs.drop("text", "at", "tf")
     schema = T.StructType([*kept.schema.fields, T.StructField("at", T.ArrayType(T.IntegerType())), T.StructField("tf", T.ArrayType(T.IntegerType()))])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = shared.value
-        seen: dict[bytes, tuple[int, ...]] = {}
+        count = TermCounter(shared.value)
         for pdf in batches:
-            at, tf = [], []
-            for text in pdf["text"].tolist():
-                words = alnum_words(text)
-                fresh = set(words) - seen.keys()
-                for w in fresh:
-                    seen[w] = tuple(known[t] for t in terms_of(w) if t in known)
-                found: Counter = Counter()
-                for terms_at in filter(None, map(seen.__getitem__, words)):
-                    found.update(terms_at)
-                keys = sorted(found)
-                at.append(keys)
-                tf.append([found[k] for k in keys])
-                if len(seen) > 500_000:
-                    seen.clear()
-            yield pdf.drop(columns="text").assign(at=at, tf=tf)
+            found = [count(t) for t in pdf["text"].tolist()]
+            yield pdf.drop(columns="text").assign(at=[at for at, _ in found], tf=[tf for _, tf in found])
 
     return docs.select(*kept.columns, "text").mapInPandas(run, schema)
 
 
 class BlockMaxIndex:
-    """Examples' unit vectors as postings by term, in blocks of neighbouring rows with each term's largest weight."""
+    """Examples' unit vectors as postings by term, in blocks of neighbouring rows with each term's largest weight. Rows of one main term should stand together, which keeps the bounds tight."""
 
     def __init__(self, rows: list[tuple[list[int], list[int]]], idf: np.ndarray):
         self.idf = idf
         self.blocks = -(-len(rows) // BLOCK)
-        term, row, weight = [], [], []
+        term, row, weight = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)]
         for n, (at, tf) in enumerate(rows):
-            w = self.unit(np.array(at, np.int64), np.array(tf, np.float64))
-            term.append(np.array(at, np.int64))
+            at = np.array(at, np.int64)
+            term.append(at)
             row.append(np.full(len(at), n))
-            weight.append(w)
-        term, row, weight = (np.concatenate(x) if x else np.empty(0) for x in (term, row, weight))
+            weight.append(self.unit(at, np.array(tf, np.float64)))
+        term, row, weight = (np.concatenate(x) for x in (term, row, weight))
         order = np.lexsort((row, term))
-        self.row, self.weight = row[order].astype(np.int64), weight[order]
-        self.first = np.searchsorted(term[order], np.arange(len(idf) + 1))
+        self.row, self.weight = row[order], weight[order]
+        #: start of each (term, block) among the postings
+        self.first = np.searchsorted(term[order] * (self.blocks + 1) + row[order] // BLOCK, np.arange(len(idf))[:, None] * (self.blocks + 1) + np.arange(self.blocks + 1))
         self.largest = np.zeros((len(idf), self.blocks))
-        np.maximum.at(self.largest, (term.astype(np.int64), row.astype(np.int64) // BLOCK), weight)
+        np.maximum.at(self.largest, (term, row // BLOCK), weight)
 
     def unit(self, at: np.ndarray, tf: np.ndarray) -> np.ndarray:
         w = (1 + np.log(tf)) * self.idf[at]
         return w / np.sqrt((w * w).sum())
 
     def nearest(self, at: list[int], tf: list[int], k: int) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of largest positive cosine, ties by number: exact, since a block is left out only if its bound is below the k-th cosine."""
-        at_ = np.array(at, np.int64)
-        q = self.unit(at_, np.array(tf, np.float64))
-        bound = q @ self.largest[at_]
+        """k examples of largest positive cosine, exact: a block stays closed only if its bound does not exceed the k-th cosine found (by more than rounding). Among equal cosines the blocks of larger bound come first."""
+        at = np.array(at, np.int64)
+        q = self.unit(at, np.array(tf, np.float64))
+        bound = q @ self.largest[at]
         order = np.argsort(-bound, kind="stable")
         order = order[bound[order] > 0]
         rows, scores = np.empty(0, np.int64), np.empty(0)
-        for start in range(0, len(order), 8):
-            some = order[start : start + 8]
-            if len(rows) >= k and bound[some[0]] < scores[-1] - 1e-12:
+        for b in order.tolist():
+            if len(rows) >= k and bound[b] <= scores[-1] + 1e-9:
                 break
-            score = np.zeros((len(some), BLOCK))
-            for t, w in zip(at_, q, strict=True):
-                posted = self.row[self.first[t] : self.first[t + 1]]
-                weight = self.weight[self.first[t] : self.first[t + 1]]
-                for n, b in enumerate(some):
-                    lo, hi = np.searchsorted(posted, (b * BLOCK, (b + 1) * BLOCK))
-                    score[n, posted[lo:hi] - b * BLOCK] += w * weight[lo:hi]
-            n, place = np.nonzero(score)
-            rows = np.r_[rows, some[n] * BLOCK + place]
-            scores = np.r_[scores, score[n, place]]
-            best = np.lexsort((rows, -scores))[:k]
-            rows, scores = rows[best], scores[best]
+            score = np.zeros(BLOCK)
+            for t, w in zip(at.tolist(), q.tolist(), strict=True):
+                s, e = self.first[t, b], self.first[t, b + 1]
+                if e > s:
+                    score[self.row[s:e] - b * BLOCK] += w * self.weight[s:e]
+            place = np.flatnonzero(score if len(rows) < k else score > scores[-1])
+            if len(place):
+                rows = np.r_[rows, b * BLOCK + place]
+                scores = np.r_[scores, score[place]]
+                best = np.argsort(-scores, kind="stable")[:k]
+                rows, scores = rows[best], scores[best]
         return rows, scores
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, label: str = "toxic", training: Column | None = None) -> DataFrame:
-    """docs without text, with score, predicted and evidence (example ids and cosines). training: which rows' labels may be learned from, in terms of doc_id."""
-    spark = docs.sparkSession
+class Model:
+    """Index of the examples and the laws of the vote; scores vectors, remembering those already met."""
+
+    def __init__(self, index: BlockMaxIndex, y: np.ndarray, weight: np.ndarray, ids: list[int], untouched: float):
+        self.index, self.y, self.weight, self.ids, self.untouched = index, y, weight, ids, untouched
+
+    def vote(self, at, tf) -> tuple[float, list[dict]]:
+        if not len(at) or not len(self.y):
+            return self.untouched, []
+        rows, cosine = self.index.nearest(at, tf, NEIGHBOURS)
+        vote = cosine * self.weight[rows]
+        score = ((vote * self.y[rows]).sum() + SHRINK * self.untouched) / (vote.sum() + SHRINK)
+        return float(score), [{"doc_id": self.ids[r], "cosine": float(c)} for r, c in zip(rows, cosine, strict=True)]
+
+    def voter(self):
+        known: dict[tuple, tuple[float, list]] = {}
+
+        def vote(at, tf) -> tuple[float, list[dict]]:
+            key = (tuple(at), tuple(tf))
+            if key not in known:
+                if len(known) > 200_000:
+                    known.clear()
+                known[key] = self.vote(at, tf)
+            return known[key]
+
+        return vote
+
+
+def _fit(docs: DataFrame, labels: DataFrame, label: str, training: Column | None) -> tuple[list[str], DataFrame, Model]:
+    """Chosen terms, the written vectors of docs (all columns but text) and the model. training: rows whose labels may be learned from, in terms of doc_id."""
     training = F.lit(True) if training is None else training
     sample = materialise(labelled_sample(docs, labels.select("doc_id", label), label, F.coalesce(training, F.lit(True))))
-    texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # at most MAX_POSITIVE + MAX_NEGATIVE rows
-    terms = choose_terms(texts)
-    base = docs.drop("score", "predicted", "evidence")
-    found = materialise(vectors(base, terms))
+    texts = materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id"))  # at most MAX_POSITIVE + MAX_NEGATIVE rows
+    sample = materialise(distinct_examples(texts))
+    terms = choose_terms(texts.drop("y", "weight").join(F.broadcast(sample), "doc_id"))
+    found = materialise(vectors(docs, terms))
     n_docs = found.count()
     df = dict(found.select(F.explode("at").alias("t")).groupBy("t").agg(F.count("*").alias("n")).collect())  # at most MAX_TERMS rows
     idf = np.log((1 + n_docs) / (1 + np.array([df.get(i, 0) for i in range(len(terms))], np.float64))) + 1
-    examples = found.select("doc_id", "at", "tf").join(F.broadcast(sample), "doc_id").orderBy("doc_id", "at", "tf").collect()  # at most the sample, sparse
-    share = [0.0, 0.0]
-    everyone = [0.0, 0.0]
+    examples = found.select("doc_id", "at", "tf").join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id", "at", "tf"]).orderBy("doc_id", "at", "tf").collect()  # at most the sample, sparse
+    share, everyone = [0.0, 0.0], [0.0, 0.0]
     for r in examples:
         everyone[r["y"]] += r["weight"]
         if not r["at"]:
             share[r["y"]] += r["weight"]
     overall = (everyone[1] + 0.5) / (sum(everyone) + 1)
     untouched = (share[1] + overall) / (sum(share) + 1)
-    kept = [r for r in examples if r["at"]]
-    shared = spark.sparkContext.broadcast((BlockMaxIndex([(r["at"], r["tf"]) for r in kept], idf), np.array([r["y"] for r in kept], np.int64), np.array([r["weight"] for r in kept]), [r["doc_id"] for r in kept]))
+    kept = sorted((r for r in examples if r["at"]), key=lambda r: (max(zip(((1 + np.log(r["tf"])) * idf[r["at"]]).tolist(), r["at"], strict=True)), r["doc_id"]))
+    index = BlockMaxIndex([(r["at"], r["tf"]) for r in kept], idf)
+    return terms, found, Model(index, np.array([r["y"] for r in kept], np.int64), np.array([r["weight"] for r in kept]), [r["doc_id"] for r in kept], float(untouched))
+
+
+def score_documents(docs: DataFrame, labels: DataFrame, label: str = "toxic", training: Column | None = None) -> DataFrame:
+    """docs without text, with score, predicted and evidence (example ids and cosines)."""
+    _, found, model = _fit(docs.drop("score", "predicted", "evidence"), labels, label, training)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
     evidence = T.ArrayType(T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("cosine", T.DoubleType())]))
-    plain = found.drop("at", "tf").schema
-    schema = T.StructType([*plain.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()), T.StructField("evidence", evidence)])
+    schema = T.StructType([*found.drop("at", "tf").schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()), T.StructField("evidence", evidence)])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        index, y, weight, ids = shared.value
-        known: dict[tuple, tuple[float, list]] = {}
+        vote = shared.value.voter()
         for pdf in batches:
-            out = []
-            for at, tf in zip(pdf["at"].tolist(), pdf["tf"].tolist(), strict=True):
-                key = (tuple(at), tuple(tf))
-                if key not in known:
-                    if len(at) and len(y):
-                        rows, cosine = index.nearest(at, tf, NEIGHBOURS)
-                        vote = cosine * weight[rows]
-                        known[key] = (float(((vote * y[rows]).sum() + SHRINK * untouched) / (vote.sum() + SHRINK)), [{"doc_id": ids[r], "cosine": float(c)} for r, c in zip(rows, cosine, strict=True)])
-                    else:
-                        known[key] = (float(untouched), [])
-                    if len(known) > 200_000:
-                        known = {key: known[key]}
-                out.append(known[key])
-            pdf = pdf.drop(columns=["at", "tf"])
-            pdf["score"] = [s for s, _ in out]
-            pdf["predicted"] = np.array([s >= THRESHOLD for s, _ in out], np.int32)
-            pdf["evidence"] = [e for _, e in out]
-            yield pdf
+            out = [vote(at, tf) for at, tf in zip(pdf["at"].tolist(), pdf["tf"].tolist(), strict=True)]
+            yield pdf.drop(columns=["at", "tf"]).assign(score=[s for s, _ in out], predicted=np.array([s >= THRESHOLD for s, _ in out], np.int32), evidence=[e for _, e in out])
 
     return found.mapInPandas(run, schema)
 
 
+def without_toxic(docs: DataFrame, labels: DataFrame, label: str = "toxic", training: Column | None = None) -> DataFrame:
+    """docs, all columns, whose score is below THRESHOLD. Texts are read a second time rather than copied or shuffled."""
+    terms, _, model = _fit(docs.select("doc_id", "text"), labels, label, training)
+    shared = docs.sparkSession.sparkContext.broadcast((terms, model))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        terms, model = shared.value
+        count, vote = TermCounter(terms), model.voter()
+        for pdf in batches:
+            yield pdf[[vote(*count(t))[0] < THRESHOLD for t in pdf["text"].tolist()]]
+
+    return docs.mapInPandas(run, docs.schema)
+
+
 def toxicity_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score and predicted of every document; labels of rows whose crc32(doc_id as text) mod 3 is 1 are not learned from."""
     scored = score_documents(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), labels, training=crc_remainder("doc_id", 3) != 1)
