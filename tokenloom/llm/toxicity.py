@@ -33,6 +33,8 @@ MAX_POSITIVE, MAX_NEGATIVE = 6_000, 12_000
 MAX_TERMS = 4_096
 #: Log-likelihood ratio from which a term is more than chance among a million terms, and least positives that hold it.
 LEAST_G2, LEAST_POSITIVES = 40.0, 5
+#: How much commoner a chosen term is among positives: in a large sample slight differences are beyond chance, too.
+LEAST_LIFT = 3.0
 NEIGHBOURS = 15
 BLOCK = 128
 SHRINK = 0.5
@@ -97,7 +99,7 @@ def choose_terms(examples: DataFrame) -> list[str]:
     share = n1 / (n1 + n0)
     rest1, rest0 = n1 - a, n0 - b
     g2 = 2 * (part(a, (a + b) * share) + part(b, (a + b) * (1 - share)) + part(rest1, (rest1 + rest0) * share) + part(rest0, (rest1 + rest0) * (1 - share)))
-    chosen = sums.where((F.col("a") >= LEAST_POSITIVES) & (a / n1 > b / n0)).withColumn("g2", g2).where(F.col("g2") >= LEAST_G2)
+    chosen = sums.where((F.col("a") >= LEAST_POSITIVES) & (a / n1 >= LEAST_LIFT * b / n0)).withColumn("g2", g2).where(F.col("g2") >= LEAST_G2)
     return [r["term"] for r in chosen.orderBy(F.desc("g2"), "term").limit(MAX_TERMS).collect()]
 
 
