@@ -23,10 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tokenloom.llm.common import bound_batches
+
 #: Distinct chunks a task remembers before it starts afresh.
-CACHE_CHUNKS = 400_000
+CACHE_CHUNKS = 200_000
 #: Chunks of neighbouring texts that are looked up, and if new merged, together.
-GROUP_CHUNKS = 200_000
+GROUP_CHUNKS = 100_000
 NO_RANK = np.iinfo(np.int64).max
 # str.split() also cuts at these separators, which the vocabulary's white-space class does not hold.
 ODD_SPACE = regex.compile(r"[\x1c-\x1f]")
@@ -168,6 +170,7 @@ def codec(description: str) -> Codec:
 
 def encode_documents(docs: DataFrame, vocabulary: str, decode: bool = True) -> DataFrame:
     """docs with token_ids array<int> and, with decode, decoded string. vocabulary: path of the tokenizer's JSON file, read once on the driver; its size does not depend on the data."""
+    bound_batches(docs)
     shared = docs.sparkSession.sparkContext.broadcast(open(vocabulary, encoding="utf-8").read())
     base = docs.drop("token_ids", "decoded")
     schema = T.StructType([*base.schema.fields, T.StructField("token_ids", T.ArrayType(T.IntegerType())), *([T.StructField("decoded", T.StringType())] if decode else [])])
@@ -186,6 +189,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, decode: bool = True) -> D
 
 def token_digests(docs: DataFrame, vocabulary: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each document: encodes, then decodes from the ids."""
+    bound_batches(docs)
     shared = docs.sparkSession.sparkContext.broadcast(open(vocabulary, encoding="utf-8").read())
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

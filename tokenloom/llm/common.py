@@ -25,6 +25,18 @@ def shared_folder(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+#: Texts that Arrow hands to Python at once: what a worker holds does not grow with the input.
+BATCH_ROWS = 1_000
+
+
+def bound_batches(df: DataFrame) -> None:
+    """Lowers the session's rows per Arrow batch to BATCH_ROWS, so that long texts don't add up in a worker."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(df.sparkSession.conf.get(key))
+    if now <= 0 or now > BATCH_ROWS:
+        df.sparkSession.conf.set(key, str(BATCH_ROWS))
+
+
 def materialise(df: DataFrame, *partition_by: str) -> DataFrame:
     """Cuts the lineage: writes df as a table in the shared folder and reads it back."""
     spark = df.sparkSession

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tokenloom.llm.common import alnum_words, utf8
+from tokenloom.llm.common import alnum_words, bound_batches, utf8
 
 WINDOW = 10
 #: Words of items in one automaton: about 300 bytes of memory each.
@@ -175,6 +175,7 @@ def find_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> D
 
     One pass over the documents for each slice of the benchmark; with the usual single slice, one pass.
     """
+    bound_batches(docs)
     base = docs.drop("n_words", "hits", "item_ids")
     span = T.ArrayType(T.StructType([T.StructField("first", T.IntegerType()), T.StructField("past", T.IntegerType())]))
     schema = T.StructType([*base.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("hits", span), T.StructField("item_ids", T.ArrayType(T.StringType()))])

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tokenloom.llm.common import materialise, utf8
+from tokenloom.llm.common import bound_batches, materialise, utf8
 
 MAX_LABELLED = 20_000
 MAX_BROADCAST_SITES = 200_000
@@ -130,6 +130,7 @@ def site_posteriors(rows: DataFrame, host: str, path: str) -> tuple[DataFrame, f
 
 def score_documents(docs: DataFrame, labels: DataFrame, label: str = "quality", host: str = "source", path: str = "lang") -> DataFrame:
     """docs with evidence, host_posterior, path_posterior, score and kept."""
+    bound_batches(docs)
     base = docs.drop(*RESULTS)
     weights, bias = fit_evidence(base, labels.select("doc_id", label), label)
     prior = labels.where(F.col(label).isin(0, 1)).agg(F.avg(label)).first()[0]

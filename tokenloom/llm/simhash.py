@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tokenloom.llm.common import materialise, spaced_words
+from tokenloom.llm.common import bound_batches, materialise, spaced_words
 from tokenloom.llm.components import components, forest
 
 SEED = 42
@@ -51,6 +51,7 @@ def fingerprint(words: list[bytes], shingle: int) -> int:
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """docs without text, with fp: the fingerprint as a signed long."""
+    bound_batches(docs)
     base = docs.drop("fp")
     kept = base.drop("text")
 

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tokenloom.llm.common import alnum_words, crc_remainder, materialise
+from tokenloom.llm.common import alnum_words, bound_batches, crc_remainder, materialise
 
 #: Bounds of the labelled sample, chosen terms, neighbours, rows in a block, and the cut of a prediction.
 MAX_POSITIVE, MAX_NEGATIVE = 6_000, 12_000
@@ -113,7 +113,7 @@ class TermCounter:
     def __call__(self, text: object) -> tuple[list[int], list[int]]:
         """Numbers of the chosen terms, sorted, and how often each occurs in the whole text."""
         words = alnum_words(text)
-        if len(self.seen) > 500_000:
+        if len(self.seen) > 200_000:
             self.seen.clear()
         seen = self.seen
         for w in {w for w in words if w not in seen}:  # not set - keys(), which walks all keys
@@ -209,7 +209,7 @@ class Model:
         def vote(at, tf) -> tuple[float, list[dict]]:
             key = (tuple(at), tuple(tf))
             if key not in known:
-                if len(known) > 200_000:
+                if len(known) > 50_000:
                     known.clear()
                 known[key] = self.vote(at, tf)
             return known[key]
@@ -219,6 +219,7 @@ class Model:
 
 def _fit(docs: DataFrame, labels: DataFrame, label: str, training: Column | None) -> tuple[list[str], DataFrame, Model]:
     """Chosen terms, the written vectors of docs (all columns but text) and the model. training: rows whose labels may be learned from, in terms of doc_id."""
+    bound_batches(docs)
     training = F.lit(True) if training is None else training
     sample = materialise(labelled_sample(docs, labels.select("doc_id", label), label, F.coalesce(training, F.lit(True))))
     texts = materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id"))  # at most MAX_POSITIVE + MAX_NEGATIVE rows
