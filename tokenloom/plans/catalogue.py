@@ -1,10 +1,338 @@
-"""Registry of the engine's queries and their SQL."""
+"""Registry of the engine's queries; their SQL is in plans.oracles. Every query runs over its whole tables."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tokenloom.operators import clusters, corpus, fingerprints, taxonomy
+from tokenloom.plans.oracles import ORACLES
+from tokenloom.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+SEEDS = [0, 1, 2, 3, 4]
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    """Doubles to six decimals, so that engines that add in another order agree; minus zero is zero."""
+    return df.select(*[(F.round(f.name, 6) + F.lit(0.0)).alias(f.name) if isinstance(f.dataType, T.DoubleType) else F.col(f.name) for f in df.schema.fields])
+
+
+def query(*names: str):
+    """Registers a function of tables under its own name; tables come in the order named."""
+
+    def register(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+        QUERIES[f.__name__] = lambda spark, folder: _rounded(f(*[table(spark, folder, n) for n in names]))
+        return f
+
+    return register
+
+
+# Corpus
+
+
+@query("documents")
+def doc_prediction_lengths(docs):
+    return corpus.lengths(docs)
+
+
+@query("documents")
+def tokenize_positions(docs):
+    return corpus.positions(docs)
+
+
+@query("documents")
+def flat_index_starts(docs):
+    return corpus.flat_starts(docs).select("doc_id", "start")
+
+
+@query("documents")
+def flat_index_lookup(docs):
+    return corpus.every_nth(docs, 97)
+
+
+@query("documents")
+def induction_tokens(docs):
+    return corpus.induction(corpus.positions(docs))
+
+
+@query("documents")
+def token_nll_per_doc(docs):
+    return corpus.losses(corpus.positions(docs)).groupBy("doc_id").agg(F.count("*").alias("n"), F.avg("loss").alias("mean_loss"), F.count_if(F.col("loss") < 0.1).alias("zero_loss"))
+
+
+@query("documents")
+def non_induction_zero_loss(docs):
+    return corpus.eligible(corpus.positions(docs), 1.0)
+
+
+@query("documents")
+def systematic_sample(docs):
+    return corpus.systematic(corpus.eligible(corpus.positions(docs), 1.0), 50)
+
+
+# Similarity and clusters
+
+
+@query("embeddings")
+def similarity_search(vectors):
+    return clusters.similarities(vectors, vectors.where("vec_id % 100 = 0"))
+
+
+@query("embeddings")
+def nearest_representative(vectors):
+    return clusters.nearest_seed(vectors, [100]).drop("k")
+
+
+@query("embeddings")
+def assignment_quality(vectors):
+    near = clusters.nearest_seed(vectors, [100])
+    s = F.col("similarity")
+    return near.agg(F.avg(s).alias("mean"), F.stddev_pop(s).alias("std"), F.min(s).alias("least"), F.max(s).alias("most"), F.avg((s < 0.1).cast("double")).alias("weak"), F.avg((s > 0.3).cast("double")).alias("strong"), F.percentile(s, 0.5).alias("median"))
+
+
+@query("embeddings")
+def cluster_medoids(vectors):
+    return clusters.medoids(vectors)
+
+
+@query("embeddings")
+def cluster_sizes(vectors):
+    return clusters.sizes(clusters.nearest_seed(vectors), "k")
+
+
+@query("embeddings")
+def rank_frequency_per_k(vectors):
+    return clusters.ranked(clusters.sizes(clusters.nearest_seed(vectors), "k"), "k")
+
+
+@query("embeddings")
+def envelope_curve(vectors):
+    return clusters.envelope(clusters.nearest_seed(vectors))
+
+
+@query("embeddings")
+def envelope_slope_seed_sweep(vectors):
+    return clusters.slope(clusters.envelope(clusters.nearest_seed(vectors)), 5, 100).select("slope", "n")
+
+
+@query("embeddings")
+def slope_intercept_anchor(vectors):
+    return clusters.slope(clusters.envelope(clusters.nearest_seed(vectors)), 1, 100)
+
+
+@query("embeddings")
+def slope_fallback_window(vectors):
+    points = clusters.ranked(clusters.sizes(clusters.nearest_seed(vectors), "k"), "k")
+    near, whole = clusters.slope(points, 10, 400, "k").select("k", F.col("slope").alias("near")), clusters.slope(points, 1, 10**9, "k").select("k", F.col("slope").alias("whole"))
+    return whole.join(near, "k", "left").select("k", F.coalesce("near", "whole").alias("slope"))
+
+
+def _sweep(vectors: DataFrame) -> DataFrame:
+    """Clusterings of three configurations: seeds from three offsets."""
+    parts = [clusters.nearest_seed(vectors, offset=o).withColumn("cfg", F.lit(o)) for o in (0, 100, 200)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query("embeddings")
+def best_config_by_delta(vectors):
+    points = clusters.ranked(clusters.sizes(_sweep(vectors), "cfg", "k"), "cfg", "k").groupBy("cfg", "rank").agg(F.max("size").alias("size"))
+    found = clusters.slope(points, 5, 100, "cfg").withColumn("delta", F.abs(F.col("slope") - clusters.TARGET))
+    best = found.agg(F.min(F.struct(F.coalesce(F.round("delta", 9), F.lit(float("inf"))).alias("delta"), "cfg", "slope")).alias("b"))
+    return best.select("b.cfg", "b.slope", "b.delta")
+
+
+@query("embeddings")
+def most_active_config(vectors):
+    active = _sweep(vectors).where("k = 100").groupBy("cfg").agg(F.count_distinct("label").alias("active"))
+    return active.agg(F.min(F.struct((-F.col("active")).alias("m"), "cfg")).alias("b")).select("b.cfg", (-F.col("b.m")).alias("active"))
+
+
+@query("embeddings")
+def slope_heatmap_pivot(vectors):
+    points = clusters.ranked(clusters.sizes(_sweep(vectors), "cfg", "k"), "cfg", "k")
+    wide = clusters.slope(points, 1, 100, "cfg", "k").groupBy("cfg").pivot("k", [20, 50, 100]).agg(F.first("slope"))
+    return wide.select("cfg", *[F.col(str(k)).alias(f"k{k}") for k in (20, 50, 100)])
+
+
+@query("orders")
+def power_law_fit(orders):
+    return clusters.power_law(orders.groupBy("o_custkey").agg(F.count("*").alias("size")))
+
+
+def _two(vectors: DataFrame) -> DataFrame:
+    a, b = (clusters.nearest_seed(vectors, [20], o) for o in (0, 100))
+    return clusters.contingency(a, b)
+
+
+@query("embeddings")
+def contingency(vectors):
+    return _two(vectors)
+
+
+@query("embeddings")
+def ari_nmi(vectors):
+    return clusters.agreement(_two(vectors))
+
+
+@query("embeddings")
+def cluster_match_jaccard(vectors):
+    return clusters.matched(_two(vectors))
+
+
+@query("embeddings")
+def cluster_fragmentation(vectors):
+    return clusters.fragmentation(_two(vectors))
+
+
+@query("embeddings")
+def bootstrap_sample(vectors):
+    return clusters.sampled(vectors, 0.8, list(range(10)))
+
+
+@query("embeddings")
+def bootstrap_agreement(vectors):
+    near = clusters.nearest_seed(vectors, [20]).select("vec_id", F.col("label").alias("la"))
+    cells = clusters.sampled(vectors, 0.8, list(range(10))).join(near, "vec_id").join(vectors.select("vec_id", F.col("label").alias("lb")), "vec_id")
+    each = clusters.agreement(cells.groupBy("iter", "la", "lb").agg(F.count("*").alias("n")), "iter")
+    return each.agg(*[f(F.col(c)).alias(f"{c}_{n}") for c in ("ari", "nmi") for n, f in (("mean", F.avg), ("std", F.stddev_pop), ("least", F.min), ("most", F.max))])
+
+
+@query("embeddings")
+def resume_remaining(vectors):
+    wanted = vectors.sparkSession.range(10).select(F.col("id").cast("int").alias("iter"))
+    done = clusters.sampled(vectors, 0.01, list(range(10))).select("iter").distinct().where("iter % 2 = 0")
+    return wanted.join(done, "iter", "left_anti")
+
+
+# Taxonomy
+
+
+def _tokens(docs: DataFrame) -> DataFrame:
+    return taxonomy.counted(docs, "source")
+
+
+@query("documents")
+def token_categories(docs):
+    return taxonomy.category_sizes(_tokens(docs))
+
+
+@query("documents")
+def dominant_category(docs):
+    return taxonomy.dominant(_tokens(docs))
+
+
+@query("documents")
+def top_tokens_per_cluster(docs):
+    return taxonomy.top_tokens(_tokens(docs))
+
+
+@query("documents")
+def category_shares(docs):
+    return taxonomy.shares(taxonomy.category_sizes(_tokens(docs)))
+
+
+@query("documents")
+def content_bearing_pct(docs):
+    return taxonomy.content_bearing(taxonomy.dominant(_tokens(docs)))
+
+
+@query("documents")
+def paper_quanta_counts(docs):
+    tokens = _tokens(docs)
+    return taxonomy.special_clusters(taxonomy.dominant(tokens), taxonomy.top_tokens(tokens))
+
+
+def _by_lang(docs: DataFrame) -> DataFrame:
+    tokens = taxonomy.counted(docs, "lang")
+    return taxonomy.aligned(*[taxonomy.category_sizes(tokens.where(F.col("cluster") == x)) for x in ("en", "fr")])
+
+
+@query("documents")
+def category_full_outer_align(docs):
+    return _by_lang(docs)
+
+
+@query("documents")
+def cross_split_pearson(docs):
+    return _by_lang(docs).agg(F.corr(F.col("left_n").cast("double"), F.col("right_n").cast("double")).alias("pearson"))
+
+
+@query("documents", "embeddings")
+def category_lookup_unknown(docs, vectors):
+    names = taxonomy.dominant(_tokens(docs)).select(F.regexp_extract("cluster", r"\d+", 0).cast("int").alias("cluster"), "category")
+    return taxonomy.looked_up(clusters.sizes(clusters.nearest_seed(vectors, [50])).select(F.col("label").alias("cluster"), "size"), names)
+
+
+# Fingerprints and evaluation
+
+
+@query("conversations")
+def doc_fingerprint(rows):
+    return fingerprints.fingerprints(fingerprints.usage(rows))
+
+
+@query("conversations")
+def average_fingerprint(rows):
+    return fingerprints.averages(fingerprints.fingerprints(fingerprints.usage(rows)))
+
+
+@query("conversations")
+def class_counts(rows):
+    return fingerprints.usage(rows).groupBy("class", "cluster").agg(F.sum("n").alias("n"))
+
+
+@query("conversations")
+def active_counts(rows):
+    return fingerprints.usage(rows).groupBy("class").agg(F.count_distinct("cluster").alias("active"), F.count_distinct("doc").alias("docs"), F.sum("n").alias("tokens"))
+
+
+@query("conversations")
+def divergences(rows):
+    return fingerprints.divergences(fingerprints.side_by_side(fingerprints.averages(fingerprints.fingerprints(fingerprints.usage(rows)))))
+
+
+@query("conversations")
+def top_differing(rows):
+    wide = fingerprints.side_by_side(fingerprints.averages(fingerprints.fingerprints(fingerprints.usage(rows))))
+    return wide.withColumn("diff", F.round(F.col("h") - F.col("a"), 9)).orderBy(F.desc(F.abs("diff")), "cluster").limit(15)
+
+
+@query("conversations")
+def chi_squared_homogeneity(rows):
+    return fingerprints.chi_squared(fingerprints.usage(rows).groupBy("class", "cluster").agg(F.sum("n").alias("n")))
+
+
+@query("conversations")
+def surface_features(rows):
+    return fingerprints.surface(fingerprints.fingerprints(fingerprints.usage(rows)))
+
+
+@query("labels")
+def stratified_folds(labels):
+    return fingerprints.folds(labels, "doc_id", "quality", 5, SEEDS)
+
+
+@query("labels", "documents")
+def confusion_per_fold(labels, docs):
+    """A threshold on length against quality, by seed and fold."""
+    dealt = fingerprints.folds(labels, "doc_id", "quality", 5, SEEDS).join(docs.select("doc_id", (F.char_length("text") > 1500).cast("int").alias("predicted")), "doc_id")
+    return fingerprints.confusion(dealt, "quality", "predicted", "seed", "fold")
+
+
+@query("labels", "documents")
+def robustness_flags(labels, docs):
+    """Three predictors of quality compared by the order of the rules."""
+    own = labels.join(docs.select("doc_id", "text", "lang"), "doc_id")
+    marks = {"full": ~F.col("text").rlike(r"\$\$\$|%%%| \| "), "surface": F.char_length("text") > 200, "single": ~F.contains("text", F.lit("%%%"))}
+    rows = own.select("lang", "quality", F.explode(F.create_map(*[x for k, v in marks.items() for x in (F.lit(k), v.cast("int"))])).alias("what", "predicted"))
+    wide = fingerprints.confusion(rows, "quality", "predicted", "lang", "what").groupBy("lang").pivot("what", ["full", "single", "surface"]).agg(F.first(F.round("mcc", 9)))
+    return wide.withColumn("flag", fingerprints.robustness_flag(F.col("full"), F.col("surface"), F.col("single")))
+
+
+@query("documents")
+def tfidf_weights(docs):
+    return fingerprints.tfidf(docs, 2000)
