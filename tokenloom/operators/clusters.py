@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,14 +22,19 @@ def _seeds(vectors: DataFrame, most: int, offset: int = 0) -> list[tuple[int, li
 
 
 def nearest_seed(vectors: DataFrame, ks: list[int] = KS, offset: int = 0) -> DataFrame:
-    """vec_id, k, label, similarity: the nearest of the first k seeds for each k; the earlier seed wins ties. One pass over the vectors."""
-    seeds = _seeds(vectors, max(ks), offset)
-    own = unit(doubles(F.col("embedding")))
-    table = F.from_json(F.lit(str([s for _, s in seeds])), "array<array<double>>")
-    near = vectors.select("vec_id", own.alias("u")).withColumn("c", F.transform(table, lambda s: F.round(dot(F.col("u"), s), 9)))
-    by_k = near.select("vec_id", "c", F.explode(F.array(*map(F.lit, ks))).alias("k")).withColumn("c", F.expr("slice(c, 1, k)"))
-    best = F.array_max("c")
-    return by_k.select("vec_id", "k", (F.array_position("c", best) - 1).cast("int").alias("label"), best.alias("similarity"))
+    """vec_id, k, label, similarity: the nearest of the first k seeds for each k; the earlier seed wins ties. One pass over the vectors, a matrix product for each Arrow batch; only the bounded set of seeds travels."""
+    seeds = np.array([s for _, s in _seeds(vectors, max(ks), offset)])
+    shared = vectors.sparkSession.sparkContext.broadcast(seeds)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            x = np.stack(pdf["u"].to_list()) if len(pdf) else np.empty((0, 1))
+            for k in ks if len(pdf) and len(shared.value) else ():
+                c = np.round(x @ shared.value[:k].T, 9)
+                best = c.argmax(axis=1)
+                yield pd.DataFrame({"vec_id": pdf["vec_id"], "k": np.int32(k), "label": best.astype(np.int32), "similarity": c[np.arange(len(c)), best]})
+
+    return vectors.select("vec_id", unit(doubles(F.col("embedding"))).alias("u")).mapInPandas(run, "vec_id long, k int, label int, similarity double")
 
 
 def similarities(vectors: DataFrame, queries: DataFrame) -> DataFrame:
