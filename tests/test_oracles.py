@@ -33,7 +33,7 @@ def bag(rows, names):
     return Counter(tuple(plain(r[i]) for i in order) for r in rows)
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_sql(spark, duck, name):
     got = QUERIES[name](spark, FOLDER)
     want = duck.execute(ORACLES[name])

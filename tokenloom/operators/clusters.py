@@ -139,3 +139,23 @@ def sampled(rows: DataFrame, share: float, seeds: list[int], key: str = "vec_id"
     """iter and key of a sample for each seed: the rows whose md5 of seed and key falls under the share."""
     h = F.conv(F.substring(F.md5(F.concat(F.col("iter").cast("string"), F.lit(":"), F.col(key).cast("string")).cast("binary")), 1, 8), 16, 10).cast("long")
     return rows.select(key, F.explode(F.array(*map(F.lit, seeds))).alias("iter")).where(h < int(share * 2**32)).select("iter", key)
+
+
+def silhouette(vectors: DataFrame, queries: DataFrame) -> DataFrame:
+    """vec_id, silhouette over angular distances of a bounded set of queries (vec_id, label, embedding) against all vectors; zero for a cluster of one."""
+    q = queries.select(F.col("vec_id").alias("query_id"), F.col("label").alias("own"), unit(doubles(F.col("embedding"))).alias("q"))
+    pairs = vectors.select("vec_id", "label", unit(doubles(F.col("embedding"))).alias("u")).join(q, F.col("vec_id") != F.col("query_id"))
+    by = pairs.groupBy("query_id", "own", "label").agg(F.avg(1 - angular(dot(F.col("u"), F.col("q")))).alias("d"))
+    both = by.groupBy("query_id").agg(F.max(F.when(F.col("label") == F.col("own"), F.col("d"))).alias("a"), F.min(F.when(F.col("label") != F.col("own"), F.col("d"))).alias("b"))
+    return both.select(F.col("query_id").alias("vec_id"), F.coalesce((F.col("b") - F.col("a")) / F.greatest("a", "b"), F.lit(0.0)).alias("silhouette"))
+
+
+def power_law_scan(sized: DataFrame) -> DataFrame:
+    """xmin, n_tail, alpha, ks for each distinct size as the least of the tail. Only distinct sizes meet, with their counts."""
+    distinct = sized.where("size > 0").groupBy("size").agg(F.count("*").alias("c"))
+    pairs = distinct.select(F.col("size").alias("xmin")).join(distinct, F.col("size") >= F.col("xmin"))
+    low = F.col("xmin") - 0.5
+    fits = pairs.groupBy("xmin").agg(F.sum("c").alias("n_tail"), F.sum(F.col("c") * F.log(F.col("size") / low)).alias("s")).where("n_tail >= 3").withColumn("alpha", 1 + F.col("n_tail") / F.col("s"))
+    seen = F.sum("c").over(Window.partitionBy("xmin").orderBy("size")) / F.col("n_tail")
+    gap = F.abs(seen - (1 - F.pow((F.col("size") + 0.5) / low, 1 - F.col("alpha"))))
+    return pairs.join(fits, "xmin").withColumn("gap", gap).groupBy("xmin", "n_tail", "alpha").agg(F.max("gap").alias("ks"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tokenloom.operators import clusters, corpus, fingerprints, taxonomy
+from tokenloom.operators import clusters, corpus, fingerprints, models, taxonomy
 from tokenloom.plans.oracles import ORACLES
 from tokenloom.sources.tables import table
 
@@ -336,3 +336,58 @@ def robustness_flags(labels, docs):
 @query("documents")
 def tfidf_weights(docs):
     return fingerprints.tfidf(docs, 2000)
+
+
+@query("embeddings")
+def silhouette_search(vectors):
+    return clusters.silhouette(vectors, vectors.where("vec_id % 100 = 0"))
+
+
+@query("orders")
+def power_law_xmin_scan(orders):
+    return clusters.power_law_scan(orders.groupBy("o_custkey").agg(F.count("*").alias("size")))
+
+
+# Fitted models: no SQL; tests hold them against plain versions and planted data
+
+
+def _prints(rows: DataFrame) -> DataFrame:
+    return models.wide(fingerprints.fingerprints(fingerprints.usage(rows)))
+
+
+@query("conversations")
+def logistic_cv(rows):
+    return models.cross_validated(_prints(rows))
+
+
+@query("conversations")
+def permutation_baseline(rows):
+    return models.cross_validated(models.permuted(_prints(rows)))
+
+
+@query("conversations")
+def l1_selection(rows):
+    return models.l1_selected(_prints(rows).cache(), [0.1, 0.178, 0.316, 1.0])
+
+
+@query("embeddings")
+def pca_variance(vectors):
+    _, shares = models.projected(vectors, 20)
+    total = 0.0
+    rows = [(n + 1, float(v), total := total + float(v)) for n, v in enumerate(shares)]
+    return vectors.sparkSession.createDataFrame(rows, "axis int, share double, cumulative double")
+
+
+@query("embeddings")
+def gmm_diagnostics(vectors):
+    return models.mixture_summary(models.mixture(vectors))
+
+
+@query("embeddings")
+def ssc_omp_graph(vectors):
+    return models.graph_stats(models.affinity(models.self_expression(vectors, "omp", 5)), vectors.count())
+
+
+@query("embeddings")
+def ssc_lasso_graph(vectors):
+    return models.graph_stats(models.affinity(models.self_expression(vectors, "lasso", 0.01)), vectors.count())

@@ -136,4 +136,7 @@ ORACLES: dict[str, str] = {
     + ", w as (select lang, any_value(round(mcc, 9)) filter (what = 'full') as f, any_value(round(mcc, 9)) filter (what = 'single') as s, any_value(round(mcc, 9)) filter (what = 'surface') as u from confusion group by lang) select lang, round(f, 6) as \"full\", round(s, 6) as single, round(u, 6) as surface, case when f - u <= 0.05 then 'surface-dominated' when s >= 0.95 * f then 'one-cluster-led' else 'distributed' end as flag from w",
     "tfidf_weights": r"with k as (select doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+')) as tok from documents), tf as (select doc_id, tok, count(*) as n from k group by all), voc as (select tok, sum(n) as al, count(*) as df from tf group by tok order by al desc, tok limit 2000),"
     " w as (select doc_id, tok, (1 + ln(n)) * (ln((1 + (select count(*) from documents)) / (1 + df)) + 1) as w from tf join voc using (tok)) select doc_id, tok, round(w / sqrt(sum(w * w) over (partition by doc_id)), 6) as weight from w",
+    "silhouette_search": E + ", d as (select q.vec_id, q.label as own, v.label, avg(acos(greatest(-1, least(1, list_dot_product(v.u, q.u)))) / pi()) as d from e q, e v where q.vec_id % 100 = 0 and q.vec_id <> v.vec_id group by all), m as (select vec_id, max(d) filter (label = own) as a, min(d) filter (label <> own) as b from d group by all) select vec_id, round(coalesce((b - a) / greatest(a, b), 0), 6) as silhouette from m",
+    "power_law_xmin_scan": "with s as (select count(*) as size from orders group by o_custkey), d as (select size, count(*) as c from s group by all), p as (select x.size as xmin, d.size, d.c from d x join d on d.size >= x.size), f as (select xmin, sum(c)::bigint as n_tail, 1 + sum(c) / sum(c * ln(size / (xmin - 0.5::double))) as alpha from p group by xmin having sum(c) >= 3),"
+    " g as (select xmin, n_tail, alpha, abs(sum(c) over (partition by xmin order by size) / n_tail - (1 - pow((size + 0.5::double) / (xmin - 0.5::double), 1 - alpha))) as gap from p join f using (xmin)) select xmin, n_tail, round(alpha, 6) as alpha, round(max(gap), 6) as ks from g group by xmin, n_tail, alpha",
 }
