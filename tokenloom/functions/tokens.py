@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -26,6 +28,21 @@ def words(text: Column, most: int | None = None) -> Column:
     return F.slice(found, 1, most) if most else found
 
 
+def _bare_letters() -> tuple[str, str]:
+    """Letters up to U+1EFF whose compatibility form is one base letter with marks, and those base letters."""
+    pairs = []
+    for c in map(chr, range(0xA0, 0x1F00)):
+        base = [b for b in unicodedata.normalize("NFKD", c) if not unicodedata.combining(b)]
+        if len(base) == 1 and base[0] != c:
+            pairs.append((c, base[0]))
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
+
+def without_accents(text: Column) -> Column:
+    """text with accents stripped from letters, composed or followed by combining marks."""
+    return F.regexp_replace(F.translate(text, *_bare_letters()), r"[\u0300-\u036F]", "")
+
+
 def pieces(text: Column) -> Column:
     """Words, single marks and line ends in their own case."""
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(PIECES), F.lit(0))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -120,6 +121,85 @@ def agreement(table: DataFrame, *by: str) -> DataFrame:
     return whole.select(*by, ari.alias("ari"), nmi.alias("nmi"))
 
 
+def log_factorial(n: Column) -> Column:
+    """ln n! of whole numbers: a table below 16, Stirling's series beyond."""
+    x = n.cast("double")
+    series = x * F.log(x) - x + F.log(2 * math.pi * x) / 2 + 1 / (12 * x) - 1 / (360 * x**3) + 1 / (1260 * x**5)
+    return F.when(n < 16, F.element_at(F.array(*[F.lit(math.lgamma(i + 1)) for i in range(16)]), F.least(n, F.lit(15)).cast("int") + 1)).otherwise(series)
+
+
+def adjusted_information(table: DataFrame) -> DataFrame:
+    """ami: adjusted mutual information (arithmetic mean) of la, lb, n; one where both sides are a single cluster.
+
+    The expected information is summed over pairs of distinct cluster sizes and the overlaps that lie within six root
+    sizes of the mean, beyond which Hoeffding's bound leaves less than 1e-30 of the probability.
+    """
+    total = table.agg(F.sum("n").alias("t"))
+    sides = [table.groupBy(s).agg(F.sum("n").alias("m")) for s in ("la", "lb")]
+    sized = [m.groupBy(F.col("m").alias(a)).agg(F.count("*").alias(f"n{a}")) for m, a in zip(sides, "ab", strict=True)]
+    pairs = sized[0].crossJoin(sized[1]).crossJoin(F.broadcast(total))  # distinct sizes of clusters, and one row
+    a, b, t, n = (F.col(c) for c in ("a", "b", "t", "o"))
+    mean, room = a * b / t, 6 * F.sqrt(F.least(a, b).cast("double")) + 1
+    low = F.greatest(F.lit(1).cast("long"), a + b - t, F.floor(mean - room))
+    high = F.least(a, b, F.ceil(mean + room))
+    f = log_factorial
+    chance = F.exp(f(a) + f(b) + f(t - a) + f(t - b) - f(t) - f(n) - f(a - n) - f(b - n) - f(t - a - b + n))
+    overlaps = pairs.where(low <= high).withColumn("o", F.explode(F.sequence(low, high)))
+    expected = overlaps.agg(F.coalesce(F.sum(F.col("na") * F.col("nb") * n / t * F.log(t * n / (a * b)) * chance), F.lit(0.0)).alias("emi"))
+
+    def spread(rows: DataFrame, c: str, name: str) -> DataFrame:
+        return rows.agg(F.sum(F.col(c) * F.log(c)).alias(name))
+
+    whole = total.crossJoin(expected).crossJoin(spread(table, "n", "e")).crossJoin(spread(sides[0], "m", "ea")).crossJoin(spread(sides[1], "m", "eb"))  # one row each
+    h_a, h_b = F.log("t") - F.col("ea") / t, F.log("t") - F.col("eb") / t
+    mutual = F.log("t") + (F.col("e") - F.col("ea") - F.col("eb")) / t
+    return whole.select(F.when(h_a + h_b <= 1e-12, 1.0).otherwise((mutual - F.col("emi")) / ((h_a + h_b) / 2 - F.col("emi"))).alias("ami"))
+
+
+def assignment(gain: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs (row, column) of the one-to-one matching of largest total gain, by shortest augmenting paths."""
+    flip = gain.shape[0] > gain.shape[1]
+    cost = -(gain.T if flip else gain)
+    rows, columns = cost.shape
+    u, v, owner = np.zeros(rows), np.zeros(columns), np.full(columns, -1)
+    for start in range(rows):
+        least, back, done = np.full(columns, np.inf), np.full(columns, -1), np.zeros(columns, bool)
+        row, last, far = start, -1, 0.0
+        while True:
+            slack = np.where(done, np.inf, far + cost[row] - u[row] - v)
+            better = slack < least
+            least[better], back[better] = slack[better], last
+            last = int(np.where(done, np.inf, least).argmin())
+            far = least[last]
+            done[last] = True
+            if owner[last] < 0:
+                break
+            row = owner[last]
+        u[start] += far
+        inner = done.copy()
+        inner[last] = False
+        u[owner[inner]] += far - least[inner]
+        v[done] -= far - least[done]
+        while last >= 0:
+            before = back[last]
+            owner[last] = owner[before] if before >= 0 else start
+            last = before
+    pairs = [(int(owner[c]), c) for c in range(columns) if owner[c] >= 0]
+    return sorted((b, a) for a, b in pairs) if flip else sorted(pairs)
+
+
+def assigned(table: DataFrame) -> DataFrame:
+    """la, lb, n, jaccard of the one-to-one matching of largest total overlap; a pair without overlap is left out. The contingency of two clusterings is bounded by their numbers of clusters."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        wide = pdf.pivot(index="la", columns="lb", values="n").fillna(0).sort_index().sort_index(axis=1)
+        x = wide.to_numpy(np.float64)
+        found = [(wide.index[i], wide.columns[j], x[i, j], x[i, j] / (x[i].sum() + x[:, j].sum() - x[i, j])) for i, j in assignment(x) if x[i, j] > 0]
+        return pd.DataFrame(found, columns=["la", "lb", "n", "jaccard"])
+
+    return table.select("la", "lb", "n").groupBy().applyInPandas(run, "la int, lb int, n long, jaccard double")
+
+
 def matched(table: DataFrame) -> DataFrame:
     """la, lb, n, jaccard of clusters that are each other's best match by Jaccard; ties follow the labels."""
     a, b = Window.partitionBy("la"), Window.partitionBy("lb")

@@ -10,6 +10,8 @@ from tokenloom.functions.tokens import bucket, words
 BUCKETS = 40
 CLASSES = ["user", "assistant"]
 MIN_TOKENS = 3
+#: Leading hex digits of an md5 that part the rows of a label into spans.
+SPAN_DIGITS = 3
 
 
 def usage(conversations: DataFrame) -> DataFrame:
@@ -64,11 +66,19 @@ def surface(prints: DataFrame) -> DataFrame:
 
 
 def folds(rows: DataFrame, key: str, label: str, k: int, seeds: list[int]) -> DataFrame:
-    """key, label, seed, fold: within each label rows are dealt to k folds in the order of an md5."""
+    """key, label, seed, fold: within each label rows are dealt to k folds in the order of an md5.
+
+    Places are counted within spans of the md5 first and shifted by the rows of the spans before, so that no task orders a whole label.
+    """
     h = F.md5(F.concat(F.col("seed").cast("string"), F.lit(":"), F.col(key).cast("string")).cast("binary"))
     seeded = rows.select(key, label, F.explode(F.array(*map(F.lit, seeds))).alias("seed"))
-    place = F.row_number().over(Window.partitionBy("seed", label).orderBy(h, key)) - 1
-    return seeded.withColumn("fold", (place % k).cast("int"))
+    spanned = seeded.withColumn("h", h).withColumn("span", F.substring("h", 1, SPAN_DIGITS))
+    sizes = spanned.groupBy("seed", label, "span").agg(F.count("*").alias("size"))
+    before = sizes.select("seed", F.col(label).alias("of"), "span", (F.sum("size").over(Window.partitionBy("seed", label).orderBy("span")) - F.col("size")).alias("before"))
+    same = (spanned["seed"] == before["seed"]) & spanned[label].eqNullSafe(before["of"]) & (spanned["span"] == before["span"])
+    joined = spanned.join(F.broadcast(before), same).select(spanned["*"], "before")  # at most 16^SPAN_DIGITS rows a label and seed
+    place = F.row_number().over(Window.partitionBy("seed", label, "span").orderBy("h", key)) - 1 + F.col("before")
+    return joined.select(key, label, "seed", (place % k).cast("int").alias("fold"))
 
 
 def confusion(rows: DataFrame, truth: str, predicted: str, *by: str) -> DataFrame:

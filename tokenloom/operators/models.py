@@ -13,11 +13,9 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tokenloom.functions.vectors import doubles, unit
+from tokenloom.functions.vectors import doubles
 from tokenloom.operators.fingerprints import BUCKETS, confusion, folds
-
-#: Vectors that serve as the dictionary of sparse self-expression: a bounded set, whatever the table's size.
-LANDMARKS = 512
+from tokenloom.operators.spectral import landmark_rows, unit_rows
 
 
 def wide(prints: DataFrame, keep: list[int] | None = None) -> DataFrame:
@@ -63,6 +61,53 @@ def cross_validated(rows: DataFrame, k: int = 5, seed: int = 0, strength: float
     return confusion(out, "y", "predicted", "fold")
 
 
+def single_cluster_sweep(prints: DataFrame, k: int = 5, seed: int = 0, strength: float = 1.0, rounds: int = 25) -> DataFrame:
+    """cluster, mcc: mean over k stratified folds of a weighted logistic classifier that sees one cluster's share alone.
+
+    All classifiers take each Newton step together: one grouped aggregation over distinct shares and their counts.
+    Only coefficients come to the driver, one pair for each cluster and fold.
+    """
+    docs = prints.select("doc", (F.col("class") == "assistant").cast("int").alias("y")).distinct()
+    dealt = folds(docs, "doc", "y", k, [seed]).select("doc", "y", "fold")
+    sizes = dealt.groupBy("fold", "y").agg(F.count("*").alias("size")).cache()  # 2k rows
+    seen = prints.join(dealt, "doc").groupBy("cluster", "fold", "y", F.col("p").alias("x")).agg(F.count("*").alias("n"))
+    some = seen.groupBy("cluster", "fold", "y").agg(F.sum("n").alias("some"))
+    cells = some.select("cluster").distinct().crossJoin(F.broadcast(sizes)).join(some, ["cluster", "fold", "y"], "left")
+    zeros = cells.select("cluster", "fold", "y", F.lit(0.0).alias("x"), (F.col("size") - F.coalesce("some", F.lit(0))).alias("n")).where("n > 0")
+    rows = seen.union(zeros).cache()
+    total = {(r["fold"], r["y"]): r["size"] for r in sizes.collect()}
+    weight = F.lit(1.0)
+    for f in range(k):
+        side = [sum(n for (g, y), n in total.items() if g != f and y == c) for c in (0, 1)]
+        for c in (0, 1):
+            weight = F.when((F.col("held") == f) & (F.col("y") == c), sum(side) / (2 * max(1, side[c]))).otherwise(weight)
+    models = {(r["cluster"], f): np.zeros(2) for r in rows.select("cluster").distinct().collect() for f in range(k)}
+    p = 1 / (1 + F.exp(-(F.col("a") * F.col("x") + F.col("b"))))
+    x, n, h, g = F.col("x"), F.col("n") * F.col("w") * strength, F.col("h"), F.col("g")
+
+    def with_models() -> DataFrame:
+        held = rows.sparkSession.createDataFrame([(c, f, float(m[0]), float(m[1])) for (c, f), m in models.items()], "cluster int, held int, a double, b double")
+        return rows.join(F.broadcast(held), "cluster")  # a row for each cluster and fold
+
+    for _ in range(rounds if models else 0):
+        step = with_models().where("fold <> held").withColumn("w", weight).withColumn("p", p).withColumn("g", n * (F.col("p") - F.col("y"))).withColumn("h", n * F.col("p") * (1 - F.col("p")))
+        sums = step.groupBy("cluster", "held").agg(F.sum(g * x).alias("ga"), F.sum(g).alias("gb"), F.sum(h * x * x).alias("aa"), F.sum(h * x).alias("ab"), F.sum(h).alias("bb")).collect()
+        moved = 0.0
+        for r in sums:
+            m = models[r["cluster"], r["held"]]
+            move = np.linalg.solve([[r["aa"] + 1, r["ab"]], [r["ab"], r["bb"] + 1e-9]], [r["ga"] + m[0], r["gb"]])
+            move *= min(1.0, 10 / max(1e-12, np.abs(move).max()))
+            m -= move
+            moved = max(moved, float(np.abs(move).max()))
+        if moved < 1e-8:
+            break
+    told = with_models().where("fold = held").withColumn("hit", F.col("a") * F.col("x") + F.col("b") > 0)
+    count = [F.sum(F.when((F.col("y") == y) & (F.col("hit") == bool(t)), F.col("n")).otherwise(0)).cast("double") for y, t in ((1, 1), (0, 1), (0, 0), (1, 0))]
+    c = told.groupBy("cluster", "fold").agg(*[v.alias(name) for v, name in zip(count, ("tp", "fp", "tn", "fn"), strict=True)])
+    under = F.expr("sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn))")
+    return c.withColumn("m", F.when(under > 0, F.expr("tp * tn - fp * fn") / under).otherwise(0.0)).groupBy("cluster").agg(F.avg("m").alias("mcc"))
+
+
 def l1_selected(rows: DataFrame, strengths: list[float]) -> DataFrame:
     """strength, selected: coefficients beyond 1e-6 of unweighted L1 fits."""
     found = [(c, int((np.abs(logistic(rows, c, 1.0, False).coefficients.toArray()) > 1e-6).sum())) for c in strengths]
@@ -128,9 +173,8 @@ def lasso(gram: np.ndarray, target: np.ndarray, alpha: float, rounds: int = 200)
 
 def self_expression(vectors: DataFrame, method: str, amount: float) -> DataFrame:
     """i, j, coef: each vector as a sparse combination of the landmarks, itself left out. method: omp (amount: number of landmarks) or lasso (amount: alpha)."""
-    own = vectors.select("vec_id", unit(doubles(F.col("embedding"))).alias("u"))
-    rows = own.orderBy(F.md5(F.col("vec_id").cast("string").cast("binary")), "vec_id").limit(LANDMARKS).collect()
-    shared = vectors.sparkSession.sparkContext.broadcast((np.array([r["vec_id"] for r in rows]), np.array([list(r["u"]) for r in rows])))
+    own = unit_rows(vectors)
+    shared = vectors.sparkSession.sparkContext.broadcast(landmark_rows(vectors))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids, d = shared.value

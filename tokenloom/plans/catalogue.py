@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tokenloom.operators import clusters, corpus, fingerprints, models, taxonomy
+from tokenloom.functions.tokens import without_accents, words
+from tokenloom.operators import clusters, corpus, fingerprints, models, spectral, taxonomy
 from tokenloom.plans.oracles import ORACLES
 from tokenloom.sources.tables import table
 
@@ -178,6 +179,16 @@ def ari_nmi(vectors):
     return clusters.agreement(_two(vectors))
 
 
+@query("embeddings")
+def adjusted_mutual_information(vectors):
+    return clusters.adjusted_information(_two(vectors))
+
+
+@query("embeddings")
+def optimal_cluster_match(vectors):
+    return clusters.assigned(_two(vectors))
+
+
 @query("embeddings")
 def cluster_match_jaccard(vectors):
     return clusters.matched(_two(vectors))
@@ -338,6 +349,12 @@ def tfidf_weights(docs):
     return fingerprints.tfidf(docs, 2000)
 
 
+@query("documents")
+def accent_stripped_terms(docs):
+    terms = docs.select("doc_id", F.explode(F.array_distinct(words(without_accents(F.col("text"))))).alias("term"))
+    return terms.groupBy("term").agg(F.count("*").alias("df"))
+
+
 @query("embeddings")
 def silhouette_search(vectors):
     return clusters.silhouette(vectors, vectors.where("vec_id % 100 = 0"))
@@ -391,3 +408,33 @@ def ssc_omp_graph(vectors):
 @query("embeddings")
 def ssc_lasso_graph(vectors):
     return models.graph_stats(models.affinity(models.self_expression(vectors, "lasso", 0.01)), vectors.count())
+
+
+@query("conversations")
+def single_quantum_sweep(rows):
+    return models.single_cluster_sweep(fingerprints.fingerprints(fingerprints.usage(rows)))
+
+
+@query("embeddings")
+def spectral_angular(vectors):
+    return clusters.contingency(spectral.spectral(vectors, 10), vectors)
+
+
+@query("embeddings")
+def spectral_absolute(vectors):
+    return clusters.contingency(spectral.spectral(vectors, 10, "absolute"), vectors)
+
+
+@query("embeddings")
+def ssc_power_iteration(vectors):
+    return spectral.power_iteration(models.affinity(models.self_expression(vectors, "omp", 5)), 10)
+
+
+@query("embeddings")
+def complete_linkage(vectors):
+    return spectral.complete_linkage(vectors, [10, 20, 50, 100, 200, 400])
+
+
+@query("embeddings")
+def linkage_bootstrap(vectors):
+    return clusters.agreement(spectral.linkage_bootstrap(vectors, 20), "iter")

@@ -106,6 +106,12 @@ ORACLES: dict[str, str] = {
     " b as (select n, alpha, -2 * (n * ln(alpha - 1) + n * (alpha - 1) * ln(xmin) - alpha * logs) + ln(n) as p, -2 * n * (-ln(mean) - 1) + ln(n) as e from a) select n, round(alpha, 6) as alpha, round(p, 6) as bic_power_law, round(e, 6) as bic_exponential, round(e - p, 6) as delta_bic from b",
     "contingency": TWO + " select * from cells",
     "ari_nmi": TWO + ", " + _agreement("", "cells") + " select round(ari, 6) as ari, round(nmi, 6) as nmi from agreed",
+    "adjusted_mutual_information": TWO
+    + """, t as (select sum(n)::double as t from cells), a as (select sum(n)::double as a from cells group by la), b as (select sum(n)::double as b from cells group by lb),
+    p as (select a, b, t, unnest(range(greatest(1, a + b - t)::bigint, least(a, b)::bigint + 1)) as o from a, b, t),
+    x as (select sum(o / t * ln(t * o / (a * b)) * exp(lgamma(a + 1) + lgamma(b + 1) + lgamma(t - a + 1) + lgamma(t - b + 1) - lgamma(t + 1) - lgamma(o + 1) - lgamma(a - o + 1) - lgamma(b - o + 1) - lgamma(t - a - b + o + 1))) as emi from p),
+    h as (select (select -sum(a / t * ln(a / t)) from a, t) as ha, (select -sum(b / t * ln(b / t)) from b, t) as hb, (select -sum(n / t * ln(n / t)) from cells, t) as hab)
+    select round((ha + hb - hab - emi) / ((ha + hb) / 2 - emi), 6) as ami from h, x""",
     "cluster_match_jaccard": TWO + ", j as (select *, n / (sum(n) over (partition by la) + sum(n) over (partition by lb) - n) as jaccard from cells), r as (select *, row_number() over (partition by la order by jaccard desc, lb) as ra, row_number() over (partition by lb order by jaccard desc, la) as rb from j) select la, lb, n, round(jaccard, 6) as jaccard from r where ra = 1 and rb = 1",
     "cluster_fragmentation": TWO + ", p as (select la, n / sum(n) over (partition by la) as p from cells) select la, round(exp(-sum(p * ln(p))), 6) as fragmentation from p group by la",
     "bootstrap_sample": f"with {SAMPLED} select * from sampled",
@@ -136,6 +142,7 @@ ORACLES: dict[str, str] = {
     + ", w as (select lang, any_value(round(mcc, 9)) filter (what = 'full') as f, any_value(round(mcc, 9)) filter (what = 'single') as s, any_value(round(mcc, 9)) filter (what = 'surface') as u from confusion group by lang) select lang, round(f, 6) as \"full\", round(s, 6) as single, round(u, 6) as surface, case when f - u <= 0.05 then 'surface-dominated' when s >= 0.95 * f then 'one-cluster-led' else 'distributed' end as flag from w",
     "tfidf_weights": r"with k as (select doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+')) as tok from documents), tf as (select doc_id, tok, count(*) as n from k group by all), voc as (select tok, sum(n) as al, count(*) as df from tf group by tok order by al desc, tok limit 2000),"
     " w as (select doc_id, tok, (1 + ln(n)) * (ln((1 + (select count(*) from documents)) / (1 + df)) + 1) as w from tf join voc using (tok)) select doc_id, tok, round(w / sqrt(sum(w * w) over (partition by doc_id)), 6) as weight from w",
+    "accent_stripped_terms": r"with k as (select distinct doc_id, unnest(regexp_extract_all(lower(strip_accents(coalesce(text, ''))), '[\p{L}\p{N}_]+')) as term from documents) select term, count(*) as df from k group by term",
     "silhouette_search": E + ", d as (select q.vec_id, q.label as own, v.label, avg(acos(greatest(-1, least(1, list_dot_product(v.u, q.u)))) / pi()) as d from e q, e v where q.vec_id % 100 = 0 and q.vec_id <> v.vec_id group by all), m as (select vec_id, max(d) filter (label = own) as a, min(d) filter (label <> own) as b from d group by all) select vec_id, round(coalesce((b - a) / greatest(a, b), 0), 6) as silhouette from m",
     "power_law_xmin_scan": "with s as (select count(*) as size from orders group by o_custkey), d as (select size, count(*) as c from s group by all), p as (select x.size as xmin, d.size, d.c from d x join d on d.size >= x.size), f as (select xmin, sum(c)::bigint as n_tail, 1 + sum(c) / sum(c * ln(size / (xmin - 0.5::double))) as alpha from p group by xmin having sum(c) >= 3),"
     " g as (select xmin, n_tail, alpha, abs(sum(c) over (partition by xmin order by size) / n_tail - (1 - pow((size + 0.5::double) / (xmin - 0.5::double), 1 - alpha))) as gap from p join f using (xmin)) select xmin, n_tail, round(alpha, 6) as alpha, round(max(gap), 6) as ks from g group by xmin, n_tail, alpha",
