@@ -171,3 +171,19 @@ def test_folds_follow_one_order(spark):
 def test_accents(spark):
     rows = spark.createDataFrame([("Éáçüñ ÿạ ß日",)], "t string").select(without_accents(F.col("t")))
     assert rows.first()[0] == "Eacun ya ß日"
+
+
+def test_chi_squared_tail():
+    for x in (0.3, 2.0, 11.0, 60.0):
+        assert abs(fingerprints.chi_squared_tail(x, 2) - math.exp(-x / 2)) < 1e-12
+        assert abs(fingerprints.chi_squared_tail(x, 4) - math.exp(-x / 2) * (1 + x / 2)) < 1e-12
+    assert abs(fingerprints.chi_squared_tail(3.841458820694124, 1) - 0.05) < 1e-9
+    assert abs(fingerprints.chi_squared_tail(7.814727903251179, 3) - 0.05) < 1e-9
+    assert fingerprints.chi_squared_tail(0, 5) == 1.0
+
+
+def test_two_by_two_is_corrected(spark):
+    rows = spark.createDataFrame([("user", 0, 12), ("user", 1, 5), ("assistant", 0, 3), ("assistant", 1, 10)], "class string, cluster int, n long")
+    r = fingerprints.with_tail(fingerprints.chi_squared(rows)).first()
+    want = sum((abs(o - e) - 0.5) ** 2 / e for o, e in ((12, 8.5), (5, 8.5), (3, 6.5), (10, 6.5)))
+    assert r["dof"] == 1 and abs(r["statistic"] - want) < 1e-9 and abs(r["p_value"] - math.erfc(math.sqrt(want / 2))) < 1e-12

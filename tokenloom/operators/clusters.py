@@ -209,6 +209,31 @@ def matched(table: DataFrame) -> DataFrame:
     return best.where("ra = 1 and rb = 1").select("la", "lb", "n", "jaccard")
 
 
+def match_summary(table: DataFrame) -> DataFrame:
+    """pairs, mean and median Jaccard, share of them from a half on, and correlations of sizes and of their ranks over the matched clusters of la, lb, n."""
+    sides = [table.groupBy(s).agg(F.sum("n").alias(f"m_{s}")) for s in ("la", "lb")]
+    pairs = matched(table).join(sides[0], "la").join(sides[1], "lb")
+    for c in ("m_la", "m_lb"):  # as many rows as clusters
+        pairs = pairs.withColumn(f"r_{c}", F.rank().over(Window.orderBy(c)) + (F.count("*").over(Window.partitionBy(c)) - 1) / 2)
+    j = F.col("jaccard")
+    return pairs.agg(
+        F.count("*").alias("pairs"), F.avg(j).alias("jaccard_mean"), F.percentile(j, 0.5).alias("jaccard_median"), F.avg((j >= 0.5).cast("double")).alias("half"),
+        F.corr(F.col("m_la").cast("double"), F.col("m_lb").cast("double")).alias("pearson"), F.corr("r_m_la", "r_m_lb").alias("spearman"),
+    )
+
+
+def in_cluster_order(assigned: DataFrame, most: int) -> DataFrame:
+    """place, vec_id, label of the first rows by falling cluster size, then label, then id."""
+    first = assigned.join(F.broadcast(sizes(assigned)), "label").orderBy(F.desc("size"), "label", "vec_id").limit(most)  # a row for each cluster
+    return first.withColumn("place", F.row_number().over(Window.orderBy(F.desc("size"), "label", "vec_id")) - 1).select("place", "vec_id", "label")
+
+
+def running(each: DataFrame, value: str) -> DataFrame:
+    """iter, mean, std over the iterations so far (a row for each iteration)."""
+    w = Window.orderBy("iter").rowsBetween(Window.unboundedPreceding, 0)
+    return each.select("iter", F.avg(value).over(w).alias("mean"), F.stddev_pop(value).over(w).alias("std"))
+
+
 def fragmentation(table: DataFrame) -> DataFrame:
     """la, fragmentation: exponential of the entropy of a cluster over the other labeling."""
     p = F.col("n") / F.sum("n").over(Window.partitionBy("la"))
@@ -239,3 +264,18 @@ def power_law_scan(sized: DataFrame) -> DataFrame:
     seen = F.sum("c").over(Window.partitionBy("xmin").orderBy("size")) / F.col("n_tail")
     gap = F.abs(seen - (1 - F.pow((F.col("size") + 0.5) / low, 1 - F.col("alpha"))))
     return pairs.join(fits, "xmin").withColumn("gap", gap).groupBy("xmin", "n_tail", "alpha").agg(F.max("gap").alias("ks"))
+
+
+def power_law_best(sized: DataFrame) -> DataFrame:
+    """The scan's fit of least distance (ties: the least xmin) with sigma, and over its tail the BIC of a power law, a lognormal and an exponential, and which is least."""
+    fit = power_law_scan(sized).withColumn("near", F.round("ks", 9)).orderBy("near", "xmin").limit(1).drop("near")
+    tail = sized.crossJoin(F.broadcast(fit)).where("size >= xmin")  # one row
+    log = F.log("size")
+    sums = tail.groupBy("xmin", "n_tail", "alpha", "ks").agg(F.sum(log).alias("s"), F.var_pop(log).alias("v"), F.avg("size").alias("mean"))
+    n, alpha = F.col("n_tail"), F.col("alpha")
+    power = -2 * (n * F.log(alpha - 1) + n * (alpha - 1) * F.log(F.col("xmin") - 0.5) - alpha * F.col("s")) + F.log(n)
+    lognormal = 2 * F.col("s") + n * F.log(2 * math.pi * F.col("v")) + n + 2 * F.log(n)
+    exponential = 2 * n * (F.log("mean") + 1) + F.log(n)
+    told = sums.select("xmin", "n_tail", "alpha", ((alpha - 1) / F.sqrt(n)).alias("sigma"), "ks", power.alias("bic_power_law"), lognormal.alias("bic_lognormal"), exponential.alias("bic_exponential"))
+    bics = [F.struct(F.col(f"bic_{m}").alias("b"), F.lit(m).alias("m")) for m in ("power_law", "lognormal", "exponential")]
+    return told.withColumn("best", F.array_min(F.array(*bics))["m"])

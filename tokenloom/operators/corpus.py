@@ -31,6 +31,30 @@ def flat_starts(docs: DataFrame) -> DataFrame:
     return own.withColumn("inside", inside).join(before, "span").select("doc_id", "tokens_len", "preds_len", (F.col("offset") + F.col("inside")).alias("start"))
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs with number, from 0 in the order of doc_id, counted by spans of ids first."""
+    own = docs.withColumn("span", F.floor(F.col("doc_id") / SPAN))
+    spans = own.groupBy("span").agg(F.count("*").alias("n"))
+    before = spans.select("span", (F.sum("n").over(Window.orderBy("span")) - F.col("n")).alias("offset"))  # a row for each span
+    inside = F.row_number().over(Window.partitionBy("span").orderBy("doc_id")) - 1
+    return own.withColumn("inside", inside).join(before, "span").withColumn("number", F.col("offset") + F.col("inside")).drop("span", "inside", "offset")
+
+
+def drawn_prompts(docs: DataFrame, draws: int, tokens: int) -> DataFrame:
+    """draw, doc_id, prompt: for each draw, with replacement, the first tokens of the document that an md5 of the draw picks."""
+    n = docs.count()
+    picks = docs.sparkSession.range(draws).select(F.col("id").alias("draw"), (F.conv(F.substring(F.md5(F.col("id").cast("string").cast("binary")), 1, 12), 16, 10).cast("long") % max(1, n)).alias("number"))
+    picked = numbered(docs.select("doc_id")).join(F.broadcast(picks), "number").select("draw", "doc_id")  # `draws` rows
+    return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("draw", "doc_id", F.array_join(words(F.col("text"), tokens), " ").alias("prompt"))
+
+
+def capped(conversations: DataFrame, role: str, most: int) -> DataFrame:
+    """conv_id, turn, pos, tok of at most `most` tokens of a role, those of least md5 of their place."""
+    tokens = conversations.where(F.col("role") == role).select("conv_id", "turn", F.posexplode(words(F.col("text"))).alias("pos", "tok"))
+    place = F.md5(F.concat_ws(":", "conv_id", "turn", "pos").cast("binary"))
+    return tokens.orderBy(place, "conv_id", "turn", "pos").limit(most)
+
+
 def every_nth(docs: DataFrame, step: int) -> DataFrame:
     """flat, doc_id, pos of every step-th prediction of the corpus; each document lays out its own, so nothing is searched."""
     first = (F.ceil(F.col("start") / step) * step).cast("long")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,10 +56,37 @@ def divergences(wide: DataFrame, eps: float = 1e-10) -> DataFrame:
 
 
 def chi_squared(counts: DataFrame) -> DataFrame:
-    """statistic and dof of homogeneity from class, cluster, n over the buckets that occur (bounded: classes x buckets)."""
+    """statistic and dof of homogeneity from class, cluster, n over the buckets that occur (bounded: classes x buckets); corrected for continuity at one degree of freedom."""
     rows, columns, whole = counts.groupBy("class").agg(F.sum("n").alias("r")), counts.groupBy("cluster").agg(F.sum("n").alias("c")), counts.agg(F.sum("n").alias("t"))
     cells = rows.crossJoin(columns).crossJoin(whole).join(counts, ["class", "cluster"], "left").withColumn("e", F.col("r") * F.col("c") / F.col("t"))
-    return cells.agg(F.sum(F.pow(F.coalesce("n", F.lit(0)) - F.col("e"), 2) / F.col("e")).alias("statistic"), ((F.count_distinct("cluster") - 1) * (F.count_distinct("class") - 1)).alias("dof"))
+    off = F.abs(F.coalesce("n", F.lit(0)) - F.col("e"))
+    dof = (F.count_distinct("cluster") - 1) * (F.count_distinct("class") - 1)
+    both = cells.agg(F.sum(off * off / F.col("e")).alias("plain"), F.sum(F.pow(off - F.least(off, F.lit(0.5)), 2) / F.col("e")).alias("corrected"), dof.alias("dof"))
+    return both.select(F.when(F.col("dof") == 1, F.col("corrected")).otherwise(F.col("plain")).alias("statistic"), "dof")
+
+
+def chi_squared_tail(x: float, dof: int) -> float:
+    """Probability that a chi-squared variable exceeds x: the upper incomplete gamma function by its recurrence in the shape."""
+    if x <= 0 or dof <= 0:
+        return 1.0
+    half = x / 2
+    shape, total = (1.0, math.exp(-half)) if dof % 2 == 0 else (0.5, math.erfc(math.sqrt(half)))
+    while shape < dof / 2:
+        total += math.exp(shape * math.log(half) - half - math.lgamma(shape + 1))
+        shape += 1
+    return min(1.0, total)
+
+
+def with_tail(tested: DataFrame) -> DataFrame:
+    """tested (statistic and dof, a row for each test) with p_value."""
+    tail = F.udf(lambda x, dof: None if x is None else chi_squared_tail(x, dof), "double")  # a row for each test
+    return tested.withColumn("p_value", tail(F.col("statistic").cast("double"), F.col("dof").cast("int")))
+
+
+def ablated(prints: DataFrame, dropped: DataFrame) -> DataFrame:
+    """doc, class, cluster, p without the clusters of `dropped` (a bounded list), the rest of each document scaled to one; documents with nothing left have no row."""
+    rest = prints.join(F.broadcast(dropped.select("cluster")), "cluster", "left_anti")
+    return rest.select("doc", "class", "cluster", (F.col("p") / F.sum("p").over(Window.partitionBy("doc"))).alias("p"))
 
 
 def surface(prints: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tokenloom.functions.tokens import without_accents, words
+from tokenloom.functions.tokens import bucket, without_accents, words
 from tokenloom.operators import clusters, corpus, fingerprints, models, spectral, taxonomy
 from tokenloom.plans.oracles import ORACLES
 from tokenloom.sources.tables import table
@@ -194,6 +194,44 @@ def cluster_match_jaccard(vectors):
     return clusters.matched(_two(vectors))
 
 
+@query("embeddings")
+def match_summary(vectors):
+    return clusters.match_summary(_two(vectors))
+
+
+@query("embeddings")
+def random_baseline(vectors):
+    """Agreement of the labels with labels dealt by a hash."""
+    dealt = vectors.select("vec_id", bucket(F.col("vec_id").cast("string"), 10).alias("label"))
+    return clusters.agreement(clusters.contingency(vectors, dealt))
+
+
+@query("embeddings")
+def cluster_ordered_top500(vectors):
+    return clusters.in_cluster_order(vectors.select("vec_id", "label"), 500)
+
+
+@query("embeddings")
+def submatrix_slice(vectors):
+    """Cosines among the first 50 vectors in the order of clusters."""
+    ids = clusters.in_cluster_order(vectors.select("vec_id", "label"), 50).select("vec_id")
+    some = vectors.join(F.broadcast(ids), "vec_id", "left_semi")
+    return clusters.similarities(some, some).where("query_id < vec_id").select("query_id", "vec_id", "cosine")
+
+
+@query("embeddings")
+def similarity_bands(vectors):
+    """Vectors by fifths of the similarity to their nearest seed."""
+    band = F.greatest(F.lit(0), F.least(F.lit(4), F.floor(F.col("similarity") * 5))).cast("int")
+    return clusters.nearest_seed(vectors, [100]).groupBy(band.alias("band")).agg(F.count("*").alias("n"))
+
+
+@query("embeddings")
+def similarity_percentiles(vectors):
+    near = clusters.nearest_seed(vectors, [100])
+    return near.agg(*[F.percentile("similarity", q / 100).alias(f"p{q}") for q in (5, 25, 50, 75, 95)])
+
+
 @query("embeddings")
 def cluster_fragmentation(vectors):
     return clusters.fragmentation(_two(vectors))
@@ -204,14 +242,23 @@ def bootstrap_sample(vectors):
     return clusters.sampled(vectors, 0.8, list(range(10)))
 
 
-@query("embeddings")
-def bootstrap_agreement(vectors):
+def _bootstrapped(vectors: DataFrame) -> DataFrame:
     near = clusters.nearest_seed(vectors, [20]).select("vec_id", F.col("label").alias("la"))
     cells = clusters.sampled(vectors, 0.8, list(range(10))).join(near, "vec_id").join(vectors.select("vec_id", F.col("label").alias("lb")), "vec_id")
-    each = clusters.agreement(cells.groupBy("iter", "la", "lb").agg(F.count("*").alias("n")), "iter")
+    return clusters.agreement(cells.groupBy("iter", "la", "lb").agg(F.count("*").alias("n")), "iter")
+
+
+@query("embeddings")
+def bootstrap_agreement(vectors):
+    each = _bootstrapped(vectors)
     return each.agg(*[f(F.col(c)).alias(f"{c}_{n}") for c in ("ari", "nmi") for n, f in (("mean", F.avg), ("std", F.stddev_pop), ("least", F.min), ("most", F.max))])
 
 
+@query("embeddings")
+def running_bootstrap(vectors):
+    return clusters.running(_bootstrapped(vectors), "ari")
+
+
 @query("embeddings")
 def resume_remaining(vectors):
     wanted = vectors.sparkSession.range(10).select(F.col("id").cast("int").alias("iter"))
@@ -317,6 +364,29 @@ def chi_squared_homogeneity(rows):
     return fingerprints.chi_squared(fingerprints.usage(rows).groupBy("class", "cluster").agg(F.sum("n").alias("n")))
 
 
+@query("conversations")
+def chi_squared_p_value(rows):
+    return fingerprints.with_tail(fingerprints.chi_squared(fingerprints.usage(rows).groupBy("class", "cluster").agg(F.sum("n").alias("n"))))
+
+
+@query("conversations")
+def fingerprint_ablation(rows):
+    """Fingerprints without the cluster whose class averages differ most."""
+    prints = fingerprints.fingerprints(fingerprints.usage(rows))
+    best = fingerprints.side_by_side(fingerprints.averages(prints)).orderBy(F.desc(F.abs(F.round(F.col("h") - F.col("a"), 9))), "cluster").limit(1)
+    return fingerprints.ablated(prints, best)
+
+
+@query("conversations")
+def capped_tokens(rows):
+    return corpus.capped(rows, "assistant", 6000)
+
+
+@query("documents")
+def prompt_draw(docs):
+    return corpus.drawn_prompts(docs, 600, 10)
+
+
 @query("conversations")
 def surface_features(rows):
     return fingerprints.surface(fingerprints.fingerprints(fingerprints.usage(rows)))
@@ -365,6 +435,11 @@ def power_law_xmin_scan(orders):
     return clusters.power_law_scan(orders.groupBy("o_custkey").agg(F.count("*").alias("size")))
 
 
+@query("orders")
+def power_law_best(orders):
+    return clusters.power_law_best(orders.groupBy("o_custkey").agg(F.count("*").alias("size")))
+
+
 # Fitted models: no SQL; tests hold them against plain versions and planted data
 
 

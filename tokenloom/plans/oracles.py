@@ -79,6 +79,12 @@ def _confusion(source: str, by: str) -> str:
  (case when tp + fn > 0 then tp / (tp + fn) else 0 end + case when tn + fp > 0 then tn / (tn + fp) else 0 end) / 2 as balanced_accuracy from cm)"""
 
 
+BOOT = E + ", " + _near("near", "20", 0, 20) + f", {SAMPLED}, cells as (select iter, near.label as la, e.label as lb, count(*) as n from sampled join near using (vec_id) join e using (vec_id) group by all), " + _agreement("iter", "cells")
+ORDERED = "with z as (select label, count(*) as size from embeddings group by all), o as (select (row_number() over (order by size desc, label, vec_id) - 1)::int as place, vec_id, label from embeddings join z using (label))"
+SCAN = (
+    "with s as (select count(*) as size from orders group by o_custkey), d as (select size, count(*) as c from s group by all), p as (select x.size as xmin, d.size, d.c from d x join d on d.size >= x.size), f as (select xmin, sum(c)::bigint as n_tail, 1 + sum(c) / sum(c * ln(size / (xmin - 0.5::double))) as alpha from p group by xmin having sum(c) >= 3),"
+    " g as (select xmin, n_tail, alpha, abs(sum(c) over (partition by xmin order by size) / n_tail - (1 - pow((size + 0.5::double) / (xmin - 0.5::double), 1 - alpha))) as gap from p join f using (xmin))"
+)
 ORACLES: dict[str, str] = {
     "doc_prediction_lengths": f"with {POSITIONS} select * from lens",
     "tokenize_positions": f"with {POSITIONS} select * from pos",
@@ -113,9 +119,22 @@ ORACLES: dict[str, str] = {
     h as (select (select -sum(a / t * ln(a / t)) from a, t) as ha, (select -sum(b / t * ln(b / t)) from b, t) as hb, (select -sum(n / t * ln(n / t)) from cells, t) as hab)
     select round((ha + hb - hab - emi) / ((ha + hb) / 2 - emi), 6) as ami from h, x""",
     "cluster_match_jaccard": TWO + ", j as (select *, n / (sum(n) over (partition by la) + sum(n) over (partition by lb) - n) as jaccard from cells), r as (select *, row_number() over (partition by la order by jaccard desc, lb) as ra, row_number() over (partition by lb order by jaccard desc, la) as rb from j) select la, lb, n, round(jaccard, 6) as jaccard from r where ra = 1 and rb = 1",
+    "match_summary": TWO
+    + """, j as (select *, sum(n) over (partition by la) as ma, sum(n) over (partition by lb) as mb from cells), q as (select *, n / (ma + mb - n) as jaccard from j), r as (select *, row_number() over (partition by la order by jaccard desc, lb) as ra, row_number() over (partition by lb order by jaccard desc, la) as rb from q),
+    m as (select *, rank() over (order by ma) + (count(*) over (partition by ma) - 1) / 2 as ka, rank() over (order by mb) + (count(*) over (partition by mb) - 1) / 2 as kb from (select * from r where ra = 1 and rb = 1))
+    select count(*) as pairs, round(avg(jaccard), 6) as jaccard_mean, round(quantile_cont(jaccard, 0.5), 6) as jaccard_median, round(avg((jaccard >= 0.5)::int), 6) as half, round(corr(ma, mb), 6) as pearson, round(corr(ka, kb), 6) as spearman from m""",
+    "random_baseline": "with cells as (select label as la, ('0x' || substr(md5(vec_id::varchar), 1, 6))::bigint % 10 as lb, count(*) as n from embeddings group by all), " + _agreement("", "cells") + " select round(ari, 6) as ari, round(nmi, 6) as nmi from agreed",
+    "cluster_ordered_top500": ORDERED + " select place, vec_id, label from o where place < 500",
+    "submatrix_slice": ORDERED + f", e as (select vec_id, {UNIT} as u from embeddings semi join (select * from o where place < 50) using (vec_id)) select a.vec_id as query_id, b.vec_id, round(list_dot_product(a.u, b.u), 6) as cosine from e a join e b on a.vec_id < b.vec_id",
+    "similarity_bands": E + ", " + _near("near", "100") + " select greatest(0, least(4, floor(similarity * 5)))::int as band, count(*) as n from near group by all",
+    "similarity_percentiles": E + ", " + _near("near", "100") + " select " + ", ".join(f"round(quantile_cont(similarity, {q / 100}), 6) as p{q}" for q in (5, 25, 50, 75, 95)) + " from near",
+    "running_bootstrap": BOOT + " select iter, round(avg(ari) over w, 6) as mean, round(stddev_pop(ari) over w, 6) as std from agreed window w as (order by iter rows unbounded preceding)",
+    "fingerprint_ablation": PRINTS + ", b as (select cluster from wide order by abs(round(h - a, 9)) desc, cluster limit 1), rest as (select prints.* from prints anti join b using (cluster)) select doc, class, cluster, round(p / sum(p) over (partition by doc), 6) as p from rest",
+    "capped_tokens": r"with t as (select conv_id, turn, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+') as a from conversations where role = 'assistant'), x as (select conv_id, turn, unnest(range(len(a)))::int as pos, unnest(a) as tok from t) select * from x order by md5(conv_id || ':' || turn || ':' || pos), conv_id, turn, pos limit 6000",
+    "prompt_draw": r"with d as (select doc_id, array_to_string(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+')[1:10], ' ') as prompt, row_number() over (order by doc_id) - 1 as number from documents), r as (select i as draw, ('0x' || substr(md5(i::varchar), 1, 12))::bigint % (select count(*) from documents) as number from range(600) t(i)) select draw, doc_id, prompt from r join d using (number)",
     "cluster_fragmentation": TWO + ", p as (select la, n / sum(n) over (partition by la) as p from cells) select la, round(exp(-sum(p * ln(p))), 6) as fragmentation from p group by la",
     "bootstrap_sample": f"with {SAMPLED} select * from sampled",
-    "bootstrap_agreement": E + ", " + _near("near", "20", 0, 20) + f", {SAMPLED}, cells as (select iter, near.label as la, e.label as lb, count(*) as n from sampled join near using (vec_id) join e using (vec_id) group by all), " + _agreement("iter", "cells")
+    "bootstrap_agreement": BOOT
     + " select " + ", ".join(f"round({f}({c}), 6) as {c}_{n}" for c in ("ari", "nmi") for n, f in (("mean", "avg"), ("std", "stddev_pop"), ("least", "min"), ("most", "max"))) + " from agreed",
     "resume_remaining": "with " + SAMPLED.replace("(0.8 * 4294967296)", "(0.01 * 4294967296 - 0.5)") + " select unnest(range(10))::int as iter except select iter from sampled where iter % 2 = 0",
     "token_categories": TAX + " select * from sized",
@@ -144,6 +163,10 @@ ORACLES: dict[str, str] = {
     " w as (select doc_id, tok, (1 + ln(n)) * (ln((1 + (select count(*) from documents)) / (1 + df)) + 1) as w from tf join voc using (tok)) select doc_id, tok, round(w / sqrt(sum(w * w) over (partition by doc_id)), 6) as weight from w",
     "accent_stripped_terms": r"with k as (select distinct doc_id, unnest(regexp_extract_all(lower(strip_accents(coalesce(text, ''))), '[\p{L}\p{N}_]+')) as term from documents) select term, count(*) as df from k group by term",
     "silhouette_search": E + ", d as (select q.vec_id, q.label as own, v.label, avg(acos(greatest(-1, least(1, list_dot_product(v.u, q.u)))) / pi()) as d from e q, e v where q.vec_id % 100 = 0 and q.vec_id <> v.vec_id group by all), m as (select vec_id, max(d) filter (label = own) as a, min(d) filter (label <> own) as b from d group by all) select vec_id, round(coalesce((b - a) / greatest(a, b), 0), 6) as silhouette from m",
-    "power_law_xmin_scan": "with s as (select count(*) as size from orders group by o_custkey), d as (select size, count(*) as c from s group by all), p as (select x.size as xmin, d.size, d.c from d x join d on d.size >= x.size), f as (select xmin, sum(c)::bigint as n_tail, 1 + sum(c) / sum(c * ln(size / (xmin - 0.5::double))) as alpha from p group by xmin having sum(c) >= 3),"
-    " g as (select xmin, n_tail, alpha, abs(sum(c) over (partition by xmin order by size) / n_tail - (1 - pow((size + 0.5::double) / (xmin - 0.5::double), 1 - alpha))) as gap from p join f using (xmin)) select xmin, n_tail, round(alpha, 6) as alpha, round(max(gap), 6) as ks from g group by xmin, n_tail, alpha",
+    "power_law_xmin_scan": SCAN + " select xmin, n_tail, round(alpha, 6) as alpha, round(max(gap), 6) as ks from g group by xmin, n_tail, alpha",
+    "power_law_best": SCAN
+    + """, b as (select xmin, n_tail, alpha, max(gap) as ks from g group by xmin, n_tail, alpha order by round(max(gap), 9), xmin limit 1),
+    t as (select any_value(xmin) as xmin, any_value(n_tail) as n, any_value(alpha) as alpha, any_value(ks) as ks, sum(ln(size)) as s, var_pop(ln(size)) as v, avg(size) as m from s, b where size >= xmin),
+    r as (select xmin, n as n_tail, alpha, (alpha - 1) / sqrt(n) as sigma, ks, -2 * (n * ln(alpha - 1) + n * (alpha - 1) * ln(xmin - 0.5) - alpha * s) + ln(n) as p, 2 * s + n * ln(2 * pi() * v) + n + 2 * ln(n) as l, 2 * n * (ln(m) + 1) + ln(n) as e from t)
+    select xmin, n_tail, round(alpha, 6) as alpha, round(sigma, 6) as sigma, round(ks, 6) as ks, round(p, 6) as bic_power_law, round(l, 6) as bic_lognormal, round(e, 6) as bic_exponential, case when p <= l and p <= e then 'power_law' when l <= e then 'lognormal' else 'exponential' end as best from r""",
 }
