@@ -158,3 +158,25 @@ def test_index_is_exact():
         q[at] = index.unit(np.array(at), np.array(tf, float))
         found, cosine = index.nearest(at, tf, 15)
         assert np.allclose(cosine, np.sort(dense @ q)[::-1][: len(cosine)]) and np.allclose(dense[found] @ q, cosine)
+
+
+def test_toxicity_searches_all_words(spark):
+    """Every document's evidence is the brute-force nearest by TF-IDF over all words, also where no word marks the label."""
+    rng = np.random.default_rng(11)
+    words = [f"wort{i}" for i in range(400)]
+    docs = [(i, " ".join(rng.choice(words, rng.integers(5, 40))) + (f" einzig{i % 170}" if i % 3 else "")) for i in range(240)]
+    labels = [(i, int(rng.random() < 0.3)) for i in range(160)]
+    got = {r["doc_id"]: r for r in toxicity.score_documents(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()}
+    counts = [{w: t.split().count(w) for w in set(t.split())} for _, t in docs]
+    df = {w: sum(w in c for c in counts) for w in {w for c in counts for w in c}}
+    vectors = []
+    for c in counts:
+        v = {w: (1 + np.log(n)) * (np.log((1 + len(docs)) / (1 + df[w])) + 1) for w, n in c.items()}
+        length = np.sqrt(sum(x * x for x in v.values()))
+        vectors.append({w: x / length for w, x in v.items()})
+    for i, v in enumerate(vectors):
+        cosine = {j: sum(x * vectors[j].get(w, 0.0) for w, x in v.items()) for j, _ in labels}
+        best = sorted((c for c in cosine.values() if c > 0), reverse=True)[:15]
+        told = [(e["doc_id"], e["cosine"]) for e in got[i]["evidence"]]
+        assert np.allclose([c for _, c in told], best) and np.allclose([cosine[j] for j, _ in told], best)
+    assert len({r["score"] for r in got.values()}) > 200

@@ -1,17 +1,22 @@
-"""Toxicity (operator 10): nearest labelled examples by exact TF-IDF cosine over a block-max inverted index.
-
-Terms are whole words and the first four, five and six characters of longer words. A bounded sample of labelled
-training rows (MAX_POSITIVE and MAX_NEGATIVE, chosen by a hash of the id) picks the terms whose presence goes with
-the label far beyond chance, and the same sample is the index. Document frequencies of those terms are counted over
-all documents. Every document's vector is then searched exactly: examples lie in blocks of BLOCK rows, each
-term knows its largest weight in each block, and blocks are opened in order of their bound until no block
-can reach the k best. Votes of the neighbours are weighted by their cosine and by how many labelled rows an example
-of its class stands for, and shrunk towards the labelled share among examples that no term touches.
-
-Edge cases: null and empty texts, and texts without any chosen term, get that share as score; labels that are null
+"""Toxicity (operator 10): nearest labelled examples by exact TF-IDF cosine over all words, and over marking terms.
+
+A bounded sample of labelled training rows (MAX_POSITIVE and MAX_NEGATIVE, chosen by a hash of the id) is the index.
+
+ 1. Every document is a TF-IDF vector over all its words; document frequencies are counted over all documents, those
+    of words that no example holds as a table. A document's products with all examples are summed (common words as a
+    matrix product, others from postings), the best are taken again in double precision: the k nearest are exact.
+ 2. Besides, the sample picks the terms (whole words, and the first four, five and six characters of longer words)
+    whose presence goes with the label far beyond chance. The same examples as vectors over these terms lie in blocks
+    of BLOCK rows; each term knows its largest weight in each block, and blocks are opened in order of their bound
+    until no block can reach the k best. Votes are weighted by cosine and by how many labelled rows an example of its
+    class stands for, and shrunk towards the labelled share among examples that no marking term touches.
+ 3. The first search's share (a neighbour of cosine c speaks with c, the overall share with 1 - c) shifts the second's
+    log odds by its own distance from the overall share.
+
+Edge cases: null and empty texts get the share of examples without marking terms; labels that are null
 do not count, a row labelled twice counts as toxic if it is so once; equal cosines are taken in the order of the index; without
-labelled rows or chosen terms every score is the share of toxic labels (one half without labels); repeated rows
-score alike; extra columns are kept unless their names are those of the results.
+labels every score is one half; repeated rows score alike; extra columns are kept unless their names are those of the
+results or begin with _word or _rest or are _row.
 """
 
 from __future__ import annotations
@@ -40,6 +45,10 @@ BLOCK = 128
 SHRINK = 0.5
 THRESHOLD = 0.7
 PREFIXES = (4, 5, 6)
+#: Commonest words of the examples whose weights form a dense matrix, queries in one product, and single precision's error in a cosine, far above the true one.
+DENSE_WORDS = 1024
+QUERIES = 250
+SLACK = 1e-4
 
 
 def terms_of(word: bytes) -> list[str]:
@@ -125,21 +134,147 @@ class TermCounter:
         return keys, [found[k] for k in keys]
 
 
-def vectors(docs: DataFrame, terms: list[str]) -> DataFrame:
-    """docs without text, with at and tf: numbers of the chosen terms and how often each occurs in the whole text."""
-    shared = docs.sparkSession.sparkContext.broadcast(terms)
-    kept = docs.drop("text", "at", "tf")
-    schema = T.StructType([*kept.schema.fields, T.StructField("at", T.ArrayType(T.IntegerType())), T.StructField("tf", T.ArrayType(T.IntegerType()))])
+def example_words(texts: DataFrame) -> list[bytes]:
+    """All words of the examples' texts, sorted: as many as the sample holds."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        count = TermCounter(shared.value)
         for pdf in batches:
-            found = [count(t) for t in pdf["text"].tolist()]
-            yield pdf.drop(columns="text").assign(at=[at for at, _ in found], tf=[tf for _, tf in found])
+            yield pd.DataFrame({"w": list({w for t in pdf["text"].tolist() for w in alnum_words(t)})}, dtype=object)
+
+    return sorted(texts.select("text").mapInPandas(run, "w binary").distinct().toArrow()["w"].to_pylist())
+
+
+def vectors(docs: DataFrame, terms: list[str], words: list[bytes]) -> DataFrame:
+    """docs without text, with at and tf (numbers of the marking terms and how often each occurs in the whole text), _word and _wtf (the same of all words that examples hold, packed; numbers as steps) and _rest and _rtf (all other words and how often each occurs)."""
+    shared = docs.sparkSession.sparkContext.broadcast((terms, zlib.compress(b" ".join(words), 1)))
+    kept = docs.drop("text", *VECTOR)
+    ints, packed = T.ArrayType(T.IntegerType()), T.BinaryType()
+    kinds = zip(VECTOR, (ints, ints, packed, packed, T.ArrayType(packed), ints), strict=True)
+    schema = T.StructType([*kept.schema.fields, *[T.StructField(n, k) for n, k in kinds]])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        terms, words = shared.value
+        count, known = TermCounter(terms), {w: i for i, w in enumerate(zlib.decompress(words).split())}
+        for pdf in batches:
+            out = []
+            for t in pdf["text"].tolist():
+                found = Counter(alnum_words(t))
+                inside = sorted((known[w], n) for w, n in found.items() if w in known)
+                rest = [w for w in found if w not in known]
+                at, n = (np.array(x, np.int32) for x in (zip(*inside, strict=True) if inside else ((), ())))
+                out.append((*count(t), np.diff(at, prepend=np.int32(0)).tobytes(), n.tobytes(), rest, [found[w] for w in rest]))
+            yield pdf.drop(columns="text").assign(**dict(zip(VECTOR, map(list, zip(*out, strict=True)) if out else [[]] * 6, strict=True)))
 
     return docs.select(*kept.columns, "text").mapInPandas(run, schema)
 
 
+def numbers(steps: bytes) -> np.ndarray:
+    """Numbers of words from their packed steps."""
+    return np.cumsum(np.frombuffer(steps, np.int32), dtype=np.int32)
+
+
+VECTOR = ("at", "tf", "_word", "_wtf", "_rest", "_rtf")
+
+
+def word_frequencies(found: DataFrame, n_words: int) -> np.ndarray:
+    """Documents that hold each of the examples' words."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(n_words, np.int64)
+        for pdf in batches:
+            total += np.bincount(np.concatenate([np.empty(0, np.int32), *map(numbers, pdf["_word"].tolist())]), minlength=n_words)
+        t = np.flatnonzero(total)
+        yield pd.DataFrame({"t": t.astype(np.int32), "n": total[t]})
+
+    counted = found.select("_word").mapInPandas(run, "t int, n long").groupBy("t").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(n_words, np.int64)
+    out[counted["t"].to_numpy()] = counted["n"].to_numpy()
+    return out
+
+
+def rest_squares(found: DataFrame, n_docs: int) -> DataFrame:
+    """_row and _restsq: squared weight of a document's words that no example holds, by a join with their document frequencies."""
+    rest = found.select("_row", F.explode(F.arrays_zip(F.col("_rest").alias("w"), F.col("_rtf").alias("n"))).alias("r")).select("_row", F.col("r.w").alias("w"), F.col("r.n").alias("n"))
+    df = rest.groupBy("w").agg(F.count("*").alias("df"))
+    weight = (1 + F.log("n")) * (F.log((1.0 + n_docs) / (1 + F.col("df"))) + 1)
+    return rest.join(df, "w").groupBy("_row").agg(F.sum(weight * weight).alias("_restsq"))
+
+
+class WordIndex:
+    """Examples' unit vectors over all their words, by row and (but for the DENSE_WORDS commonest words) by word."""
+
+    def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]], idf: np.ndarray):
+        self.idf, self.n = idf, len(rows)
+        self.first = np.cumsum([0, *[len(at) for at, _ in rows]])
+        self.col = np.concatenate([np.empty(0, np.int32), *[at for at, _ in rows]]).astype(np.int32)
+        self.tf = np.concatenate([np.empty(0, np.int32), *[tf for _, tf in rows]]).astype(np.int32)
+        self.matrix: np.ndarray | None = None
+
+    def __getstate__(self) -> tuple:
+        """Words and counts only, packed: each executor keeps a copy of what travels."""
+        return self.n, self.first, *[zlib.compress(x.tobytes(), 1) for x in (np.diff(self.col, prepend=np.int32(0)), self.tf, self.idf)]
+
+    def __setstate__(self, state: tuple) -> None:
+        self.n, self.first = state[:2]
+        steps, self.tf, self.idf = (np.frombuffer(zlib.decompress(x), kind) for x, kind in zip(state[2:], (np.int32, np.int32, np.float64), strict=True))
+        self.col, self.matrix = np.cumsum(steps, dtype=np.int32), None
+
+    def build(self) -> None:
+        """Unit weights, postings of the rarer words and place of the commonest; made where they are used."""
+        weight = (1 + np.log(self.tf)) * self.idf[self.col]
+        row = np.repeat(np.arange(self.n, dtype=np.int32), np.diff(self.first))
+        self.weight = weight / np.sqrt(np.bincount(row, weight * weight, self.n))[row]
+        common = np.argsort(-np.bincount(self.col, minlength=len(self.idf)), kind="stable")[:DENSE_WORDS]
+        self.place = np.full(len(self.idf), -1, np.int32)
+        self.place[common] = np.arange(len(common), dtype=np.int32)
+        rare = self.place[self.col] < 0
+        order = np.argsort(self.col[rare], kind="stable")
+        self.post_row, self.post_weight = row[rare][order], self.weight[rare][order]
+        self.post_first = np.searchsorted(self.col[rare][order], np.arange(len(self.idf) + 1))
+
+    def dense(self) -> np.ndarray:
+        """The common words' weights, a column for each example; made where it is used."""
+        if self.matrix is None:
+            self.build()
+            self.matrix = np.zeros((int(self.place.max(initial=-1)) + 1, self.n), np.float32)
+            use = self.place[self.col] >= 0
+            self.matrix[self.place[self.col[use]], np.repeat(np.arange(self.n), np.diff(self.first))[use]] = self.weight[use]
+        return self.matrix
+
+    def nearest(self, texts: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[tuple[np.ndarray, np.ndarray, float]]:
+        """For each text (numbers and counts of its words): the k examples of largest positive product, their products with the text's vector before it is made a unit, and that vector's squared length."""
+        dense = self.dense()
+        q = [(1 + np.log(tf)) * self.idf[at] for at, tf in texts]
+        common = np.zeros((len(texts), len(dense)), np.float32)
+        for i, (at, _) in enumerate(texts):
+            use = self.place[at] >= 0
+            common[i, self.place[at[use]]] = q[i][use]
+        scores = common @ dense
+        whole = np.zeros(len(self.idf))
+        out = []
+        for (at, _), w, score in zip(texts, q, scores, strict=True):
+            square = float(w @ w)
+            if not square or not self.n:
+                out.append((np.empty(0, np.int64), np.empty(0), square))
+                continue
+            rare = self.place[at] < 0
+            start, size = self.post_first[at[rare]], self.post_first[at[rare] + 1] - self.post_first[at[rare]]
+            if size.sum():
+                post = np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())
+                score = score + np.bincount(self.post_row[post], self.post_weight[post] * np.repeat(w[rare], size), self.n)
+            least = np.partition(score, self.n - k)[self.n - k] if self.n > k else 0.0
+            near = np.flatnonzero(score >= least - SLACK * np.sqrt(square))
+            near = near[score[near] > 0]
+            whole[at] = w
+            sizes = self.first[near + 1] - self.first[near]
+            part = np.repeat(self.first[near] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+            product = np.bincount(np.repeat(np.arange(len(near)), sizes), whole[self.col[part]] * self.weight[part], len(near))
+            whole[at] = 0
+            best = np.argsort(-product, kind="stable")[:k]
+            out.append((near[best], product[best], square))
+        return out
+
+
 class BlockMaxIndex:
     """Examples' unit vectors as postings by term, in blocks of neighbouring rows with each term's largest weight. Rows of one main term should stand together, which keeps the bounds tight."""
 
@@ -189,47 +324,62 @@ class BlockMaxIndex:
         return rows, scores
 
 
+def log_odds(p: float) -> float:
+    p = min(max(p, 1e-9), 1 - 1e-9)
+    return float(np.log(p / (1 - p)))
+
+
 class Model:
-    """Index of the examples and the laws of the vote; scores vectors, remembering those already met."""
+    """Index of the examples over marking terms, laws of both votes and the examples of the search over all words."""
 
-    def __init__(self, index: BlockMaxIndex, y: np.ndarray, weight: np.ndarray, ids: list[int], untouched: float):
-        self.index, self.y, self.weight, self.ids, self.untouched = index, y, weight, ids, untouched
+    def __init__(self, index: BlockMaxIndex, y: np.ndarray, weight: np.ndarray, untouched: float, overall: float, all_y: np.ndarray, all_weight: np.ndarray, ids: np.ndarray):
+        self.index, self.y, self.weight, self.untouched, self.overall = index, y, weight, untouched, overall
+        self.all_y, self.all_weight, self.ids = all_y, all_weight, ids
 
-    def vote(self, at, tf) -> tuple[float, list[dict]]:
+    def marked(self, at, tf) -> float:
+        """Share of toxic votes among the nearest over marking terms."""
         if not len(at) or not len(self.y):
-            return self.untouched, []
+            return self.untouched
         rows, cosine = self.index.nearest(at, tf, NEIGHBOURS)
         vote = cosine * self.weight[rows]
-        score = ((vote * self.y[rows]).sum() + SHRINK * self.untouched) / (vote.sum() + SHRINK)
-        return float(score), [{"doc_id": self.ids[r], "cosine": float(c)} for r, c in zip(rows, cosine, strict=True)]
+        return float(((vote * self.y[rows]).sum() + SHRINK * self.untouched) / (vote.sum() + SHRINK))
 
-    def voter(self):
-        known: dict[tuple, tuple[float, list]] = {}
+    def marker(self):
+        known: dict[tuple, float] = {}
 
-        def vote(at, tf) -> tuple[float, list[dict]]:
+        def marked(at, tf) -> float:
             key = (tuple(at), tuple(tf))
             if key not in known:
                 if len(known) > 50_000:
                     known.clear()
-                known[key] = self.vote(at, tf)
+                known[key] = self.marked(at, tf)
             return known[key]
 
-        return vote
+        return marked
+
+    def score(self, marked: float, rows: np.ndarray, cosine: np.ndarray) -> float:
+        if not len(rows):
+            return marked
+        weight = self.all_weight[rows]
+        near = (weight * (cosine * self.all_y[rows] + (1 - cosine) * self.overall)).sum() / weight.sum()
+        return float(1 / (1 + np.exp(-(log_odds(marked) + log_odds(near) - log_odds(self.overall)))))
 
 
-def _fit(docs: DataFrame, labels: DataFrame, label: str, training: Column | None) -> tuple[list[str], DataFrame, Model]:
-    """Chosen terms, the written vectors of docs (all columns but text) and the model. training: rows whose labels may be learned from, in terms of doc_id."""
+def _fit(docs: DataFrame, labels: DataFrame, label: str, training: Column | None) -> tuple[DataFrame, Model, WordIndex, int]:
+    """The written vectors of docs (all columns but text, with _row), the model, the examples over all words and the number of docs. training: rows whose labels may be learned from, in terms of doc_id."""
     bound_batches(docs)
     training = F.lit(True) if training is None else training
     sample = materialise(labelled_sample(docs, labels.select("doc_id", label), label, F.coalesce(training, F.lit(True))))
     texts = materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id"))  # at most MAX_POSITIVE + MAX_NEGATIVE rows
     sample = materialise(distinct_examples(texts))
-    terms = choose_terms(texts.drop("y", "weight").join(F.broadcast(sample), "doc_id"))
-    found = materialise(vectors(docs, terms))
+    kept_texts = texts.drop("y", "weight").join(F.broadcast(sample), "doc_id")
+    terms, words = choose_terms(kept_texts), example_words(kept_texts)
+    found = materialise(vectors(docs.withColumn("_row", F.monotonically_increasing_id()), terms, words))
     n_docs = found.count()
     df = dict(found.select(F.explode("at").alias("t")).groupBy("t").agg(F.count("*").alias("n")).collect())  # at most MAX_TERMS rows
     idf = np.log((1 + n_docs) / (1 + np.array([df.get(i, 0) for i in range(len(terms))], np.float64))) + 1
-    examples = found.select("doc_id", "at", "tf").join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id", "at", "tf"]).orderBy("doc_id", "at", "tf").collect()  # at most the sample, sparse
+    word_idf = np.log((1 + n_docs) / (1 + word_frequencies(found, len(words)).astype(np.float64))) + 1
+    examples = found.select("doc_id", "at", "tf", "_word", "_wtf").join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id", "_word", "_wtf"]).orderBy("doc_id", "_word", "_wtf").collect()  # at most the sample, packed
     share, everyone = [0.0, 0.0], [0.0, 0.0]
     for r in examples:
         everyone[r["y"]] += r["weight"]
@@ -239,37 +389,51 @@ def _fit(docs: DataFrame, labels: DataFrame, label: str, training: Column | None
     untouched = (share[1] + overall) / (sum(share) + 1)
     kept = sorted((r for r in examples if r["at"]), key=lambda r: (max(zip(((1 + np.log(r["tf"])) * idf[r["at"]]).tolist(), r["at"], strict=True)), r["doc_id"]))
     index = BlockMaxIndex([(r["at"], r["tf"]) for r in kept], idf)
-    return terms, found, Model(index, np.array([r["y"] for r in kept], np.int64), np.array([r["weight"] for r in kept]), [r["doc_id"] for r in kept], float(untouched))
+    worded = [r for r in examples if r["_word"]]
+    model = Model(index, np.array([r["y"] for r in kept], np.int64), np.array([r["weight"] for r in kept]), float(untouched), float(overall), np.array([r["y"] for r in worded], np.float64), np.array([r["weight"] for r in worded]), np.array([r["doc_id"] for r in worded], np.int64))
+    return found, model, WordIndex([(numbers(r["_word"]), np.frombuffer(r["_wtf"], np.int32)) for r in worded], word_idf), n_docs
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, label: str = "toxic", training: Column | None = None) -> DataFrame:
-    """docs without text, with score, predicted and evidence (example ids and cosines)."""
-    _, found, model = _fit(docs.drop("score", "predicted", "evidence"), labels, label, training)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    """docs without text, with score, predicted and evidence (ids and cosines of the nearest examples over all words)."""
+    found, model, words, n_docs = _fit(docs.drop("score", "predicted", "evidence"), labels, label, training)
+    shared, index = (docs.sparkSession.sparkContext.broadcast(x) for x in (model, words))
+    base = found.drop(*VECTOR, "_row")
+    names = base.columns
+    search = T.StructType([*base.schema.fields, T.StructField("_row", T.LongType()), T.StructField("_marked", T.DoubleType()), T.StructField("_near", T.ArrayType(T.LongType())), T.StructField("_product", T.ArrayType(T.DoubleType())), T.StructField("_square", T.DoubleType())])
     evidence = T.ArrayType(T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("cosine", T.DoubleType())]))
-    schema = T.StructType([*found.drop("at", "tf").schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()), T.StructField("evidence", evidence)])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        vote = shared.value.voter()
+    schema = T.StructType([*base.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()), T.StructField("evidence", evidence)])
+
+    def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        marked, words = shared.value.marker(), index.value
+        for whole in batches:
+            for s in range(0, len(whole), QUERIES):
+                pdf = whole.iloc[s : s + QUERIES]
+                out = words.nearest([(numbers(a), np.frombuffer(n, np.int32)) for a, n in zip(pdf["_word"].tolist(), pdf["_wtf"].tolist(), strict=True)], NEIGHBOURS)
+                votes = [marked(at, tf) for at, tf in zip(pdf["at"].tolist(), pdf["tf"].tolist(), strict=True)]
+                yield pdf.drop(columns=[c for c in VECTOR if c in pdf]).assign(_marked=votes, _near=[o[0] for o in out], _product=[o[1] for o in out], _square=[o[2] for o in out])
+
+    def vote(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = shared.value
         for pdf in batches:
-            out = [vote(at, tf) for at, tf in zip(pdf["at"].tolist(), pdf["tf"].tolist(), strict=True)]
-            yield pdf.drop(columns=["at", "tf"]).assign(score=[s for s, _ in out], predicted=np.array([s >= THRESHOLD for s, _ in out], np.int32), evidence=[e for _, e in out])
+            length = np.sqrt(pdf["_square"].to_numpy() + pdf["_restsq"].to_numpy())
+            cosines = [p / n if n else p for p, n in zip(pdf["_product"].tolist(), length.tolist(), strict=True)]
+            near = [np.asarray(r, np.int64) for r in pdf["_near"].tolist()]
+            scores = [model.score(m, r, c) for m, r, c in zip(pdf["_marked"].tolist(), near, cosines, strict=True)]
+            told = [[{"doc_id": int(model.ids[r]), "cosine": float(c)} for r, c in zip(rs, cs, strict=True)] for rs, cs in zip(near, cosines, strict=True)]
+            yield pdf[names].assign(score=scores, predicted=np.array([s >= THRESHOLD for s in scores], np.int32), evidence=told)
 
-    return found.mapInPandas(run, schema)
+    searched = materialise(found.select(*names, "_row", "at", "tf", "_word", "_wtf").mapInPandas(nearest, search))
+    joined = searched.join(rest_squares(found, n_docs), "_row", "left").na.fill(0.0, ["_restsq"])
+    return joined.mapInPandas(vote, schema)
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, label: str = "toxic", training: Column | None = None) -> DataFrame:
-    """docs, all columns, whose score is below THRESHOLD. Texts are read a second time rather than copied or shuffled."""
-    terms, _, model = _fit(docs.select("doc_id", "text"), labels, label, training)
-    shared = docs.sparkSession.sparkContext.broadcast((terms, model))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        terms, model = shared.value
-        count, vote = TermCounter(terms), model.voter()
-        for pdf in batches:
-            yield pdf[[vote(*count(t))[0] < THRESHOLD for t in pdf["text"].tolist()]]
-
-    return docs.mapInPandas(run, docs.schema)
+    """docs, all columns, whose score is below THRESHOLD."""
+    mark = {"_key": F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "_null": F.col("doc_id").isNull(), "_text": F.sha2(F.coalesce("text", F.lit("")), 256)}
+    scored = score_documents(docs.select("doc_id", "text", *[c.alias(n) for n, c in mark.items()]), labels, label, training)
+    toxic = materialise(scored.where("predicted = 1").select(*mark).distinct())
+    return docs.withColumns(mark).join(toxic, [*mark], "left_anti").select(*docs.columns)
 
 
 def toxicity_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
