@@ -88,3 +88,10 @@ def test_stages_take_empty_and_odd_tables(spark):
         for _, stage in corpus_pipeline.STAGES:
             now = materialise(stage(spark, now, FOLDER))
         assert now.count() <= rows.count()
+
+
+def test_last_stage_decodes(spark):
+    docs = table(spark, FOLDER, "documents").limit(30)
+    library = Tokenizer.from_file(vocabulary_path())
+    for r in corpus_pipeline.encoding_stage(spark, docs, FOLDER).collect():
+        assert r["decoded"] == library.decode(r["token_ids"], skip_special_tokens=False)

@@ -7,6 +7,7 @@ from collections import Counter
 import numpy as np
 
 from tokenloom.llm import shard, url_filter
+from tokenloom.llm.common import materialise
 
 
 def test_every_row_once_in_even_gapless_shards(spark, monkeypatch):
@@ -89,3 +90,19 @@ def test_trees_find_bad_hosts_held_out(spark):
     got = url_filter.judge_urls(asked, known).collect()
     right = np.mean([(r["verdict"] == "block") == bool(r["truth"]) for r in got])
     assert len(got) == len(urls) // 4 and right > 0.95
+
+
+def test_report_deals_texts(spark, monkeypatch):
+    """The rows that go to shards hold all columns, and sizes and checksums are those of the texts in the shards."""
+    dealt = []
+    deal = shard.assign_shards
+
+    def keep(rows, *args):
+        dealt.append(materialise(deal(rows, *args)))
+        return dealt[-1]
+
+    monkeypatch.setattr(shard, "assign_shards", keep)
+    docs = spark.createDataFrame([(i, f"Text {i} ä" * i if i % 7 else None, "de") for i in range(60)], "doc_id long, text string, lang string")
+    got = {(r["doc_id"], r["size"], r["text_crc32"], r["shard"], r["slot"]) for r in shard.sharding_report(docs).collect()}
+    rows = [(r["doc_id"], (r["text"] or "").encode(), r["lang"], r["shard"], r["slot"]) for r in dealt[0].collect()]
+    assert got == {(i, len(t) + 1, zlib.crc32(t), s, n) for i, t, _, s, n in rows} and {x[2] for x in rows} == {"de"}

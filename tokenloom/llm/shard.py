@@ -102,7 +102,7 @@ def write_shards(rows: DataFrame, path: str, shards: int = 16, seed: int = 1, ro
 
 
 def sharding_report(docs: DataFrame, shards: int = 16) -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot, grown_shard of every document."""
+    """doc_id, size, text_crc32, law, shard, slot, grown_shard of every document; whole rows are dealt, size and text_crc32 are of the dealt texts."""
+    dealt = assign_shards(docs.withColumn("doc_id", F.col("doc_id").cast("long")), shards)
     raw = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(raw) + 1).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"))
-    return assign_shards(slim, shards).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    return dealt.select("doc_id", (F.octet_length(raw) + 1).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
