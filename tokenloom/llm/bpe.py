@@ -17,13 +17,11 @@ import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tokenloom.llm.common import bound_batches
+from tokenloom.llm.common import with_computed
 
 #: Distinct chunks a task remembers before it starts afresh.
 CACHE_CHUNKS = 200_000
@@ -170,37 +168,34 @@ def codec(description: str) -> Codec:
 
 def encode_documents(docs: DataFrame, vocabulary: str, decode: bool = True) -> DataFrame:
     """docs with token_ids array<int> and, with decode, decoded string. vocabulary: path of the tokenizer's JSON file, read once on the driver; its size does not depend on the data."""
-    bound_batches(docs)
     shared = docs.sparkSession.sparkContext.broadcast(open(vocabulary, encoding="utf-8").read())
-    base = docs.drop("token_ids", "decoded")
-    schema = T.StructType([*base.schema.fields, T.StructField("token_ids", T.ArrayType(T.IntegerType())), *([T.StructField("decoded", T.StringType())] if decode else [])])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def start():
         coder = codec(shared.value)
-        for pdf in batches:
-            ids = list(coder.encode(pdf["text"].tolist()))
-            pdf["token_ids"] = [np.frombuffer(x, "<u4").astype(np.int32) for x in ids]
-            if decode:
-                pdf["decoded"] = [coder.decode(x) for x in ids]
-            yield pdf
 
-    return base.mapInPandas(run, schema)
+        def compute(texts: list) -> list:
+            ids = list(coder.encode(texts))
+            return [[np.frombuffer(x, "<u4").astype(np.int32) for x in ids], *([[coder.decode(x) for x in ids]] if decode else [])]
+
+        return compute
+
+    base = docs if decode else docs.drop("decoded")
+    return with_computed(base, ["text"], "token_ids array<int>, decoded string" if decode else "token_ids array<int>", start)
 
 
 def token_digests(docs: DataFrame, vocabulary: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each document: encodes, then decodes from the ids."""
-    bound_batches(docs)
     shared = docs.sparkSession.sparkContext.broadcast(open(vocabulary, encoding="utf-8").read())
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def start():
         coder = codec(shared.value)
-        for pdf in batches:
-            ids = list(coder.encode(pdf["text"].tolist()))
-            yield pd.DataFrame({
-                "doc_id": pdf["doc_id"],
-                "n_tokens": np.array([len(x) // 4 for x in ids], np.int64),
-                "ids_sha256": [hashlib.sha256(x).hexdigest() for x in ids],
-                "decoded_sha256": [hashlib.sha256(coder.decode(x).encode("utf-8", "surrogatepass")).hexdigest() for x in ids],
-            })
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+        def compute(texts: list) -> list:
+            ids = list(coder.encode(texts))
+            decoded = (coder.decode(x).encode("utf-8", "surrogatepass") for x in ids)
+            return [[len(x) // 4 for x in ids], [hashlib.sha256(x).hexdigest() for x in ids], [hashlib.sha256(x).hexdigest() for x in decoded]]
+
+        return compute
+
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return with_computed(slim, ["text"], "n_tokens long, ids_sha256 string, decoded_sha256 string", start, without=("text",))

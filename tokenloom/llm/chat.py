@@ -28,8 +28,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tokenloom.llm.common import bound_batches
-
 START, END = "<|im_start|>", "<|im_end|>"
 #: Tokens of a window, of the history that it may repeat, and of a turn's marks.
 BUDGET, HISTORY, MARKS = 1024, 256, 4
@@ -112,9 +110,7 @@ def format_windows(conversations: DataFrame, budget: int = BUDGET, history: int
         now: Conversation | None = None
         for pdf in batches:
             out: list[tuple] = []
-            ids = pdf["conv_id"].astype(object).tolist()
-            for conv_id, role, text in zip(ids, pdf["role"].tolist(), pdf["text"].tolist(), strict=True):
-                conv_id = None if conv_id is None or conv_id != conv_id else int(conv_id)
+            for conv_id, role, text in zip(map(_id, pdf["conv_id"].tolist()), pdf["role"].tolist(), pdf["text"].tolist(), strict=True):
                 if now is None or now.conv_id != conv_id:
                     out += now.cut(budget, history, True) if now else []
                     now = Conversation(conv_id)
@@ -125,9 +121,13 @@ def format_windows(conversations: DataFrame, budget: int = BUDGET, history: int
         if now:
             yield _frame(list(now.cut(budget, history, True)), names)
 
-    bound_batches(conversations)
     turns = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
-    return turns.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").drop("turn").mapInPandas(run, WINDOW_SCHEMA)
+    return turns.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select(F.col("conv_id").cast("string").alias("conv_id"), "role", "text").mapInPandas(run, WINDOW_SCHEMA)
+
+
+def _id(text: object) -> int | None:
+    """A conversation's number from its text: pandas would round numbers that stand beside a null."""
+    return int(text) if isinstance(text, str) else None
 
 
 def _frame(rows: list[tuple], names: list[str]) -> pd.DataFrame:
@@ -159,8 +159,7 @@ def read_back(windows: DataFrame) -> DataFrame:
 
         for pdf in batches:
             out: list[tuple] = []
-            for conv_id, repeated, text, spans in zip(pdf["conv_id"].astype(object).tolist(), pdf["repeated"].tolist(), pdf["text"].tolist(), pdf["loss"].tolist(), strict=True):
-                conv_id = None if conv_id is None or conv_id != conv_id else int(conv_id)
+            for conv_id, repeated, text, spans in zip(map(_id, pdf["conv_id"].tolist()), pdf["repeated"].tolist(), pdf["text"].tolist(), pdf["loss"].tolist(), strict=True):
                 if conv_id != now:
                     out += row()
                     now, turns, loss, sums = conv_id, hashlib.sha256(), hashlib.sha256(), [0, 0, 0, 0]
@@ -176,7 +175,8 @@ def read_back(windows: DataFrame) -> DataFrame:
             yield frame(out)
         yield frame(row())
 
-    return windows.mapInPandas(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_windows long")
+    slim = windows.select(F.col("conv_id").cast("string").alias("conv_id"), "repeated", "text", "loss")
+    return slim.mapInPandas(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_windows long")
 
 
 def chat_report(conversations: DataFrame) -> DataFrame:

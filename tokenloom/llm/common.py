@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,26 +19,49 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir; only where that is unset, one of our own (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir; where that is unset, one of our own, in local mode alone."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tokenloom-"))
         base = spark.sparkContext.getCheckpointDir()
     return base.rstrip("/")
 
 
-#: Texts that Arrow hands to Python at once: what a worker holds does not grow with the input.
-BATCH_ROWS = 1_000
+#: Rows of an Arrow batch that are turned into Python objects at once; Spark bounds the bytes of the batch itself.
+SLICE_ROWS = 250
 
 
-def bound_batches(df: DataFrame) -> None:
-    """Lowers the session's rows per Arrow batch to BATCH_ROWS, so that long texts don't add up in a worker."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(df.sparkSession.conf.get(key))
-    if now <= 0 or now > BATCH_ROWS:
-        df.sparkSession.conf.set(key, str(BATCH_ROWS))
+def pieces(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+    """The batches, cut to at most so many rows."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
+def with_computed(df: DataFrame, inputs: list[str], fields: str, start: Callable[[], Callable], without: tuple[str, ...] = ()) -> DataFrame:
+    """df without the columns named in without, with fields computed from the columns inputs.
+
+    fields is a schema's text; start() is called once a task and gives a function from the inputs' lists of values to the fields' lists. Other
+    columns stay in Arrow, so that ids keep their value whatever nulls stand beside them. Columns of df that have a
+    field's name are replaced.
+    """
+    made = T.StructType.fromDDL(fields)
+    base = df.drop(*made.names)
+    kept = [n for n in base.columns if n not in without]
+    schema = T.StructType([*[base.schema[n] for n in kept], *made.fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compute, types = start(), [f.type for f in to_arrow_schema(made)]
+        for batch in pieces(batches):
+            columns = compute(*[batch.column(n).to_pylist() for n in inputs])
+            arrays = [c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, types, strict=True)]
+            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in kept], *arrays], names=[*kept, *made.names])
+
+    return base.mapInArrow(run, schema)
 
 
 def materialise(df: DataFrame, *partition_by: str) -> DataFrame:
@@ -43,7 +70,18 @@ def materialise(df: DataFrame, *partition_by: str) -> DataFrame:
     path = f"{shared_folder(spark)}/t-{uuid.uuid4().hex}"
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(df: DataFrame | None) -> None:
+    """Deletes a table of materialise() that nothing reads any more."""
+    path = getattr(df, "written_to", None)
+    if path:
+        spark = df.sparkSession
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def crc_remainder(key: str, modulus: int):

@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tokenloom.llm.common import materialise
+from tokenloom.llm.common import discard, materialise
 
 
 def _signature(edges: DataFrame) -> tuple[int, int]:
@@ -40,7 +40,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if mark == before or not mark[0]:
             return now.select(F.col("a").alias("id"), F.col("b").alias("component")).union(now.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
         before = mark
-        now = materialise(_small_star(_large_star(now)))
+        last, now = now, materialise(_small_star(_large_star(now)))
+        discard(last)
     raise RuntimeError("components did not settle")
 
 

@@ -5,12 +5,14 @@ tasks, and every document's words stream through it in one pass that tracks the
 occurs in an item. Where that length reaches a window, the words of the window are hit.
 
 A benchmark is a fixed set of test items; its size is checked: above MAX_AUTOMATON_WORDS words it is cut into
-slices of whole items, each with its own automaton, and every task streams its documents through the slices one
-after another (the slices lie in the shared folder and are loaded one at a time), so no broadcast grows.
+slices of whole items, read from the benchmark table one at a time, and each takes a pass of its own over the
+documents, so neither the driver nor a broadcast holds more than one slice's automaton. A task builds it once.
 
 Edge cases: null or empty documents have no words and no hits; items without words match nothing; an item of
 fewer words than a window is one window; equal items and repeated rows count by item_id, once each; an item
-whose id is null marks words but is not listed; an empty benchmark leaves every document clean.
+whose id is null marks words but is not listed; an empty benchmark leaves every document clean; decontaminate()
+keeps all columns of docs, those named like find_spans' results too (names that begin with _own_, _span_, _spans,
+_items, _cut_text, _stays or _was_hit are reserved).
 """
 
 from __future__ import annotations
@@ -19,14 +21,13 @@ import hashlib
 import pickle
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tokenloom.llm.common import alnum_words, bound_batches, utf8
+from tokenloom.llm.common import alnum_words, materialise, utf8, with_computed
 
 WINDOW = 10
 #: Words of items in one automaton: about 300 bytes of memory each.
@@ -132,77 +133,80 @@ class SuffixAutomaton:
                         yield at - n, at, (item,)
 
 
-def items_of(benchmark: DataFrame) -> list[list[tuple[str | None, list[bytes]]]]:
-    """Slices of (item_id, words), each of at most MAX_AUTOMATON_WORDS words or one item, ordered by id."""
-    slices: list[list[tuple[str | None, list[bytes]]]] = []
-    held = MAX_AUTOMATON_WORDS
+def slices_of(benchmark: DataFrame) -> Iterator[list[tuple[str | None, list[bytes]]]]:
+    """Slices of (item_id, words), each of at most MAX_AUTOMATON_WORDS words or one item, ordered by id; one at a time."""
+    items: list[tuple[str | None, list[bytes]]] = []
+    held = 0
     rows = benchmark.where("text is not null").select(F.col("item_id").cast("string").alias("item_id"), "text").distinct().orderBy("item_id", "text")
     for r in rows.toLocalIterator():
         words = alnum_words(r["text"])
-        if words:
-            if held + len(words) > MAX_AUTOMATON_WORDS:
-                slices.append([])
-                held = 0
-            slices[-1].append((r["item_id"], words))
-            held += len(words)
-    return slices
+        if not words:
+            continue
+        if items and held + len(words) > MAX_AUTOMATON_WORDS:
+            yield items
+            items, held = [], 0
+        items.append((r["item_id"], words))
+        held += len(words)
+    if items:
+        yield items
 
 
-def _automata(benchmark: DataFrame, window: int):
-    """A function for the tasks that yields the automata one after another."""
-    spark = benchmark.sparkSession
-    slices = items_of(benchmark)
-    if len(slices) <= 1:
-        one = spark.sparkContext.broadcast([pickle.dumps(SuffixAutomaton(s, window)) for s in slices])
-        kept: list[SuffixAutomaton] = []
+FIELDS = "n_words long, hits array<struct<first:int,past:int>>, item_ids array<string>"
 
-        def single() -> Iterator[SuffixAutomaton]:
-            if not kept:
-                kept.extend(pickle.loads(b) for b in one.value)
-            yield from kept
 
-        return [single]
-    shared = [spark.sparkContext.broadcast(pickle.dumps(s)) for s in slices]
+def _pass(docs: DataFrame, items: list[tuple[str | None, list[bytes]]], window: int, without: tuple[str, ...] = ()):
+    """docs with FIELDS for one slice of the benchmark, and the broadcast that the tasks read."""
+    shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(SuffixAutomaton(items, window)))
 
-    def loader(b):
-        return lambda: iter([SuffixAutomaton(pickle.loads(b.value), window)])
+    def start():
+        automaton = pickle.loads(shared.value)  # once a task
 
-    return [loader(b) for b in shared]
+        def compute(texts: list) -> list:
+            counts, hits, ids = [], [], []
+            for text in texts:
+                words = alnum_words(text)
+                spans, found = [], set()
+                for first, past, at in automaton.matches(words):
+                    spans.append((first, past))
+                    found.update(at)
+                counts.append(len(words))
+                hits.append([{"first": a, "past": b} for a, b in joined(spans)])
+                ids.append(sorted({automaton.ids[i] for i in found} - {None}))
+            return [counts, hits, ids]
+
+        return compute
+
+    return with_computed(docs, ["text"], FIELDS, start, without), shared
 
 
 def find_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """docs with n_words, hits array<struct<first, past>> (disjoint, in words) and item_ids, sorted.
+    """docs with n_words, hits array<struct<first, past>> (disjoint, in words) and item_ids, sorted; columns of these names are replaced.
 
-    One pass over the documents for each slice of the benchmark; with the usual single slice, one pass.
+    A benchmark of one slice takes one pass. Of more slices each takes a pass of its own over the numbered documents
+    that leaves only documents with hits, in the shared folder; its automaton is then dropped from all executors.
     """
-    bound_batches(docs)
-    base = docs.drop("n_words", "hits", "item_ids")
-    span = T.ArrayType(T.StructType([T.StructField("first", T.IntegerType()), T.StructField("past", T.IntegerType())]))
-    schema = T.StructType([*base.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("hits", span), T.StructField("item_ids", T.ArrayType(T.StringType()))])
-    loaders = _automata(benchmark, window)
-    found = base.withColumns({"n_words": F.lit(0).cast("long"), "hits": F.array().cast(span), "item_ids": F.array().cast("array<string>")})
-    for loader in loaders or [lambda: iter(())]:
-
-        def run(batches: Iterator[pd.DataFrame], loader=loader) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                counts, hits, ids = [], [], []
-                for text, before, known in zip(pdf["text"].tolist(), pdf["hits"].tolist(), pdf["item_ids"].tolist(), strict=True):
-                    words = alnum_words(text)
-                    spans = [(s["first"], s["past"]) for s in before]
-                    items = set(known)
-                    for automaton in loader():
-                        for first, past, at in automaton.matches(words):
-                            spans.append((first, past))
-                            items.update(automaton.ids[i] for i in at)
-                    counts.append(len(words))
-                    hits.append([{"first": a, "past": b} for a, b in joined(spans)])
-                    ids.append(sorted(i for i in items if i is not None))
-                pdf["n_words"] = np.array(counts, np.int64)
-                pdf["hits"], pdf["item_ids"] = hits, ids
-                yield pdf
-
-        found = found.mapInPandas(run, schema)
-    return found
+    slices = slices_of(benchmark)
+    first, second = next(slices, []), next(slices, None)
+    if second is None:
+        return _pass(docs, first, window)[0]
+    numbered = materialise(docs.drop("n_words", "hits", "item_ids").withColumn("_span_row", F.monotonically_increasing_id()))
+    found = None
+    for items in chain([first, second], slices):
+        rows, shared = _pass(numbered.select("_span_row", "text"), items, window, without=("text",))
+        part = materialise(rows.where(F.size("hits") > 0).drop("n_words"))
+        shared.destroy()
+        found = part if found is None else found.union(part)
+    gathered = found.groupBy("_span_row").agg(F.flatten(F.collect_list("hits")).alias("_spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("_items"))
+    together = numbered.join(gathered, "_span_row", "left").drop("_span_row")
+
+    def start():
+        def compute(texts: list, spans: list, items: list) -> list:
+            own = [joined([(s["first"], s["past"]) for s in x or []]) for x in spans]
+            return [[len(alnum_words(t)) for t in texts], [[{"first": a, "past": b} for a, b in x] for x in own], [x or [] for x in items]]
+
+        return compute
+
+    return with_computed(together, ["text", "_spans", "_items"], FIELDS, start, without=("_spans", "_items"))
 
 
 def joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -240,21 +244,23 @@ def without_spans(text: str, spans: list[tuple[int, int]]) -> str:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_coverage: float = 0.5) -> DataFrame:
     """docs without contaminated words: hit spans (longer than no window) are cut out of the text, and a document of which they cover more than max_coverage goes. n_chars, where there is one, follows the text."""
     columns = docs.columns
-    found = find_spans(docs, benchmark, window)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            texts = []
-            keep = []
-            for text, hits, n in zip(pdf["text"].tolist(), pdf["hits"].tolist(), pdf["n_words"].tolist(), strict=True):
-                spans = [(s["first"], s["past"]) for s in hits]
+    clash = {c: f"_own_{c}" for c in columns if c in ("n_words", "hits", "item_ids")}
+    found = find_spans(docs.withColumnsRenamed(clash), benchmark, window)
+
+    def start():
+        def compute(texts: list, hits: list, lengths: list) -> list:
+            out, keep = [], []
+            for text, found, n in zip(texts, hits, lengths, strict=True):
+                spans = [(s["first"], s["past"]) for s in found]
                 hit = sum(b - a for a, b in spans)
-                keep.append(not hit or hit <= max_coverage * n)
-                texts.append(without_spans(text, spans) if hit and keep[-1] else text)
-            pdf["text"] = texts
-            yield pdf[keep]
+                keep.append(hit <= max_coverage * n)
+                out.append(without_spans(text, spans) if hit and keep[-1] else text)
+            return [out, keep, [bool(x) for x in hits]]
+
+        return compute
 
-    clean = found.mapInPandas(run, found.schema)
+    cut = with_computed(found, ["text", "hits", "n_words"], "_cut_text string, _stays boolean, _was_hit boolean", start, without=("hits", "n_words", "item_ids"))
+    clean = cut.where("_stays").withColumn("text", F.col("_cut_text")).withColumnsRenamed({v: k for k, v in clash.items()})
     if "n_chars" in columns:
-        clean = clean.withColumn("n_chars", F.when(F.size("hits") > 0, F.char_length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+        clean = clean.withColumn("n_chars", F.when(F.col("_was_hit"), F.char_length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
     return clean.select(*columns)

@@ -20,17 +20,14 @@ results are replaced, others are kept.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tokenloom.llm.common import bound_batches, materialise, utf8
+from tokenloom.llm.common import materialise, utf8, with_computed
 
 MAX_LABELLED = 20_000
 MAX_BROADCAST_SITES = 200_000
@@ -69,32 +66,30 @@ def features(text: object) -> list[float]:
 
 def _with_evidence(docs: DataFrame, weights: np.ndarray | None, bias: float, keep: list[str]) -> DataFrame:
     """keep columns of docs, and evidence."""
-    base = docs.select(*dict.fromkeys([*keep, "text"]))
-    schema = T.StructType([*base.select(*keep).schema.fields, T.StructField("evidence", T.DoubleType())])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+    def start():
+        def compute(texts: list) -> list:
             if weights is None:
-                evidence = np.zeros(len(pdf))
-            else:
-                evidence = np.array([features(t) for t in pdf["text"].tolist()]).reshape(-1, len(FEATURES)) @ weights + bias
-                evidence = np.clip(evidence, -MOST_EVIDENCE, MOST_EVIDENCE)
-            yield pdf[keep].assign(evidence=evidence)
+                return [[0.0] * len(texts)]
+            found = np.array([features(t) for t in texts]).reshape(-1, len(FEATURES)) @ weights + bias
+            return [np.clip(found, -MOST_EVIDENCE, MOST_EVIDENCE)]
+
+        return compute
 
-    return base.mapInPandas(run, schema)
+    base = docs.select(*dict.fromkeys([*keep, "text"]))
+    return with_computed(base, ["text"], "evidence double", start, without=() if "text" in keep else ("text",))
 
 
 def fit_evidence(docs: DataFrame, labels: DataFrame, label: str) -> tuple[np.ndarray | None, float]:
     """Weights and bias of the log-likelihood ratio of label 1 against 0; docs: doc_id, text."""
-    marked = labels.where(F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.min(label).cast("int").alias("y"))
+    marked = labels.where(F.col(label).isin(0, 1)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(label).cast("int").alias("y"))
     sample = materialise(marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_LABELLED))
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # at most MAX_LABELLED rows
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id")  # at most MAX_LABELLED rows
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pd.DataFrame({"y": pdf["y"].astype(float), "x": [features(t) for t in pdf["text"].tolist()]})
+    def start():
+        return lambda texts: [[features(t) for t in texts]]
 
-    table = materialise(rows.mapInPandas(run, "y double, x array<double>"))
+    table = materialise(with_computed(rows.select("text", F.col("y").cast("double").alias("y")), ["text"], "x array<double>", start, without=("text",)))
     seen = {r["y"]: r["n"] for r in table.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if len(seen) < 2:
         return None, 0.0
@@ -130,7 +125,6 @@ def site_posteriors(rows: DataFrame, host: str, path: str) -> tuple[DataFrame, f
 
 def score_documents(docs: DataFrame, labels: DataFrame, label: str = "quality", host: str = "source", path: str = "lang") -> DataFrame:
     """docs with evidence, host_posterior, path_posterior, score and kept."""
-    bound_batches(docs)
     base = docs.drop(*RESULTS)
     weights, bias = fit_evidence(base, labels.select("doc_id", label), label)
     prior = labels.where(F.col(label).isin(0, 1)).agg(F.avg(label)).first()[0]

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import os
-
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tokenloom.llm import bpe, chat, cover_tree, decontaminate, language_model, quality, shard, simhash, toxicity, url_filter
@@ -11,8 +10,8 @@ from tokenloom.llm.common import table
 
 
 def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
-    """Place of a public tokenizer's file; TOKENIZERS_DIR overrides the folder."""
-    return os.path.join(os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers"), name)
+    """Place of a public tokenizer's file."""
+    return public_tokenizers.path(name)
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

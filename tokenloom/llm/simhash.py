@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tokenloom.llm.common import bound_batches, materialise, spaced_words
+from tokenloom.llm.common import materialise, spaced_words, with_computed
 from tokenloom.llm.components import components, forest
 
 SEED = 42
@@ -51,16 +51,11 @@ def fingerprint(words: list[bytes], shingle: int) -> int:
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """docs without text, with fp: the fingerprint as a signed long."""
-    bound_batches(docs)
-    base = docs.drop("fp")
-    kept = base.drop("text")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            found = np.array([fingerprint(spaced_words(t), shingle) for t in pdf["text"].tolist()], np.uint64)
-            yield pdf.drop(columns="text").assign(fp=found.view(np.int64))
+    def start():
+        return lambda texts: [np.array([fingerprint(spaced_words(t), shingle) for t in texts], np.uint64).view(np.int64)]
 
-    return base.mapInPandas(run, kept.withColumn("fp", F.lit(0).cast("long")).schema)
+    return with_computed(docs, ["text"], "fp long", start, without=("text",))
 
 
 def _masks(widths: list[tuple[int, int]]) -> list[int]:
@@ -206,14 +201,6 @@ def near_duplicate_groups(docs: DataFrame, key: str = "doc_id", shingle: int = 3
     return _grouped(materialise(fingerprints(docs.select(key, "text"), shingle)), key).select(key, "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, key: str = "doc_id", shingle: int = 3) -> DataFrame:
-    """docs with one row of each group: that of the least key (a null key comes last, then the text's hash decides); of rows that repeat key and text, one stays."""
-    mark = {"_key": F.coalesce(F.col(key).cast("string"), F.lit("")), "_null": F.col(key).isNull(), "_text": F.xxhash64("text")}
-    marked = materialise(fingerprints(docs.select(key, "text", *[c.alias(n) for n, c in mark.items()]), shingle))
-    leaders = _grouped(marked, key).groupBy("component").agg(F.min(F.struct("_null", key, "_text", "_key")).alias("s")).select("s._key", "s._null", "s._text")
-    return docs.withColumns(mark).join(leaders, [*mark], "left_semi").dropDuplicates([*mark]).select(*docs.columns)
-
-
 def near_duplicate_report(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id of every document."""
     found = near_duplicate_groups(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))

@@ -1,442 +1,293 @@
-"""Toxicity (operator 10): nearest labelled examples by exact TF-IDF cosine over all words, and over marking terms.
-
-A bounded sample of labelled training rows (MAX_POSITIVE and MAX_NEGATIVE, chosen by a hash of the id) is the index.
-
- 1. Every document is a TF-IDF vector over all its words; document frequencies are counted over all documents, those
-    of words that no example holds as a table. A document's products with all examples are summed (common words as a
-    matrix product, others from postings), the best are taken again in double precision: the k nearest are exact.
- 2. Besides, the sample picks the terms (whole words, and the first four, five and six characters of longer words)
-    whose presence goes with the label far beyond chance. The same examples as vectors over these terms lie in blocks
-    of BLOCK rows; each term knows its largest weight in each block, and blocks are opened in order of their bound
-    until no block can reach the k best. Votes are weighted by cosine and by how many labelled rows an example of its
-    class stands for, and shrunk towards the labelled share among examples that no marking term touches.
- 3. The first search's share (a neighbour of cosine c speaks with c, the overall share with 1 - c) shifts the second's
-    log odds by its own distance from the overall share.
-
-Edge cases: null and empty texts get the share of examples without marking terms; labels that are null
-do not count, a row labelled twice counts as toxic if it is so once; equal cosines are taken in the order of the index; without
-labels every score is one half; repeated rows score alike; extra columns are kept unless their names are those of the
-results or begin with _word or _rest or are _row.
+"""Toxicity (operator 10): nearest labelled examples by exact TF-IDF cosine over block-max inverted indexes.
+
+ 1. Equal texts of labelled training rows are folded into one example; at most MAX_POSITIVE and MAX_NEGATIVE of them
+    (a hash of the text decides) are the index. Its vocabulary is every word of these examples.
+ 2. Weight of a word in a text: (1 + ln tf) * max(0, ln((N - df + 0.5) / (df + 0.5))), df counted over all N documents;
+    words that half of the documents hold weigh nothing. Vectors have length one.
+ 3. Examples that use alike words (k-means on the driver, over the sample) stand in blocks of BLOCK rows. Postings are by word
+    and block; each word knows its largest weight in each block. A text's bound for a block is the product with these;
+    blocks are opened in order of their bounds until no block can hold one of the NEIGHBOURS nearest, which are
+    therefore exact.
+ 4. Neighbours vote with their cosines. A logistic curve, fitted to the votes that the examples get from all other
+    examples, each weighted by the rows it stands for, turns the share of toxic votes into a calibrated probability.
+
+Edge cases: null and empty texts, and texts without a weighted word of the index, have no neighbour and get the share
+of toxic rows; labels that are null do not count, a text labelled twice counts as toxic if it is so once; equal cosines are taken
+in the order of the index; without labels every score is one half; repeated rows score alike; extra columns are kept
+unless their names are those of the results, which replace them.
 """
 
 from __future__ import annotations
 
+import pickle
 import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-from tokenloom.llm.common import alnum_words, bound_batches, crc_remainder, materialise
-
-#: Bounds of the labelled sample, chosen terms, neighbours, rows in a block, and the cut of a prediction.
-MAX_POSITIVE, MAX_NEGATIVE = 6_000, 12_000
-MAX_TERMS = 4_096
-#: Log-likelihood ratio from which a term is more than chance among a million terms, and least positives that hold it.
-LEAST_G2, LEAST_POSITIVES = 40.0, 5
-#: How much commoner a chosen term is among positives: in a large sample slight differences are beyond chance, too.
-LEAST_LIFT = 3.0
-NEIGHBOURS = 15
-BLOCK = 128
-SHRINK = 0.5
-THRESHOLD = 0.7
-PREFIXES = (4, 5, 6)
-#: Commonest words of the examples whose weights form a dense matrix, queries in one product, and single precision's error in a cosine, far above the true one.
-DENSE_WORDS = 1024
-QUERIES = 250
-SLACK = 1e-4
 
+from tokenloom.llm.common import alnum_words, crc_remainder, materialise, pieces, with_computed
 
-def terms_of(word: bytes) -> list[str]:
-    """A word and its prefixes of PREFIXES characters, marked by a star."""
-    w = word.decode("utf-8", "replace")
-    return [w, *(w[:n] + "*" for n in PREFIXES if len(w) > n)]
+#: Bounds of the labelled sample, neighbours that vote, rows of a block and the cut of a prediction.
+MAX_POSITIVE, MAX_NEGATIVE = 2_000, 4_000
+NEIGHBOURS = 30
+BLOCK = 128
+THRESHOLD = 0.7
+#: Blocks opened at first, and steps and common words of the k-means that puts alike examples into the same blocks.
+FIRST_BLOCKS, CLUSTER_STEPS, CLUSTER_WORDS = 4, 8, 512
+#: Added to both sides of a vote before its log odds.
+SMOOTH = 0.02
+RESULTS = "score double, predicted int, evidence array<struct<doc_id:long,toxic:int,cosine:double>>"
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, training: Column) -> DataFrame:
-    """At most MAX_POSITIVE and MAX_NEGATIVE (doc_id, y, weight) of labelled training rows; weight: rows of the class for each one taken."""
-    marked = labels.where(F.col(label).isin(0, 1) & training).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
-    shares = {r["y"]: r["n"] for r in marked.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    """At most MAX_POSITIVE and MAX_NEGATIVE examples (doc_id, text, y, weight), one for each distinct labelled text; weight: labelled rows of the class for each one that they stand for."""
+    marked = labels.where(F.col(label).isin(0, 1)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(label).cast("int").alias("y"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).where(training)
+    named = rows.select("doc_id", F.sha2("text", 256).alias("h")).join(marked, "doc_id")
+    texts = materialise(named.groupBy("h").agg(F.max("y").alias("y"), F.min("doc_id").alias("doc_id"), F.count("*").alias("n")))
     parts = []
     for y, most in ((1, MAX_POSITIVE), (0, MAX_NEGATIVE)):
-        n = shares.get(y, 0)
-        parts.append(marked.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).withColumn("weight", F.lit(max(1.0, n / most))))
-    return parts[0].union(parts[1])
-
-
-def sketch(text: object) -> bytes:
-    """The six least hashes of a text's words: near copies nearly always share it."""
-    return b"".join(h.to_bytes(4, "big") for h in sorted({zlib.crc32(w) for w in alnum_words(text)})[:6])
-
-
-def distinct_examples(texts: DataFrame) -> DataFrame:
-    """doc_id, y and weight of one example for each sketch and label, so that copies neither choose terms nor vote many times. texts: doc_id, text, y, weight."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pdf[["doc_id", "y", "weight"]].assign(sketch=[sketch(t) for t in pdf["text"].tolist()])
-
-    marked = texts.mapInPandas(run, "doc_id long, y int, weight double, sketch binary")
-    return marked.groupBy("sketch", "y").agg(F.min("doc_id").alias("doc_id"), F.max("weight").alias("weight")).select("doc_id", "y", "weight")
-
-
-def choose_terms(examples: DataFrame) -> list[str]:
-    """Terms that go with y = 1 in the examples (text, y), by log-likelihood ratio; at most MAX_TERMS."""
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        found: tuple[Counter, Counter] = (Counter(), Counter())
-        for pdf in batches:
-            for text, y in zip(pdf["text"].tolist(), pdf["y"].tolist(), strict=True):
-                found[y].update({t for w in set(alnum_words(text)) for t in terms_of(w)})
-        keys = list(found[0].keys() | found[1].keys())
-        if keys:
-            yield pd.DataFrame({"term": keys, "a": [found[1][k] for k in keys], "b": [found[0][k] for k in keys]})
-
-    n1, n0 = (examples.where(f"y = {y}").count() for y in (1, 0))
-    if not n1 or not n0:
-        return []
-    sums = examples.select("text", "y").mapInPandas(count, "term string, a long, b long").groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-
-    def part(seen, expected):
-        return F.when(seen > 0, seen * F.log(seen / expected)).otherwise(0.0)
-
-    a, b = F.col("a").cast("double"), F.col("b").cast("double")
-    share = n1 / (n1 + n0)
-    rest1, rest0 = n1 - a, n0 - b
-    g2 = 2 * (part(a, (a + b) * share) + part(b, (a + b) * (1 - share)) + part(rest1, (rest1 + rest0) * share) + part(rest0, (rest1 + rest0) * (1 - share)))
-    chosen = sums.where((F.col("a") >= LEAST_POSITIVES) & (a / n1 >= LEAST_LIFT * b / n0)).withColumn("g2", g2).where(F.col("g2") >= LEAST_G2)
-    return [r["term"] for r in chosen.orderBy(F.desc("g2"), "term").limit(MAX_TERMS).collect()]
-
-
-class TermCounter:
-    """Finds the chosen terms of texts; words already met are remembered."""
-
-    def __init__(self, terms: list[str]):
-        self.known = {t: i for i, t in enumerate(terms)}
-        self.seen: dict[bytes, tuple[int, ...]] = {}
-
-    def __call__(self, text: object) -> tuple[list[int], list[int]]:
-        """Numbers of the chosen terms, sorted, and how often each occurs in the whole text."""
-        words = alnum_words(text)
-        if len(self.seen) > 200_000:
-            self.seen.clear()
-        seen = self.seen
-        for w in {w for w in words if w not in seen}:  # not set - keys(), which walks all keys
-            seen[w] = tuple(self.known[t] for t in terms_of(w) if t in self.known)
-        found: Counter = Counter()
-        for at in filter(None, map(self.seen.__getitem__, words)):
-            found.update(at)
-        keys = sorted(found)
-        return keys, [found[k] for k in keys]
-
-
-def example_words(texts: DataFrame) -> list[bytes]:
-    """All words of the examples' texts, sorted: as many as the sample holds."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pd.DataFrame({"w": list({w for t in pdf["text"].tolist() for w in alnum_words(t)})}, dtype=object)
-
-    return sorted(texts.select("text").mapInPandas(run, "w binary").distinct().toArrow()["w"].to_pylist())
-
-
-def vectors(docs: DataFrame, terms: list[str], words: list[bytes]) -> DataFrame:
-    """docs without text, with at and tf (numbers of the marking terms and how often each occurs in the whole text), _word and _wtf (the same of all words that examples hold, packed; numbers as steps) and _rest and _rtf (all other words and how often each occurs)."""
-    shared = docs.sparkSession.sparkContext.broadcast((terms, zlib.compress(b" ".join(words), 1)))
-    kept = docs.drop("text", *VECTOR)
-    ints, packed = T.ArrayType(T.IntegerType()), T.BinaryType()
-    kinds = zip(VECTOR, (ints, ints, packed, packed, T.ArrayType(packed), ints), strict=True)
-    schema = T.StructType([*kept.schema.fields, *[T.StructField(n, k) for n, k in kinds]])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        terms, words = shared.value
-        count, known = TermCounter(terms), {w: i for i, w in enumerate(zlib.decompress(words).split())}
-        for pdf in batches:
-            out = []
-            for t in pdf["text"].tolist():
-                found = Counter(alnum_words(t))
-                inside = sorted((known[w], n) for w, n in found.items() if w in known)
-                rest = [w for w in found if w not in known]
-                at, n = (np.array(x, np.int32) for x in (zip(*inside, strict=True) if inside else ((), ())))
-                out.append((*count(t), np.diff(at, prepend=np.int32(0)).tobytes(), n.tobytes(), rest, [found[w] for w in rest]))
-            yield pdf.drop(columns="text").assign(**dict(zip(VECTOR, map(list, zip(*out, strict=True)) if out else [[]] * 6, strict=True)))
-
-    return docs.select(*kept.columns, "text").mapInPandas(run, schema)
-
-
-def numbers(steps: bytes) -> np.ndarray:
-    """Numbers of words from their packed steps."""
-    return np.cumsum(np.frombuffer(steps, np.int32), dtype=np.int32)
-
-
-VECTOR = ("at", "tf", "_word", "_wtf", "_rest", "_rtf")
+        own = texts.where(F.col("y") == y)
+        chosen = own.orderBy("h").limit(most)
+        total, taken = own.agg(F.sum("n")).first()[0] or 0, chosen.agg(F.sum("n")).first()[0] or 0
+        parts.append(chosen.withColumn("weight", F.col("n") * F.lit(total / taken if taken else 1.0)))
+    sample = parts[0].union(parts[1]).select("h", "y", "doc_id", "weight")
+    found = rows.withColumn("h", F.sha2("text", 256)).join(F.broadcast(sample), ["h", "doc_id"])  # at most MAX_POSITIVE + MAX_NEGATIVE rows
+    return found.dropDuplicates(["h"]).select("doc_id", "text", "y", "weight")
+
+
+def document_frequencies(docs: DataFrame, words: list[bytes]) -> tuple[np.ndarray, int]:
+    """Documents that hold each of the words, and the number of documents: one sum for each task and word."""
+    shared = docs.sparkSession.sparkContext.broadcast(zlib.compress(b" ".join(words), 1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = {w: i for i, w in enumerate(zlib.decompress(shared.value).split())}
+        total, n = np.zeros(len(known), np.int64), 0
+        for batch in pieces(batches):
+            texts = batch.column("text").to_pylist()
+            n += len(texts)
+            held = [known[w] for t in texts for w in known.keys() & set(alnum_words(t))] if len(known) < 1000 else [i for t in texts for i in map(known.get, set(alnum_words(t))) if i is not None]
+            total += np.bincount(held, minlength=len(known)) if held else 0
+        t = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, t].astype(np.int32)), pa.array(np.r_[n, total[t]])], names=["t", "n"])
 
+    counted = docs.select("text").mapInArrow(run, "t int, n long").groupBy("t").agg(F.sum("n").alias("n")).toArrow()  # as many rows as the sample has words
+    t, n = counted["t"].to_numpy(), counted["n"].to_numpy()
+    out = np.zeros(len(words), np.int64)
+    out[t[t >= 0]] = n[t >= 0]
+    return out, int(n[t < 0].sum())
 
-def word_frequencies(found: DataFrame, n_words: int) -> np.ndarray:
-    """Documents that hold each of the examples' words."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(n_words, np.int64)
-        for pdf in batches:
-            total += np.bincount(np.concatenate([np.empty(0, np.int32), *map(numbers, pdf["_word"].tolist())]), minlength=n_words)
-        t = np.flatnonzero(total)
-        yield pd.DataFrame({"t": t.astype(np.int32), "n": total[t]})
-
-    counted = found.select("_word").mapInPandas(run, "t int, n long").groupBy("t").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(n_words, np.int64)
-    out[counted["t"].to_numpy()] = counted["n"].to_numpy()
-    return out
-
-
-def rest_squares(found: DataFrame, n_docs: int) -> DataFrame:
-    """_row and _restsq: squared weight of a document's words that no example holds, by a join with their document frequencies."""
-    rest = found.select("_row", F.explode(F.arrays_zip(F.col("_rest").alias("w"), F.col("_rtf").alias("n"))).alias("r")).select("_row", F.col("r.w").alias("w"), F.col("r.n").alias("n"))
-    df = rest.groupBy("w").agg(F.count("*").alias("df"))
-    weight = (1 + F.log("n")) * (F.log((1.0 + n_docs) / (1 + F.col("df"))) + 1)
-    return rest.join(df, "w").groupBy("_row").agg(F.sum(weight * weight).alias("_restsq"))
-
-
-class WordIndex:
-    """Examples' unit vectors over all their words, by row and (but for the DENSE_WORDS commonest words) by word."""
-
-    def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]], idf: np.ndarray):
-        self.idf, self.n = idf, len(rows)
-        self.first = np.cumsum([0, *[len(at) for at, _ in rows]])
-        self.col = np.concatenate([np.empty(0, np.int32), *[at for at, _ in rows]]).astype(np.int32)
-        self.tf = np.concatenate([np.empty(0, np.int32), *[tf for _, tf in rows]]).astype(np.int32)
-        self.matrix: np.ndarray | None = None
-
-    def __getstate__(self) -> tuple:
-        """Words and counts only, packed: each executor keeps a copy of what travels."""
-        return self.n, self.first, *[zlib.compress(x.tobytes(), 1) for x in (np.diff(self.col, prepend=np.int32(0)), self.tf, self.idf)]
-
-    def __setstate__(self, state: tuple) -> None:
-        self.n, self.first = state[:2]
-        steps, self.tf, self.idf = (np.frombuffer(zlib.decompress(x), kind) for x, kind in zip(state[2:], (np.int32, np.int32, np.float64), strict=True))
-        self.col, self.matrix = np.cumsum(steps, dtype=np.int32), None
-
-    def build(self) -> None:
-        """Unit weights, postings of the rarer words and place of the commonest; made where they are used."""
-        weight = (1 + np.log(self.tf)) * self.idf[self.col]
-        row = np.repeat(np.arange(self.n, dtype=np.int32), np.diff(self.first))
-        self.weight = weight / np.sqrt(np.bincount(row, weight * weight, self.n))[row]
-        common = np.argsort(-np.bincount(self.col, minlength=len(self.idf)), kind="stable")[:DENSE_WORDS]
-        self.place = np.full(len(self.idf), -1, np.int32)
-        self.place[common] = np.arange(len(common), dtype=np.int32)
-        rare = self.place[self.col] < 0
-        order = np.argsort(self.col[rare], kind="stable")
-        self.post_row, self.post_weight = row[rare][order], self.weight[rare][order]
-        self.post_first = np.searchsorted(self.col[rare][order], np.arange(len(self.idf) + 1))
-
-    def dense(self) -> np.ndarray:
-        """The common words' weights, a column for each example; made where it is used."""
-        if self.matrix is None:
-            self.build()
-            self.matrix = np.zeros((int(self.place.max(initial=-1)) + 1, self.n), np.float32)
-            use = self.place[self.col] >= 0
-            self.matrix[self.place[self.col[use]], np.repeat(np.arange(self.n), np.diff(self.first))[use]] = self.weight[use]
-        return self.matrix
-
-    def nearest(self, texts: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[tuple[np.ndarray, np.ndarray, float]]:
-        """For each text (numbers and counts of its words): the k examples of largest positive product, their products with the text's vector before it is made a unit, and that vector's squared length."""
-        dense = self.dense()
-        q = [(1 + np.log(tf)) * self.idf[at] for at, tf in texts]
-        common = np.zeros((len(texts), len(dense)), np.float32)
-        for i, (at, _) in enumerate(texts):
-            use = self.place[at] >= 0
-            common[i, self.place[at[use]]] = q[i][use]
-        scores = common @ dense
-        whole = np.zeros(len(self.idf))
-        out = []
-        for (at, _), w, score in zip(texts, q, scores, strict=True):
-            square = float(w @ w)
-            if not square or not self.n:
-                out.append((np.empty(0, np.int64), np.empty(0), square))
-                continue
-            rare = self.place[at] < 0
-            start, size = self.post_first[at[rare]], self.post_first[at[rare] + 1] - self.post_first[at[rare]]
-            if size.sum():
-                post = np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())
-                score = score + np.bincount(self.post_row[post], self.post_weight[post] * np.repeat(w[rare], size), self.n)
-            least = np.partition(score, self.n - k)[self.n - k] if self.n > k else 0.0
-            near = np.flatnonzero(score >= least - SLACK * np.sqrt(square))
-            near = near[score[near] > 0]
-            whole[at] = w
-            sizes = self.first[near + 1] - self.first[near]
-            part = np.repeat(self.first[near] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
-            product = np.bincount(np.repeat(np.arange(len(near)), sizes), whole[self.col[part]] * self.weight[part], len(near))
-            whole[at] = 0
-            best = np.argsort(-product, kind="stable")[:k]
-            out.append((near[best], product[best], square))
-        return out
+def inverse_frequency(df: np.ndarray, n_docs: int) -> np.ndarray:
+    return np.maximum(0.0, np.log((n_docs - df + 0.5) / (df + 0.5)))
 
 
 class BlockMaxIndex:
-    """Examples' unit vectors as postings by term, in blocks of neighbouring rows with each term's largest weight. Rows of one main term should stand together, which keeps the bounds tight."""
-
-    def __init__(self, rows: list[tuple[list[int], list[int]]], idf: np.ndarray):
-        self.idf = idf
-        self.blocks = -(-len(rows) // BLOCK)
-        term, row, weight = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)]
-        for n, (at, tf) in enumerate(rows):
-            at = np.array(at, np.int64)
-            term.append(at)
-            row.append(np.full(len(at), n))
-            weight.append(self.unit(at, np.array(tf, np.float64)))
-        term, row, weight = (np.concatenate(x) for x in (term, row, weight))
-        order = np.lexsort((row, term))
-        self.row, self.weight = row[order], weight[order]
-        #: start of each (term, block) among the postings
-        self.first = np.searchsorted(term[order] * (self.blocks + 1) + row[order] // BLOCK, np.arange(len(idf))[:, None] * (self.blocks + 1) + np.arange(self.blocks + 1))
-        self.largest = np.zeros((len(idf), self.blocks))
-        np.maximum.at(self.largest, (term, row // BLOCK), weight)
-
-    def unit(self, at: np.ndarray, tf: np.ndarray) -> np.ndarray:
-        w = (1 + np.log(tf)) * self.idf[at]
-        return w / np.sqrt((w * w).sum())
-
-    def nearest(self, at: list[int], tf: list[int], k: int) -> tuple[np.ndarray, np.ndarray]:
-        """k examples of largest positive cosine, exact: a block stays closed only if its bound does not exceed the k-th cosine found (by more than rounding). Among equal cosines the blocks of larger bound come first."""
-        at = np.array(at, np.int64)
-        q = self.unit(at, np.array(tf, np.float64))
+    """Unit vectors of the examples as postings by word and block, with each word's largest weight in each block."""
+
+    def __init__(self, texts: list, words: list[bytes], idf: np.ndarray):
+        self.words, self.idf = words, idf
+        self.known = {w: i for i, w in enumerate(words)}
+        found = [self.vector(t) for t in texts]
+        self.order = self._alike(found)
+        self.n, self.blocks = len(found), max(1, -(-len(found) // BLOCK))
+        found = [found[i] for i in self.order]
+        sizes = [len(at) for at, _ in found]
+        word = np.concatenate([np.empty(0, np.int64), *[at for at, _ in found]])
+        weight = np.concatenate([np.empty(0), *[w for _, w in found]])
+        row = np.repeat(np.arange(self.n), sizes)
+        order = np.lexsort((row, word))
+        self.row, self.weight = row[order].astype(np.int32), weight[order]
+        cell = word * self.blocks + row // BLOCK
+        #: where each (word, block) starts among the postings
+        self.first = np.r_[0, np.cumsum(np.bincount(cell, minlength=len(words) * self.blocks))].astype(np.int32)
+        largest = np.zeros(len(words) * self.blocks)
+        np.maximum.at(largest, cell, weight)
+        self.largest = largest.reshape(len(words), self.blocks)
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "known"}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self.known = {w: i for i, w in enumerate(self.words)}
+
+    def vector(self, text: object) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the text's words, sorted, and their weights; words that weigh nothing are left out."""
+        counts = Counter(filter(None.__ne__, map(self.known.get, alnum_words(text))))
+        at = np.fromiter(counts.keys(), np.int64, len(counts))
+        w = (1 + np.log(np.fromiter(counts.values(), np.float64, len(counts)))) * self.idf[at]
+        order = np.argsort(at)
+        at, w = at[order], w[order]
+        at, w = at[w > 0], w[w > 0]
+        return at, w / np.sqrt((w * w).sum()) if len(w) else w
+
+    def _alike(self, found: list) -> np.ndarray:
+        """An order of the examples in which those with alike common words stand together."""
+        common = np.argsort(-np.bincount(np.concatenate([np.empty(0, np.int64), *[at for at, _ in found]]), minlength=len(self.words)), kind="stable")[:CLUSTER_WORDS]
+        place = np.full(len(self.words), -1)
+        place[common] = np.arange(len(common))
+        x = np.zeros((len(found), len(common) + 1))
+        for i, (at, w) in enumerate(found):
+            use = place[at] >= 0
+            x[i, place[at[use]]] = w[use]
+        x /= np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-12)
+        centres = x[:: max(1, BLOCK)].copy()
+        label = np.zeros(len(x), np.int64)
+        for _ in range(CLUSTER_STEPS if len(x) else 0):
+            label = (x @ centres.T).argmax(axis=1)
+            for c in range(len(centres)):
+                if (label == c).any():
+                    centres[c] = x[label == c].mean(axis=0)
+            centres /= np.maximum(np.sqrt((centres * centres).sum(axis=1, keepdims=True)), 1e-12)
+        # clusters whose centres are alike stand side by side
+        beside = np.argsort(np.argsort(centres @ centres[0])) if len(x) else np.empty(0, np.int64)
+        return np.lexsort((np.arange(len(x)), label, beside[label])) if len(x) else np.empty(0, np.int64)
+
+    def _scores(self, at: np.ndarray, q: np.ndarray, blocks: np.ndarray) -> np.ndarray:
+        """Cosines with all examples; those outside the blocks stay zero."""
+        cell = (at[:, None] * self.blocks + blocks[None]).ravel()
+        start = self.first[cell]
+        size = self.first[cell + 1] - start
+        use = size > 0
+        start, size = start[use], size[use]
+        if not len(size):
+            return np.zeros(self.n)
+        post = np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())
+        return np.bincount(self.row[post], self.weight[post] * np.repeat(np.repeat(q, len(blocks))[use], size), self.n)
+
+    def nearest(self, at: np.ndarray, q: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and cosines of the k examples of largest positive cosine, exact; without: a row that is not asked."""
+        if not len(at) or not self.n:
+            return np.empty(0, np.int64), np.empty(0)
         bound = q @ self.largest[at]
         order = np.argsort(-bound, kind="stable")
         order = order[bound[order] > 0]
-        rows, scores = np.empty(0, np.int64), np.empty(0)
-        for b in order.tolist():
-            if len(rows) >= k and bound[b] <= scores[-1] + 1e-9:
+        score, opened, floor = np.zeros(self.n), 0, -1.0
+        while opened < len(order):
+            # a block stays closed if its bound is below the k-th cosine found by more than rounding
+            open_ = order[opened : max(FIRST_BLOCKS, 2 * opened)]
+            open_ = open_[bound[open_] >= floor - 1e-9]
+            if not len(open_):
                 break
-            score = np.zeros(BLOCK)
-            for t, w in zip(at.tolist(), q.tolist(), strict=True):
-                s, e = self.first[t, b], self.first[t, b + 1]
-                if e > s:
-                    score[self.row[s:e] - b * BLOCK] += w * self.weight[s:e]
-            place = np.flatnonzero(score if len(rows) < k else score > scores[-1])
-            if len(place):
-                rows = np.r_[rows, b * BLOCK + place]
-                scores = np.r_[scores, score[place]]
-                best = np.argsort(-scores, kind="stable")[:k]
-                rows, scores = rows[best], scores[best]
-        return rows, scores
+            score += self._scores(at, q, open_)
+            opened += len(open_)
+            if without >= 0:
+                score[without] = 0
+            floor = np.partition(score, self.n - k)[self.n - k] if self.n > k else 0.0
+            floor = floor if floor > 0 else -1.0
+        near = np.flatnonzero(score >= max(floor, 1e-300))
+        near = near[np.argsort(-score[near], kind="stable")][:k]
+        return near, score[near]
 
 
-def log_odds(p: float) -> float:
-    p = min(max(p, 1e-9), 1 - 1e-9)
-    return float(np.log(p / (1 - p)))
+def log_odds(p):
+    return np.log(p / (1 - p))
 
 
 class Model:
-    """Index of the examples over marking terms, laws of both votes and the examples of the search over all words."""
-
-    def __init__(self, index: BlockMaxIndex, y: np.ndarray, weight: np.ndarray, untouched: float, overall: float, all_y: np.ndarray, all_weight: np.ndarray, ids: np.ndarray):
-        self.index, self.y, self.weight, self.untouched, self.overall = index, y, weight, untouched, overall
-        self.all_y, self.all_weight, self.ids = all_y, all_weight, ids
-
-    def marked(self, at, tf) -> float:
-        """Share of toxic votes among the nearest over marking terms."""
-        if not len(at) or not len(self.y):
-            return self.untouched
-        rows, cosine = self.index.nearest(at, tf, NEIGHBOURS)
-        vote = cosine * self.weight[rows]
-        return float(((vote * self.y[rows]).sum() + SHRINK * self.untouched) / (vote.sum() + SHRINK))
-
-    def marker(self):
-        known: dict[tuple, float] = {}
-
-        def marked(at, tf) -> float:
-            key = (tuple(at), tuple(tf))
-            if key not in known:
-                if len(known) > 50_000:
-                    known.clear()
-                known[key] = self.marked(at, tf)
-            return known[key]
-
-        return marked
-
-    def score(self, marked: float, rows: np.ndarray, cosine: np.ndarray) -> float:
-        if not len(rows):
-            return marked
-        weight = self.all_weight[rows]
-        near = (weight * (cosine * self.all_y[rows] + (1 - cosine) * self.overall)).sum() / weight.sum()
-        return float(1 / (1 + np.exp(-(log_odds(marked) + log_odds(near) - log_odds(self.overall)))))
-
-
-def _fit(docs: DataFrame, labels: DataFrame, label: str, training: Column | None) -> tuple[DataFrame, Model, WordIndex, int]:
-    """The written vectors of docs (all columns but text, with _row), the model, the examples over all words and the number of docs. training: rows whose labels may be learned from, in terms of doc_id."""
-    bound_batches(docs)
-    training = F.lit(True) if training is None else training
-    sample = materialise(labelled_sample(docs, labels.select("doc_id", label), label, F.coalesce(training, F.lit(True))))
-    texts = materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id"))  # at most MAX_POSITIVE + MAX_NEGATIVE rows
-    sample = materialise(distinct_examples(texts))
-    kept_texts = texts.drop("y", "weight").join(F.broadcast(sample), "doc_id")
-    terms, words = choose_terms(kept_texts), example_words(kept_texts)
-    found = materialise(vectors(docs.withColumn("_row", F.monotonically_increasing_id()), terms, words))
-    n_docs = found.count()
-    df = dict(found.select(F.explode("at").alias("t")).groupBy("t").agg(F.count("*").alias("n")).collect())  # at most MAX_TERMS rows
-    idf = np.log((1 + n_docs) / (1 + np.array([df.get(i, 0) for i in range(len(terms))], np.float64))) + 1
-    word_idf = np.log((1 + n_docs) / (1 + word_frequencies(found, len(words)).astype(np.float64))) + 1
-    examples = found.select("doc_id", "at", "tf", "_word", "_wtf").join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id", "_word", "_wtf"]).orderBy("doc_id", "_word", "_wtf").collect()  # at most the sample, packed
-    share, everyone = [0.0, 0.0], [0.0, 0.0]
-    for r in examples:
-        everyone[r["y"]] += r["weight"]
-        if not r["at"]:
-            share[r["y"]] += r["weight"]
-    overall = (everyone[1] + 0.5) / (sum(everyone) + 1)
-    untouched = (share[1] + overall) / (sum(share) + 1)
-    kept = sorted((r for r in examples if r["at"]), key=lambda r: (max(zip(((1 + np.log(r["tf"])) * idf[r["at"]]).tolist(), r["at"], strict=True)), r["doc_id"]))
-    index = BlockMaxIndex([(r["at"], r["tf"]) for r in kept], idf)
-    worded = [r for r in examples if r["_word"]]
-    model = Model(index, np.array([r["y"] for r in kept], np.int64), np.array([r["weight"] for r in kept]), float(untouched), float(overall), np.array([r["y"] for r in worded], np.float64), np.array([r["weight"] for r in worded]), np.array([r["doc_id"] for r in worded], np.int64))
-    return found, model, WordIndex([(numbers(r["_word"]), np.frombuffer(r["_wtf"], np.int32)) for r in worded], word_idf), n_docs
-
-
-def score_documents(docs: DataFrame, labels: DataFrame, label: str = "toxic", training: Column | None = None) -> DataFrame:
-    """docs without text, with score, predicted and evidence (ids and cosines of the nearest examples over all words)."""
-    found, model, words, n_docs = _fit(docs.drop("score", "predicted", "evidence"), labels, label, training)
-    shared, index = (docs.sparkSession.sparkContext.broadcast(x) for x in (model, words))
-    base = found.drop(*VECTOR, "_row")
-    names = base.columns
-    search = T.StructType([*base.schema.fields, T.StructField("_row", T.LongType()), T.StructField("_marked", T.DoubleType()), T.StructField("_near", T.ArrayType(T.LongType())), T.StructField("_product", T.ArrayType(T.DoubleType())), T.StructField("_square", T.DoubleType())])
-    evidence = T.ArrayType(T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("cosine", T.DoubleType())]))
-    schema = T.StructType([*base.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()), T.StructField("evidence", evidence)])
-
-    def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        marked, words = shared.value.marker(), index.value
-        for whole in batches:
-            for s in range(0, len(whole), QUERIES):
-                pdf = whole.iloc[s : s + QUERIES]
-                out = words.nearest([(numbers(a), np.frombuffer(n, np.int32)) for a, n in zip(pdf["_word"].tolist(), pdf["_wtf"].tolist(), strict=True)], NEIGHBOURS)
-                votes = [marked(at, tf) for at, tf in zip(pdf["at"].tolist(), pdf["tf"].tolist(), strict=True)]
-                yield pdf.drop(columns=[c for c in VECTOR if c in pdf]).assign(_marked=votes, _near=[o[0] for o in out], _product=[o[1] for o in out], _square=[o[2] for o in out])
-
-    def vote(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = shared.value
-        for pdf in batches:
-            length = np.sqrt(pdf["_square"].to_numpy() + pdf["_restsq"].to_numpy())
-            cosines = [p / n if n else p for p, n in zip(pdf["_product"].tolist(), length.tolist(), strict=True)]
-            near = [np.asarray(r, np.int64) for r in pdf["_near"].tolist()]
-            scores = [model.score(m, r, c) for m, r, c in zip(pdf["_marked"].tolist(), near, cosines, strict=True)]
-            told = [[{"doc_id": int(model.ids[r]), "cosine": float(c)} for r, c in zip(rs, cs, strict=True)] for rs, cs in zip(near, cosines, strict=True)]
-            yield pdf[names].assign(score=scores, predicted=np.array([s >= THRESHOLD for s in scores], np.int32), evidence=told)
-
-    searched = materialise(found.select(*names, "_row", "at", "tf", "_word", "_wtf").mapInPandas(nearest, search))
-    joined = searched.join(rest_squares(found, n_docs), "_row", "left").na.fill(0.0, ["_restsq"])
-    return joined.mapInPandas(vote, schema)
+    """The index, its labels and the curve from votes to probabilities."""
+
+    def __init__(self, index: BlockMaxIndex, ids: np.ndarray, y: np.ndarray, weight: np.ndarray):
+        self.index, self.ids, self.y = index, ids[index.order], y[index.order]
+        weight = weight[index.order]
+        total = weight.sum()
+        self.share = float((weight[self.y == 1].sum() + 0.5) / (total + 1)) if total else 0.5
+        self.slope, self.start = 0.0, float(log_odds(self.share))
+
+    def calibrate(self, votes: np.ndarray, weight: np.ndarray) -> None:
+        """Fits the curve to the share of toxic votes that each example gets from the others (negative: no neighbour)."""
+        use = votes >= 0
+        if len(set(self.y[use].tolist())) < 2:
+            return
+        x = np.c_[np.ones(use.sum()), log_odds((votes[use] + SMOOTH) / (1 + 2 * SMOOTH))]
+        y, w = self.y[use], weight[self.index.order][use]
+        w = w / w.sum()
+        beta = np.array([self.start, 0.0])
+        for _ in range(50):
+            p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
+            gradient = x.T @ (w * (y - p)) - 1e-5 * np.array([0, beta[1]])
+            step = np.linalg.solve((x * (w * p * (1 - p))[:, None]).T @ x + np.diag([1e-9, 1e-5]), gradient)
+            beta += np.clip(step, -2, 2)
+            if np.abs(step).max() < 1e-10:
+                break
+        if beta[1] > 0:
+            self.start, self.slope = float(beta[0]), float(beta[1])
+
+    def vote(self, rows: np.ndarray, cosine: np.ndarray) -> float:
+        return float((cosine * self.y[rows]).sum() / cosine.sum()) if len(rows) else -1.0
+
+    def score(self, vote: float) -> float:
+        if vote < 0:
+            return self.share
+        return float(1 / (1 + np.exp(-(self.start + self.slope * log_odds((vote + SMOOTH) / (1 + 2 * SMOOTH))))))
+
+
+def fit(docs: DataFrame, labels: DataFrame, label: str, training: Column | None):
+    """A broadcast of the pickled model. training: rows whose labels may be learned from, in terms of doc_id."""
+    spark = docs.sparkSession
+    training = F.lit(True) if training is None else F.coalesce(training, F.lit(True))
+    examples = labelled_sample(docs, labels.select("doc_id", label), label, training).orderBy("doc_id", "text").toArrow()  # the bounded sample
+    texts, y, weight = examples["text"].to_pylist(), examples["y"].to_numpy().astype(np.int64), examples["weight"].to_numpy()
+    words = sorted({w for t in texts for w in alnum_words(t)})
+    df, n_docs = document_frequencies(docs, words)
+    index = BlockMaxIndex(texts, words, inverse_frequency(df, n_docs))
+    model = Model(index, examples["doc_id"].to_numpy(), y, weight)
+    shared = spark.sparkContext.broadcast(zlib.compress(pickle.dumps(model), 1))
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = pickle.loads(zlib.decompress(shared.value))
+        place = np.argsort(model.index.order)
+        for batch in pieces(batches):
+            numbers, texts = batch.column("n").to_pylist(), batch.column("text").to_pylist()
+            votes = [model.vote(*model.index.nearest(*model.index.vector(t), NEIGHBOURS, int(place[n]))) for n, t in zip(numbers, texts, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), pa.array(votes, pa.float64())], names=["n", "vote"])
+
+    if len(set(y.tolist())) == 2:
+        tasks = max(1, min(64, len(texts) // 100))
+        asked = spark.createDataFrame(pa.table({"n": pa.array(range(len(texts)), pa.int64()), "text": texts})).repartition(tasks)
+        found = asked.mapInArrow(ask, "n long, vote double").toArrow()
+        votes = np.empty(len(texts))
+        votes[found["n"].to_numpy()] = found["vote"].to_numpy()
+        model.calibrate(votes[index.order], weight)
+        shared.destroy()
+        shared = spark.sparkContext.broadcast(zlib.compress(pickle.dumps(model), 1))
+    return shared
+
+
+def score_documents(docs: DataFrame, labels: DataFrame, label: str = "toxic", training: Column | None = None, without: tuple[str, ...] = ()) -> DataFrame:
+    """docs (but the columns named in without) with score, predicted and evidence: the nearest examples, their labels and cosines."""
+    shared = fit(docs, labels, label, training)
+
+    def start():
+        model = pickle.loads(zlib.decompress(shared.value))
+
+        def compute(texts: list) -> list:
+            scores, told = [], []
+            for t in texts:
+                rows, cosine = model.index.nearest(*model.index.vector(t), NEIGHBOURS)
+                scores.append(model.score(model.vote(rows, cosine)))
+                told.append([{"doc_id": i, "toxic": y, "cosine": c} for i, y, c in zip(model.ids[rows].tolist(), model.y[rows].tolist(), cosine.tolist(), strict=True)])
+            return [scores, [int(s >= THRESHOLD) for s in scores], told]
+
+        return compute
+
+    return with_computed(docs, ["text"], RESULTS, start, without)
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, label: str = "toxic", training: Column | None = None) -> DataFrame:
     """docs, all columns, whose score is below THRESHOLD."""
-    mark = {"_key": F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "_null": F.col("doc_id").isNull(), "_text": F.sha2(F.coalesce("text", F.lit("")), 256)}
-    scored = score_documents(docs.select("doc_id", "text", *[c.alias(n) for n, c in mark.items()]), labels, label, training)
-    toxic = materialise(scored.where("predicted = 1").select(*mark).distinct())
-    return docs.withColumns(mark).join(toxic, [*mark], "left_anti").select(*docs.columns)
+    clash = {c: f"_own_{c}" for c in docs.columns if c in ("score", "predicted", "evidence")}
+    scored = score_documents(docs.withColumnsRenamed(clash), labels, label, training).where("predicted = 0").drop("score", "predicted", "evidence")
+    return scored.withColumnsRenamed({v: k for k, v in clash.items()}).select(*docs.columns)
 
 
 def toxicity_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score and predicted of every document; labels of rows whose crc32(doc_id as text) mod 3 is 1 are not learned from."""
-    scored = score_documents(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), labels, training=crc_remainder("doc_id", 3) != 1)
-    return scored.select("doc_id", F.coalesce(crc_remainder("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "score", "predicted")
+    """doc_id, held_out, score, predicted and evidence of every document; labels of rows whose crc32(doc_id as text) mod 3 is 1 are not learned from."""
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    scored = score_documents(slim, labels, training=crc_remainder("doc_id", 3) != 1, without=("text",))
+    return scored.select("doc_id", F.coalesce(crc_remainder("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "score", "predicted", "evidence")
