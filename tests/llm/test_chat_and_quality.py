@@ -113,3 +113,12 @@ def test_held_out_and_empty(spark):
     assert right > 0.95
     assert quality.score_documents(docs.limit(0), labels).count() == 0
     assert all(r["kept"] for r in quality.score_documents(docs, labels.limit(0)).collect())
+
+
+def test_neighbouring_long_ids_stay_apart(spark):
+    big = 2**53
+    rows = [(c, t, "assistant" if t else "user", f"{c} {t}") for c in (big, big + 1, None, big + 3) for t in range(3)]
+    got = {r["conv_id"]: (r["n_turns"], r["turns_sha256"]) for r in chat.chat_report(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1)).collect()}
+    assert set(got) == {big, big + 1, None, big + 3, -1}
+    for c in (big, big + 1, None, big + 3):
+        assert got[c] == plain_chat([(r, x) for i, _, r, x in rows if i == c])[:2]

@@ -2,11 +2,11 @@
 
 import re
 
+import numpy as np
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from test_simhash import plain_components, plain_fingerprint
-from tokenloom.llm import quality, simhash, toxicity
+from tokenloom.llm import near_copies, quality, toxicity
 from tokenloom.llm.common import materialise, table
 from tokenloom.llm.queries import vocabulary_path
 
@@ -43,6 +43,57 @@ def plain_clean(text, windows, short):
     return out + (text or "")[last:] if hit else text
 
 
+def plain_shingles(text):
+    words = low(text).split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def plain_leaders(ids, texts, similarity=0.8):
+    """Least ids of the groups that five-word Jaccard similarities of all pairs make."""
+    sets = [plain_shingles(t) for t in texts]
+    label = list(range(len(ids)))
+
+    def root(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    for i in range(len(ids)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both >= similarity * (len(sets[i]) + len(sets[j]) - both):
+                label[root(i)] = root(j)
+    groups = {}
+    for i in range(len(ids)):
+        groups.setdefault(root(i), []).append(ids[i])
+    return sorted(min(g) for g in groups.values())
+
+
+def test_near_copies_against_all_pairs(spark):
+    """Nearly every pair of similarity 0.8 or more is found, none below it, long runs of one block too."""
+    rng = np.random.default_rng(15)
+    words = [f"w{i}" for i in range(3000)]
+    texts, base = [], [list(rng.choice(words, 120)) for _ in range(60)]
+    for b in base:
+        for changes in (0, 1, 1, 2, 4, 9):
+            t = list(b)
+            for at in rng.choice(len(t), changes, replace=False):
+                t[at] = str(rng.choice(words))
+            texts.append(" ".join(t))
+    hot = list(rng.choice(words, 200))
+    for _ in range(120):
+        t = list(hot)
+        t[rng.integers(200)] = str(rng.choice(words))
+        texts.append(" ".join(t))
+    order = rng.permutation(len(texts))
+    docs = spark.createDataFrame([(int(i), t) for i, t in zip(order, texts, strict=True)], "doc_id long, text string")
+    got = {r["doc_id"] for r in near_copies.keep_one(docs).collect()}
+    want = set(plain_leaders(order.tolist(), texts))
+    gone = len(texts) - len(want)
+    assert len(got) >= len(want) and len(texts) - len(got) >= 0.97 * gone
+    assert len({r["doc_id"] for r in near_copies.keep_one(docs.where("doc_id < 0")).collect()}) == 0
+
+
 def test_each_stage(spark):
     docs = table(spark, FOLDER, "documents").cache()
     columns = docs.columns
@@ -55,7 +106,7 @@ def test_each_stage(spark):
     one = materialise(corpus_pipeline.near_duplicate_stage(spark, civil, FOLDER))
     rows = civil.collect()
     ids = [r["doc_id"] for r in rows]
-    assert sorted(r["doc_id"] for r in one.collect()) == sorted(set(plain_components(ids, [plain_fingerprint(r["text"]) for r in rows])))
+    assert sorted(r["doc_id"] for r in one.collect()) == plain_leaders(ids, [r["text"] for r in rows])
     clean = materialise(corpus_pipeline.decontamination_stage(spark, one, FOLDER))
     items = [WORD.findall(low(r["text"])) for r in table(spark, FOLDER, "benchmark").collect()]
     windows = {tuple(w[i : i + 10]) for w in items for i in range(len(w) - 9)}
@@ -74,10 +125,10 @@ def test_one_row_of_each_group(spark):
     text = "one two three four five six seven eight nine ten"
     rows = [(5, text, 1), (3, text.upper(), 2), (3, text.upper(), 3), (None, text, 4), (None, "quite another text of its own", 5), (None, "quite another text of its own", 6), (7, None, 7), (8, "", 8), (9, "x " * 50000, 9)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, fp long")
-    got = simhash.keep_one(docs)
+    got = near_copies.keep_one(docs)
     assert got.columns == docs.columns
     assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=str) == sorted([(3, text.upper()), (None, rows[4][1]), (7, None), (9, "x " * 50000)], key=str)
-    assert simhash.keep_one(docs.limit(0)).count() == 0
+    assert near_copies.keep_one(docs.limit(0)).count() == 0
 
 
 def test_stages_take_empty_and_odd_tables(spark):

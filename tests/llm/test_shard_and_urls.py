@@ -31,7 +31,7 @@ def test_matrix_is_hypergeometric():
     counts = np.array([30, 0, 50, 20])
     drawn = np.array([shard.communication_matrix(counts, 4, s) for s in range(3000)])
     assert (drawn.sum(axis=2) == counts).all() and (drawn.sum(axis=1) == shard.shard_sizes(100, 4)).all()
-    mean = counts[:, None] * 25 / 100
+    mean = counts[:, None] * 25 / 100  # numpy's own sampler draws from the same law
     variance = mean * (1 - 25 / 100) * (100 - counts[:, None]) / 99
     assert np.abs(drawn.mean(axis=0) - mean).max() < 0.2
     assert np.abs(drawn.var(axis=0) - variance).max() < 0.5
@@ -77,7 +77,7 @@ def test_hosts_paths_rules(spark):
         host, path = plain(u)
         rule, verdict = plain_rule(host, path)
         assert (got[i]["host"], got[i]["path"], got[i]["rule"]) == (host, path, rule), u
-        assert got[i]["verdict"] == (verdict or "allow")
+        assert got[i]["verdict"] == (verdict or ("block" if got[i]["score"] >= url_filter.THRESHOLD else "allow"))
     assert url_filter.url_report(pages.limit(0)).count() == 0
 
 
@@ -106,3 +106,51 @@ def test_report_deals_texts(spark, monkeypatch):
     got = {(r["doc_id"], r["size"], r["text_crc32"], r["shard"], r["slot"]) for r in shard.sharding_report(docs).collect()}
     rows = [(r["doc_id"], (r["text"] or "").encode(), r["lang"], r["shard"], r["slot"]) for r in dealt[0].collect()]
     assert got == {(i, len(t) + 1, zlib.crc32(t), s, n) for i, t, _, s, n in rows} and {x[2] for x in rows} == {"de"}
+
+
+def test_large_counts_are_drawn():
+    """Beyond 10^9 rows, too: sums hold and cells lie near their means."""
+    counts = np.full(40, 250_000_000)
+    drawn = shard.communication_matrix(counts, 16, 3)
+    assert (drawn.sum(axis=1) == counts).all() and (drawn.sum(axis=0) == 625_000_000).all()
+    spread = np.sqrt(250e6 * 1 / 16 * 15 / 16)
+    assert np.abs((drawn - 250e6 / 16) / spread).max() < 5 and np.std((drawn - 250e6 / 16) / spread) > 0.8
+
+
+def test_suffix_rates_leave_out_the_own_fold(spark):
+    labelled = [("a.b.com", 0, 4, 4), ("a.b.com", 1, 2, 0), ("c.com", 1, 10, 1), ("d.org", 2, 5, 0)]
+    sums = spark.createDataFrame(labelled, "host string, fold int, n long, bad long")
+    asked = spark.createDataFrame([("a.b.com", 0), ("a.b.com", 1), ("new.com", 3), (None, 0)], "host string, fold int")
+    s = url_filter.SHRINK
+    for r in url_filter.suffix_rates(asked, sums).collect():
+        rate = (5 + 0.5) / (21 + 1)
+        for k, name in enumerate(url_filter.SUFFIXES, 1):
+            own = [(n, b) for h, f, n, b in labelled if r["host"] and h.split(".")[-k:] == r["host"].split(".")[-k:] and f != r["fold"]]
+            rate = (sum(b for _, b in own) + s * rate) / (sum(n for n, _ in own) + s)
+            assert abs(r[name] - rate) < 1e-12
+
+
+def test_lexical_features_equal_plain(spark):
+    rows = spark.createDataFrame([(u,) for u in URLS if u is not None and len(u) < 1000], "url string")
+    h, p = url_filter.host_of(rows["url"]), url_filter.path_of(rows["url"])
+    for r in rows.select("url", *[c.alias(k) for k, c in url_filter.lexical_features(rows["url"], h, p).items()]).collect():
+        host, path = plain(r["url"])
+        n = max(1, len(r["url"]))
+        query = re.search(r"\?([^#]*)", r["url"])
+        want = {
+            "length": len(r["url"]), "host_length": len(host), "path_length": len(path), "depth": path.count("/"), "digit_ratio": sum(c in "0123456789" for c in r["url"]) / n,
+            "entropy": -sum(c / n * np.log(c / n) for c in Counter(r["url"]).values()), "parameters": len(query[1].split("&")) if query and query[1] else 0, "hyphens": host.count("-"), "labels": host.count(".") + 1,
+        }
+        assert all(abs(r[k] - v) < 1e-9 for k, v in want.items()), r
+
+
+def test_extra_columns_and_hot_host(spark):
+    """Names of inner columns may come as extra columns; a host of most pages is judged like the others, also without a broadcast."""
+    rows = [(i, f"http://hot.example.com/{'de' if i % 3 else 'en'}/{i}", 1, "x", "s") for i in range(300)] + [(1000 + i, f"http://h{i}.example.org/en/{i}", 2, "y", "t") for i in range(60)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, suffix1 int, fold string, s string")
+    _, verdict = url_filter.rule_of(url_filter.host_of(pages["url"]), url_filter.path_of(pages["url"]), url_filter.RULES)
+    labelled = pages.select("url", (verdict == "block").cast("int").alias("label")).na.fill(0)
+    one = url_filter.judge_urls(pages, labelled)
+    assert one.columns == [*pages.columns, "host", "path", "rule", "score", "verdict"]
+    got = {tuple(r) for r in one.collect()}
+    assert {x[:5] for x in got} == set(rows)

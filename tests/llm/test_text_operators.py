@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import pickle
 import re
 import zlib
 from collections import Counter
@@ -10,7 +11,7 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from tokenloom.llm import bpe, decontaminate, language_model, toxicity
+from tokenloom.llm import bpe, decontaminate, language_model, near_copies, quality, simhash, toxicity
 from tokenloom.llm.queries import vocabulary_path
 
 ODD = ["", None, "Ein Wort", "naïve ÀÉ  ﬁ ǅ Σίσυφος ΟΔΟΣ", "x<|endoftext|>y <|startoftext|>", "a\u00a0b\x1fc\u2028d\u0085e", "don't WON'T it's we'll", "𝔘𝔫𝔦 😀😀 👩‍👩‍👧", "1234567 3.14", "e\u0301 o\u0308", "!!!??? ---", "aaaa" * 300, "İstanbul ß ẞ"]
@@ -109,27 +110,30 @@ def test_language_model_held_out_perplexity(spark):
 
 
 def test_model_probabilities_add_up(spark):
-    """Over the training vocabulary and the event of any other word the probabilities add up to one."""
-    words = [f"w{i}" for i in range(30)]
-    docs = spark.createDataFrame([(i, " ".join(words[: i % 30 + 1])) for i in range(90)], "doc_id long, text string")
-    probes = docs.union(spark.createDataFrame([(1000 + i, w) for i, w in enumerate([*words, "unseen"])] + [(2000, "")], "doc_id long, text string"))
-    scored = {r["doc_id"]: r["score"] for r in language_model.score_documents(probes, "doc_id", probes["doc_id"] >= 1000).collect()}
-    end = scored[2000]
-    total = 10**end + sum(10 ** (scored[1000 + i] - end) for i in range(31))
-    assert abs(total - 1) < 1e-6
+    """In every context the probabilities of the training vocabulary and the event of any other word add up to one."""
+    words = [f"w{i}" for i in range(12)]
+    docs = spark.createDataFrame([(i, " ".join(words[: i % 12 + 1])) for i in range(50)], "doc_id long, text string")
+    outcomes = [*words, "unseen"]
+    asked = ["", *outcomes, *[f"{u} {w}" for u in outcomes for w in outcomes]]
+    probes = docs.union(spark.createDataFrame([(1000 + i, t) for i, t in enumerate(asked)], "doc_id long, text string"))
+    p = {asked[r["doc_id"] - 1000]: 10 ** r["score"] for r in language_model.score_documents(probes, "doc_id", probes["doc_id"] >= 1000).collect() if r["doc_id"] >= 1000}
+    # x: one over the probability of the end in each context, which each context's sum of one determines
+    ratio = np.array([[p[f"{u} {w}"] / p[u] for w in outcomes] for u in outcomes])
+    x = np.linalg.solve(np.eye(len(outcomes)) - ratio, np.ones(len(outcomes)))
+    assert x.min() > 1 and abs(p[""] + sum(p[w] * v for w, v in zip(outcomes, x, strict=True)) - 1) < 1e-5
 
 
 def test_toxicity_held_out(spark):
     rng = np.random.default_rng(7)
-    plain = [f"word{i}" for i in range(300)]
+    plain, rude = [f"word{i}" for i in range(300)], [f"rude{i}" for i in range(10)]
     docs, labels = [], []
     for i in range(900):
         toxic = rng.random() < 0.3
-        text = list(rng.choice(plain, 30)) + (list(rng.choice(["idiot", "scum", "moron"], 2)) if toxic else [])
+        text = list(rng.choice(plain, 30)) + (list(rng.choice(rude, 8, replace=False)) if toxic else [])
         rng.shuffle(text)
         docs.append((i, " ".join(text), "c"))
         labels.append((i, int(toxic)))
-    docs += [(None, None, None), (1000, "", ""), (1001, "IDIOT!", ""), (1001, "IDIOT!", "")]
+    docs += [(None, None, None), (1000, "", ""), (1001, "RUDE1 rude2 rude3!", ""), (1001, "RUDE1 rude2 rude3!", "")]
     labels += [(3, None), (None, 1), (2000, 1)]
     table, marks = spark.createDataFrame(docs, "doc_id long, text string, score string"), spark.createDataFrame(labels, "doc_id long, toxic int")
     got = toxicity.toxicity_report(table, marks).collect()
@@ -145,38 +149,197 @@ def test_toxicity_held_out(spark):
     assert {r["score"] for r in toxicity.toxicity_report(table, marks.limit(0)).collect()} == {0.5}
 
 
-def test_index_is_exact():
-    rng = np.random.default_rng(8)
-    rows = [(sorted(rng.choice(40, rng.integers(1, 6), replace=False).tolist()), None) for _ in range(1000)]
-    rows = [(at, rng.integers(1, 4, len(at)).tolist()) for at, _ in rows]
-    index = toxicity.BlockMaxIndex(sorted(rows), rng.random(40) + 0.5)
-    dense = np.zeros((1000, 40))
-    for n, (at, tf) in enumerate(sorted(rows)):
-        dense[n, at] = index.unit(np.array(at), np.array(tf, float))
-    for at, tf in rows[:200]:
-        q = np.zeros(40)
-        q[at] = index.unit(np.array(at), np.array(tf, float))
-        found, cosine = index.nearest(at, tf, 15)
-        assert np.allclose(cosine, np.sort(dense @ q)[::-1][: len(cosine)]) and np.allclose(dense[found] @ q, cosine)
+def tfidf(counts, df, n):
+    v = {w: (1 + math.log(k)) * max(0.0, math.log((n - df[w] + 0.5) / (df[w] + 0.5))) for w, k in counts.items() if w in df}
+    length = math.sqrt(sum(x * x for x in v.values()))
+    return {w: x / length for w, x in v.items() if x > 0} if length else {}
 
 
-def test_toxicity_searches_all_words(spark):
-    """Every document's evidence is the brute-force nearest by TF-IDF over all words, also where no word marks the label."""
+@pytest.mark.parametrize("block,first", [(128, 4), (16, 1)])
+def test_toxicity_equals_brute_force(spark, monkeypatch, block, first):
+    """Neighbours, their cosines and the votes of every document against all pairs of plain TF-IDF vectors."""
+    monkeypatch.setattr(toxicity, "BLOCK", block)
+    monkeypatch.setattr(toxicity, "FIRST_BLOCKS", first)
     rng = np.random.default_rng(11)
-    words = [f"wort{i}" for i in range(400)]
-    docs = [(i, " ".join(rng.choice(words, rng.integers(5, 40))) + (f" einzig{i % 170}" if i % 3 else "")) for i in range(240)]
-    labels = [(i, int(rng.random() < 0.3)) for i in range(160)]
+    groups = [[f"wort{g}x{i}" for i in range(120)] for g in range(3)]
+    docs = [(i, " ".join(rng.choice(groups[i % 3], rng.integers(5, 40))) + (f" einzig{i % 170}" if i % 3 else "")) for i in range(300)]
+    labels = [(i, int(rng.random() < 0.3)) for i in range(200)]
+    model = toxicity.fit(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"), "toxic", None)
+    model = pickle.loads(zlib.decompress(model.value))
     got = {r["doc_id"]: r for r in toxicity.score_documents(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()}
-    counts = [{w: t.split().count(w) for w in set(t.split())} for _, t in docs]
-    df = {w: sum(w in c for c in counts) for w in {w for c in counts for w in c}}
-    vectors = []
-    for c in counts:
-        v = {w: (1 + np.log(n)) * (np.log((1 + len(docs)) / (1 + df[w])) + 1) for w, n in c.items()}
-        length = np.sqrt(sum(x * x for x in v.values()))
-        vectors.append({w: x / length for w, x in v.items()})
+    counts = [Counter(t.split()) for _, t in docs]
+    held = {w for i, _ in labels for w in counts[i]}
+    df = {w: sum(w in c for c in counts) for w in held}
+    vectors = [tfidf(c, df, len(docs)) for c in counts]
+    truth = dict(labels)
     for i, v in enumerate(vectors):
         cosine = {j: sum(x * vectors[j].get(w, 0.0) for w, x in v.items()) for j, _ in labels}
-        best = sorted((c for c in cosine.values() if c > 0), reverse=True)[:15]
-        told = [(e["doc_id"], e["cosine"]) for e in got[i]["evidence"]]
-        assert np.allclose([c for _, c in told], best) and np.allclose([cosine[j] for j, _ in told], best)
-    assert len({r["score"] for r in got.values()}) > 200
+        best = sorted((c for c in cosine.values() if c > 0), reverse=True)[: toxicity.NEIGHBOURS]
+        told = got[i]["evidence"]
+        assert np.allclose([e["cosine"] for e in told], best) and np.allclose([cosine[e["doc_id"]] for e in told], best)
+        assert all(e["toxic"] == truth[e["doc_id"]] for e in told) and len({e["doc_id"] for e in told}) == len(told)
+        vote = sum(e["cosine"] for e in told if e["toxic"]) / sum(best)
+        want = 1 / (1 + math.exp(-model.start - model.slope * math.log((vote + toxicity.SMOOTH) / (1 - vote + toxicity.SMOOTH))))
+        assert abs(got[i]["score"] - want) < 1e-9
+    assert len({r["score"] for r in got.values()}) > 100
+
+
+def test_toxicity_scores_are_calibrated(spark):
+    """Held out, scores near p go with a share of toxic rows near p; copies of one text are one example."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    rows = [(r["score"], r["toxic"]) for r in toxicity.toxicity_report(docs, labels).where("held_out").join(labels, "doc_id").collect()]
+    for low, high in ((0, 0.1), (0.1, 0.5), (0.5, 1)):
+        own = [(s, y) for s, y in rows if low <= s < high]
+        assert len(own) > 30 and abs(np.mean([s for s, _ in own]) - np.mean([y for _, y in own])) < 0.12
+    assert sum(s >= 0.7 for s, _ in rows) > 50 and np.mean([y for s, y in rows if s >= 0.7]) > 0.9
+    many = spark.createDataFrame([(i, "same text here") for i in range(50)] + [(60, "other words"), (61, "more other words")], "doc_id long, text string")
+    sample = toxicity.labelled_sample(many, many.selectExpr("doc_id", "int(doc_id > 55) toxic"), "toxic", many["doc_id"] >= 0).collect()
+    assert sorted((r["text"], r["y"], r["weight"]) for r in sample) == [("more other words", 1, 1.0), ("other words", 1, 1.0), ("same text here", 0, 50.0)]
+
+
+def stirling(c, d):
+    """Generalised Stirling numbers: weights of the ways to seat c customers at t tables."""
+    row = {0: 1.0}
+    for n in range(c):
+        row = {t: row.get(t - 1, 0.0) + row.get(t, 0.0) * (n - d * t) for t in range(n + 2)}
+    return row
+
+
+def test_gibbs_moves_reach_the_posterior():
+    """Tables of many equal dishes after some rounds against the exact law."""
+    rng = np.random.default_rng(12)
+    for c, rate, d in ((2, 0.7, 0.5), (5, 1.3, 0.3), (9, 0.2, 0.8)):
+        n = 6000
+        t, sizes = np.ones(n, np.int64), np.full(n, c)
+        for _ in range(6):
+            t, sizes = language_model.reseat(np.full(n, c), t, sizes, np.full(n, rate), d, 12, rng)
+            assert (np.add.reduceat(sizes, np.cumsum(t) - t) == c).all() and sizes.min() > 0
+        law = stirling(c, d)
+        weight = np.array([law.get(k, 0.0) * rate**k for k in range(1, c + 1)])
+        assert np.abs(np.bincount(t, minlength=c + 1)[1:] / n - weight / weight.sum()).max() < 0.025
+    t, sizes = language_model.start_seating(np.array([1, 50, 7, 1000]), np.array([0.1, 5.0, 1e-9, 40.0]), 0.5, rng)
+    assert (np.add.reduceat(sizes, np.cumsum(t) - t) == [1, 50, 7, 1000]).all() and sizes.min() > 0 and t[2] == 1 and t[3] > 50
+    after, sizes = language_model.follow(np.array([3, 20, 0, 1500]), t, sizes, rng)
+    assert np.bincount(np.repeat(np.arange(4), after), sizes, 4).tolist() == [3, 20, 0, 1500] and sizes.min() > 0
+
+
+def plain_sampler(docs, held, samples, burn, seed):
+    """Scores by a plain sampler that seats one customer at a time in explicit restaurants."""
+    rng = np.random.default_rng(seed)
+    cut = [[*t.split(), ""] for t in docs]
+    pairs = Counter((u, w) for t, h in zip(cut, held, strict=True) if not h for u, w in zip(["<s>", *t], t, strict=False))
+    vocabulary = len({w for _, w in pairs})
+    low, high = ({}, {})  # restaurants: dish -> sizes of its tables
+
+    def discount(counts):
+        return language_model.discount_of(sum(n == 1 for n in counts), sum(n == 2 for n in counts))
+
+    d1, d0 = discount(pairs.values()), discount(Counter(w for _, w in pairs).values())
+    for (u, w), n in pairs.items():
+        low.setdefault(u, {})[w] = [n]
+    for _, w in pairs:
+        high.setdefault(w, [0])[0] += 1
+
+    def p0(w):
+        own = high.get(w, [])
+        tables = sum(map(len, high.values()))
+        return (sum(own) - d0 * len(own) + (1 + d0 * tables) / (vocabulary + 1)) / (1 + sum(map(sum, high.values())))
+
+    def leave(sizes):
+        k = rng.choice(len(sizes), p=np.array(sizes) / sum(sizes))
+        sizes[k] -= 1
+        if not sizes[k]:
+            sizes.pop(k)
+            return True
+        return False
+
+    def sit(sizes, d, rate):
+        weights = np.array([n - d for n in sizes] + [rate])
+        k = rng.choice(len(weights), p=weights / weights.sum())
+        if k == len(sizes):
+            sizes.append(1)
+            return True
+        sizes[k] += 1
+        return False
+
+    def move(w):
+        leave(high[w])
+        sit(high[w], d0, (1 + d0 * sum(map(len, high.values()))) / (vocabulary + 1))
+
+    total = np.zeros(len(docs))
+    probability = [[0.0] * len(t) for t in cut]
+    for n in range(burn + samples):
+        for (u, w), c in pairs.items():
+            for _ in range(c if c > 1 else 0):
+                if leave(low[u][w]):
+                    leave(high[w])
+                if sit(low[u][w], d1, (1 + d1 * sum(map(len, low[u].values()))) * p0(w)):
+                    sit(high.setdefault(w, []), d0, (1 + d0 * sum(map(len, high.values()))) / (vocabulary + 1))
+        for w in list(high):
+            move(w)
+        if n >= burn:
+            for i, t in enumerate(cut):
+                for k, (u, w) in enumerate(zip(["<s>", *t], t, strict=False)):
+                    own = low.get(u, {})
+                    tables, customers = sum(map(len, own.values())), sum(map(sum, own.values()))
+                    mine = own.get(w, [])
+                    probability[i][k] += (sum(mine) - d1 * len(mine) + (1 + d1 * tables) * p0(w)) / (1 + customers) / samples
+    for i, p in enumerate(probability):
+        total[i] = sum(map(math.log10, p))
+    return total
+
+
+def test_scores_equal_a_plain_sampler(spark, monkeypatch):
+    monkeypatch.setattr(language_model, "BURN_IN", 8)
+    monkeypatch.setattr(language_model, "SAMPLES", 8)
+    rng = np.random.default_rng(13)
+    words = [f"w{i}" for i in range(15)]
+    shares = np.arange(1, 16.0) ** -1.2
+    docs = [" ".join(rng.choice(words, rng.integers(3, 12), p=shares / shares.sum())) for _ in range(40)] + ["w1 neu w2"]
+    held = [i % 5 == 4 or i == 40 for i in range(41)]
+    table = spark.createDataFrame([(i, t) for i, t in enumerate(docs)], "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in language_model.score_documents(table, "doc_id", (table["doc_id"] % 5 == 4) | (table["doc_id"] == 40)).collect()}
+    want = plain_sampler(docs, held, 30, 10, 14)
+    gap = np.array([got[i] - want[i] for i in range(41)])
+    lengths = np.array([len(t.split()) + 1 for t in docs])
+    assert np.abs(gap / lengths).max() < 0.05 and abs(gap.sum() / lengths.sum()) < 0.01
+
+
+def test_repeated_documents_score_apart(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").where("length(text) > 200").dropDuplicates(["text"]).limit(400)
+    twice = docs.union(docs.where("doc_id % 10 = 3").selectExpr("doc_id + 100000", "text"))
+    rows = language_model.score_documents(twice, "doc_id", twice["doc_id"] < 0).collect()
+    again = {r["doc_id"] - 100000 for r in rows if r["doc_id"] >= 100000}
+    one, two = ([r["score"] / r["n_tokens"] for r in rows if r["doc_id"] < 100000 and (r["doc_id"] in again) == x] for x in (False, True))
+    assert np.mean(np.array(two)[:, None] > np.array(one)[None]) > 0.8
+
+
+BIG = 2**53
+
+
+def test_long_ids_beside_nulls(spark):
+    """Ids beyond 2^53 in one batch with a null id come back as they are."""
+    texts = ["one two three four", "eins zwei drei", "uno dos tres"]
+    docs = spark.createDataFrame([(i, t, "en", "s") for i, t in zip((BIG + 1, None, BIG + 3), texts, strict=True)], "doc_id long, text string, lang string, source string").coalesce(1)
+    labels = spark.createDataFrame([(BIG + 1, 1, 1), (BIG + 3, 0, 0)], "doc_id long, toxic int, quality int")
+    bench = spark.createDataFrame([(1, "nothing")], "item_id long, text string")
+    frames = [
+        decontaminate.contamination_report(docs, bench), decontaminate.decontaminate(docs, bench), bpe.token_digests(docs, vocabulary_path()), bpe.encode_documents(docs, vocabulary_path()),
+        language_model.language_model_report(docs), toxicity.toxicity_report(docs, labels), quality.quality_report(docs, labels), simhash.near_duplicate_report(docs), near_copies.keep_one(docs),
+    ]
+    for frame in frames:
+        assert {r["doc_id"] for r in frame.collect()} == {BIG + 1, None, BIG + 3}
+    evidence = [e["doc_id"] for r in toxicity.score_documents(docs, labels).collect() for e in r["evidence"]]
+    assert set(evidence) <= {BIG + 1, BIG + 3}
+
+
+def test_clashing_names_are_kept(spark):
+    docs = spark.createDataFrame([(i, f"some plain words {i} here", "en", "s", 9, "own", 1.5, "e", True, 4, 3) for i in range(30)], "doc_id long, text string, lang string, source string, n_words int, hits string, score double, evidence string, kept boolean, at int, predicted int")
+    labels = spark.createDataFrame([(i, i % 2, i % 3 % 2) for i in range(30)], "doc_id long, toxic int, quality int")
+    bench = spark.createDataFrame([(1, "nothing")], "item_id long, text string")
+    for frame in (decontaminate.decontaminate(docs, bench), near_copies.keep_one(docs), toxicity.without_toxic(docs, labels)):
+        assert frame.columns == docs.columns
+        for r in frame.collect():
+            assert (r["n_words"], r["hits"], r["score"], r["evidence"], r["kept"], r["at"], r["predicted"]) == (9, "own", 1.5, "e", True, 4, 3)
+    assert set(docs.columns) <= set(toxicity.score_documents(docs, labels).columns) | {"text"}

@@ -131,8 +131,9 @@ def _id(text: object) -> int | None:
 
 
 def _frame(rows: list[tuple], names: list[str]) -> pd.DataFrame:
-    out = pd.DataFrame(rows, columns=names)
-    return out.assign(conv_id=pd.array(out["conv_id"].tolist(), "Int64"))
+    out = pd.DataFrame([r[1:] for r in rows], columns=names[1:])
+    out.insert(0, names[0], pd.array([r[0] for r in rows], "Int64"))
+    return out
 
 
 def read_turns(text: str) -> list[tuple[str, str]]:
@@ -148,15 +149,12 @@ def read_back(windows: DataFrame) -> DataFrame:
     """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars and n_windows of each conversation, read from its windows' texts and masks alone. windows: as format_windows leaves them, so no further shuffle is needed."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_windows"]
         now, turns, loss, sums = "none", hashlib.sha256(), hashlib.sha256(), [0, 0, 0, 0]
 
         def row() -> list[tuple]:
             return [] if now == "none" else [(now, sums[0], turns.hexdigest(), sums[1], loss.hexdigest(), sums[2], sums[3])]
 
-        def frame(rows: list[tuple]) -> pd.DataFrame:
-            out = pd.DataFrame(rows, columns=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_windows"])
-            return out.assign(conv_id=pd.array(out["conv_id"].tolist(), "Int64"))
-
         for pdf in batches:
             out: list[tuple] = []
             for conv_id, repeated, text, spans in zip(map(_id, pdf["conv_id"].tolist()), pdf["repeated"].tolist(), pdf["text"].tolist(), pdf["loss"].tolist(), strict=True):
@@ -172,8 +170,8 @@ def read_back(windows: DataFrame) -> DataFrame:
                     sums[1] += len(learned)
                 sums[2] += len(text)
                 sums[3] += 1
-            yield frame(out)
-        yield frame(row())
+            yield _frame(out, names)
+        yield _frame(row(), names)
 
     slim = windows.select(F.col("conv_id").cast("string").alias("conv_id"), "repeated", "text", "loss")
     return slim.mapInPandas(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_windows long")

@@ -7,10 +7,11 @@ Native: rows are only touched by DataFrame functions.
  2. Only the blocks' row counts reach the driver. The matrix "rows of block b that go to shard s" is drawn there
     from the multivariate hypergeometric law with the counts as row sums and the shard sizes as column sums: the
     law that a uniform shuffle of all rows would induce. It has blocks x shards cells, never rows.
-    numpy draws among fewer than 10^9 rows at once; above STRATUM_ROWS blocks are drawn stratum by stratum.
- 3. A permutation inside each block (row_number over a hash) and the matrix's running sums give a row its shard.
- 4. Rows are exchanged by shard and a slice of a second hash, and a permutation inside each slice behind the slices
+    Each cell is drawn by inversion of its exact hypergeometric law, whatever the number of rows.
+ 3. A permutation inside each block (row_number over a hash) and the matrix's running sums give a row's number its shard.
+ 4. Numbers are exchanged by shard and a slice of a second hash, and a permutation inside each slice behind the slices
     before it gives the slot: no task holds a whole shard.
+ 5. The rows themselves, texts and all, move once: to their numbers' shard and slot.
 
 Law: rows. Shard sizes differ by one at most; slots are gapless from 0 in each shard.
 
@@ -30,33 +31,53 @@ from pyspark.sql import functions as F
 
 from tokenloom.llm.common import materialise
 
-BLOCK_ROWS = 100_000
-STRATUM_ROWS = 500_000_000
+BLOCK_ROWS = 500_000
 #: Cells of the matrix in one literal of the small table that carries it to the rows.
 CELLS_PER_LITERAL = 20_000
 
 
-def shard_sizes(rows: int, shards: int, turn: int = 0) -> np.ndarray:
-    """Sizes at most one apart that add up to rows; the larger ones start at shard turn."""
+def shard_sizes(rows: int, shards: int) -> np.ndarray:
+    """Sizes at most one apart that add up to rows; the larger ones come first."""
     sizes = np.full(shards, rows // shards, np.int64)
-    sizes[(turn + np.arange(rows % shards)) % shards] += 1
+    sizes[: rows % shards] += 1
     return sizes
 
 
+def hypergeometric(good: int, bad: int, draws: int, rng: np.random.Generator) -> int:
+    """How many of the draws without replacement from good and bad are good, by inversion of the exact law.
+
+    Ratios of neighbouring probabilities are added up from the mode outwards; beyond 14 standard deviations and
+    40 the law's mass is far below what a double can tell from zero.
+    """
+    low, high = max(0, draws - bad), min(good, draws)
+    if low == high:
+        return low
+    total = good + bad
+    mode = min(high, max(low, (draws + 1) * (good + 1) // (total + 2)))
+    spread = math.sqrt(draws * (good / total) * (bad / total) * max(0, total - draws) / max(1, total - 1))
+    reach = int(14 * spread) + 40
+    first, last = max(low, mode - reach), min(high, mode + reach)
+    k = np.arange(first, last, dtype=np.float64)  # probability of k+1 against k
+    step = np.log((good - k) * (draws - k)) - np.log((k + 1) * (bad - draws + k + 1))
+    law = np.r_[0.0, np.cumsum(step)]
+    law = np.exp(law - law.max())
+    mass = np.cumsum(law)
+    return first + int(np.searchsorted(mass, rng.random() * mass[-1], "right"))
+
+
 def communication_matrix(counts: np.ndarray, shards: int, seed: int) -> np.ndarray:
-    """Rows of each block (counts) that go to each shard, drawn exactly."""
+    """Rows of each block (counts) that go to each shard: the multivariate hypergeometric law, one shard after another."""
     rng = np.random.default_rng(seed)
-    stratum = np.cumsum(counts) // STRATUM_ROWS
-    out, turn = [], 0
-    for s in np.unique(stratum):
-        own = counts[stratum == s]
-        left = shard_sizes(int(own.sum()), shards, turn)
-        turn = (turn + int(own.sum())) % shards
-        for n in own:
-            drawn = rng.multivariate_hypergeometric(left, int(n), method="marginals")
-            left = left - drawn
-            out.append(drawn)
-    return np.array(out, np.int64).reshape(-1, shards)
+    left = shard_sizes(int(counts.sum()), shards).tolist()
+    out = np.zeros((len(counts), shards), np.int64)
+    for b, n in enumerate(counts.tolist()):
+        rest = sum(left)
+        for s in range(shards):
+            rest -= left[s]
+            out[b, s] = hypergeometric(left[s], rest, n, rng) if n else 0
+            n -= out[b, s]
+            left[s] -= int(out[b, s])
+    return out
 
 
 def _small_table(spark, rows: list[dict], schema: str) -> DataFrame:
@@ -76,7 +97,7 @@ def assign_shards(rows: DataFrame, shards: int = 16, seed: int = 1) -> DataFrame
     numbered = materialise(rows.drop("shard", "slot").withColumn("_shuffle_n", F.monotonically_increasing_id()))
     n = numbered.count()
     blocks = max(shards, math.ceil(n / BLOCK_ROWS))
-    blocked = numbered.withColumn("_shuffle_block", F.pmod(F.xxhash64("_shuffle_n", F.lit(seed)), F.lit(blocks)).cast("int"))
+    blocked = numbered.select("_shuffle_n").withColumn("_shuffle_block", F.pmod(F.xxhash64("_shuffle_n", F.lit(seed)), F.lit(blocks)).cast("int"))
     found = {r["_shuffle_block"]: r["n"] for r in blocked.groupBy("_shuffle_block").agg(F.count("*").alias("n")).collect()}  # a number for each block
     counts = np.array([found.get(b, 0) for b in range(blocks)], np.int64)
     matrix = communication_matrix(counts, shards, seed)
@@ -91,8 +112,8 @@ def assign_shards(rows: DataFrame, shards: int = 16, seed: int = 1) -> DataFrame
     starts = dealt.groupBy("shard", "_shuffle_slice").agg(F.count("*").alias("n")).select("shard", "_shuffle_slice", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_shuffle_start"))
     again = Window.partitionBy("shard", "_shuffle_slice").orderBy(F.xxhash64("_shuffle_n", F.lit(seed + 3)), "_shuffle_n")
     slot = dealt.withColumn("_shuffle_place", F.row_number().over(again).cast("long") - 1)
-    out = slot.join(starts, ["shard", "_shuffle_slice"]).withColumn("slot", F.col("_shuffle_start") + F.col("_shuffle_place"))
-    return out.select(*rows.drop("shard", "slot").columns, "shard", "slot")
+    places = slot.join(starts, ["shard", "_shuffle_slice"]).select("_shuffle_n", "shard", (F.col("_shuffle_start") + F.col("_shuffle_place")).alias("slot"))
+    return numbered.join(places, "_shuffle_n").select(*rows.drop("shard", "slot").columns, "shard", "slot")
 
 
 def write_shards(rows: DataFrame, path: str, shards: int = 16, seed: int = 1, rows_per_file: int = 1_000_000) -> None:

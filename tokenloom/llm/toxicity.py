@@ -70,7 +70,7 @@ def document_frequencies(docs: DataFrame, words: list[bytes]) -> tuple[np.ndarra
         for batch in pieces(batches):
             texts = batch.column("text").to_pylist()
             n += len(texts)
-            held = [known[w] for t in texts for w in known.keys() & set(alnum_words(t))] if len(known) < 1000 else [i for t in texts for i in map(known.get, set(alnum_words(t))) if i is not None]
+            held = [i for t in texts for i in map(known.get, set(alnum_words(t))) if i is not None]
             total += np.bincount(held, minlength=len(known)) if held else 0
         t = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, t].astype(np.int32)), pa.array(np.r_[n, total[t]])], names=["t", "n"])
@@ -118,7 +118,7 @@ class BlockMaxIndex:
 
     def vector(self, text: object) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of the text's words, sorted, and their weights; words that weigh nothing are left out."""
-        counts = Counter(filter(None.__ne__, map(self.known.get, alnum_words(text))))
+        counts = Counter([i for i in map(self.known.get, alnum_words(text)) if i is not None])
         at = np.fromiter(counts.keys(), np.int64, len(counts))
         w = (1 + np.log(np.fromiter(counts.values(), np.float64, len(counts)))) * self.idf[at]
         order = np.argsort(at)

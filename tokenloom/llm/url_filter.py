@@ -4,16 +4,19 @@ Native: features, suffix statistics and rules are DataFrame functions; the trees
 
 Features of a url: lengths of url, host and path, depth, digit ratio, character entropy, number of parameters,
 hyphens and labels of the host, and suffix statistics: how often the last one, two and three labels of the host
-are labelled bad, shrunk towards the rate of the shorter suffix. For a training url these leave out its own
-fold, so the trees learn how far a suffix can be trusted. Statistics cover all labelled urls; the trees are fitted on
-at most about MAX_LABELLED distinct ones (a hash decides), each weighted by its number of rows.
-
-The labelled urls of the query are the pages' own: a host that names its trade with a word of BAD_WORDS is bad,
-every other host is good.
-
-Edge cases: a null url or one without :// has empty host and path, fits no rule and is allowed; without urls
-of both labels everything that no rule fits is allowed; repeated rows are judged alike; equal urls are one
-training row; extra columns are kept unless their names are those of the results.
+are labelled bad, shrunk towards the rate of the shorter suffix. They leave out the url's own fold (a hash of the
+url), in training and in judging alike, so no url sees its own label and the trees learn how far a suffix can be
+trusted. Statistics cover all labelled urls; the trees are fitted on at most about MAX_LABELLED distinct ones (a hash
+decides), each weighted by its number of rows.
+
+The labelled urls of the query are the pages themselves, by the verdicts of the rules: blocked ones are bad, all others
+are presumed good, as is usual where there is a block list alone. The trees carry the list to the pages of which the
+rules say nothing: those that look like blocked ones are blocked.
+
+Edge cases: a null url or one without :// has empty host and path and fits no rule; the trees judge it by the
+features of its text; without urls of both labels everything that no rule fits is allowed; repeated rows are judged
+alike; equal urls are one training row; columns named like the results are replaced, names that begin with _url_ are
+reserved, all other columns are kept.
 """
 
 from __future__ import annotations
@@ -26,19 +29,20 @@ from pyspark.sql import functions as F
 
 from tokenloom.llm.common import materialise
 
-# The rules (verdict, rule) of the query, and the words that name a bad trade.
+# The rules (verdict, rule) of the query.
 RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
-BAD_WORDS = ["ad", "ads", "adult", "bet", "bets", "casino", "clickbait", "escort", "gambling", "malware", "phish", "phishing", "pill", "pills", "poker", "porn", "sex", "spam", "track", "tracker", "viagra", "warez", "xxx"]
 
 MAX_LABELLED = 40_000
-FOLDS = 5
+FOLDS = 16
+#: Sites (host and fold) whose suffix statistics may be broadcast to the pages.
+MAX_BROADCAST_SITES = 200_000
 #: Pseudo-counts with which a suffix leans on the next shorter one.
 SHRINK = 8.0
 THRESHOLD = 0.5
 TREES, DEPTH = 20, 4
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LEXICAL = ["length", "host_length", "path_length", "depth", "digit_ratio", "entropy", "parameters", "hyphens", "labels"]
-SUFFIXES = ["suffix1", "suffix2", "suffix3"]
+SUFFIXES = ["_url_suffix1", "_url_suffix2", "_url_suffix3"]
 
 
 def _rest(url: Column) -> Column:
@@ -65,11 +69,6 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str]]) -> tuple[C
     return rule, verdict
 
 
-def named_bad(host: Column) -> Column:
-    """1 if a word of the host, between dots and hyphens, names a bad trade, else 0."""
-    return F.arrays_overlap(F.split(host, "[.-]"), F.array(*map(F.lit, BAD_WORDS))).cast("int")
-
-
 def lexical_features(url: Column, host: Column, path: Column) -> dict[str, Column]:
     url = F.coalesce(url, F.lit(""))
     n = F.greatest(F.length(url), F.lit(1))
@@ -96,21 +95,21 @@ def _suffix(host: Column, labels: int) -> Column:
     return F.substring_index(host, ".", -labels)
 
 
-def suffix_rates(hosts: DataFrame, labelled: DataFrame, fold: bool) -> DataFrame:
-    """hosts (host and, with fold, fold) with suffix1 to suffix3; labelled: host, fold, n, bad (sums over its urls)."""
+def fold_of(url: Column) -> Column:
+    return F.pmod(F.xxhash64(F.coalesce(url, F.lit(""))), F.lit(FOLDS)).cast("int")
+
+
+def suffix_rates(sites: DataFrame, labelled: DataFrame) -> DataFrame:
+    """sites (host, fold) with SUFFIXES: what the other folds know. labelled: host, fold, n, bad (sums over its urls)."""
     total = labelled.agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).first()
     rate = F.lit(((total["bad"] or 0) + 0.5) / ((total["n"] or 0) + 1.0))
-    out = hosts
+    out = sites
     for k, name in enumerate(SUFFIXES, 1):
-        sums = labelled.groupBy(_suffix(F.col("host"), k).alias("s"), "fold").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-        whole = sums.groupBy("s").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-        if fold:  # what the other folds know
-            known = sums.select("s", "fold", F.col("n").alias("m"), F.col("bad").alias("b")).join(whole, "s").select("s", "fold", (F.col("n") - F.col("m")).alias("n"), (F.col("bad") - F.col("b")).alias("bad"))
-            out = out.withColumn("s", _suffix(F.col("host"), k)).join(known, ["s", "fold"], "left")
-        else:
-            out = out.withColumn("s", _suffix(F.col("host"), k)).join(whole, "s", "left")
-        rate = (F.coalesce("bad", F.lit(0)) + SHRINK * rate) / (F.coalesce("n", F.lit(0)) + SHRINK)
-        out = out.withColumn(name, rate).drop("s", "n", "bad")
+        sums = labelled.groupBy(_suffix(F.col("host"), k).alias("s"), "fold").agg(F.sum("n").alias("m"), F.sum("bad").alias("b"))
+        whole = sums.groupBy("s").agg(F.sum("m").alias("n"), F.sum("b").alias("bad"))
+        out = out.withColumn("s", _suffix(F.col("host"), k)).join(whole, "s", "left").join(sums, ["s", "fold"], "left")
+        n, bad = (F.coalesce(x, F.lit(0)) - F.coalesce(y, F.lit(0)) for x, y in (("n", "m"), ("bad", "b")))
+        out = out.withColumn(name, (bad + SHRINK * rate) / (n + SHRINK)).drop("s", "n", "bad", "m", "b")
         rate = F.col(name)
     return out
 
@@ -118,36 +117,40 @@ def suffix_rates(hosts: DataFrame, labelled: DataFrame, fold: bool) -> DataFrame
 def judge_urls(pages: DataFrame, labelled: DataFrame, rules: list[tuple[str, str]] = RULES, url: str = "url", seed: int = 5) -> DataFrame:
     """pages with host, path, rule, score (probability of a bad url) and verdict. labelled: url, label (1: bad, 0: good)."""
     known = labelled.where("label in (0, 1)").groupBy(F.coalesce("url", F.lit("")).alias("url")).agg(F.max("label").alias("label"), F.count("*").alias("weight"))
-    known = materialise(known.withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url"))).withColumn("fold", F.pmod(F.xxhash64("url"), F.lit(FOLDS)).cast("int")))
+    known = materialise(known.withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url")), "fold": fold_of(F.col("url"))}))
     sums = materialise(known.groupBy("host", "fold").agg(F.sum("weight").alias("n"), F.sum(F.col("weight") * F.col("label")).alias("bad")))
     base = pages.drop("host", "path", "rule", "score", "verdict")
     rows = base.withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url))})
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    rows = rows.withColumns({"rule": rule, "_verdict": verdict})
+    rows = rows.withColumns({"rule": rule, "_url_verdict": verdict})
     classes = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if len(classes) < 2:
-        return rows.withColumn("score", F.lit(0.0)).withColumn("verdict", F.coalesce("_verdict", F.lit("allow"))).drop("_verdict")
+        return rows.withColumn("score", F.lit(0.0)).withColumn("verdict", F.coalesce("_url_verdict", F.lit("allow"))).drop("_url_verdict")
     # about half of the sample for each label
     odds = {y: min(1.0, MAX_LABELLED / 2 / n) for y, n in classes.items()}
     luck = F.pmod(F.xxhash64("url", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
     sample = known.where(luck < F.when(F.col("label") == 1, odds[1]).otherwise(odds[0]))
     sample = sample.withColumn("weight", F.col("weight") / F.when(F.col("label") == 1, odds[1]).otherwise(odds[0]))
-    learned = suffix_rates(sums.select("host", "fold"), sums, True)
-    training = sample.join(learned, ["host", "fold"]).withColumns(lexical_features(F.col("url"), F.col("host"), F.col("path")))
+    training = sample.join(suffix_rates(sums.select("host", "fold"), sums), ["host", "fold"]).withColumns(lexical_features(F.col("url"), F.col("host"), F.col("path")))
     assembler = VectorAssembler(inputCols=LEXICAL + SUFFIXES, outputCol="features")
     training = materialise(assembler.transform(training.select("label", F.col("weight").cast("double"), *LEXICAL, *SUFFIXES)).select("features", F.col("label").cast("double"), "weight").repartition(8))
     model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, labelCol="label", weightCol="weight", seed=seed, cacheNodeIds=False).fit(training)
-    hosts = suffix_rates(rows.select("host").distinct(), sums, False)
-    featured = rows.join(hosts, "host", "left").withColumns({f"_f_{k}": v for k, v in lexical_features(F.col(url), F.col("host"), F.col("path")).items()})
-    fitted = VectorAssembler(inputCols=[f"_f_{k}" for k in LEXICAL] + SUFFIXES, outputCol="_features").transform(featured)
-    scored = model.setFeaturesCol("_features").setPredictionCol("_prediction").setProbabilityCol("_probability").setRawPredictionCol("_raw").transform(fitted)
-    score = F.when(F.instr(F.coalesce(F.col(url), F.lit("")), "://") > 0, vector_to_array("_probability")[1]).otherwise(0.0)
-    scored = scored.withColumn("score", score)
-    return scored.withColumn("verdict", F.coalesce("_verdict", F.when(F.col("score") >= THRESHOLD, "block").otherwise("allow"))).select(*base.columns, "host", "path", "rule", "score", "verdict")
+    rows = rows.withColumn("_url_fold", fold_of(F.col(url)))
+    sites = materialise(suffix_rates(rows.select("host", F.col("_url_fold").alias("fold")).distinct(), sums).withColumnsRenamed({"host": "_url_host", "fold": "_url_site_fold"}))
+    if sites.limit(MAX_BROADCAST_SITES + 1).count() <= MAX_BROADCAST_SITES:
+        sites = F.broadcast(sites)
+    # beyond that the join is on host and fold, so even a host of most pages is many keys
+    joined = rows.join(sites, (F.col("host") == F.col("_url_host")) & (F.col("_url_fold") == F.col("_url_site_fold")), "left")
+    featured = joined.withColumns({f"_url_{k}": v for k, v in lexical_features(F.col(url), F.col("host"), F.col("path")).items()})
+    fitted = VectorAssembler(inputCols=[f"_url_{k}" for k in LEXICAL] + SUFFIXES, outputCol="_url_features").transform(featured)
+    scored = model.setFeaturesCol("_url_features").setPredictionCol("_url_prediction").setProbabilityCol("_url_probability").setRawPredictionCol("_url_raw").transform(fitted)
+    scored = scored.withColumn("score", vector_to_array("_url_probability")[1])
+    return scored.withColumn("verdict", F.coalesce("_url_verdict", F.when(F.col("score") >= THRESHOLD, "block").otherwise("allow"))).select(*base.columns, "host", "path", "rule", "score", "verdict")
 
 
 def url_report(pages: DataFrame) -> DataFrame:
     """page_id, host, path, rule, verdict (and score) of every page."""
     slim = pages.select(F.col("page_id").cast("long").alias("page_id"), "url")
-    labelled = slim.where(F.instr("url", "://") > 0).select("url", named_bad(host_of(F.col("url"))).alias("label"))
+    _, verdict = rule_of(host_of(F.col("url")), path_of(F.col("url")), RULES)
+    labelled = slim.select("url", F.when(verdict == "block", 1).otherwise(0).alias("label"))
     return judge_urls(slim, labelled).select("page_id", "host", "path", "rule", "verdict", "score")
