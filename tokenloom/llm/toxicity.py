@@ -97,23 +97,27 @@ class BlockMaxIndex:
         self.n, self.blocks = len(found), max(1, -(-len(found) // BLOCK))
         found = [found[i] for i in self.order]
         sizes = [len(at) for at, _ in found]
-        word = np.concatenate([np.empty(0, np.int64), *[at for at, _ in found]])
+        word = np.concatenate([np.empty(0, np.int32), *[at for at, _ in found]]).astype(np.int32)
         weight = np.concatenate([np.empty(0), *[w for _, w in found]])
-        row = np.repeat(np.arange(self.n), sizes)
+        row = np.repeat(np.arange(self.n, dtype=np.int32), sizes)
         order = np.lexsort((row, word))
-        self.row, self.weight = row[order].astype(np.int32), weight[order]
-        cell = word * self.blocks + row // BLOCK
-        #: where each (word, block) starts among the postings
-        self.first = np.r_[0, np.cumsum(np.bincount(cell, minlength=len(words) * self.blocks))].astype(np.int32)
-        largest = np.zeros(len(words) * self.blocks)
-        np.maximum.at(largest, cell, weight)
-        self.largest = largest.reshape(len(words), self.blocks)
+        word, self.row, self.weight = word[order], row[order], weight[order]
+        #: cells: postings of one word in one block; where each word's cells and each cell's postings start
+        block = self.row // BLOCK
+        new = np.r_[True, (word[1:] != word[:-1]) | (block[1:] != block[:-1])] if len(word) else np.empty(0, bool)
+        start = np.flatnonzero(new)
+        self.first = np.r_[start, len(word)].astype(np.int32)
+        self.block = block[start]
+        self.largest = np.maximum.reduceat(self.weight, start) if len(start) else np.empty(0)
+        self.cells = np.searchsorted(word[start], np.arange(len(words) + 1)).astype(np.int32)
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k != "known"}
+        """The words as one string; their numbers are made where they are used."""
+        return {k: v for k, v in self.__dict__.items() if k != "known"} | {"words": b" ".join(self.words)}
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__.update(state)
+        self.words = state["words"].split()
         self.known = {w: i for i, w in enumerate(self.words)}
 
     def vector(self, text: object) -> tuple[np.ndarray, np.ndarray]:
@@ -148,23 +152,13 @@ class BlockMaxIndex:
         beside = np.argsort(np.argsort(centres @ centres[0])) if len(x) else np.empty(0, np.int64)
         return np.lexsort((np.arange(len(x)), label, beside[label])) if len(x) else np.empty(0, np.int64)
 
-    def _scores(self, at: np.ndarray, q: np.ndarray, blocks: np.ndarray) -> np.ndarray:
-        """Cosines with all examples; those outside the blocks stay zero."""
-        cell = (at[:, None] * self.blocks + blocks[None]).ravel()
-        start = self.first[cell]
-        size = self.first[cell + 1] - start
-        use = size > 0
-        start, size = start[use], size[use]
-        if not len(size):
-            return np.zeros(self.n)
-        post = np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())
-        return np.bincount(self.row[post], self.weight[post] * np.repeat(np.repeat(q, len(blocks))[use], size), self.n)
-
     def nearest(self, at: np.ndarray, q: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Rows and cosines of the k examples of largest positive cosine, exact; without: a row that is not asked."""
         if not len(at) or not self.n:
             return np.empty(0, np.int64), np.empty(0)
-        bound = q @ self.largest[at]
+        cell, size = _ranges(self.cells[at], self.cells[at + 1])
+        part = np.repeat(q, size)
+        bound = np.bincount(self.block[cell], self.largest[cell] * part, self.blocks)
         order = np.argsort(-bound, kind="stable")
         order = order[bound[order] > 0]
         score, opened, floor = np.zeros(self.n), 0, -1.0
@@ -174,7 +168,11 @@ class BlockMaxIndex:
             open_ = open_[bound[open_] >= floor - 1e-9]
             if not len(open_):
                 break
-            score += self._scores(at, q, open_)
+            chosen = np.zeros(self.blocks, bool)
+            chosen[open_] = True
+            use = chosen[self.block[cell]]
+            post, size = _ranges(self.first[cell[use]], self.first[cell[use] + 1])
+            score += np.bincount(self.row[post], self.weight[post] * np.repeat(part[use], size), self.n)
             opened += len(open_)
             if without >= 0:
                 score[without] = 0
@@ -185,6 +183,12 @@ class BlockMaxIndex:
         return near, score[near]
 
 
+def _ranges(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of the ranges, one range after another, and the ranges' sizes."""
+    size = (end - start).astype(np.int64)
+    return np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum()), size
+
+
 def log_odds(p):
     return np.log(p / (1 - p))
 
@@ -237,10 +241,11 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, training: Column | None)
     df, n_docs = document_frequencies(docs, words)
     index = BlockMaxIndex(texts, words, inverse_frequency(df, n_docs))
     model = Model(index, examples["doc_id"].to_numpy(), y, weight)
-    shared = spark.sparkContext.broadcast(zlib.compress(pickle.dumps(model), 1))
+    del words, df
+    shared = spark.sparkContext.broadcast(pickle.dumps(model))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = pickle.loads(zlib.decompress(shared.value))
+        model = pickle.loads(shared.value)
         place = np.argsort(model.index.order)
         for batch in pieces(batches):
             numbers, texts = batch.column("n").to_pylist(), batch.column("text").to_pylist()
@@ -248,14 +253,14 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, training: Column | None)
             yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), pa.array(votes, pa.float64())], names=["n", "vote"])
 
     if len(set(y.tolist())) == 2:
-        tasks = max(1, min(64, len(texts) // 100))
+        tasks = max(1, min(12, len(texts) // 100))
         asked = spark.createDataFrame(pa.table({"n": pa.array(range(len(texts)), pa.int64()), "text": texts})).repartition(tasks)
         found = asked.mapInArrow(ask, "n long, vote double").toArrow()
         votes = np.empty(len(texts))
         votes[found["n"].to_numpy()] = found["vote"].to_numpy()
         model.calibrate(votes[index.order], weight)
         shared.destroy()
-        shared = spark.sparkContext.broadcast(zlib.compress(pickle.dumps(model), 1))
+        shared = spark.sparkContext.broadcast(pickle.dumps(model))
     return shared
 
 
@@ -264,7 +269,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, label: str = "toxic", tr
     shared = fit(docs, labels, label, training)
 
     def start():
-        model = pickle.loads(zlib.decompress(shared.value))
+        model = pickle.loads(shared.value)
 
         def compute(texts: list) -> list:
             scores, told = [], []
