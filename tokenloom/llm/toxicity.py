@@ -5,9 +5,10 @@
  2. Weight of a word in a text: (1 + ln tf) * max(0, ln((N - df + 0.5) / (df + 0.5))), df counted over all N documents;
     words that half of the documents hold weigh nothing. Vectors have length one.
  3. Examples that use alike words (k-means on the driver, over the sample) stand in blocks of BLOCK rows. Postings are by word
-    and block; each word knows its largest weight in each block. A text's bound for a block is the product with these;
-    blocks are opened in order of their bounds until no block can hold one of the NEIGHBOURS nearest, which are
-    therefore exact.
+    and block; each word knows its largest weight in each block. The DENSE_WORDS commonest words of the sample are
+    columns of a matrix instead, and many texts' products with them are taken at once. A text's bound for a block is the
+    largest of these products in it and the product of the other words with their largest weights; blocks are opened in
+    order of their bounds until no block can hold one of the NEIGHBOURS nearest, which are therefore exact.
  4. Neighbours vote with their cosines. A logistic curve, fitted to the votes that the examples get from all other
     examples, each weighted by the rows it stands for, turns the share of toxic votes into a calibrated probability.
 
@@ -36,6 +37,8 @@ MAX_POSITIVE, MAX_NEGATIVE = 2_000, 4_000
 NEIGHBOURS = 30
 BLOCK = 128
 THRESHOLD = 0.7
+#: Commonest words of the sample, whose weights form a matrix.
+DENSE_WORDS = 256
 #: Blocks opened at first, and steps and common words of the k-means that puts alike examples into the same blocks.
 FIRST_BLOCKS, CLUSTER_STEPS, CLUSTER_WORDS = 4, 8, 512
 #: Added to both sides of a vote before its log odds.
@@ -101,6 +104,13 @@ class BlockMaxIndex:
         weight = np.concatenate([np.empty(0), *[w for _, w in found]])
         row = np.repeat(np.arange(self.n, dtype=np.int32), sizes)
         order = np.lexsort((row, word))
+        common = np.argsort(-np.bincount(word, minlength=len(words)), kind="stable")[:DENSE_WORDS]
+        self.column = np.full(len(words), -1, np.int16)
+        self.column[common] = np.arange(len(common))
+        use = self.column[word] >= 0
+        self.dense = np.zeros((self.blocks * BLOCK, len(common)))
+        self.dense[row[use], self.column[word[use]]] = weight[use]
+        order = order[~use[order]]
         word, self.row, self.weight = word[order], row[order], weight[order]
         #: cells: postings of one word in one block; where each word's cells and each cell's postings start
         block = self.row // BLOCK
@@ -152,16 +162,27 @@ class BlockMaxIndex:
         beside = np.argsort(np.argsort(centres @ centres[0])) if len(x) else np.empty(0, np.int64)
         return np.lexsort((np.arange(len(x)), label, beside[label])) if len(x) else np.empty(0, np.int64)
 
-    def nearest(self, at: np.ndarray, q: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """Rows and cosines of the k examples of largest positive cosine, exact; without: a row that is not asked."""
-        if not len(at) or not self.n:
-            return np.empty(0, np.int64), np.empty(0)
+    def nearest(self, texts: list, k: int, without: list[int] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each text: rows and cosines of the k examples of largest positive cosine, exact; without: a row for each text that is not asked."""
+        found = [self.vector(t) for t in texts]
+        common = np.zeros((len(found), self.dense.shape[1]))
+        for i, (at, q) in enumerate(found):
+            column = self.column[at]
+            common[i, column[column >= 0]] = q[column >= 0]
+        scores = common @ self.dense.T
+        tops = scores.reshape(len(found), self.blocks, BLOCK).max(axis=2)
+        for i, (at, q) in enumerate(found):
+            rest = self.column[at] < 0
+            yield self._nearest(at[rest], q[rest], scores[i], tops[i], k, without[i] if without else -1)
+
+    def _nearest(self, at: np.ndarray, q: np.ndarray, score: np.ndarray, top: np.ndarray, k: int, without: int) -> tuple[np.ndarray, np.ndarray]:
+        """The k nearest, given the products of the common words and their largest in each block."""
         cell, size = _ranges(self.cells[at], self.cells[at + 1])
-        part = np.repeat(q, size)
-        bound = np.bincount(self.block[cell], self.largest[cell] * part, self.blocks)
+        part, block = np.repeat(q, size), self.block[cell]
+        bound = top + np.bincount(block, self.largest[cell] * part, self.blocks)
         order = np.argsort(-bound, kind="stable")
         order = order[bound[order] > 0]
-        score, opened, floor = np.zeros(self.n), 0, -1.0
+        rows, cosines, opened, floor = np.empty(0, np.int64), np.empty(0), 0, -1.0
         while opened < len(order):
             # a block stays closed if its bound is below the k-th cosine found by more than rounding
             open_ = order[opened : max(FIRST_BLOCKS, 2 * opened)]
@@ -170,17 +191,18 @@ class BlockMaxIndex:
                 break
             chosen = np.zeros(self.blocks, bool)
             chosen[open_] = True
-            use = chosen[self.block[cell]]
+            use = chosen[block]
             post, size = _ranges(self.first[cell[use]], self.first[cell[use] + 1])
-            score += np.bincount(self.row[post], self.weight[post] * np.repeat(part[use], size), self.n)
+            if len(post):
+                score += np.bincount(self.row[post], self.weight[post] * np.repeat(part[use], size), len(score))
             opened += len(open_)
-            if without >= 0:
-                score[without] = 0
-            floor = np.partition(score, self.n - k)[self.n - k] if self.n > k else 0.0
-            floor = floor if floor > 0 else -1.0
-        near = np.flatnonzero(score >= max(floor, 1e-300))
-        near = near[np.argsort(-score[near], kind="stable")][:k]
-        return near, score[near]
+            new = (open_[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+            new = new[(score[new] >= max(floor, 1e-300)) & (new != without)]
+            rows, cosines = np.r_[rows, new], np.r_[cosines, score[new]]
+            best = np.lexsort((rows, -cosines))[:k]
+            rows, cosines = rows[best], cosines[best]
+            floor = cosines[-1] if len(rows) == k else -1.0
+        return rows, cosines
 
 
 def _ranges(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -249,7 +271,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, training: Column | None)
         place = np.argsort(model.index.order)
         for batch in pieces(batches):
             numbers, texts = batch.column("n").to_pylist(), batch.column("text").to_pylist()
-            votes = [model.vote(*model.index.nearest(*model.index.vector(t), NEIGHBOURS, int(place[n]))) for n, t in zip(numbers, texts, strict=True)]
+            votes = [model.vote(*near) for near in model.index.nearest(texts, NEIGHBOURS, place[numbers].tolist())]
             yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), pa.array(votes, pa.float64())], names=["n", "vote"])
 
     if len(set(y.tolist())) == 2:
@@ -273,8 +295,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, label: str = "toxic", tr
 
         def compute(texts: list) -> list:
             scores, told = [], []
-            for t in texts:
-                rows, cosine = model.index.nearest(*model.index.vector(t), NEIGHBOURS)
+            for rows, cosine in model.index.nearest(texts, NEIGHBOURS):
                 scores.append(model.score(model.vote(rows, cosine)))
                 told.append([{"doc_id": i, "toxic": y, "cosine": c} for i, y, c in zip(model.ids[rows].tolist(), model.y[rows].tolist(), cosine.tolist(), strict=True)])
             return [scores, [int(s >= THRESHOLD) for s in scores], told]
