@@ -97,7 +97,7 @@ class BlockMaxIndex:
         self.known = {w: i for i, w in enumerate(words)}
         found = [self.vector(t) for t in texts]
         self.order = self._alike(found)
-        self.n, self.blocks = len(found), max(1, -(-len(found) // BLOCK))
+        self.n, self.block_rows, self.blocks = len(found), BLOCK, max(1, -(-len(found) // BLOCK))
         found = [found[i] for i in self.order]
         sizes = [len(at) for at, _ in found]
         word = np.concatenate([np.empty(0, np.int32), *[at for at, _ in found]]).astype(np.int32)
@@ -170,7 +170,7 @@ class BlockMaxIndex:
             column = self.column[at]
             common[i, column[column >= 0]] = q[column >= 0]
         scores = common @ self.dense.T
-        tops = scores.reshape(len(found), self.blocks, BLOCK).max(axis=2)
+        tops = scores.reshape(len(found), self.blocks, self.block_rows).max(axis=2)
         for i, (at, q) in enumerate(found):
             rest = self.column[at] < 0
             yield self._nearest(at[rest], q[rest], scores[i], tops[i], k, without[i] if without else -1)
@@ -196,7 +196,7 @@ class BlockMaxIndex:
             if len(post):
                 score += np.bincount(self.row[post], self.weight[post] * np.repeat(part[use], size), len(score))
             opened += len(open_)
-            new = (open_[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+            new = (open_[:, None] * self.block_rows + np.arange(self.block_rows)).ravel()
             new = new[(score[new] >= max(floor, 1e-300)) & (new != without)]
             rows, cosines = np.r_[rows, new], np.r_[cosines, score[new]]
             best = np.lexsort((rows, -cosines))[:k]
