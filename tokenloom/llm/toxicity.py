@@ -38,9 +38,9 @@ NEIGHBOURS = 30
 BLOCK = 128
 THRESHOLD = 0.7
 #: Commonest words of the sample, whose weights form a matrix.
-DENSE_WORDS = 256
+DENSE_WORDS = 512
 #: Blocks opened at first, and steps and common words of the k-means that puts alike examples into the same blocks.
-FIRST_BLOCKS, CLUSTER_STEPS, CLUSTER_WORDS = 4, 8, 512
+FIRST_BLOCKS, CLUSTER_STEPS, CLUSTER_WORDS = 16, 8, 512
 #: Added to both sides of a vote before its log odds.
 SMOOTH = 0.02
 RESULTS = "score double, predicted int, evidence array<struct<doc_id:long,toxic:int,cosine:double>>"
