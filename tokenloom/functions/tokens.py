@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 WORDS = r"[\p{L}\p{N}_]+"
 PIECES = r"[\p{L}\p{N}_]+|[^\s\p{L}\p{N}_]|\n"
-MAX_TOKENS = 1024
 
 # Function words, code marks, and tokens that count as code.
 FUNCTION_WORDS = (
@@ -23,7 +22,7 @@ CONTENT_BEARING = ["CONTENT", "PROPER_NOUNS"]
 
 
 def words(text: Column, most: int | None = None) -> Column:
-    """Lower-cased words of a text, the first `most` of them where the model's context is bounded."""
+    """Lower-cased words of a text; the first `most` of them, if that is given."""
     found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORDS), F.lit(0))
     return F.slice(found, 1, most) if most else found
 
@@ -53,6 +52,21 @@ def bucket(token: Column, buckets: int) -> Column:
     return (F.conv(F.substring(F.md5(token.cast("binary")), 1, 6), 16, 10).cast("long") % buckets).cast("int")
 
 
+def digit_class() -> str:
+    """A pattern of one digit in the wide sense: decimal digits, and superscript, subscript, circled and like ones."""
+    spans: list[list[int]] = []
+    for c in range(0x110000):
+        if chr(c).isdigit() and not chr(c).isdecimal():
+            if spans and spans[-1][1] == c - 1:
+                spans[-1][1] = c
+            else:
+                spans.append([c, c])
+    return r"[\p{Nd}" + "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in spans) + "]"
+
+
+DIGIT = digit_class()
+
+
 def category(token: Column) -> Column:
     """FORMATTING, SYNTACTIC, NUMERIC, FUNCTION_WORDS, PROPER_NOUNS, CODE or CONTENT: the first rule that holds."""
     t = F.regexp_replace(token, r"(?U)^\s+|\s+$", "")
@@ -62,7 +76,7 @@ def category(token: Column) -> Column:
     return (
         F.when((t == "") | F.contains(token, F.lit("\n")), "FORMATTING")
         .when(t.rlike(r"^[!-/:-@\[-`{-~]+$"), "SYNTACTIC")
-        .when(t.rlike(r"\p{Nd}"), "NUMERIC")
+        .when(t.rlike(DIGIT), "NUMERIC")
         .when(F.lower(t).isin(FUNCTION_WORDS), "FUNCTION_WORDS")
         .when(t.rlike(r"^\p{Lu}") & (F.length(t) > 1), "PROPER_NOUNS")
         .when(code, "CODE")

@@ -241,9 +241,31 @@ def fragmentation(table: DataFrame) -> DataFrame:
 
 
 def sampled(rows: DataFrame, share: float, seeds: list[int], key: str = "vec_id") -> DataFrame:
-    """iter and key of a sample for each seed: the rows whose md5 of seed and key falls under the share."""
-    h = F.conv(F.substring(F.md5(F.concat(F.col("iter").cast("string"), F.lit(":"), F.col(key).cast("string")).cast("binary")), 1, 8), 16, 10).cast("long")
-    return rows.select(key, F.explode(F.array(*map(F.lit, seeds))).alias("iter")).where(h < int(share * 2**32)).select("iter", key)
+    """iter and key of a sample without replacement for each seed: exactly the share of the rows (rounded down), those of least md5 of seed and key.
+
+    Rows are counted by the first four digits of the md5; only the span in which the sample ends is put in order.
+    """
+    h = F.md5(F.concat(F.col("iter").cast("string"), F.lit(":"), F.col(key).cast("string")).cast("binary"))
+    drawn = rows.select(key, F.explode(F.array(*map(F.lit, seeds))).alias("iter")).withColumn("h", h).withColumn("span", F.substring("h", 1, 4))
+    counts = drawn.groupBy("iter", "span").agg(F.count("*").alias("n"))
+    whole = Window.partitionBy("iter")
+    before = F.sum("n").over(whole.orderBy("span")) - F.col("n")
+    want = F.floor(F.lit(share) * F.sum("n").over(whole))
+    spans = counts.select("iter", "span", "n", before.alias("before"), want.alias("want")).where("before < want")  # at most 16^4 rows a seed
+    kept = drawn.join(F.broadcast(spans), ["iter", "span"])
+    inside = kept.where("before + n <= want").select("iter", key)
+    edge = kept.where("before + n > want").withColumn("place", F.row_number().over(Window.partitionBy("iter", "span").orderBy("h", key)))
+    return inside.union(edge.where("place <= want - before").select("iter", key))
+
+
+def nearest_of(vectors: DataFrame, chosen: DataFrame) -> DataFrame:
+    """vec_id, label, medoid, similarity: the nearest representative of each vector. chosen: label and vec_id, one row a cluster."""
+    u = unit(doubles(F.col("embedding")))
+    best = vectors.join(F.broadcast(chosen.select("vec_id", F.col("label").alias("own"))), "vec_id").select(F.col("vec_id").alias("medoid"), "own", u.alias("m"))
+    together = best.agg(F.collect_list(F.struct("own", "medoid", "m")).alias("all"))  # a row for each cluster
+    near = F.transform("all", lambda e: F.struct((-F.round(dot(F.col("u"), e["m"]), 9)).alias("s"), e["own"].alias("label"), e["medoid"].alias("medoid")))
+    found = vectors.select("vec_id", u.alias("u")).crossJoin(F.broadcast(together)).select("vec_id", F.array_min(near).alias("b"))  # one row
+    return found.select("vec_id", "b.label", "b.medoid", (-F.col("b.s")).alias("similarity"))
 
 
 def silhouette(vectors: DataFrame, queries: DataFrame) -> DataFrame:

@@ -5,21 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tokenloom.functions.tokens import MAX_TOKENS, words
+from tokenloom.functions.tokens import words
 
 #: Documents whose lengths are summed by one task when flat indexes are laid out.
 SPAN = 4096
 
 
-def lengths(docs: DataFrame) -> DataFrame:
-    """doc_id, tokens_len and preds_len of every document."""
-    n = F.size(words(F.col("text"), MAX_TOKENS)).cast("long")
+def lengths(docs: DataFrame, most: int | None = None) -> DataFrame:
+    """doc_id, tokens_len and preds_len of every document; most: words that a bounded model would see of each."""
+    n = F.size(words(F.col("text"), most)).cast("long")
     return docs.select("doc_id", n.alias("tokens_len"), F.greatest(n - 1, F.lit(0)).alias("preds_len"))
 
 
-def positions(docs: DataFrame) -> DataFrame:
-    """doc_id, pos, tok: one row for each token."""
-    return docs.select("doc_id", F.posexplode(words(F.col("text"), MAX_TOKENS)).alias("pos", "tok"))
+def positions(docs: DataFrame, most: int | None = None) -> DataFrame:
+    """doc_id, pos, tok: one row for each token of the whole text; most as in lengths."""
+    return docs.select("doc_id", F.posexplode(words(F.col("text"), most)).alias("pos", "tok"))
 
 
 def flat_starts(docs: DataFrame) -> DataFrame:
@@ -63,6 +63,18 @@ def every_nth(docs: DataFrame, step: int) -> DataFrame:
     return found.select("doc_id", "start", F.explode(F.sequence(first, last, F.lit(step).cast("long"))).alias("flat")).select("flat", "doc_id", (F.col("flat") - F.col("start")).alias("pos"))
 
 
+def looked_up(indexes: DataFrame, docs: DataFrame, width: int = 4096) -> DataFrame:
+    """flat, doc_id, pos of given flat indexes (column flat): each lies in the document of the last start at or before it.
+
+    Documents and indexes meet on the stretch of `width` predictions that they lie in, so the search is a join on equal keys.
+    """
+    starts = flat_starts(docs).where("preds_len > 0")
+    last = F.col("start") + F.col("preds_len") - 1
+    spread = starts.select("doc_id", "start", last.alias("last"), F.explode(F.sequence(F.floor(F.col("start") / width), F.floor(last / width))).alias("stretch"))
+    asked = indexes.select("flat", F.floor(F.col("flat") / width).alias("stretch"))
+    return asked.join(spread, "stretch").where("flat between start and last").select("flat", "doc_id", (F.col("flat") - F.col("start")).alias("pos"))
+
+
 def induction(tokens: DataFrame) -> DataFrame:
     """doc_id, pos of tokens whose trigram was seen earlier in the document."""
     order = Window.partitionBy("doc_id").orderBy("pos")

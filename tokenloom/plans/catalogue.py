@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tokenloom.functions.tokens import bucket, without_accents, words
-from tokenloom.operators import clusters, corpus, fingerprints, models, spectral, taxonomy
+from tokenloom.operators import clusters, corpus, fingerprints, models, selection, spectral, taxonomy
 from tokenloom.plans.oracles import ORACLES
 from tokenloom.sources.tables import table
 
@@ -416,7 +416,7 @@ def robustness_flags(labels, docs):
 
 @query("documents")
 def tfidf_weights(docs):
-    return fingerprints.tfidf(docs, 2000)
+    return fingerprints.tfidf(docs, 10_000)
 
 
 @query("documents")
@@ -440,6 +440,140 @@ def power_law_best(orders):
     return clusters.power_law_best(orders.groupBy("o_custkey").agg(F.count("*").alias("size")))
 
 
+# Filters, lookups and orders
+
+
+@query("conversations")
+def generated_region(rows):
+    tokens = rows.where("role = 'assistant'").select("conv_id", "turn", F.posexplode(words(F.col("text"))).alias("pos", "tok"))
+    return selection.generated_region(tokens, 10).groupBy("conv_id").agg(F.count("*").alias("n"))
+
+
+@query("part")
+def parameter_names(parts):
+    kept = selection.named_without(parts, "p_name", ["red", "widget"])
+    return kept.agg(F.count("*").alias("names"), F.sum("p_size").alias("size"))
+
+
+@query("embeddings")
+def noise_dropped_sizes(vectors):
+    near = clusters.nearest_seed(vectors, [100]).withColumn("label", F.when(F.col("similarity") < 0.3, -1).otherwise(F.col("label")))
+    return selection.without_noise(near, "label").groupBy("label").agg(F.count("*").alias("size"))
+
+
+@query("embeddings")
+def lively_clusterings(vectors):
+    return clusters.sizes(selection.lively(clusters.nearest_seed(vectors, [2, 3, 5, 10]), 5, "k"), "k")
+
+
+@query("embeddings")
+def capped_k_list(vectors):
+    return clusters.sizes(clusters.nearest_seed(vectors).where("k <= 20"), "k").agg(F.max("k").alias("greatest_k"), F.min("k").alias("least_k"), F.count_distinct("k").alias("ks"))
+
+
+@query("embeddings")
+def successful_iterations(vectors):
+    """Of twelve iterations asked for, those with a result."""
+    wanted = vectors.sparkSession.range(12).select(F.col("id").cast("int").alias("iter"))
+    return wanted.join(_bootstrapped(vectors), "iter", "left").where("ari is not null").select("iter", "ari", "nmi")
+
+
+@query("conversations")
+def differences_nulled(rows):
+    wide = fingerprints.side_by_side(fingerprints.averages(fingerprints.fingerprints(fingerprints.usage(rows))))
+    return wide.select("cluster", selection.nulled(F.round(F.col("h") - F.col("a"), 9), 0.001).alias("diff"))
+
+
+@query("conversations")
+def clusters_by_frequency(rows):
+    wide = fingerprints.side_by_side(fingerprints.averages(fingerprints.fingerprints(fingerprints.usage(rows))))
+    return wide.select("cluster", F.row_number().over(Window.partitionBy().orderBy(F.desc(F.round("h", 9)), "cluster")).alias("place"))  # one row a bucket
+
+
+@query("documents", "events")
+def flat_index_join(docs, events):
+    """Where given flat indexes lie: the events' numbers, seven apart."""
+    return corpus.looked_up(events.select((F.col("event_id") * 7).alias("flat")), docs)
+
+
+@query("embeddings")
+def nearest_medoid(vectors):
+    return clusters.nearest_of(vectors, clusters.medoids(vectors).select("label", "vec_id"))
+
+
+@query("documents")
+def synonyms_folded(docs):
+    name = selection.folded(F.col("lang"), {"de": "german", "fr": "french"})
+    return docs.groupBy(name.alias("name")).agg(F.count("*").alias("n"))
+
+
+@query("documents")
+def colours_found(docs):
+    colour = selection.found(F.upper(F.col("lang")), {"en": "blue", "es": "red"}, "grey")
+    return docs.groupBy(colour.alias("colour")).agg(F.count("*").alias("n"))
+
+
+@query("part")
+def method_slugs(parts):
+    name = selection.slug(F.regexp_replace("p_brand", "#", "-"))
+    return parts.groupBy(name.alias("slug"), selection.without_prefix(name, "brand_").alias("rest")).agg(F.count("*").alias("n"))
+
+
+@query("embeddings")
+def flattened_slopes(vectors):
+    """Slopes by configuration as keys and formatted numbers of a report."""
+    points = clusters.ranked(clusters.sizes(_sweep(vectors), "cfg", "k"), "cfg", "k")
+    found = clusters.slope(points, 1, 100, "cfg", "k").where("slope is not null")
+    return found.select(selection.flat_key(offset=F.col("cfg"), k=F.col("k")).alias("key"), selection.signed(F.round("slope", 6)).alias("slope"))
+
+
+@query("embeddings")
+def reference_line(vectors):
+    curve = clusters.envelope(clusters.nearest_seed(vectors))
+    return selection.reference_line(curve.select("rank"), clusters.slope(curve, 1, 100).select("slope", "anchor"))
+
+
+@query("embeddings")
+def best_config_clusters(vectors):
+    """Cluster sizes of the recorded best configuration at k = 100."""
+    sweep = _sweep(vectors).where("k = 100")
+    active = sweep.groupBy("cfg").agg(F.count_distinct("label").alias("active"))
+    best = active.agg(F.min(F.struct((-F.col("active")).alias("m"), "cfg")).alias("b")).select("b.cfg")
+    return clusters.sizes(sweep.join(F.broadcast(best), "cfg"), "cfg")
+
+
+@query("documents")
+def vocabulary_decode(docs):
+    """Documents read back from the numbers of their thousand commonest tokens."""
+    tokens = corpus.positions(docs)
+    known = selection.vocabulary(tokens, 1000)
+    ids = tokens.join(F.broadcast(known.select("id", "tok")), "tok").select("doc_id", "pos", "id")
+    return selection.decoded(ids, known)
+
+
+@query("documents")
+def categories_by_size(docs):
+    sized = selection.by_size(taxonomy.dominant(_tokens(docs)))
+    share = [F.round(100 * F.col(c) / F.sum(c).over(Window.partitionBy()), 2).alias(f"{c}_pct") for c in ("clusters", "tokens")]
+    return sized.select("*", *share)
+
+
+@query("documents")
+def categories_common(docs):
+    left, right = (taxonomy.category_sizes(taxonomy.counted(docs.where(F.col("lang") == x), "lang")).select("category") for x in ("en", "de"))
+    return left.intersect(right).withColumn("where", F.lit("both")).union(left.union(right).distinct().withColumn("where", F.lit("any")))
+
+
+@query("embeddings")
+def top_matched_pairs(vectors):
+    return clusters.matched(_two(vectors)).withColumn("jaccard", F.round("jaccard", 9)).orderBy(F.desc("jaccard"), "la").limit(15)
+
+
+@query("embeddings")
+def silhouette_mean(vectors):
+    return clusters.silhouette(vectors, vectors.where("vec_id % 100 = 0")).agg(F.avg("silhouette").alias("mean"), F.count("*").alias("n"))
+
+
 # Fitted models: no SQL; tests hold them against plain versions and planted data
 
 

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from tokenloom.functions.tokens import CODE_KEYWORDS, CODE_MARKS, CODE_SYMBOLS, FUNCTION_WORDS
+from tokenloom.functions.tokens import CODE_KEYWORDS, CODE_MARKS, CODE_SYMBOLS, DIGIT, FUNCTION_WORDS
 
 
 def _strings(values: list[str]) -> str:
     return ", ".join(f"'{v}'" for v in values)
 
 
-POSITIONS = r"""toks as (select doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+')[1:1024] as a from documents),
+POSITIONS = r"""toks as (select doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+') as a from documents),
  lens as (select doc_id, len(a)::bigint as tokens_len, greatest(len(a) - 1, 0)::bigint as preds_len from toks),
  pos as (select doc_id, unnest(range(len(a)))::int as pos, unnest(a) as tok from toks),
  starts as (select *, (coalesce(sum(preds_len) over (order by doc_id rows between unbounded preceding and 1 preceding), 0))::bigint as start from lens)"""
@@ -48,7 +48,7 @@ def _agreement(by: str, cells: str) -> str:
  agreed as (select {b}(ij - pa * pb / (n * (n - 1) / 2)) / ((pa + pb) / 2 - pa * pb / (n * (n - 1) / 2)) as ari, (ln(n) + (ee - ea - eb) / n) / ((ln(n) - ea / n + ln(n) - eb / n) / 2) as nmi from c join a {on} join d {on})"""
 
 
-CATEGORY = rf"""case when regexp_replace(tok, '^\s+|\s+$', '', 'g') = '' or contains(tok, chr(10)) then 'FORMATTING' when regexp_matches(tok, '^[!-/:-@\[-`{{-~]+$') then 'SYNTACTIC' when regexp_matches(tok, '\p{{Nd}}') then 'NUMERIC'
+CATEGORY = rf"""case when regexp_replace(tok, '^\s+|\s+$', '', 'g') = '' or contains(tok, chr(10)) then 'FORMATTING' when regexp_matches(tok, '^[!-/:-@\[-`{{-~]+$') then 'SYNTACTIC' when regexp_matches(tok, '{DIGIT}') then 'NUMERIC'
  when lower(tok) in ({_strings(FUNCTION_WORDS)}) then 'FUNCTION_WORDS' when regexp_matches(tok, '^\p{{Lu}}') and length(tok) > 1 then 'PROPER_NOUNS' when {' or '.join(f"contains(tok, '{m}')" for m in CODE_MARKS)} then 'CODE' else 'CONTENT' end"""
 
 
@@ -69,7 +69,11 @@ PRINTS = r"""with t as (select conv_id || ':' || turn as doc, role as class, reg
  prints as (select *, n / sum(n) over (partition by doc) as p from used),
  av as (select p.class, cluster, sum(p) / any_value(d.docs) as p from prints p join (select class, count(distinct doc) as docs from prints group by class) d on p.class = d.class group by all),
  wide as (select x.cluster, coalesce(sum(p) filter (class = 'user'), 0)::double as h, coalesce(sum(p) filter (class = 'assistant'), 0)::double as a from (select unnest(range(40))::int as cluster) x left join av on x.cluster = av.cluster group by all)"""
-SAMPLED = "sampled as (select iter, vec_id from embeddings, (select unnest(range(10))::int as iter) where ('0x' || substr(md5(iter || ':' || vec_id), 1, 8))::bigint < (0.8 * 4294967296)::bigint)"
+def _sampled(share: float) -> str:
+    return f"sampled as (select iter, vec_id from embeddings, (select unnest(range(10))::int as iter) qualify row_number() over (partition by iter order by md5(iter || ':' || vec_id), vec_id) <= floor({share} * (select count(*) from embeddings)))"
+
+
+SAMPLED = _sampled(0.8)
 FOLDS = "folds as (select doc_id, quality, seed, ((row_number() over (partition by seed, quality order by md5(seed || ':' || doc_id), doc_id) - 1) % 5)::int as fold from labels, (select unnest(range(5))::int as seed))"
 
 
@@ -136,7 +140,7 @@ ORACLES: dict[str, str] = {
     "bootstrap_sample": f"with {SAMPLED} select * from sampled",
     "bootstrap_agreement": BOOT
     + " select " + ", ".join(f"round({f}({c}), 6) as {c}_{n}" for c in ("ari", "nmi") for n, f in (("mean", "avg"), ("std", "stddev_pop"), ("least", "min"), ("most", "max"))) + " from agreed",
-    "resume_remaining": "with " + SAMPLED.replace("(0.8 * 4294967296)", "(0.01 * 4294967296 - 0.5)") + " select unnest(range(10))::int as iter except select iter from sampled where iter % 2 = 0",
+    "resume_remaining": "with " + _sampled(0.01) + " select unnest(range(10))::int as iter except select iter from sampled where iter % 2 = 0",
     "token_categories": TAX + " select * from sized",
     "dominant_category": TAX + " select * from dom",
     "top_tokens_per_cluster": TAX + " select * from top",
@@ -159,7 +163,7 @@ ORACLES: dict[str, str] = {
     "confusion_per_fold": f"with {FOLDS}, p as (select f.*, (length(text) > 1500)::int as predicted from folds f join documents using (doc_id)), " + _confusion("p", "seed, fold") + " select seed, fold, tp::bigint as tp, fp::bigint as fp, tn::bigint as tn, fn::bigint as fn, round(mcc, 6) as mcc, round(balanced_accuracy, 6) as balanced_accuracy from confusion",
     "robustness_flags": r"with q as (select lang, quality, unnest(['full', 'surface', 'single']) as what, unnest([(not regexp_matches(text, '\$\$\$|%%%| \| '))::int, (length(text) > 200)::int, (not contains(text, '%%%'))::int]) as predicted from labels join documents using (doc_id)), " + _confusion("q", "lang, what")
     + ", w as (select lang, any_value(round(mcc, 9)) filter (what = 'full') as f, any_value(round(mcc, 9)) filter (what = 'single') as s, any_value(round(mcc, 9)) filter (what = 'surface') as u from confusion group by lang) select lang, round(f, 6) as \"full\", round(s, 6) as single, round(u, 6) as surface, case when f - u <= 0.05 then 'surface-dominated' when s >= 0.95 * f then 'one-cluster-led' else 'distributed' end as flag from w",
-    "tfidf_weights": r"with k as (select doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+')) as tok from documents), tf as (select doc_id, tok, count(*) as n from k group by all), voc as (select tok, sum(n) as al, count(*) as df from tf group by tok order by al desc, tok limit 2000),"
+    "tfidf_weights": r"with k as (select doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+')) as tok from documents), tf as (select doc_id, tok, count(*) as n from k group by all), voc as (select tok, sum(n) as al, count(*) as df from tf group by tok order by al desc, tok limit 10000),"
     " w as (select doc_id, tok, (1 + ln(n)) * (ln((1 + (select count(*) from documents)) / (1 + df)) + 1) as w from tf join voc using (tok)) select doc_id, tok, round(w / sqrt(sum(w * w) over (partition by doc_id)), 6) as weight from w",
     "accent_stripped_terms": r"with k as (select distinct doc_id, unnest(regexp_extract_all(lower(strip_accents(coalesce(text, ''))), '[\p{L}\p{N}_]+')) as term from documents) select term, count(*) as df from k group by term",
     "silhouette_search": E + ", d as (select q.vec_id, q.label as own, v.label, avg(acos(greatest(-1, least(1, list_dot_product(v.u, q.u)))) / pi()) as d from e q, e v where q.vec_id % 100 = 0 and q.vec_id <> v.vec_id group by all), m as (select vec_id, max(d) filter (label = own) as a, min(d) filter (label <> own) as b from d group by all) select vec_id, round(coalesce((b - a) / greatest(a, b), 0), 6) as silhouette from m",
@@ -169,4 +173,26 @@ ORACLES: dict[str, str] = {
     t as (select any_value(xmin) as xmin, any_value(n_tail) as n, any_value(alpha) as alpha, any_value(ks) as ks, sum(ln(size)) as s, var_pop(ln(size)) as v, avg(size) as m from s, b where size >= xmin),
     r as (select xmin, n as n_tail, alpha, (alpha - 1) / sqrt(n) as sigma, ks, -2 * (n * ln(alpha - 1) + n * (alpha - 1) * ln(xmin - 0.5) - alpha * s) + ln(n) as p, 2 * s + n * ln(2 * pi() * v) + n + 2 * ln(n) as l, 2 * n * (ln(m) + 1) + ln(n) as e from t)
     select xmin, n_tail, round(alpha, 6) as alpha, round(sigma, 6) as sigma, round(ks, 6) as ks, round(p, 6) as bic_power_law, round(l, 6) as bic_lognormal, round(e, 6) as bic_exponential, case when p <= l and p <= e then 'power_law' when l <= e then 'lognormal' else 'exponential' end as best from r""",
+    "generated_region": r"with t as (select conv_id, unnest(range(len(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+')))) as pos from conversations where role = 'assistant') select conv_id, count(*) as n from t where pos >= 9 group by conv_id",
+    "parameter_names": "select count(*) as names, sum(p_size)::bigint as size from part where p_name not like '%red%' and p_name not like '%widget%'",
+    "noise_dropped_sizes": E + ", " + _near("near", "100") + " select label, count(*) as size from near where similarity >= 0.3 group by label",
+    "lively_clusterings": E + ", " + _near("near", "2, 3, 5, 10", 0, 10) + ", good as (select k from near group by k having count(distinct label) >= 5) select k, label, count(*) as size from near semi join good using (k) group by all",
+    "capped_k_list": RANKED + " select max(k) as greatest_k, min(k) as least_k, count(distinct k) as ks from sized where k <= 20",
+    "successful_iterations": BOOT + ", w as (select unnest(range(12))::int as iter) select iter, round(ari, 6) as ari, round(nmi, 6) as nmi from w left join agreed using (iter) where ari is not null",
+    "differences_nulled": PRINTS + " select cluster, case when abs(round(h - a, 9)) >= 0.001 then round(round(h - a, 9), 6) end as diff from wide",
+    "clusters_by_frequency": PRINTS + " select cluster, (row_number() over (order by round(h, 9) desc, cluster))::int as place from wide",
+    "flat_index_join": f"with {POSITIONS} select event_id * 7 as flat, doc_id, event_id * 7 - start as pos from events join starts on event_id * 7 >= start and event_id * 7 < start + preds_len",
+    "nearest_medoid": E + ", m as (select a.label, a.vec_id, round(avg(list_dot_product(a.u, b.u)), 9) as m from e a join e b on a.label = b.label group by all), c as (select label, vec_id as medoid from m qualify row_number() over (partition by label order by m desc, vec_id) = 1), d as (select e.vec_id, c.label, medoid, round(list_dot_product(e.u, x.u), 9) as s from e, c join e x on x.vec_id = medoid)"
+    " select vec_id, label, medoid, round(s, 6) as similarity from d qualify row_number() over (partition by vec_id order by s desc, label) = 1",
+    "synonyms_folded": "select case lang when 'de' then 'german' when 'fr' then 'french' else lang end as name, count(*) as n from documents group by 1",
+    "colours_found": "select case lower(lang) when 'en' then 'blue' when 'es' then 'red' else 'grey' end as colour, count(*) as n from documents group by 1",
+    "method_slugs": "select lower(replace(replace(p_brand, '#', '-'), '-', '_')) as slug, case when slug like 'brand!_%' escape '!' then substr(slug, 7) end as rest, count(*) as n from part group by all",
+    "flattened_slopes": SWEEP + f", s as (select cfg, k, case when count(*) >= 3 then regr_slope({Y}, {X}) end as slope from ranked where rank between 1 and 100 group by all) select 'offset=' || cfg || '_k=' || k as key, printf('%+.4f', round(slope, 6)) as slope from s where slope is not null",
+    "reference_line": RANKED + f", f as (select regr_slope({Y}, {X}) as slope, pow(10, regr_intercept({Y}, {X})) as anchor from env where rank between 1 and 100) select rank::int as rank, round(anchor * pow(rank, slope), 6) as expected from env, f",
+    "best_config_clusters": SWEEP + ", b as (select cfg from sweep where k = 100 group by cfg order by count(distinct label) desc, cfg limit 1) select cfg, label, count(*) as size from sweep semi join b using (cfg) where k = 100 group by all",
+    "vocabulary_decode": f"with {POSITIONS}, voc as (select tok, count(*) as n from pos group by tok order by n desc, tok limit 1000) select doc_id, string_agg(tok, ' ' order by pos) as text from pos semi join voc using (tok) group by doc_id",
+    "categories_by_size": TAX + ", z as (select category, count(*) as clusters, sum(size)::bigint as tokens from dom group by category) select *, (row_number() over (order by tokens desc, category))::int as place, round(100 * clusters / sum(clusters) over (), 2) as clusters_pct, round(100 * tokens / sum(tokens) over (), 2) as tokens_pct from z",
+    "categories_common": "with " + _tokens("lang") + ", l as (select distinct category from tokens where cluster = 'en'), r as (select distinct category from tokens where cluster = 'de') select category, 'both' as \"where\" from (from l intersect from r) union all select category, 'any' from (from l union from r)",
+    "top_matched_pairs": TWO + ", j as (select *, n / (sum(n) over (partition by la) + sum(n) over (partition by lb) - n) as jaccard from cells), r as (select *, row_number() over (partition by la order by jaccard desc, lb) as ra, row_number() over (partition by lb order by jaccard desc, la) as rb from j) select la, lb, n, round(jaccard, 6) as jaccard from r where ra = 1 and rb = 1 order by round(r.jaccard, 9) desc, la limit 15",
 }
+ORACLES["silhouette_mean"] = "select round(avg(silhouette), 6) as mean, count(*) as n from (" + ORACLES["silhouette_search"].replace("round(coalesce((b - a) / greatest(a, b), 0), 6)", "coalesce((b - a) / greatest(a, b), 0)") + ")"
