@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tokenloom.llm.common import alnum_words, crc_remainder, materialise, pieces, with_computed
 
@@ -47,7 +48,7 @@ RESULTS = "score double, predicted int, evidence array<struct<doc_id:long,toxic:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, training: Column) -> DataFrame:
-    """At most MAX_POSITIVE and MAX_NEGATIVE examples (doc_id, text, y, weight), one for each distinct labelled text; weight: labelled rows of the class for each one that they stand for."""
+    """At most MAX_POSITIVE and MAX_NEGATIVE examples (h, a hash of the text, doc_id, text, y, weight), one for each distinct labelled text; weight: labelled rows of the class for each one that they stand for."""
     marked = labels.where(F.col(label).isin(0, 1)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(label).cast("int").alias("y"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).where(training)
     named = rows.select("doc_id", F.sha2("text", 256).alias("h")).join(marked, "doc_id")
@@ -60,12 +61,28 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, training: Co
         parts.append(chosen.withColumn("weight", F.col("n") * F.lit(total / taken if taken else 1.0)))
     sample = parts[0].union(parts[1]).select("h", "y", "doc_id", "weight")
     found = rows.withColumn("h", F.sha2("text", 256)).join(F.broadcast(sample), ["h", "doc_id"])  # at most MAX_POSITIVE + MAX_NEGATIVE rows
-    return found.dropDuplicates(["h"]).select("doc_id", "text", "y", "weight")
+    return found.dropDuplicates(["h"]).select("h", "doc_id", "text", "y", "weight")
 
 
-def document_frequencies(docs: DataFrame, words: list[bytes]) -> tuple[np.ndarray, int]:
-    """Documents that hold each of the words, and the number of documents: one sum for each task and word."""
-    shared = docs.sparkSession.sparkContext.broadcast(zlib.compress(b" ".join(words), 1))
+def _in_one_task(sample: DataFrame, make) -> bytes:
+    """What make() gives for the bounded sample as an Arrow table in the order of h, as bytes; the texts stay on the executors."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole = pa.Table.from_batches([*batches], schema=to_arrow_schema(kind))
+        yield pa.RecordBatch.from_arrays([pa.array([make(whole.sort_by("h"))], pa.binary())], names=["made"])
+
+    kind = sample.schema
+    return bytes(sample.coalesce(1).mapInArrow(run, "made binary").first()["made"])
+
+
+def _words(examples: pa.Table) -> bytes:
+    """All words of the examples, sorted and packed."""
+    return zlib.compress(b" ".join(sorted({w for t in examples["text"].to_pylist() for w in alnum_words(t)})), 1)
+
+
+def document_frequencies(docs: DataFrame, packed: bytes) -> tuple[np.ndarray, int]:
+    """Documents that hold each of the packed words, and the number of documents: one sum for each task and word."""
+    shared = docs.sparkSession.sparkContext.broadcast(packed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = {w: i for i, w in enumerate(zlib.decompress(shared.value).split())}
@@ -80,7 +97,7 @@ def document_frequencies(docs: DataFrame, words: list[bytes]) -> tuple[np.ndarra
 
     counted = docs.select("text").mapInArrow(run, "t int, n long").groupBy("t").agg(F.sum("n").alias("n")).toArrow()  # as many rows as the sample has words
     t, n = counted["t"].to_numpy(), counted["n"].to_numpy()
-    out = np.zeros(len(words), np.int64)
+    out = np.zeros(int(t.max(initial=-1)) + 1, np.int64)
     out[t[t >= 0]] = n[t >= 0]
     return out, int(n[t < 0].sum())
 
@@ -108,8 +125,7 @@ class BlockMaxIndex:
         self.column = np.full(len(words), -1, np.int16)
         self.column[common] = np.arange(len(common))
         use = self.column[word] >= 0
-        self.dense = np.zeros((self.blocks * BLOCK, len(common)))
-        self.dense[row[use], self.column[word[use]]] = weight[use]
+        self.common = row[use], self.column[word[use]], weight[use], len(common)
         order = order[~use[order]]
         word, self.row, self.weight = word[order], row[order], weight[order]
         #: cells: postings of one word in one block; where each word's cells and each cell's postings start
@@ -122,13 +138,16 @@ class BlockMaxIndex:
         self.cells = np.searchsorted(word[start], np.arange(len(words) + 1)).astype(np.int32)
 
     def __getstate__(self) -> dict:
-        """The words as one string; their numbers are made where they are used."""
+        """The words as one string; their numbers and the matrix are made where they are used."""
         return {k: v for k, v in self.__dict__.items() if k != "known"} | {"words": b" ".join(self.words)}
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__.update(state)
         self.words = state["words"].split()
         self.known = {w: i for i, w in enumerate(self.words)}
+        row, column, weight, n = self.common
+        self.dense = np.zeros((self.blocks * self.block_rows, n))
+        self.dense[row, column] = weight
 
     def vector(self, text: object) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of the text's words, sorted, and their weights; words that weigh nothing are left out."""
@@ -215,34 +234,37 @@ def log_odds(p):
     return np.log(p / (1 - p))
 
 
+def prior(y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
+    """Start and slope of a curve that says the share of toxic rows whatever the vote."""
+    share = (weight[y == 1].sum() + 0.5) / (weight.sum() + 1)
+    return float(log_odds(share)), 0.0
+
+
+def calibrated(votes: np.ndarray, y: np.ndarray, weight: np.ndarray, start: float) -> tuple[float, float]:
+    """Start and slope of the logistic curve fitted to the share of toxic votes that each example gets from the others (negative: no neighbour)."""
+    use = votes >= 0
+    if len(set(y[use].tolist())) < 2:
+        return start, 0.0
+    x = np.c_[np.ones(use.sum()), log_odds((votes[use] + SMOOTH) / (1 + 2 * SMOOTH))]
+    y, w = y[use], weight[use] / weight[use].sum()
+    beta = np.array([start, 0.0])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
+        gradient = x.T @ (w * (y - p)) - 1e-5 * np.array([0, beta[1]])
+        step = np.linalg.solve((x * (w * p * (1 - p))[:, None]).T @ x + np.diag([1e-9, 1e-5]), gradient)
+        beta += np.clip(step, -2, 2)
+        if np.abs(step).max() < 1e-10:
+            break
+    return (float(beta[0]), float(beta[1])) if beta[1] > 0 else (start, 0.0)
+
+
 class Model:
     """The index, its labels and the curve from votes to probabilities."""
 
     def __init__(self, index: BlockMaxIndex, ids: np.ndarray, y: np.ndarray, weight: np.ndarray):
         self.index, self.ids, self.y = index, ids[index.order], y[index.order]
-        weight = weight[index.order]
-        total = weight.sum()
-        self.share = float((weight[self.y == 1].sum() + 0.5) / (total + 1)) if total else 0.5
-        self.slope, self.start = 0.0, float(log_odds(self.share))
-
-    def calibrate(self, votes: np.ndarray, weight: np.ndarray) -> None:
-        """Fits the curve to the share of toxic votes that each example gets from the others (negative: no neighbour)."""
-        use = votes >= 0
-        if len(set(self.y[use].tolist())) < 2:
-            return
-        x = np.c_[np.ones(use.sum()), log_odds((votes[use] + SMOOTH) / (1 + 2 * SMOOTH))]
-        y, w = self.y[use], weight[self.index.order][use]
-        w = w / w.sum()
-        beta = np.array([self.start, 0.0])
-        for _ in range(50):
-            p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-            gradient = x.T @ (w * (y - p)) - 1e-5 * np.array([0, beta[1]])
-            step = np.linalg.solve((x * (w * p * (1 - p))[:, None]).T @ x + np.diag([1e-9, 1e-5]), gradient)
-            beta += np.clip(step, -2, 2)
-            if np.abs(step).max() < 1e-10:
-                break
-        if beta[1] > 0:
-            self.start, self.slope = float(beta[0]), float(beta[1])
+        self.start, self.slope = prior(y, weight)
+        self.share = float(1 / (1 + np.exp(-self.start))) if len(y) else 0.5
 
     def vote(self, rows: np.ndarray, cosine: np.ndarray) -> float:
         return float((cosine * self.y[rows]).sum() / cosine.sum()) if len(rows) else -1.0
@@ -253,37 +275,52 @@ class Model:
         return float(1 / (1 + np.exp(-(self.start + self.slope * log_odds((vote + SMOOTH) / (1 + 2 * SMOOTH))))))
 
 
+def load(shared: tuple[bytes, float, float]) -> Model:
+    model = pickle.loads(shared[0])
+    model.start, model.slope = shared[1:]
+    return model
+
+
 def fit(docs: DataFrame, labels: DataFrame, label: str, training: Column | None):
-    """A broadcast of the pickled model. training: rows whose labels may be learned from, in terms of doc_id."""
+    """A broadcast for load(). training: rows whose labels may be learned from, in terms of doc_id. The driver holds labels and weights of the sample, document frequencies of its words and the packed index, no texts."""
     spark = docs.sparkSession
     training = F.lit(True) if training is None else F.coalesce(training, F.lit(True))
-    examples = labelled_sample(docs, labels.select("doc_id", label), label, training).orderBy("doc_id", "text").toArrow()  # the bounded sample
-    texts, y, weight = examples["text"].to_pylist(), examples["y"].to_numpy().astype(np.int64), examples["weight"].to_numpy()
-    words = sorted({w for t in texts for w in alnum_words(t)})
-    df, n_docs = document_frequencies(docs, words)
-    index = BlockMaxIndex(texts, words, inverse_frequency(df, n_docs))
-    model = Model(index, examples["doc_id"].to_numpy(), y, weight)
-    del words, df
-    shared = spark.sparkContext.broadcast(pickle.dumps(model))
+    sample = materialise(labelled_sample(docs, labels.select("doc_id", label), label, training))
+    packed = _in_one_task(sample.select("h", "text"), _words)
+    df, n_docs = document_frequencies(docs, packed)
+    known = spark.sparkContext.broadcast((packed, df, n_docs))
+
+    def build(examples: pa.Table) -> bytes:
+        packed, df, n_docs = known.value
+        words = zlib.decompress(packed).split()
+        df = np.r_[df, np.zeros(len(words) - len(df), np.int64)]
+        index = BlockMaxIndex(examples["text"].to_pylist(), words, inverse_frequency(df, n_docs))
+        return pickle.dumps(Model(index, examples["doc_id"].to_numpy(), examples["y"].to_numpy().astype(np.int64), examples["weight"].to_numpy()))
+
+    made = _in_one_task(sample, build)
+    known.destroy()
+    rows = sample.select("h", "y", "weight").orderBy("h").toArrow()
+    y, weight = rows["y"].to_numpy().astype(np.int64), rows["weight"].to_numpy()
+    start, slope = prior(y, weight)
+    shared = spark.sparkContext.broadcast((made, start, slope))
+    if len(set(y.tolist())) < 2:
+        return shared
+    number = spark.sparkContext.broadcast({h: n for n, h in enumerate(rows["h"].to_pylist())})
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = pickle.loads(shared.value)
+        model = load(shared.value)
         place = np.argsort(model.index.order)
         for batch in pieces(batches):
-            numbers, texts = batch.column("n").to_pylist(), batch.column("text").to_pylist()
-            votes = [model.vote(*near) for near in model.index.nearest(texts, NEIGHBOURS, place[numbers].tolist())]
+            numbers = [number.value[h] for h in batch.column("h").to_pylist()]
+            votes = [model.vote(*near) for near in model.index.nearest(batch.column("text").to_pylist(), NEIGHBOURS, place[numbers].tolist())]
             yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), pa.array(votes, pa.float64())], names=["n", "vote"])
 
-    if len(set(y.tolist())) == 2:
-        tasks = max(1, min(12, len(texts) // 100))
-        asked = spark.createDataFrame(pa.table({"n": pa.array(range(len(texts)), pa.int64()), "text": texts})).repartition(tasks)
-        found = asked.mapInArrow(ask, "n long, vote double").toArrow()
-        votes = np.empty(len(texts))
-        votes[found["n"].to_numpy()] = found["vote"].to_numpy()
-        model.calibrate(votes[index.order], weight)
-        shared.destroy()
-        shared = spark.sparkContext.broadcast(pickle.dumps(model))
-    return shared
+    found = sample.select("h", "text").repartition(max(1, min(12, len(y) // 100))).mapInArrow(ask, "n long, vote double").toArrow()
+    votes = np.empty(len(y))
+    votes[found["n"].to_numpy()] = found["vote"].to_numpy()
+    start, slope = calibrated(votes, y, weight, start)
+    shared.unpersist()
+    return spark.sparkContext.broadcast((made, start, slope))
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, label: str = "toxic", training: Column | None = None, without: tuple[str, ...] = ()) -> DataFrame:
@@ -291,7 +328,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, label: str = "toxic", tr
     shared = fit(docs, labels, label, training)
 
     def start():
-        model = pickle.loads(shared.value)
+        model = load(shared.value)
 
         def compute(texts: list) -> list:
             scores, told = [], []
