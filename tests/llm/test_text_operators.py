@@ -164,7 +164,7 @@ def test_toxicity_equals_brute_force(spark, monkeypatch, block, first):
     docs = [(i, " ".join(rng.choice(groups[i % 3], rng.integers(5, 40))) + (f" einzig{i % 170}" if i % 3 else "")) for i in range(300)]
     labels = [(i, int(rng.random() < 0.3)) for i in range(200)]
     model = toxicity.fit(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"), "toxic", None)
-    model = toxicity.load(model.value)
+    model = toxicity.load(model)
     got = {r["doc_id"]: r for r in toxicity.score_documents(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()}
     counts = [Counter(t.split()) for _, t in docs]
     held = {w for i, _ in labels for w in counts[i]}

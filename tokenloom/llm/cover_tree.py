@@ -100,20 +100,33 @@ class CoverTree:
             self.cover.insert(0, far + SLACK)
             anc = self.up[level][anc]
 
+        # levels that a traversal visits: those at least twice as large as the last one, and the lowest
+        self.visited, last = [(0, self.up[0])], 0
+        for level in range(1, len(self.sizes)):
+            if self.sizes[level] >= 2 * self.sizes[last] or level == len(self.sizes) - 1:
+                anc = np.arange(self.sizes[level])
+                for below in range(level, last, -1):
+                    anc = self.up[below][anc]
+                self.visited.append((level, anc))
+                last = level
+
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k != "leaf"}
+        return {k: self.__dict__[k] for k in ("centres", "cover", "visited")}
 
     def near(self, other: CoverTree, chord: float) -> tuple[np.ndarray, np.ndarray]:
         """Lowest nodes of this tree and of the other that have a partner there within the chord of both covering radii."""
-        keep = np.ones((1, 1), bool)
-        for level in range(len(self.sizes)):
-            a, b = self.up[level], other.up[level]
+        keep, mine, theirs = np.ones((1, 1), bool), list(self.visited), list(other.visited)
+        for step in range(max(len(mine), len(theirs))):  # the shallower tree stays at its lowest level
+            level, a = mine[step] if step < len(mine) else (mine[-1][0], np.arange(keep.shape[0]))
+            beside, b = theirs[step] if step < len(theirs) else (theirs[-1][0], np.arange(keep.shape[1]))
             rows, columns = np.flatnonzero(keep.any(axis=1)[a]), np.flatnonzero(keep.any(axis=0)[b])
             at = np.zeros((len(a), len(b)), bool)
-            if len(rows) and len(columns):
-                far = np.sqrt(np.maximum(0, 2 - 2 * (self.centres[rows] @ other.centres[columns].T)))
-                reach = self.cover[level][rows][:, None] + other.cover[level][columns][None] + chord
-                at[np.ix_(rows, columns)] = (far <= reach + 1e-3) & keep[np.ix_(a[rows], b[columns])]
+            for part in np.array_split(rows, max(1, len(rows) // TILE)):
+                if len(part) and len(columns):
+                    reach = self.cover[level][part].astype(np.float32)[:, None] + (other.cover[beside][columns] + chord + 1e-3).astype(np.float32)[None]
+                    np.multiply(reach, reach, out=reach)
+                    near = 2 - 2 * (self.centres[part] @ other.centres[columns].T) <= reach
+                    at[np.ix_(part, columns)] = near & keep[np.ix_(a[part], b[columns])]
             keep = at
         return np.flatnonzero(keep.any(axis=1)), np.flatnonzero(keep.any(axis=0))
 

@@ -107,57 +107,66 @@ def inverse_frequency(df: np.ndarray, n_docs: int) -> np.ndarray:
 
 
 class BlockMaxIndex:
-    """Unit vectors of the examples as postings by word and block, with each word's largest weight in each block."""
+    """Unit vectors of the examples as postings by word and block, with each word's largest weight in each block. It is made from texts in one task and answers where it has been unpickled."""
 
     def __init__(self, texts: list, words: list[bytes], idf: np.ndarray):
-        self.words, self.idf = words, idf
+        self.words, self.idf, self.block_rows = words, idf, BLOCK
         self.known = {w: i for i, w in enumerate(words)}
-        found = [self.vector(t) for t in texts]
-        self.order = self._alike(found)
-        self.n, self.block_rows, self.blocks = len(found), BLOCK, max(1, -(-len(found) // BLOCK))
+        found = [self.counts(t) for t in texts]
+        self.order = self._alike([(at, self.weights(at, tf)) for at, tf in found])
         found = [found[i] for i in self.order]
-        sizes = [len(at) for at, _ in found]
-        word = np.concatenate([np.empty(0, np.int32), *[at for at, _ in found]]).astype(np.int32)
-        weight = np.concatenate([np.empty(0), *[w for _, w in found]])
-        row = np.repeat(np.arange(self.n, dtype=np.int32), sizes)
+        self.n, self.blocks = len(found), max(1, -(-len(found) // BLOCK))
+        self.norm = np.array([max(1e-300, np.sqrt((self.raw(at, tf) ** 2).sum())) for at, tf in found])
+        word = np.concatenate([np.empty(0, np.int64), *[at for at, _ in found]])
+        tf = np.concatenate([np.empty(0, np.int32), *[tf for _, tf in found]]).astype(np.int32)
+        row = np.repeat(np.arange(self.n, dtype=np.int32), [len(at) for at, _ in found])
         order = np.lexsort((row, word))
-        common = np.argsort(-np.bincount(word, minlength=len(words)), kind="stable")[:DENSE_WORDS]
-        self.column = np.full(len(words), -1, np.int16)
+        #: all postings, by word and row
+        self.postings = np.searchsorted(word[order], np.arange(len(words) + 1)).astype(np.int32), row[order], tf[order]
+
+    def __getstate__(self) -> dict:
+        """What a task needs to build the index: words, their frequencies, and numbers of the postings."""
+        return {k: self.__dict__[k] for k in ("idf", "block_rows", "order", "n", "blocks", "norm", "postings")} | {"words": zlib.compress(b" ".join(self.words), 1)}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self.words = zlib.decompress(state["words"]).split()
+        self.known = {w: i for i, w in enumerate(self.words)}
+        first, row, tf = self.postings
+        word = np.repeat(np.arange(len(self.words), dtype=np.int32), np.diff(first))
+        weight = self.raw(word, tf) / self.norm[row]
+        common = np.argsort(-np.diff(first), kind="stable")[:DENSE_WORDS]
+        self.column = np.full(len(self.words), -1, np.int16)
         self.column[common] = np.arange(len(common))
         use = self.column[word] >= 0
-        self.common = row[use], self.column[word[use]], weight[use], len(common)
-        order = order[~use[order]]
-        word, self.row, self.weight = word[order], row[order], weight[order]
+        self.dense = np.zeros((self.blocks * self.block_rows, len(common)))
+        self.dense[row[use], self.column[word[use]]] = weight[use]
+        word, self.row, self.weight = word[~use], row[~use], weight[~use]
         #: cells: postings of one word in one block; where each word's cells and each cell's postings start
-        block = self.row // BLOCK
+        block = self.row // self.block_rows
         new = np.r_[True, (word[1:] != word[:-1]) | (block[1:] != block[:-1])] if len(word) else np.empty(0, bool)
         start = np.flatnonzero(new)
         self.first = np.r_[start, len(word)].astype(np.int32)
         self.block = block[start]
         self.largest = np.maximum.reduceat(self.weight, start) if len(start) else np.empty(0)
-        self.cells = np.searchsorted(word[start], np.arange(len(words) + 1)).astype(np.int32)
-
-    def __getstate__(self) -> dict:
-        """The words as one string; their numbers and the matrix are made where they are used."""
-        return {k: v for k, v in self.__dict__.items() if k != "known"} | {"words": b" ".join(self.words)}
+        self.cells = np.searchsorted(word[start], np.arange(len(self.words) + 1)).astype(np.int32)
 
-    def __setstate__(self, state: dict) -> None:
-        self.__dict__.update(state)
-        self.words = state["words"].split()
-        self.known = {w: i for i, w in enumerate(self.words)}
-        row, column, weight, n = self.common
-        self.dense = np.zeros((self.blocks * self.block_rows, n))
-        self.dense[row, column] = weight
-
-    def vector(self, text: object) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers of the text's words, sorted, and their weights; words that weigh nothing are left out."""
+    def counts(self, text: object) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the text's words, sorted, and how often each occurs; words that weigh nothing are left out."""
         counts = Counter([i for i in map(self.known.get, alnum_words(text)) if i is not None])
-        at = np.fromiter(counts.keys(), np.int64, len(counts))
-        w = (1 + np.log(np.fromiter(counts.values(), np.float64, len(counts)))) * self.idf[at]
+        at, tf = np.fromiter(counts.keys(), np.int64, len(counts)), np.fromiter(counts.values(), np.int64, len(counts))
+        use = self.idf[at] > 0
+        at, tf = at[use], tf[use]
         order = np.argsort(at)
-        at, w = at[order], w[order]
-        at, w = at[w > 0], w[w > 0]
-        return at, w / np.sqrt((w * w).sum()) if len(w) else w
+        return at[order], tf[order]
+
+    def raw(self, at: np.ndarray, tf: np.ndarray) -> np.ndarray:
+        return (1 + np.log(tf)) * self.idf[at]
+
+    def weights(self, at: np.ndarray, tf: np.ndarray) -> np.ndarray:
+        """A text's vector of length one."""
+        w = self.raw(at, tf)
+        return w / np.sqrt((w * w).sum()) if len(w) else w
 
     def _alike(self, found: list) -> np.ndarray:
         """An order of the examples in which those with alike common words stand together."""
@@ -183,7 +192,7 @@ class BlockMaxIndex:
 
     def nearest(self, texts: list, k: int, without: list[int] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For each text: rows and cosines of the k examples of largest positive cosine, exact; without: a row for each text that is not asked."""
-        found = [self.vector(t) for t in texts]
+        found = [(at, self.weights(at, tf)) for at, tf in map(self.counts, texts)]
         common = np.zeros((len(found), self.dense.shape[1]))
         for i, (at, q) in enumerate(found):
             column = self.column[at]
@@ -275,14 +284,16 @@ class Model:
         return float(1 / (1 + np.exp(-(self.start + self.slope * log_odds((vote + SMOOTH) / (1 + 2 * SMOOTH))))))
 
 
-def load(shared: tuple[bytes, float, float]) -> Model:
-    model = pickle.loads(shared[0])
-    model.start, model.slope = shared[1:]
+def load(fitted: tuple) -> Model:
+    """The model of fit()'s answer, on the driver or in a task."""
+    shared, start, slope = fitted
+    model = pickle.loads(shared.value)
+    model.start, model.slope = start, slope
     return model
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str, training: Column | None):
-    """A broadcast for load(). training: rows whose labels may be learned from, in terms of doc_id. The driver holds labels and weights of the sample, document frequencies of its words and the packed index, no texts."""
+    """What load() takes: a broadcast of the packed index, and the curve. training: rows whose labels may be learned from, in terms of doc_id. The driver holds labels and weights of the sample, document frequencies of its words and the packed index, no texts."""
     spark = docs.sparkSession
     training = F.lit(True) if training is None else F.coalesce(training, F.lit(True))
     sample = materialise(labelled_sample(docs, labels.select("doc_id", label), label, training))
@@ -302,13 +313,14 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, training: Column | None)
     rows = sample.select("h", "y", "weight").orderBy("h").toArrow()
     y, weight = rows["y"].to_numpy().astype(np.int64), rows["weight"].to_numpy()
     start, slope = prior(y, weight)
-    shared = spark.sparkContext.broadcast((made, start, slope))
+    shared = spark.sparkContext.broadcast(made)
+    del made
     if len(set(y.tolist())) < 2:
-        return shared
+        return shared, start, slope
     number = spark.sparkContext.broadcast({h: n for n, h in enumerate(rows["h"].to_pylist())})
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = load(shared.value)
+        model = load((shared, start, slope))
         place = np.argsort(model.index.order)
         for batch in pieces(batches):
             numbers = [number.value[h] for h in batch.column("h").to_pylist()]
@@ -318,17 +330,15 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, training: Column | None)
     found = sample.select("h", "text").repartition(max(1, min(12, len(y) // 100))).mapInArrow(ask, "n long, vote double").toArrow()
     votes = np.empty(len(y))
     votes[found["n"].to_numpy()] = found["vote"].to_numpy()
-    start, slope = calibrated(votes, y, weight, start)
-    shared.unpersist()
-    return spark.sparkContext.broadcast((made, start, slope))
+    return shared, *calibrated(votes, y, weight, start)
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, label: str = "toxic", training: Column | None = None, without: tuple[str, ...] = ()) -> DataFrame:
     """docs (but the columns named in without) with score, predicted and evidence: the nearest examples, their labels and cosines."""
-    shared = fit(docs, labels, label, training)
+    fitted = fit(docs, labels, label, training)
 
     def start():
-        model = load(shared.value)
+        model = load(fitted)
 
         def compute(texts: list) -> list:
             scores, told = [], []
