@@ -28,6 +28,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tokenloom.llm.common import bound_batches
+
 START, END = "<|im_start|>", "<|im_end|>"
 #: Tokens of a window, of the history that it may repeat, and of a turn's marks.
 BUDGET, HISTORY, MARKS = 1024, 256, 4
@@ -121,6 +123,7 @@ def format_windows(conversations: DataFrame, budget: int = BUDGET, history: int
         if now:
             yield _frame(list(now.cut(budget, history, True)), names)
 
+    bound_batches(conversations.sparkSession)
     turns = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
     return turns.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select(F.col("conv_id").cast("string").alias("conv_id"), "role", "text").mapInPandas(run, WINDOW_SCHEMA)
 

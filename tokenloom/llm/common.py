@@ -31,8 +31,16 @@ def shared_folder(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-#: Rows of an Arrow batch that are turned into Python objects at once; Spark bounds the bytes of the batch itself.
-SLICE_ROWS = 250
+#: Rows of an Arrow batch that are turned into Python objects at once, and rows of the batch itself.
+SLICE_ROWS, BATCH_ROWS = 250, 1_000
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lowers the session's rows per Arrow batch to BATCH_ROWS: batches are held by the JVM and by Python at once, beside the task's own memory. Spark reads the setting when a frame runs, so it has to stay for the frames that operators return."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if now <= 0 or now > BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
 
 
 def pieces(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
@@ -49,6 +57,7 @@ def with_computed(df: DataFrame, inputs: list[str], fields: str, start: Callable
     columns stay in Arrow, so that ids keep their value whatever nulls stand beside them. Columns of df that have a
     field's name are replaced.
     """
+    bound_batches(df.sparkSession)
     made = T.StructType.fromDDL(fields)
     base = df.drop(*made.names)
     kept = [n for n in base.columns if n not in without]

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from tokenloom.llm.common import alnum_words, crc_remainder, materialise, pieces, with_computed
+from tokenloom.llm.common import alnum_words, bound_batches, crc_remainder, materialise, pieces, with_computed
 
 #: Bounds of the labelled sample, neighbours that vote, rows of a block and the cut of a prediction.
 MAX_POSITIVE, MAX_NEGATIVE = 2_000, 4_000
@@ -130,13 +130,13 @@ class BlockMaxIndex:
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__.update(state)
-        self.words = zlib.decompress(state["words"]).split()
-        self.known = {w: i for i, w in enumerate(self.words)}
+        self.known = {w: i for i, w in enumerate(zlib.decompress(state["words"]).split())}
         first, row, tf = self.postings
-        word = np.repeat(np.arange(len(self.words), dtype=np.int32), np.diff(first))
+        del self.postings, self.words  # the numbers below stand for them
+        word = np.repeat(np.arange(len(self.known), dtype=np.int32), np.diff(first))
         weight = self.raw(word, tf) / self.norm[row]
         common = np.argsort(-np.diff(first), kind="stable")[:DENSE_WORDS]
-        self.column = np.full(len(self.words), -1, np.int16)
+        self.column = np.full(len(self.known), -1, np.int16)
         self.column[common] = np.arange(len(common))
         use = self.column[word] >= 0
         self.dense = np.zeros((self.blocks * self.block_rows, len(common)))
@@ -149,7 +149,7 @@ class BlockMaxIndex:
         self.first = np.r_[start, len(word)].astype(np.int32)
         self.block = block[start]
         self.largest = np.maximum.reduceat(self.weight, start) if len(start) else np.empty(0)
-        self.cells = np.searchsorted(word[start], np.arange(len(self.words) + 1)).astype(np.int32)
+        self.cells = np.searchsorted(word[start], np.arange(len(self.known) + 1)).astype(np.int32)
 
     def counts(self, text: object) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of the text's words, sorted, and how often each occurs; words that weigh nothing are left out."""
@@ -295,6 +295,7 @@ def load(fitted: tuple) -> Model:
 def fit(docs: DataFrame, labels: DataFrame, label: str, training: Column | None):
     """What load() takes: a broadcast of the packed index, and the curve. training: rows whose labels may be learned from, in terms of doc_id. The driver holds labels and weights of the sample, document frequencies of its words and the packed index, no texts."""
     spark = docs.sparkSession
+    bound_batches(spark)
     training = F.lit(True) if training is None else F.coalesce(training, F.lit(True))
     sample = materialise(labelled_sample(docs, labels.select("doc_id", label), label, training))
     packed = _in_one_task(sample.select("h", "text"), _words)
