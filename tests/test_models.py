@@ -52,6 +52,43 @@ def test_logistic_finds_planted_classes(spark):
     assert wide.count() == models.permuted(wide).count()
 
 
+def test_bag_of_words_against_a_plain_version(spark):
+    rng = np.random.default_rng(4)
+    texts = {(i, i % 2): " ".join(rng.choice([f"w{j}" for j in range(12)], 12, p=np.roll(np.r_[[0.2, 0.12], np.full(10, 0.068)], i % 2 * 2))) for i in range(60)}
+    texts[60, 0], texts[61, 1] = "only here once", "Ét é ete"
+    turns = spark.createDataFrame([(f"d{i}", ("user", "assistant")[y], t) for (i, y), t in texts.items()], "doc string, class string, text string")
+    got = {(r["seed"], r["fold"]): (r["tp"], r["fp"], r["tn"], r["fn"]) for r in models.bag_of_words(turns, 3, [0, 1], 9).collect()}
+    rows = {f"d{i}": (y, t.lower().replace("é", "e").split()) for (i, y), t in texts.items()}
+    dealt = fingerprints.folds(spark.createDataFrame([(d, y) for d, (y, _) in rows.items()], "doc string, y int"), "doc", "y", 3, [0, 1]).collect()
+    for seed in (0, 1):
+        fold = {r["doc"]: r["fold"] for r in dealt if r["seed"] == seed}
+        for f in range(3):
+            inside = [w for d, (_, w) in rows.items() if fold[d] != f]
+            every = sorted({t for w in inside for t in w}, key=lambda t: (-sum(w.count(t) for w in inside), t))[:9]
+            idf = {t: np.log((1 + len(inside)) / (1 + sum(t in w for w in inside))) + 1 for t in every}
+
+            def vector(w, every=every, idf=idf):
+                x = np.array([(1 + np.log(w.count(t))) * idf[t] if t in w else 0.0 for t in every])
+                return np.r_[x / max(np.linalg.norm(x), 1e-300), 1.0]
+
+            x, y = np.stack([vector(w) for _, w in rows.values()]), np.array([y for y, _ in rows.values()])
+            train = np.array([fold[d] != f for d in rows])
+            weight = np.where(y == 1, 1 / y[train].mean(), 1 / (1 - y[train].mean())) / 2
+            b, keep = np.zeros(10), np.r_[np.ones(9), 0]
+            for _ in range(30):
+                p = 1 / (1 + np.exp(-x[train] @ b))
+                b -= np.linalg.solve((x[train] * (weight[train] * p * (1 - p))[:, None]).T @ x[train] + np.diag(keep), x[train].T @ (weight[train] * (p - y[train])) + keep * b)
+            hit, true = x[~train] @ b > 0, y[~train] == 1
+            assert got[seed, f] == ((hit & true).sum(), (hit & ~true).sum(), (~hit & ~true).sum(), (~hit & true).sum())
+    assert models.bag_of_words(turns.limit(0), 3, [0]).count() == 0
+
+
+def test_seeds_are_summed_up(spark):
+    rows = [(0, 0.5, 0.7), (0, 0.7, 0.9), (1, 0.2, 0.6), (1, 0.2, 0.6)]
+    r = models.seed_summary(spark.createDataFrame(rows, "seed int, mcc double, balanced_accuracy double")).first()
+    assert np.allclose(tuple(r), (0.4, 0.2, 0.7, 0.1, 2))
+
+
 def test_mixture_and_pca_find_planted_clusters(spark):
     rng = np.random.default_rng(2)
     centres = rng.normal(size=(3, 6)) * 8

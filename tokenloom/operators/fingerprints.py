@@ -7,19 +7,26 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tokenloom.functions.tokens import bucket, words
+from tokenloom.functions.tokens import bucket, without_accents, words
 
 BUCKETS = 40
 CLASSES = ["user", "assistant"]
 MIN_TOKENS = 3
 #: Leading hex digits of an md5 that part the rows of a label into spans.
 SPAN_DIGITS = 3
+#: Parts of a vocabulary that are ranked by themselves.
+TERM_PARTS = 64
+
+
+def turns(conversations: DataFrame) -> DataFrame:
+    """doc, class, text, w (words) of turns by users and assistants; a turn with fewer than MIN_TOKENS words is no document."""
+    own = conversations.where(F.col("role").isin(CLASSES)).select(F.concat_ws(":", "conv_id", "turn").alias("doc"), F.col("role").alias("class"), "text", words(F.col("text")).alias("w"))
+    return own.where(F.size("w") >= MIN_TOKENS)
 
 
 def usage(conversations: DataFrame) -> DataFrame:
-    """doc, class, cluster, n of turns by users and assistants; a turn with fewer than MIN_TOKENS tokens is no document."""
-    turns = conversations.where(F.col("role").isin(CLASSES)).select(F.concat_ws(":", "conv_id", "turn").alias("doc"), F.col("role").alias("class"), words(F.col("text")).alias("w")).where(F.size("w") >= MIN_TOKENS)
-    return turns.select("doc", "class", F.explode("w").alias("tok")).groupBy("doc", "class", bucket(F.col("tok"), BUCKETS).alias("cluster")).agg(F.count("*").alias("n"))
+    """doc, class, cluster, n of the tokens of turns()."""
+    return turns(conversations).select("doc", "class", F.explode("w").alias("tok")).groupBy("doc", "class", bucket(F.col("tok"), BUCKETS).alias("cluster")).agg(F.count("*").alias("n"))
 
 
 def fingerprints(used: DataFrame) -> DataFrame:
@@ -113,12 +120,16 @@ def folds(rows: DataFrame, key: str, label: str, k: int, seeds: list[int]) -> Da
 def confusion(rows: DataFrame, truth: str, predicted: str, *by: str) -> DataFrame:
     """tp, fp, tn, fn, mcc and balanced_accuracy; zero where a denominator is."""
     t, p = F.col(truth) == 1, F.col(predicted) == 1
-    r = rows.groupBy(*by).agg(*[F.count_if(c).alias(n) for n, c in (("tp", t & p), ("fp", ~t & p), ("tn", ~t & ~p), ("fn", t & ~p))])
+    return scored(rows.groupBy(*by).agg(*[F.count_if(c).alias(n) for n, c in (("tp", t & p), ("fp", ~t & p), ("tn", ~t & ~p), ("fn", t & ~p))]))
+
+
+def scored(counts: DataFrame) -> DataFrame:
+    """counts (tp, fp, tn, fn) with mcc and balanced_accuracy."""
     tp, fp, tn, fn = (F.col(c).cast("double") for c in ("tp", "fp", "tn", "fn"))
     under = F.sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn))
     mcc = F.when(under > 0, (tp * tn - fp * fn) / under).otherwise(0.0)
     recall = [F.when(x + y > 0, x / (x + y)).otherwise(0.0) for x, y in ((tp, fn), (tn, fp))]
-    return r.withColumns({"mcc": mcc, "balanced_accuracy": (recall[0] + recall[1]) / 2})
+    return counts.withColumns({"mcc": mcc, "balanced_accuracy": (recall[0] + recall[1]) / 2})
 
 
 def robustness_flag(full, surface_only, single):
@@ -134,3 +145,26 @@ def tfidf(docs: DataFrame, terms: int) -> DataFrame:
     known = tf.join(F.broadcast(vocabulary), "tok").crossJoin(F.broadcast(total))  # `terms` rows, and one
     w = known.withColumn("w", (1 + F.log("n")) * (F.log((1 + F.col("docs")) / (1 + F.col("df"))) + 1))
     return w.withColumn("weight", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("doc_id")))).select("doc_id", "tok", "weight")
+
+
+def term_counts(docs: DataFrame) -> DataFrame:
+    """doc, y (1: assistant), tok, n of turns(): words without accents. Rows of a document share a partition."""
+    y = (F.col("class") == "assistant").cast("int").alias("y")
+    return docs.repartition("doc").select("doc", y, F.explode(words(without_accents(F.col("text")))).alias("tok")).groupBy("doc", "y", "tok").agg(F.count("*").alias("n"))
+
+
+def fold_terms(counts: DataFrame, dealt: DataFrame, k: int, terms: int) -> DataFrame:
+    """seed, held, tok, place, idf: the commonest terms of the folds that are not held out and their smooth idf.
+
+    Totals without a fold come from one aggregation by seed and term; the terms are ranked within parts of the vocabulary
+    first, so that the last ranking sees at most terms x TERM_PARTS rows of a model.
+    """
+    out = [F.struct(F.lit(f).alias("held"), F.sum(F.when(F.col("fold") != f, F.col("n"))).alias("all"), F.count_if(F.col("fold") != f).alias("df")) for f in range(k)]
+    totals = counts.join(dealt.select("doc", "y", "seed", "fold"), ["doc", "y"]).groupBy("seed", "tok").agg(F.array(*out).alias("o")).select("seed", "tok", F.inline("o")).where("df > 0")
+    held = F.explode(F.array(*map(F.lit, range(k)))).alias("held")
+    sizes = dealt.select("seed", "fold", held).where("fold <> held").groupBy("seed", "held").agg(F.count("*").alias("docs"))  # a row for each model
+    order = [F.desc("all"), F.col("tok")]
+    part = F.pmod(F.xxhash64("tok"), F.lit(TERM_PARTS))
+    some = totals.withColumn("r", F.row_number().over(Window.partitionBy("seed", "held", part).orderBy(*order))).where(F.col("r") <= terms)
+    kept = some.withColumn("place", F.row_number().over(Window.partitionBy("seed", "held").orderBy(*order)) - 1).where(F.col("place") < terms)
+    return kept.join(F.broadcast(sizes), ["seed", "held"]).select("seed", "held", "tok", "place", (F.log((1 + F.col("docs")) / (1 + F.col("df"))) + 1).alias("idf"))

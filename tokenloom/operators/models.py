@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -10,11 +10,13 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.clustering import GaussianMixture
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tokenloom.functions.vectors import doubles
-from tokenloom.operators.fingerprints import BUCKETS, confusion, folds
+from tokenloom.operators.fingerprints import BUCKETS, fold_terms, folds, scored, term_counts
 from tokenloom.operators.spectral import landmark_rows, unit_rows
 
 
@@ -25,19 +27,23 @@ def wide(prints: DataFrame, keep: list[int] | None = None) -> DataFrame:
     return prints.groupBy("doc", "class").agg(p.alias("m")).select("doc", (F.col("class") == "assistant").cast("int").alias("y"), array_to_vector(every).alias("x"))
 
 
-def balanced(rows: DataFrame) -> DataFrame:
+def label_counts(rows: DataFrame) -> dict[int, int]:
+    return {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
+
+
+def balanced(rows: DataFrame, counts: dict[int, int]) -> DataFrame:
     """rows with w, so that both classes weigh the same."""
-    counts = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
     weight = F.lit(1.0)
     for y, n in counts.items():
         weight = F.when(F.col("y") == y, sum(counts.values()) / (len(counts) * n)).otherwise(weight)
     return rows.withColumn("w", weight)
 
 
-def logistic(rows: DataFrame, strength: float, l1: float = 0.0, weighted: bool = True):
-    """A fitted model; strength is C, the inverse of the penalty on summed losses."""
-    rows = balanced(rows) if weighted else rows.withColumn("w", F.lit(1.0))
-    return LogisticRegression(featuresCol="x", labelCol="y", weightCol="w", regParam=1 / (strength * max(1, rows.count())), elasticNetParam=l1, standardization=False, maxIter=200).fit(rows)
+def logistic(rows: DataFrame, strength: float, l1: float = 0.0, weighted: bool = True, counts: dict[int, int] | None = None):
+    """A fitted model; strength is C, the inverse of the penalty on summed losses. counts: rows by label, where they are known."""
+    counts = label_counts(rows) if counts is None else counts
+    rows = balanced(rows, counts) if weighted else rows.withColumn("w", F.lit(1.0))
+    return LogisticRegression(featuresCol="x", labelCol="y", weightCol="w", regParam=1 / (strength * max(1, sum(counts.values()))), elasticNetParam=l1, standardization=False, maxIter=200).fit(rows)
 
 
 def permuted(rows: DataFrame, seed: int = 0, part_rows: int = 50_000) -> DataFrame:
@@ -50,15 +56,73 @@ def permuted(rows: DataFrame, seed: int = 0, part_rows: int = 50_000) -> DataFra
     return a.join(b, ["part", "n"]).select("doc", "y", "x")
 
 
-def cross_validated(rows: DataFrame, k: int = 5, seed: int = 0, strength: float = 1.0) -> DataFrame:
-    """fold, tp, fp, tn, fn, mcc, balanced_accuracy of k stratified folds."""
-    dealt = rows.join(folds(rows.select("doc", "y"), "doc", "y", k, [seed]).select("doc", "fold"), "doc").cache()
-    out = None
-    for f in range(k):
-        model = logistic(dealt.where(F.col("fold") != f), strength)
-        told = model.transform(dealt.where(F.col("fold") == f)).select("fold", "y", F.col("prediction").cast("int").alias("predicted"))
-        out = told if out is None else out.union(told)
-    return confusion(out, "y", "predicted", "fold")
+def held_out(rows_of: Callable[[int, int], DataFrame], dealt: DataFrame, k: int, strength: float) -> DataFrame:
+    """seed, fold, tp, fp, tn, fn, mcc, balanced_accuracy of the models of all seeds and folds.
+
+    rows_of(seed, fold) gives doc, y, fold and x as the model without that fold sees them. Only four counts a model come to the driver.
+    """
+    sizes = {(r["seed"], r["fold"], r["y"]): r["n"] for r in dealt.groupBy("seed", "fold", "y").agg(F.count("*").alias("n")).collect()}
+
+    def tally(at: tuple[int, int]) -> tuple:
+        seed, f = at
+        counts = {y: n for y in (0, 1) if (n := sum(v for (s, g, c), v in sizes.items() if s == seed and g != f and c == y))}
+        rows = rows_of(seed, f)
+        if sum(counts.values()) == 0:  # nothing to learn from
+            found = {(r["y"], 0): r["n"] for r in rows.where(F.col("fold") == f).groupBy("y").agg(F.count("*").alias("n")).collect()}
+        else:
+            rows = rows.persist()
+            told = logistic(rows.where(F.col("fold") != f), strength, counts=counts).transform(rows.where(F.col("fold") == f))
+            found = {(r["y"], r["p"]): r["n"] for r in told.groupBy("y", F.col("prediction").cast("int").alias("p")).agg(F.count("*").alias("n")).collect()}
+            rows.unpersist()
+        return (seed, f, *[found.get(c, 0) for c in ((1, 1), (0, 1), (0, 0), (1, 0))])
+
+    found = [tally(at) for at in sorted({(s, f) for s, f, _ in sizes})]  # one after another: fits in threads can lock up while their classes load
+    return scored(dealt.sparkSession.createDataFrame(found, "seed int, fold int, tp long, fp long, tn long, fn long"))
+
+
+def cross_validated(rows: DataFrame, k: int = 5, seeds: int | list[int] = 0, strength: float = 1.0) -> DataFrame:
+    """seed, fold, tp, fp, tn, fn, mcc, balanced_accuracy of k stratified folds a seed; rows: doc, y, x."""
+    seeds = [seeds] if isinstance(seeds, int) else seeds
+    dealt = folds(rows.select("doc", "y"), "doc", "y", k, seeds).persist()
+    rows = rows.persist()
+    out = held_out(lambda seed, _: rows.join(dealt.where(F.col("seed") == seed).select("doc", "y", "fold"), ["doc", "y"]), dealt, k, strength)
+    rows.unpersist()
+    dealt.unpersist()
+    return out
+
+
+def bag_of_words(turns: DataFrame, k: int = 5, seeds: int | list[int] = 0, terms: int = 10_000, strength: float = 1.0) -> DataFrame:
+    """The columns of cross_validated() for a balanced classifier over TF-IDF, whose terms and idf are fitted without the held-out fold.
+
+    Counts are kept by document, so that joining a model's terms (at most `terms` rows, broadcast) and gathering a document's
+    weights move no rows. Documents without a known term are judged by the intercept.
+    """
+    counts = term_counts(turns).persist()
+    docs = counts.select("doc", "y").distinct()
+    dealt = folds(docs, "doc", "y", k, [seeds] if isinstance(seeds, int) else seeds).persist()
+    fitted = fold_terms(counts, dealt, k, terms).persist()
+    form = T.StructType([T.StructField("x", VectorUDT())])
+
+    def rows_of(seed: int, f: int) -> DataFrame:
+        model = fitted.where((F.col("seed") == seed) & (F.col("held") == f)).select("tok", "place", "idf")
+        weighted = counts.join(F.broadcast(model), "tok", "left").withColumn("w", (1 + F.log("n")) * F.col("idf"))
+        known = F.when(F.col("place").isNotNull(), F.struct("place", "w"))
+        gathered = weighted.groupBy("doc", "y").agg(F.sort_array(F.collect_list(known)).alias("e"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
+        unit = F.transform("e", lambda e: e["w"] / F.col("length"))
+        sparse = F.to_json(F.struct(F.struct(F.lit(0).alias("type"), F.lit(terms).alias("size"), F.col("e.place").alias("indices"), unit.alias("values")).alias("x")))
+        vectors = gathered.select("doc", "y", F.from_json(sparse, form)["x"].alias("x"))  # a vector's fields, read as a vector
+        return vectors.join(dealt.where(F.col("seed") == seed).select("doc", "y", "fold"), ["doc", "y"])
+
+    out = held_out(rows_of, dealt, k, strength)
+    for kept in (fitted, dealt, counts):
+        kept.unpersist()
+    return out
+
+
+def seed_summary(validated: DataFrame) -> DataFrame:
+    """Mean and deviation over seeds of each seed's mean over folds: mcc_mean, mcc_std, bal_mean, bal_std, seeds."""
+    means = validated.groupBy("seed").agg(F.avg("mcc").alias("m"), F.avg("balanced_accuracy").alias("b"))
+    return means.agg(F.avg("m").alias("mcc_mean"), F.stddev_pop("m").alias("mcc_std"), F.avg("b").alias("bal_mean"), F.stddev_pop("b").alias("bal_std"), F.count("*").alias("seeds"))
 
 
 def single_cluster_sweep(prints: DataFrame, k: int = 5, seed: int = 0, strength: float = 1.0, rounds: int = 25) -> DataFrame:

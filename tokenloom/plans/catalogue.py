@@ -419,6 +419,13 @@ def tfidf_weights(docs):
     return fingerprints.tfidf(docs, 10_000)
 
 
+@query("conversations")
+def bag_of_words_terms(rows):
+    """What each training fold of the bag-of-words baseline learns: its terms and their idf."""
+    counts = fingerprints.term_counts(fingerprints.turns(rows))
+    return fingerprints.fold_terms(counts, fingerprints.folds(counts.select("doc", "y").distinct(), "doc", "y", 5, SEEDS), 5, 10_000)
+
+
 @query("documents")
 def accent_stripped_terms(docs):
     terms = docs.select("doc_id", F.explode(F.array_distinct(words(without_accents(F.col("text"))))).alias("term"))
@@ -586,6 +593,11 @@ def logistic_cv(rows):
     return models.cross_validated(_prints(rows))
 
 
+@query("conversations")
+def bag_of_words_cv(rows):
+    return models.bag_of_words(fingerprints.turns(rows), 5, 0)
+
+
 @query("conversations")
 def permutation_baseline(rows):
     return models.cross_validated(models.permuted(_prints(rows)))

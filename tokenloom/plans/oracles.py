@@ -165,6 +165,14 @@ ORACLES: dict[str, str] = {
     + ", w as (select lang, any_value(round(mcc, 9)) filter (what = 'full') as f, any_value(round(mcc, 9)) filter (what = 'single') as s, any_value(round(mcc, 9)) filter (what = 'surface') as u from confusion group by lang) select lang, round(f, 6) as \"full\", round(s, 6) as single, round(u, 6) as surface, case when f - u <= 0.05 then 'surface-dominated' when s >= 0.95 * f then 'one-cluster-led' else 'distributed' end as flag from w",
     "tfidf_weights": r"with k as (select doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+')) as tok from documents), tf as (select doc_id, tok, count(*) as n from k group by all), voc as (select tok, sum(n) as al, count(*) as df from tf group by tok order by al desc, tok limit 10000),"
     " w as (select doc_id, tok, (1 + ln(n)) * (ln((1 + (select count(*) from documents)) / (1 + df)) + 1) as w from tf join voc using (tok)) select doc_id, tok, round(w / sqrt(sum(w * w) over (partition by doc_id)), 6) as weight from w",
+    "bag_of_words_terms": r"""with t as (select conv_id || ':' || turn as doc, (role = 'assistant')::int as y, text from conversations where role in ('user', 'assistant') and len(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+')) >= 3),
+ tf as (select doc, y, tok, count(*) as n from (select doc, y, unnest(regexp_extract_all(lower(strip_accents(text)), '[\p{L}\p{N}_]+')) as tok from t) group by all),
+ f as (select doc, y, seed, (row_number() over (partition by seed, y order by md5(seed || ':' || doc), doc) - 1) % 5 as fold from (select distinct doc, y from tf), (select unnest(range(5))::int as seed)),
+ m as (select f.*, held from f, (select unnest(range(5))::int as held) where fold <> held),
+ sizes as (select seed, held, count(*) as docs from m group by all),
+ v as (select seed, held, tok, sum(n) as al, count(*) as df from m join tf using (doc, y) group by all),
+ r as (select *, (row_number() over (partition by seed, held order by al desc, tok) - 1)::int as place from v)
+ select seed, held, tok, place, round(ln((1 + docs) / (1 + df)) + 1, 6) as idf from r join sizes using (seed, held) where place < 10000""",
     "accent_stripped_terms": r"with k as (select distinct doc_id, unnest(regexp_extract_all(lower(strip_accents(coalesce(text, ''))), '[\p{L}\p{N}_]+')) as term from documents) select term, count(*) as df from k group by term",
     "silhouette_search": E + ", d as (select q.vec_id, q.label as own, v.label, avg(acos(greatest(-1, least(1, list_dot_product(v.u, q.u)))) / pi()) as d from e q, e v where q.vec_id % 100 = 0 and q.vec_id <> v.vec_id group by all), m as (select vec_id, max(d) filter (label = own) as a, min(d) filter (label <> own) as b from d group by all) select vec_id, round(coalesce((b - a) / greatest(a, b), 0), 6) as silhouette from m",
     "power_law_xmin_scan": SCAN + " select xmin, n_tail, round(alpha, 6) as alpha, round(max(gap), 6) as ks from g group by xmin, n_tail, alpha",
