@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tokenloom.llm import bpe, chat, cover_tree, decontaminate, language_model, pieces, quality, ranked, shard, simhash, toxicity, url_filter
+from tokenloom.llm import bpe, chat, cover_tree, decontaminate, language_model, pieces, quality, ranked, repair, shard, simhash, toxicity, url_filter
 from tokenloom.llm.common import table
 
 
@@ -62,9 +62,13 @@ def op12_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.piece_digests(table(spark, sf_dir, "documents"), vocabulary_path("piece_bpe_32k.model"))
 
 
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair_report(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_sharding, op2_decontamination, op3_chat, op4_url_filter, op5_language_model, op6_quality, op7_simhash, op8_embeddings, op9_bpe, op10_toxicity, op11_ranked_search, op12_pieces)
+    for f in (op1_sharding, op2_decontamination, op3_chat, op4_url_filter, op5_language_model, op6_quality, op7_simhash, op8_embeddings, op9_bpe, op10_toxicity, op11_ranked_search, op12_pieces, op13_repair)
 }
 #: SQL cannot express the others: drawn numbers, fitted models, digests of structures that only their own tests can rebuild.
-ORACLES = {"op11_ranked_search": ranked.SQL}
+ORACLES = {"op11_ranked_search": ranked.SQL, "op13_repair": repair.SQL}
