@@ -91,9 +91,9 @@ def with_tail(tested: DataFrame) -> DataFrame:
 
 
 def ablated(prints: DataFrame, dropped: DataFrame) -> DataFrame:
-    """doc, class, cluster, p without the clusters of `dropped` (a bounded list), the rest of each document scaled to one; documents with nothing left have no row."""
+    """doc, class, cluster, p without the clusters of `dropped` (a bounded list), the rest of each document scaled to one by its counts, which add up to the same number in any order; documents with nothing left have no row."""
     rest = prints.join(F.broadcast(dropped.select("cluster")), "cluster", "left_anti")
-    return rest.select("doc", "class", "cluster", (F.col("p") / F.sum("p").over(Window.partitionBy("doc"))).alias("p"))
+    return rest.select("doc", "class", "cluster", (F.col("n") / F.sum("n").over(Window.partitionBy("doc"))).alias("p"))
 
 
 def surface(prints: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -9,8 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tokenloom.functions.tokens import bucket, without_accents, words
-from tokenloom.operators import clusters, corpus, fingerprints, models, selection, spectral, taxonomy
+from tokenloom.operators import clusters, corpus, expression, fingerprints, lanczos, linkage, mixtures, models, selection, spectral, stability, taxonomy
 from tokenloom.plans.oracles import ORACLES
+from tokenloom.sources.shared import shared_folder, written
 from tokenloom.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -659,3 +661,48 @@ def complete_linkage(vectors):
 @query("embeddings")
 def linkage_bootstrap(vectors):
     return clusters.agreement(spectral.linkage_bootstrap(vectors, 20), "iter")
+
+
+@query("embeddings")
+def ssc_lasso_clusters(vectors):
+    return clusters.contingency(expression.expression_clusters(vectors, "lasso", 20, 0.001, [10])[0], vectors)
+
+
+@query("embeddings")
+def ssc_omp_clusters(vectors):
+    return clusters.contingency(expression.expression_clusters(vectors, "omp", 20, 5, [10])[0], vectors)
+
+
+@query("embeddings")
+def ssc_sweep(vectors):
+    """Axes by alpha, and axes by number of rows, each over all k."""
+    return expression.sweep(vectors, [("lasso", 10, 0.001), ("lasso", 20, 0.001), ("lasso", 20, 0.01), ("omp", 20, 5), ("omp", 20, 10)], [5, 10, 20])
+
+
+@query("embeddings")
+def spectral_landmark_error(vectors):
+    """Agreement of the clustering over landmarks with that of the whole affinity, whose eigenvectors have the residual told."""
+    exact, residual = lanczos.exact_spectral(vectors, [10])
+    return clusters.agreement(clusters.contingency(exact, spectral.spectral(vectors, 10))).withColumn("residual", F.lit(residual))
+
+
+@query("embeddings")
+def complete_linkage_exact(vectors):
+    return linkage.complete_linkage(vectors, [10, 20, 50, 100, 200, 400])
+
+
+@query("embeddings")
+def gmm_diagonal(vectors):
+    return mixtures.diagonal_summary(written(expression.similarity_axes(vectors, 50)[0]))
+
+
+@query("embeddings")
+def recluster_bootstrap(vectors):
+    """Spectral and sparse self-expression clusters fitted again on exact samples of four fifths of all rows."""
+    base = f"{shared_folder(vectors.sparkSession)}/study-{uuid.uuid4().hex}"
+    fits = {
+        "spectral": lambda v: spectral.spectral(v, 10),
+        "omp": lambda v: expression.expression_clusters(v, "omp", 20, 5, [10])[0],
+    }
+    steps = [stability.reclustered(vectors, name, fit, 2, 0.8, f"{base}-{name}", {"k": 10}) for name, fit in fits.items()]
+    return stability.summary(steps[0].union(steps[1]))

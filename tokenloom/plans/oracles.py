@@ -133,7 +133,7 @@ ORACLES: dict[str, str] = {
     "similarity_bands": E + ", " + _near("near", "100") + " select greatest(0, least(4, floor(similarity * 5)))::int as band, count(*) as n from near group by all",
     "similarity_percentiles": E + ", " + _near("near", "100") + " select " + ", ".join(f"round(quantile_cont(similarity, {q / 100}), 6) as p{q}" for q in (5, 25, 50, 75, 95)) + " from near",
     "running_bootstrap": BOOT + " select iter, round(avg(ari) over w, 6) as mean, round(stddev_pop(ari) over w, 6) as std from agreed window w as (order by iter rows unbounded preceding)",
-    "fingerprint_ablation": PRINTS + ", b as (select cluster from wide order by abs(round(h - a, 9)) desc, cluster limit 1), rest as (select prints.* from prints anti join b using (cluster)) select doc, class, cluster, round(p / sum(p) over (partition by doc), 6) as p from rest",
+    "fingerprint_ablation": PRINTS + ", b as (select cluster from wide order by abs(round(h - a, 9)) desc, cluster limit 1), rest as (select prints.* from prints anti join b using (cluster)) select doc, class, cluster, round(n / sum(n) over (partition by doc), 6) as p from rest",
     "capped_tokens": r"with t as (select conv_id, turn, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+') as a from conversations where role = 'assistant'), x as (select conv_id, turn, unnest(range(len(a)))::int as pos, unnest(a) as tok from t) select * from x order by md5(conv_id || ':' || turn || ':' || pos), conv_id, turn, pos limit 6000",
     "prompt_draw": r"with d as (select doc_id, array_to_string(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+')[1:10], ' ') as prompt, row_number() over (order by doc_id) - 1 as number from documents), r as (select i as draw, ('0x' || substr(md5(i::varchar), 1, 12))::bigint % (select count(*) from documents) as number from range(600) t(i)) select draw, doc_id, prompt from r join d using (number)",
     "cluster_fragmentation": TWO + ", p as (select la, n / sum(n) over (partition by la) as p from cells) select la, round(exp(-sum(p * ln(p))), 6) as fragmentation from p group by la",
