@@ -108,3 +108,21 @@ def systematic(rows: DataFrame, step: int) -> DataFrame:
     starts = counts.withColumn("inside", F.sum("n").over(Window.partitionBy("span").orderBy("doc_id")) - F.col("n")).join(offset, "span").select("doc_id", (F.col("offset") + F.col("inside")).alias("start"))
     place = F.row_number().over(Window.partitionBy("doc_id").orderBy("pos")) - 1
     return rows.withColumn("place", place).join(starts, "doc_id").withColumn("rank", F.col("start") + F.col("place")).where(F.col("rank") % step == 0).drop("place", "start")
+
+
+def softmax_losses(rows: DataFrame) -> DataFrame:
+    """rows (logits array, target index from 0) with loss: log of the summed exponentials less the target's logit, the largest logit taken off first; null without logits or where the target is outside them."""
+    logits = F.transform("logits", lambda x: x.cast("double"))
+    most = F.array_max(logits)
+    total = F.log(F.aggregate(F.transform(logits, lambda x: F.exp(x - most)), F.lit(0.0), lambda a, x: a + x)) + most
+    inside = F.col("target").between(0, F.size("logits") - 1)
+    return rows.withColumn("loss", F.when(inside, total - F.try_element_at(logits, F.col("target").cast("int") + 1)))
+
+
+def of_model(losses: DataFrame, model: str) -> DataFrame:
+    """Rows of one model of a table of losses; an unknown name is refused with those at hand."""
+    own = losses.where(F.col("model") == model)
+    if own.isEmpty():
+        at_hand = sorted(r["model"] for r in losses.select("model").distinct().limit(100).collect())
+        raise KeyError(f"no losses of {model!r}; at hand: {at_hand}")
+    return own

@@ -82,8 +82,18 @@ def vocabulary(tokens: DataFrame, most: int) -> DataFrame:
     return top.withColumn("id", F.row_number().over(Window.partitionBy().orderBy(F.desc("n"), "tok")) - 1).select("id", "tok", "n")
 
 
+def whole_vocabulary(tokens: DataFrame) -> DataFrame:
+    """id, tok, n: every distinct token, numbered from 0 in the order of its md5. Numbers within spans of the md5 are shifted by the tokens of the spans before, so no task orders the vocabulary."""
+    h = F.md5(F.col("tok").cast("binary"))
+    counted = tokens.groupBy("tok").agg(F.count("*").alias("n")).withColumn("h", h).withColumn("span", F.substring("h", 1, 4))
+    spans = counted.groupBy("span").agg(F.count("*").alias("size"))
+    before = spans.select("span", (F.sum("size").over(Window.orderBy("span")) - F.col("size")).alias("before"))  # at most 16^4 rows
+    place = F.row_number().over(Window.partitionBy("span").orderBy("h", "tok")) - 1
+    return counted.join(F.broadcast(before), "span").select((place + F.col("before")).alias("id"), "tok", "n")
+
+
 def decoded(ids: DataFrame, words: DataFrame) -> DataFrame:
     """ids (doc_id, pos, id) as strings: doc_id, text of their tokens in order."""
-    named = ids.join(F.broadcast(words.select("id", "tok")), "id")  # the vocabulary's bound
+    named = ids.join(words.select("id", "tok"), "id")
     together = named.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "tok"))).alias("x"))  # tokens of one document
     return together.select("doc_id", F.array_join(F.transform("x", lambda e: e["tok"]), " ").alias("text"))

@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tokenloom.functions.tokens import bucket, without_accents, words
+from tokenloom.functions.vectors import doubles
 from tokenloom.operators import clusters, corpus, expression, fingerprints, lanczos, linkage, mixtures, models, selection, spectral, stability, taxonomy
 from tokenloom.plans.oracles import ORACLES
+from tokenloom.sources import arrays
 from tokenloom.sources.shared import shared_folder, written
 from tokenloom.sources.tables import table
 
@@ -553,11 +555,12 @@ def best_config_clusters(vectors):
 
 @query("documents")
 def vocabulary_decode(docs):
-    """Documents read back from the numbers of their thousand commonest tokens."""
+    """Documents read back from the numbers of their tokens in the whole vocabulary; empty ones are empty."""
     tokens = corpus.positions(docs)
-    known = selection.vocabulary(tokens, 1000)
-    ids = tokens.join(F.broadcast(known.select("id", "tok")), "tok").select("doc_id", "pos", "id")
-    return selection.decoded(ids, known)
+    known = written(selection.whole_vocabulary(tokens))
+    ids = written(tokens.join(known.select("id", "tok"), "tok").select("doc_id", "pos", "id"))
+    back = selection.decoded(ids, known)
+    return docs.select("doc_id").join(back, "doc_id", "left").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
 
 
 @query("documents")
@@ -569,7 +572,9 @@ def categories_by_size(docs):
 
 @query("documents")
 def categories_common(docs):
-    left, right = (taxonomy.category_sizes(taxonomy.counted(docs.where(F.col("lang") == x), "lang")).select("category") for x in ("en", "de"))
+    """Categories of the tokens of two languages: one pass for both, whose few rows are written before they are compared."""
+    sizes = written(taxonomy.category_sizes(taxonomy.counted(docs.where(F.col("lang").isin("en", "de")), "lang"), "cluster"))
+    left, right = (sizes.where(F.col("cluster") == x).select("category") for x in ("en", "de"))
     return left.intersect(right).withColumn("where", F.lit("both")).union(left.union(right).distinct().withColumn("where", F.lit("any")))
 
 
@@ -706,3 +711,48 @@ def recluster_bootstrap(vectors):
     }
     steps = [stability.reclustered(vectors, name, fit, 2, 0.8, f"{base}-{name}", {"k": 10}) for name, fit in fits.items()]
     return stability.summary(steps[0].union(steps[1]))
+
+
+# Stored arrays: written as files of the format, read back by its data source
+
+
+def _stored(df: DataFrame, form: str, **options) -> DataFrame:
+    spark = df.sparkSession
+    arrays.register(spark)
+    path = f"{shared_folder(spark)}/{form}-{uuid.uuid4().hex}"
+    df.write.format(form).options(**options).mode("append").save(path)
+    return spark.read.format(form).options(**options).load(path)
+
+
+@query("embeddings")
+def stored_matrix(vectors):
+    """Vectors in order of their ids as rows of NPY files."""
+    ordered = vectors.where("embedding is not null").repartitionByRange("vec_id").sortWithinPartitions("vec_id")
+    rows = _stored(ordered.select(doubles(F.col("embedding")).alias("v")), "npy_rows")
+    return rows.select("row", F.size("value").alias("dims"), F.aggregate("value", F.lit(0.0), lambda a, x: a + x).alias("total"))
+
+
+@query("embeddings")
+def stored_labels(vectors):
+    """Labels in order of their ids as members of NPZ files, found under the second of two names."""
+    ordered = vectors.where("label is not null").repartitionByRange("vec_id").sortWithinPartitions("vec_id")
+    return _stored(ordered.select("label"), "npz_member", members="label,cluster_labels").select("row", F.col("value").alias("label"))
+
+
+@query("documents")
+def stored_lengths(docs):
+    """Lengths of documents as Arrow files."""
+    return _stored(corpus.lengths(docs), "arrow_ipc")
+
+
+@query("embeddings")
+def softmax_nll(vectors):
+    """A stored table of losses of two models, whose logits are the vectors at two scales and whose targets are the labels; the sharper model's rows."""
+
+    def scaled(by: float):
+        return F.transform(doubles(F.col("embedding")), lambda x: x * by)
+
+    models_of = [F.struct(F.lit(name).alias("model"), scaled(by).alias("logits")) for name, by in (("plain", 1.0), ("sharp", 8.0))]
+    rows = vectors.select("vec_id", F.col("label").alias("target"), F.inline(F.array(*models_of)))
+    losses = written(corpus.softmax_losses(rows).select("vec_id", "model", "loss"))
+    return corpus.of_model(losses, "sharp")

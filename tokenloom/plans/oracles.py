@@ -198,9 +198,13 @@ ORACLES: dict[str, str] = {
     "flattened_slopes": SWEEP + f", s as (select cfg, k, case when count(*) >= 3 then regr_slope({Y}, {X}) end as slope from ranked where rank between 1 and 100 group by all) select 'offset=' || cfg || '_k=' || k as key, printf('%+.4f', round(slope, 6)) as slope from s where slope is not null",
     "reference_line": RANKED + f", f as (select regr_slope({Y}, {X}) as slope, pow(10, regr_intercept({Y}, {X})) as anchor from env where rank between 1 and 100) select rank::int as rank, round(anchor * pow(rank, slope), 6) as expected from env, f",
     "best_config_clusters": SWEEP + ", b as (select cfg from sweep where k = 100 group by cfg order by count(distinct label) desc, cfg limit 1) select cfg, label, count(*) as size from sweep semi join b using (cfg) where k = 100 group by all",
-    "vocabulary_decode": f"with {POSITIONS}, voc as (select tok, count(*) as n from pos group by tok order by n desc, tok limit 1000) select doc_id, string_agg(tok, ' ' order by pos) as text from pos semi join voc using (tok) group by doc_id",
+    "vocabulary_decode": f"with {POSITIONS}, t as (select doc_id, string_agg(tok, ' ' order by pos) as text from pos group by doc_id) select doc_id, coalesce(t.text, '') as text from documents d left join t using (doc_id)",
+    "stored_matrix": "select row_number() over (order by vec_id) - 1 as \"row\", len(embedding)::int as dims, round(list_reduce(list_transform(embedding, lambda x: x::double), lambda a, x: a + x), 6) as total from embeddings where embedding is not null",
+    "stored_labels": "select row_number() over (order by vec_id) - 1 as \"row\", label from embeddings where label is not null",
+    "softmax_nll": "with e as (select vec_id, label, list_transform(embedding, lambda x: 8 * x::double) as l from embeddings) select vec_id, 'sharp' as model, round(ln(list_sum(list_transform(l, lambda x: exp(x - list_max(l))))) + list_max(l) - l[label + 1], 6) as loss from e",
     "categories_by_size": TAX + ", z as (select category, count(*) as clusters, sum(size)::bigint as tokens from dom group by category) select *, (row_number() over (order by tokens desc, category))::int as place, round(100 * clusters / sum(clusters) over (), 2) as clusters_pct, round(100 * tokens / sum(tokens) over (), 2) as tokens_pct from z",
     "categories_common": "with " + _tokens("lang") + ", l as (select distinct category from tokens where cluster = 'en'), r as (select distinct category from tokens where cluster = 'de') select category, 'both' as \"where\" from (from l intersect from r) union all select category, 'any' from (from l union from r)",
     "top_matched_pairs": TWO + ", j as (select *, n / (sum(n) over (partition by la) + sum(n) over (partition by lb) - n) as jaccard from cells), r as (select *, row_number() over (partition by la order by jaccard desc, lb) as ra, row_number() over (partition by lb order by jaccard desc, la) as rb from j) select la, lb, n, round(jaccard, 6) as jaccard from r where ra = 1 and rb = 1 order by round(r.jaccard, 9) desc, la limit 15",
 }
 ORACLES["silhouette_mean"] = "select round(avg(silhouette), 6) as mean, count(*) as n from (" + ORACLES["silhouette_search"].replace("round(coalesce((b - a) / greatest(a, b), 0), 6)", "coalesce((b - a) / greatest(a, b), 0)") + ")"
+ORACLES["stored_lengths"] = ORACLES["doc_prediction_lengths"]
