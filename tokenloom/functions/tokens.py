@@ -16,8 +16,16 @@ FUNCTION_WORDS = (
     "shall not no nor it its this that these those he she they we i you him her them us my your our their his"
 ).split()
 CODE_MARKS = ["_", "->", "=>", "==", "!=", "//", "/*", "*/", "()", "[]", "{}"]
-CODE_SYMBOLS = ["!=", "&&", "(", ")", "*=", "++", "+=", "--", "-=", "->", "/=", "/>", "::", ";", "</", "==", "=>", "[", "]", "{", "||", "}"]
-CODE_KEYWORDS = "class const def elif false False from function import let None null return switch true True var while".split()
+CODE_SYMBOLS = [
+    ";", "{", "}", "(", ")", "[", "]",
+    "</", "/>", "==", "!=", "=>", "->", "&&", "||", "::",
+    "++", "--", "+=", "-=", "*=", "/=",
+]
+CODE_KEYWORDS = [
+    "def", "var", "let", "const", "import", "from", "class", "function",
+    "return", "elif", "while", "switch",
+    "true", "false", "null", "None", "True", "False",
+]
 CONTENT_BEARING = ["CONTENT", "PROPER_NOUNS"]
 
 
