@@ -94,6 +94,45 @@ def test_near_copies_against_all_pairs(spark):
     assert len({r["doc_id"] for r in near_copies.keep_one(docs.where("doc_id < 0")).collect()}) == 0
 
 
+def test_pairs_near_the_similarity(spark):
+    """Of isolated pairs of similarity 0.80 to 0.85 at least 0.93 are found, of those of 0.70 to 0.80 none."""
+    rng = np.random.default_rng(8)
+    words = [f"w{i}" for i in range(5000)]
+    texts, want, below = [], 0, 0
+    while want < 250 or below < 60:
+        one = list(rng.choice(words, 200))
+        two = list(one)
+        for at in rng.choice(200, 4 if want < 250 else 7, replace=False):
+            two[at] = "changed"
+        x, y = plain_shingles(" ".join(one)), plain_shingles(" ".join(two))
+        s = len(x & y) / len(x | y)
+        if not (0.8 <= s <= 0.85 and want < 250 or 0.7 <= s < 0.8 and below < 60):
+            continue
+        want, below = want + (s >= 0.8), below + (s < 0.8)
+        texts += [(len(texts), " ".join(one), s), (len(texts) + 1, " ".join(two), s)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string, s double")
+    got = near_copies.keep_one(docs).selectExpr("s >= 0.8 AS near").groupBy("near").count().collect()
+    left = {r["near"]: r["count"] for r in got}
+    assert 2 * want - left[True] >= 0.93 * want
+    assert left[False] == 2 * below
+
+
+def test_chain_and_hot_family(spark):
+    """A large family whose members lie about the similarity, beside loose ones that share its blocks, loses next to no group."""
+    rng = np.random.default_rng(9)
+    words = [f"w{i}" for i in range(5000)]
+    base, texts = list(rng.choice(words, 150)), []
+    for n in range(300):
+        t = list(base)
+        for at in rng.choice(150, 1 + n % 4, replace=False):
+            t[at] = str(rng.choice(words))
+        texts.append(" ".join(t))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"] for r in near_copies.keep_one(docs).collect()}
+    want = set(plain_leaders(list(range(len(texts))), texts))
+    assert want <= got and len(got) - len(want) <= 0.02 * len(texts)
+
+
 def test_each_stage(spark):
     docs = table(spark, FOLDER, "documents").cache()
     columns = docs.columns
