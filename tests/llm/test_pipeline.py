@@ -180,6 +180,20 @@ def test_stages_take_empty_and_odd_tables(spark):
         assert now.count() <= rows.count()
 
 
+def test_clashing_names(spark):
+    """Columns that have the names of results or of inner columns come back as they were."""
+    names = ["score", "Kept", "evidence", "predicted", "_own0_score", "_own_score", "_host", "_path", "_n", "_good", "_host_posterior", "host_posterior"]
+    docs, labels = table(spark, FOLDER, "documents").limit(60), table(spark, FOLDER, "labels")
+    wide = docs.selectExpr("*", *[f"concat('{n}', doc_id) AS {n}" for n in names])
+    for stage, plain in ((quality.without_poor, quality.score_documents(docs, labels).where("kept")), (toxicity.without_toxic, toxicity.score_documents(docs, labels).where("predicted = 0"))):
+        got = stage(wide, labels)
+        assert got.columns == wide.columns
+        rows = got.collect()
+        assert all(r[n] == f"{n}{r['doc_id']}" for r in rows for n in names)
+        assert {r["doc_id"] for r in rows} == {r["doc_id"] for r in plain.collect()}
+    assert quality.score_documents(wide, labels).select("_host", "_good").first()["_good"].startswith("_good")
+
+
 def test_last_stage_decodes(spark):
     docs = table(spark, FOLDER, "documents").limit(30)
     library = Tokenizer.from_file(vocabulary_path())

@@ -35,6 +35,19 @@ def shared_folder(spark: SparkSession) -> str:
 SLICE_ROWS, BATCH_ROWS = 250, 1_000
 
 
+def set_aside(df: DataFrame, names: list[str]) -> tuple[DataFrame, dict[str, str]]:
+    """df with the columns that have one of names (in any case) renamed to names that nobody has, and what leads back."""
+    taken, wanted, back = {c.lower() for c in [*df.columns, *names]}, {n.lower() for n in names}, {}
+    for c in df.columns:
+        if c.lower() in wanted:
+            number = 0
+            while f"_own{number}_{c}".lower() in taken:
+                number += 1
+            back[f"_own{number}_{c}"] = c
+            taken.add(f"_own{number}_{c}".lower())
+    return df.withColumnsRenamed({c: new for new, c in back.items()}), back
+
+
 def bound_batches(spark: SparkSession) -> None:
     """Lowers the session's rows per Arrow batch to BATCH_ROWS: batches are held by the JVM and by Python at once, beside the task's own memory. Spark reads the setting when a frame runs, so it has to stay for the frames that operators return."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

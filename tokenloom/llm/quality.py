@@ -27,7 +27,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tokenloom.llm.common import materialise, utf8, with_computed
+from tokenloom.llm.common import materialise, set_aside, utf8, with_computed
 
 MAX_LABELLED = 20_000
 MAX_BROADCAST_SITES = 200_000
@@ -125,7 +125,8 @@ def site_posteriors(rows: DataFrame, host: str, path: str) -> tuple[DataFrame, f
 
 def score_documents(docs: DataFrame, labels: DataFrame, label: str = "quality", host: str = "source", path: str = "lang") -> DataFrame:
     """docs with evidence, host_posterior, path_posterior, score and kept."""
-    base = docs.drop(*RESULTS)
+    base, back = set_aside(docs.drop(*RESULTS), ["_host", "_path", "_n", "_good", "_host_posterior"])
+    host, path = ({c: new for new, c in back.items()}.get(n, n) for n in (host, path))
     weights, bias = fit_evidence(base, labels.select("doc_id", label), label)
     prior = labels.where(F.col(label).isin(0, 1)).agg(F.avg(label)).first()[0]
     prior = min(0.999, max(0.001, prior if prior is not None and weights is not None else 0.9))
@@ -145,7 +146,13 @@ def score_documents(docs: DataFrame, labels: DataFrame, label: str = "quality",
     rate = F.least(F.lit(0.999), F.greatest(F.lit(0.001), rate))
     scored = scored.withColumn("host_posterior", F.col("_host_posterior")).withColumn("path_posterior", rate)
     scored = scored.withColumn("score", logistic(F.col("evidence") + F.log(F.col("path_posterior") / (1 - F.col("path_posterior")))))
-    return scored.withColumn("kept", F.col("score") >= THRESHOLD).select(*base.columns, *RESULTS)
+    return scored.withColumn("kept", F.col("score") >= THRESHOLD).select(*base.columns, *RESULTS).withColumnsRenamed(back)
+
+
+def without_poor(docs: DataFrame, labels: DataFrame, label: str = "quality") -> DataFrame:
+    """docs, all columns as they are, that are kept."""
+    base, back = set_aside(docs, RESULTS)
+    return score_documents(base, labels, label).where("kept").select(*base.columns).withColumnsRenamed(back)
 
 
 def quality_report(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from tokenloom.llm.common import alnum_words, bound_batches, crc_remainder, materialise, pieces, with_computed
+from tokenloom.llm.common import alnum_words, bound_batches, crc_remainder, materialise, pieces, set_aside, with_computed
 
 #: Bounds of the labelled sample, neighbours that vote, rows of a block and the cut of a prediction.
 MAX_POSITIVE, MAX_NEGATIVE = 2_000, 4_000
@@ -355,9 +355,9 @@ def score_documents(docs: DataFrame, labels: DataFrame, label: str = "toxic", tr
 
 def without_toxic(docs: DataFrame, labels: DataFrame, label: str = "toxic", training: Column | None = None) -> DataFrame:
     """docs, all columns, whose score is below THRESHOLD."""
-    clash = {c: f"_own_{c}" for c in docs.columns if c in ("score", "predicted", "evidence")}
-    scored = score_documents(docs.withColumnsRenamed(clash), labels, label, training).where("predicted = 0").drop("score", "predicted", "evidence")
-    return scored.withColumnsRenamed({v: k for k, v in clash.items()}).select(*docs.columns)
+    base, back = set_aside(docs, ["score", "predicted", "evidence"])
+    scored = score_documents(base, labels, label, training).where("predicted = 0").drop("score", "predicted", "evidence")
+    return scored.withColumnsRenamed(back).select(*docs.columns)
 
 
 def toxicity_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
