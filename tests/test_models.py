@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tokenloom.functions.tokens import category
 from tokenloom.operators import clusters, fingerprints, models
+from tokenloom.plans import catalogue
 from tokenloom.plans.catalogue import ORACLES, QUERIES
 from tokenloom.sources import tables
 
@@ -126,3 +127,19 @@ def test_category_files(spark, tmp_path):
 
 def test_every_sql_has_its_query():
     assert set(ORACLES) <= set(QUERIES)
+
+
+def test_logistic_seed_summary_query(spark, monkeypatch):
+    """The query's means and deviations are those of its own 25 fits, five a seed."""
+    seen, validated = [], models.cross_validated
+
+    def keep(*args):
+        seen.append(validated(*args).cache())
+        return seen[-1]
+
+    monkeypatch.setattr(models, "cross_validated", keep)
+    got = catalogue.QUERIES["logistic_seed_summary"](spark, "/root/testdata/sf0.001").first()
+    rows = seen[0].collect()
+    assert sorted((r["seed"], r["fold"]) for r in rows) == [(s, f) for s in range(5) for f in range(5)]
+    table = np.array([[np.mean([r[c] for r in rows if r["seed"] == s]) for c in ("mcc", "balanced_accuracy")] for s in range(5)])
+    assert np.allclose([got["mcc_mean"], got["bal_mean"]], table.mean(axis=0)) and np.allclose([got["mcc_std"], got["bal_std"]], table.std(axis=0)) and got["seeds"] == 5

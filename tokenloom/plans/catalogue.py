@@ -600,6 +600,12 @@ def logistic_cv(rows):
     return models.cross_validated(_prints(rows))
 
 
+@query("conversations")
+def logistic_seed_summary(rows):
+    """Mean and deviation over five seeds, 25 fits."""
+    return models.seed_summary(models.cross_validated(_prints(rows), 5, [0, 1, 2, 3, 4]))
+
+
 @query("conversations")
 def bag_of_words_cv(rows):
     return models.bag_of_words(fingerprints.turns(rows), 5, 0)
