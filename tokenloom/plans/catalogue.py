@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from tokenloom.functions.tokens import bucket, without_accents, words
 from tokenloom.functions.vectors import doubles
-from tokenloom.operators import clusters, corpus, expression, fingerprints, lanczos, linkage, mixtures, models, selection, spectral, stability, taxonomy
+from tokenloom.operators import clusters, corpus, density, expression, fingerprints, lanczos, linkage, mixtures, models, selection, spectral, stability, taxonomy
 from tokenloom.plans.oracles import ORACLES
 from tokenloom.sources import arrays
 from tokenloom.sources.shared import shared_folder, written
@@ -702,6 +702,12 @@ def complete_linkage_exact(vectors):
     return linkage.complete_linkage(vectors, [10, 20, 50, 100, 200, 400])
 
 
+@query("embeddings")
+def density_clusters(vectors):
+    """HDBSCAN's labels of all vectors, null for noise, and how firmly each belongs."""
+    return density.density_clusters(vectors)
+
+
 @query("embeddings")
 def gmm_diagonal(vectors):
     return mixtures.diagonal_summary(written(expression.similarity_axes(vectors, 50)[0]))
