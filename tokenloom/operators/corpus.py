@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tokenloom.functions.tokens import words
+from tokenloom.sources.shared import written
 
 #: Documents whose lengths are summed by one task when flat indexes are laid out.
 SPAN = 4096
@@ -75,33 +76,53 @@ def looked_up(indexes: DataFrame, docs: DataFrame, width: int = 4096) -> DataFra
     return asked.join(spread, "stretch").where("flat between start and last").select("flat", "doc_id", (F.col("flat") - F.col("start")).alias("pos"))
 
 
-def induction(tokens: DataFrame) -> DataFrame:
+def predictions(docs: DataFrame, repeats: bool = True) -> DataFrame:
+    """doc_id, pos, prev, tok of every token but a text's first and, on request, repeated: whether its trigram was seen earlier in the text.
+
+    All of it is told in the document's own row: its trigrams are sorted with their places, so a repeat stands behind its like.
+    """
+    own = docs.select("doc_id", words(F.col("text")).alias("w")).where(F.size("w") > 1)
+    n = F.size("w")
+    pair = [F.slice("w", F.lit(1), n - 1).alias("prev"), F.slice("w", F.lit(2), n - 1).alias("tok")]
+    if not repeats:
+        return own.select("doc_id", F.posexplode(F.arrays_zip(*pair))).select("doc_id", (F.col("pos") + 1).alias("pos"), "col.prev", "col.tok")
+    place = F.sequence(F.lit(2), F.greatest(n - 1, F.lit(2)))  # a text of two words has a place here, but no trigram
+    gram = [F.slice("w", F.lit(at), n - 2).alias(name) for at, name in ((1, "a"), (2, "b"), (3, "c"))]
+    own = own.withColumn("grams", F.sort_array(F.arrays_zip(*gram, place.alias("i"))))
+
+    def flag(x, y):
+        return F.struct(x["i"].alias("i"), F.coalesce((x["a"] == y["a"]) & (x["b"] == y["b"]) & (x["c"] == y["c"]), F.lit(False)).alias("r"))
+
+    own = own.withColumn("flags", F.sort_array(F.slice(F.zip_with("grams", F.concat(F.array(F.lit(None)), "grams"), flag), F.lit(1), n - 2)))
+    seen = F.concat(F.array(F.lit(False)), F.transform("flags", lambda x: x["r"])).alias("repeated")
+    told = own.select("doc_id", F.posexplode(F.arrays_zip(*pair, seen)))
+    return told.select("doc_id", (F.col("pos") + 1).alias("pos"), "col.prev", "col.tok", "col.repeated")
+
+
+def induction(docs: DataFrame) -> DataFrame:
     """doc_id, pos of tokens whose trigram was seen earlier in the document."""
-    order = Window.partitionBy("doc_id").orderBy("pos")
-    grams = tokens.select("doc_id", "pos", "tok", F.lag("tok", 1).over(order).alias("t1"), F.lag("tok", 2).over(order).alias("t2")).where("t2 is not null")
-    first = F.min("pos").over(Window.partitionBy("doc_id", "t2", "t1", "tok"))
-    return grams.withColumn("first", first).where("pos > first").select("doc_id", "pos")
-
-
-def losses(tokens: DataFrame, alpha: float = 1e-4) -> DataFrame:
-    """doc_id, pos, loss: minus the log of an add-alpha bigram probability, counted over the corpus. The model's counts are an ordinary table, so any other table of losses can stand in."""
-    order = Window.partitionBy("doc_id").orderBy("pos")
-    pairs = tokens.select("doc_id", "pos", "tok", F.lag("tok").over(order).alias("prev")).where("prev is not null")
-    vocabulary = tokens.agg(F.count_distinct("tok").alias("v"))
-    both = pairs.groupBy("prev", "tok").agg(F.count("*").alias("both"))
+    return predictions(docs).where("repeated").select("doc_id", "pos")
+
+
+def losses(docs: DataFrame, repeats: bool = False, alpha: float = 1e-4) -> DataFrame:
+    """doc_id, pos, loss (and repeated, on request): minus the log of an add-alpha bigram probability, counted over the corpus. The model's counts are an ordinary table, so any other table of losses can stand in."""
+    pairs = predictions(docs, repeats)
+    vocabulary = positions(docs).agg(F.count_distinct("tok").alias("v"))
+    both = predictions(docs, False).groupBy("prev", "tok").agg(F.count("*").alias("both"))
     one = both.groupBy("prev").agg(F.sum("both").alias("one"))
     scored = both.join(one, "prev").crossJoin(F.broadcast(vocabulary))  # one row
     loss = scored.select("prev", "tok", (-F.log((F.col("both") + alpha) / (F.col("one") + alpha * F.col("v")))).alias("loss"))
-    return pairs.join(loss, ["prev", "tok"]).select("doc_id", "pos", "loss")
+    return pairs.join(loss, ["prev", "tok"]).select("doc_id", "pos", "loss", *(["repeated"] if repeats else []))
 
 
-def eligible(tokens: DataFrame, below: float) -> DataFrame:
-    """doc_id, pos, loss of tokens under the loss bound that are no repeats."""
-    return losses(tokens).where(F.col("loss") < below).join(induction(tokens), ["doc_id", "pos"], "left_anti")
+def eligible(docs: DataFrame, below: float) -> DataFrame:
+    """doc_id, pos, loss of tokens under the loss bound that are no repeats; repeats go before the join with the losses."""
+    return losses(docs, True).where((F.col("loss") < below) & ~F.col("repeated")).drop("repeated")
 
 
 def systematic(rows: DataFrame, step: int) -> DataFrame:
     """Every step-th row in the order of doc_id, pos: ranks are counted by document first."""
+    rows = written(rows)
     counts = rows.groupBy("doc_id").agg(F.count("*").alias("n")).withColumn("span", F.floor(F.col("doc_id") / SPAN))
     spans = counts.groupBy("span").agg(F.sum("n").alias("m"))
     offset = spans.select("span", (F.sum("m").over(Window.orderBy("span")) - F.col("m")).alias("offset"))

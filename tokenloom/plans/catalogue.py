@@ -61,22 +61,22 @@ def flat_index_lookup(docs):
 
 @query("documents")
 def induction_tokens(docs):
-    return corpus.induction(corpus.positions(docs))
+    return corpus.induction(docs)
 
 
 @query("documents")
 def token_nll_per_doc(docs):
-    return corpus.losses(corpus.positions(docs)).groupBy("doc_id").agg(F.count("*").alias("n"), F.avg("loss").alias("mean_loss"), F.count_if(F.col("loss") < 0.1).alias("zero_loss"))
+    return corpus.losses(docs).groupBy("doc_id").agg(F.count("*").alias("n"), F.avg("loss").alias("mean_loss"), F.count_if(F.col("loss") < 0.1).alias("zero_loss"))
 
 
 @query("documents")
 def non_induction_zero_loss(docs):
-    return corpus.eligible(corpus.positions(docs), 1.0)
+    return corpus.eligible(docs, 1.0)
 
 
 @query("documents")
 def systematic_sample(docs):
-    return corpus.systematic(corpus.eligible(corpus.positions(docs), 1.0), 50)
+    return corpus.systematic(corpus.eligible(docs, 1.0), 50)
 
 
 # Similarity and clusters
