@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from tokenizers import Tokenizer
 
@@ -223,6 +224,42 @@ def test_gibbs_moves_reach_the_posterior():
     assert np.bincount(np.repeat(np.arange(4), after), sizes, 4).tolist() == [3, 20, 0, 1500] and sizes.min() > 0
 
 
+def test_a_round_seats_every_customer():
+    """Dishes of many customers follow the exact law after one round, wherever they have been: all their customers move."""
+    n, pack = 1500, language_model.pack
+    for c, d in ((60, 0.6), (900, 0.5)):
+        pairs = pd.DataFrame({"g": [0], "one": [pack(np.full(n, n, np.int32))], "two": [pack(np.arange(n, dtype=np.int32))], "three": [pack(np.full(n, c))]})
+        told = {"p0": np.full(n + 1, 0.01, np.float32), "cc": np.full(n + 1, c * n), "tc": np.full(n + 1, 400), "c": np.full(n + 1, c)}
+        answers = pd.DataFrame({"g": [0], "b": [0]} | {k: [pack(x)] for k, x in told.items()})
+        rate = (1 + d * 400) * 0.01
+        row = np.array([1.0])  # weights of t tables, scaled
+        for k in range(c):
+            row = np.r_[0.0, row] + np.r_[row * (k - d * np.arange(len(row))), 0.0]
+            row /= row.sum()
+        law = row * rate ** np.arange(c + 1.0)
+        law /= law.sum()
+        for t in (1, c):
+            sizes = np.full(n, c) if t == 1 else np.ones(n * c, np.int64)
+            seats = pd.DataFrame({"one": [pack(np.full(n, t))], "two": [pack(sizes if c <= language_model.MOVES else sizes[:0])]})
+            made = language_model._round(pairs, answers, seats, d, [1, t])
+            got = language_model.unpack(made[made["kind"] == "s"]["one"].iloc[0], np.int64)
+            assert abs(np.bincount(got, minlength=c + 1) / n - law).max() < 0.05
+            assert abs(got.mean() - law @ np.arange(c + 1)) < 0.3
+    rng = np.random.default_rng(4)
+    assert language_model.seat_whole(np.array([0, 1, 2, 10**7]), np.array([1.0, 1.0, 1e-12, 1e-9]), 0.5, rng).tolist() == [0, 1, 1, 1]
+    parent = language_model.Parent(3, 700, 300, 0.5)
+    at = pack(np.array([0, 1, 1], np.int32))
+    words = pd.DataFrame([(0, *[pack(np.array([9, 9, 9]))] * 4, pack(np.array([2, 1, 5])), pack(np.array([4, 5, 9])), [0], [at])], columns=["b", "c", "c0", "cc", "tc", "t0", "sizes", "g", "at"])
+    for c0 in ([9, 40, 0], [3, 600, 12]):  # words cross MOVES both ways
+        told = pd.DataFrame({"g": [0], "one": [pack(np.array(c0))], "two": [pack(np.array([1, 1, 1]))]})
+        if c0[0] == 9:
+            words["sizes"] = [pack(np.array([4, 5, 9, 1, 2, 3, 2, 1]))]
+        words = language_model._seat_words(words, told, parent, [1, 2])
+        t0, sizes = (language_model.unpack(words[k].iloc[0], np.int64) for k in ("t0", "sizes"))
+        few = np.array(c0) <= language_model.MOVES
+        assert sizes.sum() == np.array(c0)[few].sum() and len(sizes) == t0[few].sum() and ((t0 > 0) == (np.array(c0) > 0)).all()
+
+
 def plain_sampler(docs, held, samples, burn, seed):
     """Scores by a plain sampler that seats one customer at a time in explicit restaurants."""
     rng = np.random.default_rng(seed)

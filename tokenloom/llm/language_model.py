@@ -16,9 +16,11 @@ How it runs
  2. Buckets of pairs add up their counts, and tell the buckets of words which words they hold. There are as many
     buckets of each kind as the corpus has BUCKET_BYTES, so a task's load is the same at every size.
  3. A Gibbs round: buckets of words seat the words' customers and send p0, C and T of each word to the buckets of
-    pairs; these take customers of every pair that occurs twice or more from their tables and seat them again
-    (up to MOVES a round, chosen at random), and send the new numbers of tables back. Within a round p0 and T
-    stand still, which is what lets the buckets run side by side.
+    pairs; these take the customers of every pair that occurs twice or more from their tables and seat them again,
+    and send the new numbers of tables back. A pair of up to MOVES customers moves them one by one, as many moves as
+    customers; of a larger one all customers leave at once and are seated again by an exact draw (seat_whole), so no
+    customer of a frequent pair stays where a first guess has put it. Words in their own restaurant move alike. Within a
+    round p0 and T stand still, which is what lets the buckets run side by side.
  4. After BURN_IN rounds every round is a sample. A pair's probability is the mean of the samples' predictive
     probabilities; each block gets back those of its pairs and adds up their logarithms by document.
 
@@ -31,6 +33,7 @@ gives p0; other columns than the key are left out of the result.
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -48,7 +51,11 @@ from tokenloom.llm.common import bound_batches, crc_remainder, materialise, piec
 BLOCK_BYTES = 16 << 20
 #: Text bytes of the corpus for each bucket of pairs and each bucket of words.
 BUCKET_BYTES = 32 << 20
-BURN_IN, SAMPLES, MOVES = 1, 2, 12
+BURN_IN, SAMPLES = 1, 2
+#: Customers of a dish up to which they move one by one; of larger dishes all move at once.
+MOVES = 12
+#: Customers of a dish up to which the exact draw lists its whole law; beyond, an urn is drawn and tested.
+LISTED = 400
 STRENGTH = 1.0
 WORD_BITS = (1 << 48) - 1
 #: Context of a document's first word; no word holds a newline.
@@ -146,6 +153,107 @@ def reseat(c: np.ndarray, t: np.ndarray, sizes: np.ndarray, rate: np.ndarray, di
     return n[back].astype(np.int64), slots[final]
 
 
+def log_gamma(x: np.ndarray) -> np.ndarray:
+    """Logarithm of the gamma function of positive numbers (Stirling's series, shifted by seven)."""
+    y = x + 7
+    shift = np.log(x * (x + 1) * (x + 2) * (x + 3)) + np.log((x + 4) * (x + 5) * (x + 6))
+    return (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - shift
+
+
+@functools.lru_cache(maxsize=4)
+def _log_stirling(discount: float) -> np.ndarray:
+    """Logarithms of the generalised Stirling numbers: weight of all seatings of n customers (row) at t tables (column)."""
+    out = np.full((LISTED + 1, LISTED + 1), -np.inf)
+    out[0, 0] = 0.0
+    for n in range(LISTED):
+        t = np.arange(1, n + 1)
+        out[n + 1, 1 : n + 2] = out[n, : n + 1]
+        out[n + 1, 1 : n + 1] = np.logaddexp(out[n + 1, 1 : n + 1], out[n, 1 : n + 1] + np.log(n - discount * t))
+    return out
+
+
+def seat_whole(c: np.ndarray, rate: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
+    """Tables of each dish after all of its c customers have left and have been seated again: an exact draw.
+
+    A dish's seating weighs rate for each table and (1 - d)(2 - d)..(n - 1 - d) for each table of n customers, so t tables
+    have the weight rate^t S(c, t) with generalised Stirling numbers S. Up to LISTED customers this law is listed.
+    Beyond, _urn draws from it.
+    """
+    out, low = np.minimum(c, 1).astype(np.int64), np.log(rate)
+    listed = np.flatnonzero((c > 1) & (c <= LISTED))
+    for at in np.split(listed[np.argsort(c[listed], kind="stable")], np.flatnonzero(np.diff(np.sort(c[listed]))) + 1):
+        if len(at):
+            n = int(c[at[0]])
+            law = low[at][:, None] * np.arange(1, n + 1) + _log_stirling(discount)[n, 1 : n + 1]
+            law = np.cumsum(np.exp(law - law.max(axis=1, keepdims=True)), axis=1)
+            out[at] = 1 + np.minimum(n - 1, (law <= (rng.random(len(at)) * law[:, -1])[:, None]).sum(axis=1))
+    long = np.flatnonzero(c > LISTED)
+    if len(long):
+        out[long] = _urn(c[long].astype(float), rate[long], discount, rng)
+    return out
+
+
+def _urn(c: np.ndarray, rate: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
+    """Exact draws of t with weight rate^t S(c, t).
+
+    Customers enter a Pitman-Yor urn of some strength a, where t tables have the weight (a + d)(a + 2d)..(a + (t - 1)d) S(c, t);
+    the quotient rate^t / ((a + d)..(a + (t - 1)d)) has one peak and is the chance, up to a factor, with which a seating is
+    taken; others are drawn again. The waiting time for the next table is geometric with a beta chance, so a draw takes
+    as many steps as there are tables, however many customers. The strength only decides how often a draw is taken;
+    it is the best one that a search finds.
+    """
+
+    def strength(u: np.ndarray) -> np.ndarray:
+        return (rate + discount) / (1 + np.exp(-u)) - discount
+
+    def highest(a: np.ndarray) -> np.ndarray:
+        """Logarithm of the quotient at its peak."""
+        top = np.clip(np.floor((rate - a) / discount) + 1, 1, c)
+        return top * np.log(rate) - (top - 1) * math.log(discount) - log_gamma(a / discount + top) + log_gamma(a / discount + 1)
+
+    def cost(u: np.ndarray) -> np.ndarray:
+        """Logarithm of how many seatings are drawn for one that is taken, up to a constant."""
+        a = strength(u)
+        return log_gamma(a + c) - log_gamma(a + 1) + highest(a)
+
+    # strengths from nearly -d, where many tables have the peak, to nearly rate, where one has it
+    low, step = np.full(len(c), -8.0), (np.log((rate + discount) / (0.25 * discount)) + 8) / 24
+    best, at = cost(low), low.copy()
+    for n in range(1, 25):
+        now = cost(low + n * step)
+        at, best = np.where(now < best, low + n * step, at), np.minimum(best, now)
+    for _ in range(8):
+        step = step / 2
+        for side in (at - step, at + step):
+            now = cost(side)
+            at, best = np.where(now < best, side, at), np.minimum(best, now)
+    theta = strength(at)
+    peak = highest(theta)
+    out, open_ = np.zeros(len(c), np.int64), np.arange(len(c))
+    while len(open_):
+        who = np.repeat(open_, max(1, min(16, 20_000 // len(open_))))
+        t, n, high = np.ones(len(who)), np.ones(len(who)), np.log(rate[who])
+        least = peak[who] + np.log(1 - rng.random(len(who)))
+        live = np.arange(len(who))
+        while len(live):
+            w, k = who[live], t[live]
+            chance = rng.beta(theta[w] + discount * k, n[live] - discount * k)
+            with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
+                wait = np.floor(np.log(1 - rng.random(len(live))) / np.log1p(-chance))
+            at = n[live] + 1 + np.where(chance > 0, wait, np.inf)
+            opens = at <= c[w]
+            live, w, k = live[opens], w[opens], k[opens]
+            n[live], t[live] = at[opens], k + 1
+            high[live] += np.log(rate[w] / (theta[w] + discount * k))
+            # past the peak a quotient only falls: a seating that is refused by now stays refused
+            live = live[(high[live] >= least[live]) | (rate[w] >= theta[w] + discount * k)]
+        taken = np.flatnonzero(high >= least)
+        found, first = np.unique(who[taken], return_index=True)
+        out[found] = t[taken[first]]
+        open_ = np.setdiff1d(open_, found, assume_unique=True)
+    return out
+
+
 def start_seating(c: np.ndarray, rate: np.ndarray, discount: float, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
     """Tables and sizes to start a chain from: about as many tables as customers who come one by one open, shares by a Dirichlet law."""
     t = np.minimum(c, 1 + rng.poisson(rate * np.log((rate + c) / (rate + 1)))).astype(np.int64) * (c > 0)
@@ -335,7 +443,7 @@ def _words(pdf: pd.DataFrame) -> pd.DataFrame:
         for k, blob in ((0, two), (2, three)):
             total[k : k + 2, i] += unpack(blob, np.int64).reshape(2, -1)
     t0 = np.minimum(total[1], 1)
-    return pd.DataFrame([(pdf["b"].iloc[0], *map(pack, total), pack(t0), pack(total[1][total[1] > 0]), pdf["g"].tolist(), [pack(np.diff(i, prepend=np.int32(0))) for i in at])], columns=["b", "c", "c0", "cc", "tc", "t0", "sizes", "g", "at"])
+    return pd.DataFrame([(pdf["b"].iloc[0], *map(pack, total), pack(t0), pack(total[1][(total[1] > 0) & (total[1] <= MOVES)]), pdf["g"].tolist(), [pack(np.diff(i, prepend=np.int32(0))) for i in at])], columns=["b", "c", "c0", "cc", "tc", "t0", "sizes", "g", "at"])
 
 
 class Parent:
@@ -392,17 +500,19 @@ SEATS = "kind string, g int, b int, one binary, two binary, three binary"
 
 
 def _round(pairs: pd.DataFrame, answers: pd.DataFrame, seats: pd.DataFrame | None, discount: float, seed: list[int]) -> pd.DataFrame:
-    """Gibbs moves in one bucket of pairs. s: tables and their sizes of pairs that occur twice or more; t: tables of each word as follower and as context, for each bucket of words."""
+    """Gibbs moves in one bucket of pairs. s: tables of pairs that occur twice or more, sizes of the tables of those of up to MOVES customers; t: tables of each word as follower and as context, for each bucket of words."""
     p0, _, tc, _, own = _asked(answers)
     iu, iw, count = (unpack(pairs[k].iloc[0], kind) for k, kind in (("one", np.int32), ("two", np.int32), ("three", np.int64)))
     many = np.flatnonzero(count > 1)
     c, g = count[many], int(pairs["g"].iloc[0])
     rate, rng = (STRENGTH + discount * tc[iu[many]]) * p0[iw[many]], np.random.default_rng([*seed, g])
+    few = c <= MOVES
     if seats is None:
-        t, sizes = start_seating(c, rate, discount, rng)
+        own_t, sizes = start_seating(c[few], rate[few], discount, rng)
     else:
-        t, sizes = unpack(seats["one"].iloc[0], np.int64), unpack(seats["two"].iloc[0], np.int64)
-    t, sizes = reseat(c, t, sizes, rate, discount, MOVES, rng)
+        own_t, sizes = unpack(seats["one"].iloc[0], np.int64)[few], unpack(seats["two"].iloc[0], np.int64)
+    t = seat_whole(np.where(few, 0, c), rate, discount, rng)
+    t[few], sizes = reseat(c[few], own_t, sizes, rate[few], discount, MOVES, rng)
     tables = (count > 0).astype(np.int64)
     tables[many] = t
     rows = [("s", g, None, pack(t), pack(sizes), None)]
@@ -423,8 +533,12 @@ def _seat_words(words: pd.DataFrame, told: pd.DataFrame, parent: Parent, seed: l
         c0[at] += unpack(one, np.int64)
         tc[at] += unpack(two, np.int64)
     rng = np.random.default_rng([*seed, int(r["b"])])
-    t0, sizes = follow(c0, unpack(r["t0"], np.int64), unpack(r["sizes"], np.int64), rng)
-    t0, sizes = reseat(c0, t0, sizes, np.full(len(c0), parent.rate()), parent.discount, MOVES, rng)
+    rate = np.full(len(c0), parent.rate())
+    # sizes are kept for words of up to MOVES customers; one that has had more starts at one table
+    few = np.where(c0 <= MOVES, c0, 0)
+    t, sizes = follow(few, np.where(unpack(r["c0"], np.int64) <= MOVES, unpack(r["t0"], np.int64), 0), unpack(r["sizes"], np.int64), rng)
+    t, sizes = reseat(few, t, sizes, rate, parent.discount, MOVES, rng)
+    t0 = t + seat_whole(c0 - few, rate, parent.discount, rng)
     return pd.DataFrame([(r["b"], r["c"], pack(c0), r["cc"], pack(tc), pack(t0), pack(sizes), r["g"], r["at"])], columns=["b", "c", "c0", "cc", "tc", "t0", "sizes", "g", "at"])
 
 
