@@ -154,3 +154,15 @@ def test_extra_columns_and_hot_host(spark):
     assert one.columns == [*pages.columns, "host", "path", "rule", "score", "verdict"]
     got = {tuple(r) for r in one.collect()}
     assert {x[:5] for x in got} == set(rows)
+
+
+def test_rows_move_alike_at_every_size(spark):
+    """The join that moves the rows has one form, so what a small table costs tells what a large one does."""
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(50)], "doc_id long, text string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10485760")
+    try:
+        plan = shard.sharding_report(docs)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert re.search(r"SortMergeJoin \[_shuffle_n", plan) and not re.search(r"BroadcastHashJoin \[_shuffle_n", plan)

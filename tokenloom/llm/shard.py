@@ -11,7 +11,8 @@ Native: rows are only touched by DataFrame functions.
  3. A permutation inside each block (row_number over a hash) and the matrix's running sums give a row's number its shard.
  4. Numbers are exchanged by shard and a slice of a second hash, and a permutation inside each slice behind the slices
     before it gives the slot: no task holds a whole shard.
- 5. The rows themselves, texts and all, move once: to their numbers' shard and slot.
+ 5. The rows themselves, texts and all, move once: to their numbers' shard and slot. This join is a sort-merge join at
+    every size, so small tables cost what large ones do for each row.
 
 Law: rows. Shard sizes differ by one at most; slots are gapless from 0 in each shard.
 
@@ -113,7 +114,8 @@ def assign_shards(rows: DataFrame, shards: int = 16, seed: int = 1) -> DataFrame
     again = Window.partitionBy("shard", "_shuffle_slice").orderBy(F.xxhash64("_shuffle_n", F.lit(seed + 3)), "_shuffle_n")
     slot = dealt.withColumn("_shuffle_place", F.row_number().over(again).cast("long") - 1)
     places = slot.join(starts, ["shard", "_shuffle_slice"]).select("_shuffle_n", "shard", (F.col("_shuffle_start") + F.col("_shuffle_place")).alias("slot"))
-    return numbered.join(places, "_shuffle_n").select(*rows.drop("shard", "slot").columns, "shard", "slot")
+    # both sides are dealt by number whatever their size: a broadcast of the places would grow with the rows
+    return numbered.hint("merge").join(places, "_shuffle_n").select(*rows.drop("shard", "slot").columns, "shard", "slot")
 
 
 def write_shards(rows: DataFrame, path: str, shards: int = 16, seed: int = 1, rows_per_file: int = 1_000_000) -> None:
