@@ -133,6 +133,25 @@ def test_chain_and_hot_family(spark):
     assert want <= got and len(got) - len(want) <= 0.02 * len(texts)
 
 
+def test_pigeonhole_keys_promise_three_bits():
+    """SimHashes that differ in three bits or fewer share a key; those of unrelated texts share none; bits follow the similarity."""
+    rng = np.random.default_rng(21)
+    for _ in range(200):
+        x = rng.integers(0, 1 << 63, dtype=np.uint64)
+        y = x ^ np.bitwise_or.reduce(np.uint64(1) << rng.choice(64, 3, replace=False).astype(np.uint64))
+        z = rng.integers(0, 1 << 63, dtype=np.uint64)
+        keys = [set(near_copies.pigeonhole_keys(k).tolist()) for k in (x, y, z)]
+        assert keys[0] & keys[1] and not keys[0] & keys[2] and len(keys[0]) == 20
+    words = [f"w{i}" for i in range(5000)]
+    apart = []
+    for _ in range(100):
+        one = list(rng.choice(words, 200))
+        two = [*one[:180], *rng.choice(words, 20)]  # 176 of 216 shingles are shared: 0.815
+        apart.append(int(np.bitwise_count(near_copies.simhash_words(near_copies.shingle_hashes(" ".join(one))) ^ near_copies.simhash_words(near_copies.shingle_hashes(" ".join(two)))).sum()))
+        assert set(near_copies.pigeonhole_keys(near_copies.simhash_words(near_copies.shingle_hashes(" ".join(one)))[0]).tolist()) <= {k % 2**64 for k in near_copies.fingerprint(" ".join(one))[1]}
+    assert 15 < np.mean(apart) < 22 and max(apart) <= near_copies.SIMHASH_BITS
+
+
 def test_each_stage(spark):
     docs = table(spark, FOLDER, "documents").cache()
     columns = docs.columns
