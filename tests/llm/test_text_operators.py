@@ -184,6 +184,20 @@ def test_toxicity_equals_brute_force(spark, monkeypatch, block, first):
     assert len({r["score"] for r in got.values()}) > 100
 
 
+def test_curve_is_right_where_predictions_are_decided():
+    """The share of toxic examples rises steeply between votes of 0.2 and 0.36, as it does at sf0.1; a curve over all votes is too flat for it."""
+    rng = np.random.default_rng(17)
+    votes = np.r_[rng.beta(2, 17, 5000), rng.beta(3, 5, 900)]
+    share = np.interp(votes, [0, 0.1, 0.2, 0.26, 0.29, 0.34, 0.55], [0.01, 0.03, 0.15, 0.36, 0.69, 0.94, 1.0])
+    y, weight = (rng.random(len(votes)) < share).astype(np.int64), rng.uniform(0.5, 1.5, len(votes))
+    start, slope = toxicity.calibrated(votes, y, weight, -2.0)
+    says = 1 / (1 + np.exp(-start - slope * toxicity.log_odds((votes + toxicity.SMOOTH) / (1 + 2 * toxicity.SMOOTH))))
+    cut = votes[says >= toxicity.THRESHOLD].min()
+    assert 0.27 < cut < 0.32  # the true share is 0.7 at 0.29
+    assert abs((says - share)[(votes > 0.2) & (votes < 0.4)]).mean() < 0.08
+    assert toxicity.calibrated(votes, np.zeros_like(y), weight, -2.0) == (-2.0, 0.0)
+
+
 def test_toxicity_scores_are_calibrated(spark):
     """Held out, scores near p go with a share of toxic rows near p; copies of one text are one example."""
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")

@@ -10,7 +10,9 @@
     largest of these products in it and the product of the other words with their largest weights; blocks are opened in
     order of their bounds until no block can hold one of the NEIGHBOURS nearest, which are therefore exact.
  4. Neighbours vote with their cosines. A logistic curve, fitted to the votes that the examples get from all other
-    examples, each weighted by the rows it stands for, turns the share of toxic votes into a calibrated probability.
+    examples, each weighted by the rows it stands for, turns the share of toxic votes into a calibrated probability. The
+    share of toxic rows rises more steeply than one logistic curve over all votes, so the fit is a local one: votes count
+    by their nearness to the vote at which the curve says THRESHOLD, where predictions are decided.
 
 Edge cases: null and empty texts, and texts without a weighted word of the index, have no neighbour and get the share
 of toxic rows; labels that are null do not count, a text labelled twice counts as toxic if it is so once; equal cosines are taken
@@ -44,6 +46,8 @@ DENSE_WORDS = 512
 FIRST_BLOCKS, CLUSTER_STEPS, CLUSTER_WORDS = 16, 8, 512
 #: Added to both sides of a vote before its log odds.
 SMOOTH = 0.02
+#: Standard deviation, in log odds of votes, of the weights of the local fit; examples that it must rest on; its rounds.
+NEAR, NEAR_EXAMPLES, NEAR_ROUNDS = 0.5, 50, 12
 RESULTS = "score double, predicted int, evidence array<struct<doc_id:long,toxic:int,cosine:double>>"
 
 
@@ -255,8 +259,25 @@ def calibrated(votes: np.ndarray, y: np.ndarray, weight: np.ndarray, start: floa
     if len(set(y[use].tolist())) < 2:
         return start, 0.0
     x = np.c_[np.ones(use.sum()), log_odds((votes[use] + SMOOTH) / (1 + 2 * SMOOTH))]
-    y, w = y[use], weight[use] / weight[use].sum()
-    beta = np.array([start, 0.0])
+    y, weight = y[use], weight[use]
+    beta = _logistic(x, y, weight, np.array([start, 0.0]))
+    if not beta[1] > 0:
+        return start, 0.0
+    for _ in range(NEAR_ROUNDS):
+        near = weight * np.exp(-0.5 * ((x[:, 1] - (log_odds(THRESHOLD) - beta[0]) / beta[1]) / NEAR) ** 2)
+        # too few examples near the threshold, or all of one class there: the curve stays
+        if near.sum() ** 2 <= NEAR_EXAMPLES * (near**2).sum() or not 0.02 < near[y == 1].sum() / near.sum() < 0.98:
+            break
+        local = _logistic(x, y, near, beta)
+        if not (np.isfinite(local).all() and local[1] > 0):
+            break
+        beta = local
+    return float(beta[0]), float(beta[1])
+
+
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, beta: np.ndarray) -> np.ndarray:
+    """Start and slope of most weighted likelihood, by Newton steps from beta."""
+    w, beta = weight / weight.sum(), beta.copy()
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
         gradient = x.T @ (w * (y - p)) - 1e-5 * np.array([0, beta[1]])
@@ -264,7 +285,7 @@ def calibrated(votes: np.ndarray, y: np.ndarray, weight: np.ndarray, start: floa
         beta += np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-10:
             break
-    return (float(beta[0]), float(beta[1])) if beta[1] > 0 else (start, 0.0)
+    return beta
 
 
 class Model:
