@@ -9,10 +9,14 @@
     columns of a matrix instead, and many texts' products with them are taken at once. A text's bound for a block is the
     largest of these products in it and the product of the other words with their largest weights; blocks are opened in
     order of their bounds until no block can hold one of the NEIGHBOURS nearest, which are therefore exact.
- 4. Neighbours vote with their cosines. A logistic curve, fitted to the votes that the examples get from all other
+ 4. The nearest examples vote with their cosines: NEIGHBOURS of them, or one in VOTERS of the sample where that is more. A
+    logistic curve, fitted to the votes that the examples get from all other
     examples, each weighted by the rows it stands for, turns the share of toxic votes into a calibrated probability. The
     share of toxic rows rises more steeply than one logistic curve over all votes, so the fit is a local one: votes count
     by their nearness to the vote at which the curve says THRESHOLD, where predictions are decided.
+ 5. Votes of different kinds of text lie at different heights: among texts of one language, say, a share of 0.4 may be
+    plainly toxic and be common among clean texts of another. From LEVEL_EXAMPLES on, the curve has the level of the
+    neighbourhood as its second input: the mean, by cosines, of the votes that the voters themselves get from all other examples.
 
 Edge cases: null and empty texts, and texts without a weighted word of the index, have no neighbour and get the share
 of toxic rows; labels that are null do not count, a text labelled twice counts as toxic if it is so once; equal cosines are taken
@@ -31,6 +35,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from tokenloom.llm.common import alnum_words, bound_batches, crc_remainder, materialise, pieces, set_aside, with_computed
@@ -44,6 +49,8 @@ THRESHOLD = 0.7
 DENSE_WORDS = 512
 #: Blocks opened at first, and steps and common words of the k-means that puts alike examples into the same blocks.
 FIRST_BLOCKS, CLUSTER_STEPS, CLUSTER_WORDS = 16, 8, 512
+#: One in so many examples votes, NEIGHBOURS at least; examples from which on the level of a neighbourhood is an input.
+VOTERS, LEVEL_EXAMPLES = 30, 500
 #: Added to both sides of a vote before its log odds.
 SMOOTH = 0.02
 #: Standard deviation, in log odds of votes, of the weights of the local fit; examples that it must rest on; its rounds.
@@ -253,18 +260,25 @@ def prior(y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
     return float(log_odds(share)), 0.0
 
 
-def calibrated(votes: np.ndarray, y: np.ndarray, weight: np.ndarray, start: float) -> tuple[float, float]:
-    """Start and slope of the logistic curve fitted to the share of toxic votes that each example gets from the others (negative: no neighbour)."""
+def smoothed(votes):
+    """Log odds of votes."""
+    return log_odds((votes + SMOOTH) / (1 + 2 * SMOOTH))
+
+
+def calibrated(votes: np.ndarray, y: np.ndarray, weight: np.ndarray, start: float, level: np.ndarray | None = None) -> tuple[float, ...]:
+    """Start and slope of the logistic curve fitted to the share of toxic votes that each example gets from the others (negative: no neighbour); with level, its slope as well."""
     use = votes >= 0
+    none = (start, 0.0) if level is None else (start, 0.0, 0.0)
     if len(set(y[use].tolist())) < 2:
-        return start, 0.0
-    x = np.c_[np.ones(use.sum()), log_odds((votes[use] + SMOOTH) / (1 + 2 * SMOOTH))]
+        return none
+    x = np.c_[np.ones(use.sum()), smoothed(votes[use])]
+    x = x if level is None else np.c_[x, level[use]]
     y, weight = y[use], weight[use]
-    beta = _logistic(x, y, weight, np.array([start, 0.0]))
+    beta = _logistic(x, y, weight, np.array(none))
     if not beta[1] > 0:
-        return start, 0.0
+        return none
     for _ in range(NEAR_ROUNDS):
-        near = weight * np.exp(-0.5 * ((x[:, 1] - (log_odds(THRESHOLD) - beta[0]) / beta[1]) / NEAR) ** 2)
+        near = weight * np.exp(-0.5 * ((x @ beta - log_odds(THRESHOLD)) / beta[1] / NEAR) ** 2)
         # too few examples near the threshold, or all of one class there: the curve stays
         if near.sum() ** 2 <= NEAR_EXAMPLES * (near**2).sum() or not 0.02 < near[y == 1].sum() / near.sum() < 0.98:
             break
@@ -272,16 +286,16 @@ def calibrated(votes: np.ndarray, y: np.ndarray, weight: np.ndarray, start: floa
         if not (np.isfinite(local).all() and local[1] > 0):
             break
         beta = local
-    return float(beta[0]), float(beta[1])
+    return tuple(beta.tolist())
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, beta: np.ndarray) -> np.ndarray:
-    """Start and slope of most weighted likelihood, by Newton steps from beta."""
+    """Start and slopes of most weighted likelihood, by Newton steps from beta."""
     w, beta = weight / weight.sum(), beta.copy()
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-        gradient = x.T @ (w * (y - p)) - 1e-5 * np.array([0, beta[1]])
-        step = np.linalg.solve((x * (w * p * (1 - p))[:, None]).T @ x + np.diag([1e-9, 1e-5]), gradient)
+        gradient = x.T @ (w * (y - p)) - 1e-5 * np.r_[0, beta[1:]]
+        step = np.linalg.solve((x * (w * p * (1 - p))[:, None]).T @ x + np.diag(np.r_[1e-9, np.full(len(beta) - 1, 1e-5)]), gradient)
         beta += np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-10:
             break
@@ -296,25 +310,38 @@ class Model:
         self.start, self.slope = prior(y, weight)
         self.share = float(1 / (1 + np.exp(-self.start))) if len(y) else 0.5
 
+    @property
+    def voters(self) -> int:
+        return max(NEIGHBOURS, self.index.n // VOTERS)
+
     def vote(self, rows: np.ndarray, cosine: np.ndarray) -> float:
         return float((cosine * self.y[rows]).sum() / cosine.sum()) if len(rows) else -1.0
 
-    def score(self, vote: float) -> float:
-        if vote < 0:
+    def score(self, rows: np.ndarray, cosine: np.ndarray) -> float:
+        if not len(rows):
             return self.share
-        return float(1 / (1 + np.exp(-(self.start + self.slope * log_odds((vote + SMOOTH) / (1 + 2 * SMOOTH))))))
+        says = self.start + self.slope * smoothed(self.vote(rows, cosine))
+        if self.level:
+            says += self.level * level_of(self.own[rows], cosine)
+        return float(1 / (1 + np.exp(-says)))
+
+
+def level_of(own: np.ndarray, cosine: np.ndarray) -> float:
+    """Level of a neighbourhood: mean of the voters' own votes, in log odds, by cosines."""
+    return float((cosine * own).sum() / cosine.sum())
 
 
 def load(fitted: tuple) -> Model:
     """The model of fit()'s answer, on the driver or in a task."""
-    shared, start, slope = fitted
+    shared, curve, own = fitted
     model = pickle.loads(shared.value)
-    model.start, model.slope = start, slope
+    model.start, model.slope, model.level = (*curve, 0.0)[:3]
+    model.own = None if own is None else own[model.index.order]
     return model
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str, training: Column | None):
-    """What load() takes: a broadcast of the packed index, and the curve. training: rows whose labels may be learned from, in terms of doc_id. The driver holds labels and weights of the sample, document frequencies of its words and the packed index, no texts."""
+    """What load() takes: a broadcast of the packed index, the curve, and the examples' own votes in log odds. training: rows whose labels may be learned from, in terms of doc_id. The driver holds labels and weights of the sample, document frequencies of its words and the packed index, no texts."""
     spark = docs.sparkSession
     bound_batches(spark)
     training = F.lit(True) if training is None else F.coalesce(training, F.lit(True))
@@ -334,50 +361,68 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, training: Column | None)
     known.destroy()
     rows = sample.select("h", "y", "weight").orderBy("h").toArrow()
     y, weight = rows["y"].to_numpy().astype(np.int64), rows["weight"].to_numpy()
-    start, slope = prior(y, weight)
+    curve = prior(y, weight)
     shared = spark.sparkContext.broadcast(made)
     del made
     if len(set(y.tolist())) < 2:
-        return shared, start, slope
+        return shared, curve, None
     number = spark.sparkContext.broadcast({h: n for n, h in enumerate(rows["h"].to_pylist())})
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = load((shared, start, slope))
+        model = load((shared, curve, None))
         place = np.argsort(model.index.order)
         for batch in pieces(batches):
             numbers = [number.value[h] for h in batch.column("h").to_pylist()]
-            votes = [model.vote(*near) for near in model.index.nearest(batch.column("text").to_pylist(), NEIGHBOURS, place[numbers].tolist())]
-            yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), pa.array(votes, pa.float64())], names=["n", "vote"])
-
-    found = sample.select("h", "text").repartition(max(1, min(12, len(y) // 100))).mapInArrow(ask, "n long, vote double").toArrow()
-    votes = np.empty(len(y))
+            near = [*model.index.nearest(batch.column("text").to_pylist(), model.voters, place[numbers].tolist())]
+            votes = [model.vote(*x) for x in near]
+            voters = [model.index.order[r].astype(np.int32).tobytes() for r, _ in near]
+            cosines = [c.astype(np.float32).tobytes() for _, c in near]
+            yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), pa.array(votes, pa.float64()), pa.array(voters, pa.binary()), pa.array(cosines, pa.binary())], names=["n", "vote", "voters", "cosines"])
+
+    # voters of each example: a VOTERS-th of the sample's square, some 10 MB at most
+    found = sample.select("h", "text").repartition(max(1, min(12, len(y) // 100))).mapInArrow(ask, "n long, vote double, voters binary, cosines binary").toArrow()
+    votes, level = np.empty(len(y)), np.zeros(len(y))
     votes[found["n"].to_numpy()] = found["vote"].to_numpy()
-    return shared, *calibrated(votes, y, weight, start)
-
-
-def score_documents(docs: DataFrame, labels: DataFrame, label: str = "toxic", training: Column | None = None, without: tuple[str, ...] = ()) -> DataFrame:
-    """docs (but the columns named in without) with score, predicted and evidence: the nearest examples, their labels and cosines."""
+    if len(y) < LEVEL_EXAMPLES or not (votes >= 0).any():
+        return shared, calibrated(votes, y, weight, curve[0]), None
+    own = smoothed(np.maximum(votes, 0))
+    own[votes < 0] = own[votes >= 0].mean()
+    for n, voters, cosines in zip(*(found[c].to_pylist() for c in ("n", "voters", "cosines")), strict=True):
+        if voters:
+            level[n] = level_of(own[np.frombuffer(voters, np.int32)], np.frombuffer(cosines, np.float32).astype(float))
+    return shared, calibrated(votes, y, weight, curve[0], level), own
+
+
+def score_documents(docs: DataFrame, labels: DataFrame, label: str = "toxic", training: Column | None = None, without: tuple[str, ...] = (), evidence: bool = True) -> DataFrame:
+    """docs (but the columns named in without) with score, predicted and, where it is asked for, evidence: the NEIGHBOURS nearest examples, their labels and cosines."""
     fitted = fit(docs, labels, label, training)
 
     def start():
         model = load(fitted)
 
         def compute(texts: list) -> list:
-            scores, told = [], []
-            for rows, cosine in model.index.nearest(texts, NEIGHBOURS):
-                scores.append(model.score(model.vote(rows, cosine)))
-                told.append([{"doc_id": i, "toxic": y, "cosine": c} for i, y, c in zip(model.ids[rows].tolist(), model.y[rows].tolist(), cosine.tolist(), strict=True)])
-            return [scores, [int(s >= THRESHOLD) for s in scores], told]
+            near = [*model.index.nearest(texts, model.voters)]
+            scores = [model.score(*x) for x in near]
+            told = []
+            if evidence:
+                first = [(rows[:NEIGHBOURS], cosine[:NEIGHBOURS]) for rows, cosine in near]
+                rows, cosine = (np.concatenate(x) for x in zip(*first, strict=True))
+                ends = np.cumsum([0, *[len(r) for r, _ in first]]).astype(np.int32)
+                each = pa.StructArray.from_arrays([pa.array(model.ids[rows], pa.int64()), pa.array(model.y[rows].astype(np.int32)), pa.array(cosine)], names=["doc_id", "toxic", "cosine"])
+                told = [pa.ListArray.from_arrays(pa.array(ends), each).cast(told_type)]
+            return [scores, [int(s >= THRESHOLD) for s in scores], *told]
 
         return compute
 
-    return with_computed(docs, ["text"], RESULTS, start, without)
+    told_type = to_arrow_schema(T.StructType.fromDDL(RESULTS)).field("evidence").type
+    results = RESULTS if evidence else ", ".join(RESULTS.split(", ")[:2])
+    return with_computed(docs, ["text"], results, start, without)
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, label: str = "toxic", training: Column | None = None) -> DataFrame:
     """docs, all columns, whose score is below THRESHOLD."""
-    base, back = set_aside(docs, ["score", "predicted", "evidence"])
-    scored = score_documents(base, labels, label, training).where("predicted = 0").drop("score", "predicted", "evidence")
+    base, back = set_aside(docs, ["score", "predicted"])
+    scored = score_documents(base, labels, label, training, evidence=False).where("predicted = 0").drop("score", "predicted")
     return scored.withColumnsRenamed(back).select(*docs.columns)
 
 
