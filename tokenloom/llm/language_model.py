@@ -95,9 +95,16 @@ def unpack_words(blob: bytes | None) -> np.ndarray:
     return np.cumsum(out.view(np.uint64).ravel(), dtype=np.uint64)
 
 
-def bucket_of_pair(u: np.ndarray, w: np.ndarray, buckets: int) -> np.ndarray:
-    """Bucket of each pair: a context's followers lie in a sixteenth of all buckets."""
-    return ((u % np.uint64(buckets)) + (w >> np.uint64(8)) % np.uint64(-(-buckets // 16))) % np.uint64(buckets)
+def distinct(a: np.ndarray) -> np.ndarray:
+    """Sorted distinct numbers. np.unique without counts hashes them, which takes many times as long where most are distinct."""
+    a = np.sort(a)
+    return a[np.r_[True, a[1:] != a[:-1]]] if len(a) else a
+
+
+def bucket_of_pair(names: np.ndarray, u: np.ndarray, w: np.ndarray, buckets: int) -> np.ndarray:
+    """Bucket of each pair of places among the names: a context's followers lie in a sixteenth of all buckets."""
+    g = (names % np.uint64(buckets))[u] + ((names >> np.uint64(8)) % np.uint64(-(-buckets // 16)))[w]
+    return np.where(g < buckets, g, g - np.uint64(buckets))
 
 
 def discount_of(ones: float, twos: float) -> float:
@@ -319,7 +326,7 @@ class Block:
         word = rank[np.concatenate(self.tokens)]
         before = np.r_[rank[self.start], word[:-1]]
         before[np.cumsum(lengths) - lengths] = rank[self.start]
-        g = bucket_of_pair(names[before], names[word], buckets)
+        g = bucket_of_pair(names, before, word, buckets)
         if buckets > 1 << 16:  # a block's own buckets are fewer
             g = np.unique(g, return_inverse=True)[1].astype(np.uint64)
         return g << np.uint64(48) | before << np.uint64(24) | word, names, lengths
@@ -329,12 +336,12 @@ class Block:
         key, names, lengths = self.keys_of_pairs(buckets)
         training = np.repeat(~np.array(self.held, bool), lengths)
         learned, count = np.unique(key[training], return_counts=True)
-        key = np.unique(key)
+        key = distinct(key)
         n = np.zeros(len(key), np.int64)
         n[np.searchsorted(key, learned)] = count
         low = np.uint64((1 << 24) - 1)
-        u, w = names[key >> np.uint64(24) & low], names[key & low]
-        return bucket_of_pair(u, w, buckets), u, w, n
+        u, w = key >> np.uint64(24) & low, key & low
+        return bucket_of_pair(names, u, w, buckets), names[u], names[w], n
 
     def places(self, buckets: int) -> tuple[np.ndarray, int, np.ndarray]:
         """Each token's place among the sorted pairs, their number, and tokens of each document."""
@@ -380,44 +387,39 @@ PAIRS = "kind string, g int, block long, b int, one binary, two binary, three bi
 def _merge(pdf: pd.DataFrame, buckets: int) -> pd.DataFrame:
     """One bucket of pairs: p: its pairs (numbers of context and word among its words, counts); m: places of each block's pairs; r: its words for each bucket of words, with the sums of counts and tables as word and as context."""
     pdf = pdf.sort_values("block")
-    us, ws = [], []
-    for u, nu, w, at in pdf[["u", "nu", "w", "at"]].itertuples(index=False):
-        us.append(np.repeat(unpack_words(u), unpack(nu, np.int32)))
-        ws.append(unpack_words(w)[unpack(at, np.int32)])
-    sizes = [len(x) for x in us]
-    u, w = np.concatenate(us), np.concatenate(ws)
-    del us, ws
-    with np.errstate(over="ignore"):
-        mixed = (u * np.uint64(0x9E3779B97F4A7C15)) ^ (w * np.uint64(0xC2B2AE3D27D4EB4F))
-    _, first, at = np.unique(mixed, return_index=True, return_inverse=True)
-    count = np.bincount(at, np.concatenate([unpack(n, np.int32) for n in pdf["n"]]), len(first)).astype(np.int64)
-    u, w = u[first], w[first]
-    order = np.lexsort((w, u))
-    place = np.empty(len(order), np.int32)
-    place[order] = np.arange(len(order), dtype=np.int32)
-    u, w, count, at = u[order], w[order], count[order], place[at]
+    contexts, followers = ([unpack_words(x) for x in pdf[name]] for name in ("u", "w"))
+    words = distinct(np.concatenate([*contexts, *followers]))
+    keys = []  # a pair as one number, its words by their places
+    for u, nu, w, at in zip(contexts, pdf["nu"], followers, pdf["at"], strict=True):
+        key = np.repeat(np.searchsorted(words, u).astype(np.uint64) << np.uint64(32), unpack(nu, np.int32))
+        key |= np.searchsorted(words, w).astype(np.uint64)[unpack(at, np.int32)]
+        keys.append(key)
+    sizes = [len(x) for x in keys]
+    key = np.concatenate(keys)
+    del keys, contexts, followers
+    order = np.argsort(key)
+    key = key[order]
+    new = np.r_[True, key[1:] != key[:-1]]
+    at = np.empty(len(key), np.int32)
+    at[order] = np.cumsum(new, dtype=np.int32) - 1
+    key = key[new]
+    del order, new
+    count = np.bincount(at, np.concatenate([unpack(n, np.int32) for n in pdf["n"]]), len(key)).astype(np.int64)
     g = int(pdf["g"].iloc[0])
-    words = np.unique(np.r_[u, w])
     own = words % np.uint64(buckets)
     sort = np.argsort(own, kind="stable")
-    rank = np.empty(len(words), np.int64)
-    rank[sort] = np.arange(len(words))
+    rank = np.empty(len(words), np.int32)
+    rank[sort] = np.arange(len(words), dtype=np.int32)
     words, own = words[sort], own[sort]
-    iu, iw = rank[_find(words, sort, u)], rank[_find(words, sort, w)]
-    rows = [("p", g, None, None, pack(iu.astype(np.int32)), pack(iw.astype(np.int32)), pack(count), None)]
+    iu, iw = rank[key >> np.uint64(32)], rank[key & np.uint64((1 << 32) - 1)]
+    del key
+    rows = [("p", g, None, None, pack(iu), pack(iw), pack(count), None)]
     for block, a, n in zip(pdf["block"].tolist(), np.cumsum(sizes) - sizes, sizes, strict=True):
         rows.append(("m", g, block, None, pack(np.diff(at[a : a + n], prepend=np.int32(0))), None, None, None))
     rows += _tell(g, words, own, *_sums(iu, iw, count, (count > 0).astype(np.int64), len(words)))
     return pd.DataFrame(rows, columns=["kind", "g", "block", "b", "one", "two", "three", "four"]).astype({"block": "Int64", "b": "Int32"})
 
 
-def _find(words: np.ndarray, sort: np.ndarray, asked: np.ndarray) -> np.ndarray:
-    """Places of asked among the sorted words that sort has dealt into words."""
-    plain = np.empty(len(words), np.uint64)
-    plain[sort] = words
-    return np.searchsorted(plain, asked)
-
-
 def _sums(iu, iw, count, tables, n: int) -> list[np.ndarray]:
     """Customers and tables of each word as follower, then as context."""
     return [np.bincount(i, x, n).astype(np.int64) for i in (iw, iu) for x in (count, tables)]
