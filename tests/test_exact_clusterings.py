@@ -217,3 +217,14 @@ def test_checkpoint_steps_stand_once_written(spark, tmp_path):
     (tmp_path / "c" / ".step-left").mkdir()  # an interrupted write
     assert study.done() == {0, 4}
     assert sorted((r["x"], r["step"]) for r in study.read("x int").collect()) == [(1, 0), (3, 4)]
+
+
+def test_exact_linkage_merges_copies_at_once(spark, monkeypatch):
+    """Copies are all at distance zero from the one of least id, so rounds of pairs would take them one by one."""
+    tables = []
+    monkeypatch.setattr(linkage, "written", lambda df, write=linkage.written: tables.append(0) or write(df))
+    x = [[1.0, 0.0, 0.0]] * 30 + [[0.0, 1.0, 0.0]] * 20 + [[0.0, 0.0, 1.0], [0.0, 0.6, 0.8], [0.0, 0.0, 0.0], [0.0, 0.0, 0.0]]
+    rows = spark.createDataFrame(list(enumerate(x)), "vec_id long, embedding array<double>")
+    got = {(r["vec_id"], r["k"]): r["label"] for r in linkage.complete_linkage(rows, [2, 3, 5], top=5).collect()}
+    assert [got[i, 5] for i in range(54)] == [0] * 30 + [1] * 20 + [2, 2, 3, 4]
+    assert len(tables) < 25
