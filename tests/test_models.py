@@ -143,3 +143,36 @@ def test_logistic_seed_summary_query(spark, monkeypatch):
     assert sorted((r["seed"], r["fold"]) for r in rows) == [(s, f) for s in range(5) for f in range(5)]
     table = np.array([[np.mean([r[c] for r in rows if r["seed"] == s]) for c in ("mcc", "balanced_accuracy")] for s in range(5)])
     assert np.allclose([got["mcc_mean"], got["bal_mean"]], table.mean(axis=0)) and np.allclose([got["mcc_std"], got["bal_std"]], table.std(axis=0)) and got["seeds"] == 5
+
+
+def test_searches_work_by_matrix_products(spark):
+    """Queries against all vectors leave no pair to Spark's expressions; null and NaN vectors and repeated ids count as in SQL."""
+    import duckdb
+
+    from tokenloom.plans import oracles
+
+    nan = float("nan")
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(size=4).tolist(), i % 3 if i % 7 else None) for i in range(250)]
+    rows += [(300, None, 1), (400, [nan, 1.0, 0.0, 0.0], 1), (None, [1.0, 0.0, 0.0, 0.0], 1), (200, rows[3][1], 0)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(3)
+    queries = vectors.where("vec_id % 100 = 0")
+    db = duckdb.connect()
+    db.execute("create table embeddings (vec_id bigint, embedding float[], label int)")
+    db.executemany("insert into embeddings values (?, ?, ?)", [list(r) for r in rows])
+
+    def bag(found):
+        return sorted([tuple(None if v is None else "nan" if v != v else round(v, 5) for v in r) for r in found], key=str)
+
+    found = clusters.similarities(vectors, queries, 6)
+    assert "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString()
+    assert bag(found.collect()) == bag(db.execute(oracles.ORACLES["similarity_search"]).fetchall())
+    each = clusters.silhouette(vectors, queries)
+    assert "NestedLoop" not in each._jdf.queryExecution().executedPlan().toString()
+    assert bag(each.collect()) == bag(db.execute(oracles.ORACLES["silhouette_search"]).fetchall())
+
+
+def test_rounding_is_that_of_spark(spark):
+    x = [0.5e-6, 1.5e-6, -2.5e-6, 0.1234565, 1.0000005, -1e-9, 0.3, 123456.7890125, float("nan"), float("inf")] + np.random.default_rng(1).normal(size=500).tolist()
+    want = [r[0] + 0.0 for r in spark.createDataFrame([(v,) for v in x], "x double").select(F.round("x", 6)).collect()]
+    assert np.array_equal(clusters.rounded(np.array(x)), want, equal_nan=True)
