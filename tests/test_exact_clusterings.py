@@ -228,3 +228,12 @@ def test_exact_linkage_merges_copies_at_once(spark, monkeypatch):
     got = {(r["vec_id"], r["k"]): r["label"] for r in linkage.complete_linkage(rows, [2, 3, 5], top=5).collect()}
     assert [got[i, 5] for i in range(54)] == [0] * 30 + [1] * 20 + [2, 2, 3, 4]
     assert len(tables) < 25
+
+
+def test_dense_product_does_not_copy_rows(spark, monkeypatch):
+    """Tiles meet without a copy of their rows for each tile that they meet, and a task adds up its share before it leaves."""
+    monkeypatch.setattr(lanczos.tiles, "__defaults__", (4,))
+    rows = planted(spark)
+    y = lanczos.kernel_product(rows, "angular")(rows.select("vec_id", F.array(F.lit(1.0)).alias("x")), 1)
+    plan = y._jdf.queryExecution().executedPlan().toString()
+    assert y.count() == 90 and "CoGroup" not in plan and "Generate" not in plan
